@@ -159,3 +159,161 @@ def q_filter_text_terms(spark, sf):
         F.lit("event_type = '"), F.col("event_type"), F.lit("' AND user_id >= "), F.col("user_id").cast("string"),
         F.lit(" AND event_id<>"), F.col("event_id").cast("string")).alias("filter"))
     return f.select("event_id", F.inline(Q.filter_terms("filter")))
+
+
+# ---------------------------------------------------------------- C1-C15 row and key rules
+
+from .operators import quality as C  # noqa: E402
+from .operators import profile as A  # noqa: E402
+from .functions import geometry as G  # noqa: E402
+
+LINEITEM_RULES = [
+    C.Rule("required", "l_shipdate"),
+    C.Rule("min", "l_quantity", 5), C.Rule("max", "l_quantity", 45),
+    C.Rule("max", "l_discount", 0.08),
+    C.Rule("pattern", "l_returnflag", "^[AN]"),
+    C.Rule("enumeration", "l_linestatus", ["O"]),
+    C.Rule("compare", "l_tax", other="l_discount", op="<="),
+]
+
+
+@register("dq_lineitem_rules", """
+SELECT l_orderkey, l_linenumber, 'required' AS rule, 'l_shipdate' AS field, CAST(l_shipdate AS VARCHAR) AS value FROM lineitem WHERE l_shipdate IS NULL
+UNION ALL SELECT l_orderkey, l_linenumber, 'min', 'l_quantity', CAST(l_quantity AS VARCHAR) FROM lineitem WHERE l_quantity < 5
+UNION ALL SELECT l_orderkey, l_linenumber, 'max', 'l_quantity', CAST(l_quantity AS VARCHAR) FROM lineitem WHERE l_quantity > 45
+UNION ALL SELECT l_orderkey, l_linenumber, 'max', 'l_discount', CAST(l_discount AS VARCHAR) FROM lineitem WHERE l_discount > 0.08
+UNION ALL SELECT l_orderkey, l_linenumber, 'pattern', 'l_returnflag', l_returnflag FROM lineitem WHERE NOT regexp_matches(l_returnflag, '^[AN]')
+UNION ALL SELECT l_orderkey, l_linenumber, 'enumeration', 'l_linestatus', l_linestatus FROM lineitem WHERE l_linestatus NOT IN ('O')
+UNION ALL SELECT l_orderkey, l_linenumber, 'compare:<=', 'l_tax', CAST(l_tax AS VARCHAR) FROM lineitem WHERE NOT (l_tax <= l_discount)""")
+def q_dq_lineitem_rules(spark, sf):
+    """All row rules of a layer in one scan."""
+    return C.row_violations(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], LINEITEM_RULES)
+
+
+CUSTOMER_RULES = C.rules_for_field("c_name", C.Constraints(min_length=18, max_length=18, pattern="^Customer#0000000"),
+                                   required=True) \
+    + C.rules_for_field("c_acctbal", C.Constraints(min=0.0)) \
+    + C.rules_for_field("c_mktsegment", C.Constraints(enumeration=["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]))
+
+
+@register("dq_customer_rules", """
+SELECT c_custkey, 'required' AS rule, 'c_name' AS field, c_name AS value FROM customer WHERE c_name IS NULL
+UNION ALL SELECT c_custkey, 'min_length', 'c_name', c_name FROM customer WHERE length(c_name) < 18
+UNION ALL SELECT c_custkey, 'max_length', 'c_name', c_name FROM customer WHERE length(c_name) > 18
+UNION ALL SELECT c_custkey, 'pattern', 'c_name', c_name FROM customer WHERE NOT regexp_matches(c_name, '^Customer#0000000')
+UNION ALL SELECT c_custkey, 'min', 'c_acctbal', CAST(c_acctbal AS VARCHAR) FROM customer WHERE c_acctbal < 0.0
+UNION ALL SELECT c_custkey, 'enumeration', 'c_mktsegment', c_mktsegment FROM customer
+  WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')""")
+def q_dq_customer_rules(spark, sf):
+    """Field constraints (C1-C5) compiled from a Constraints record."""
+    return C.row_violations(table(spark, sf, "customer"), ["c_custkey"], CUSTOMER_RULES)
+
+
+@register("dq_codelist", """
+SELECT s_suppkey, 'codelist' AS rule, 's_nationkey' AS field, CAST(s_nationkey AS VARCHAR) AS value FROM supplier
+WHERE s_nationkey IS NOT NULL AND s_nationkey NOT IN (
+  SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')""")
+def q_dq_codelist(spark, sf):
+    """Supplier nation must be in the code list of European nations."""
+    codes = (table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+             .filter(F.col("r_name") == "EUROPE").select(F.col("n_nationkey").alias("code")))
+    return C.codelist_violations(table(spark, sf, "supplier"), ["s_suppkey"], "s_nationkey", codes)
+
+
+@register("dq_unique", """
+SELECT p_partkey, 'unique' AS rule, 'p_name' AS field, p_name AS value FROM part
+WHERE p_name IN (SELECT p_name FROM part WHERE p_name IS NOT NULL GROUP BY p_name HAVING count(*) > 1)""")
+def q_dq_unique(spark, sf):
+    """Rows whose non-null value is not unique."""
+    return C.unique_violations(table(spark, sf, "part"), ["p_partkey"], ["p_name"])
+
+
+@register("dq_composite_key_groups", """
+SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
+WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def q_dq_composite_key_groups(spark, sf):
+    """Duplicated composite-key groups."""
+    return C.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("dq_primary_key", """
+SELECT l_orderkey, l_linenumber, 'primary_key_null' AS rule, 'l_orderkey,l_linenumber' AS field, CAST(NULL AS VARCHAR) AS value
+FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL
+UNION ALL
+SELECT l_orderkey, l_linenumber, 'primary_key_duplicate', 'l_orderkey,l_linenumber',
+       CAST(l_orderkey AS VARCHAR) || ',' || CAST(l_linenumber AS VARCHAR)
+FROM lineitem WHERE (l_orderkey, l_linenumber) IN (
+  SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+  GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
+def q_dq_primary_key(spark, sf):
+    """Rows breaking a composite primary key (NULL parts, duplicates)."""
+    return C.primary_key_violations(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("dq_cross_field", """
+SELECT l_orderkey, l_linenumber, 'compare:>' AS rule, 'l_shipdate' AS field, CAST(l_shipdate AS VARCHAR) AS value
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT (l_shipdate > o_orderdate)""")
+def q_dq_cross_field(spark, sf):
+    """C9 across a FK: ship date must be after the order date."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"),
+                                           F.col("l_orderkey") == F.col("o_orderkey"))
+    return C.row_violations(li, ["l_orderkey", "l_linenumber"],
+                            [C.Rule("compare", "l_shipdate", other="o_orderdate", op=">")])
+
+
+_PK_LAYERS = [("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("customer", "c_custkey"), ("part", "p_name")]
+
+
+@register("pk_stats", " UNION ALL ".join(
+    f"""SELECT '{t}' AS layer, count(*) AS feature_count, count(*) FILTER (WHERE {k} IS NULL) AS null_pk,
+       (SELECT count(*) FROM (SELECT {k} FROM {t} GROUP BY {k} HAVING count(*) > 1)) AS duplicate_pk_groups FROM {t}"""
+    for t, k in _PK_LAYERS))
+def q_pk_stats(spark, sf):
+    """C10/C11 per layer: NULL PK count and duplicated PK groups."""
+    return A.union_all([C.pk_stats(table(spark, sf, t), k).select(F.lit(t).alias("layer"), "*")
+                        for t, k in _PK_LAYERS])
+
+
+_ISSUE_LAYERS = [("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("part", "p_name"), ("events", "fid")]
+
+
+def _import_issues(spark, sf):
+    return A.union_all([C.import_issues(t, table(spark, sf, t), k) for t, k in _ISSUE_LAYERS])
+
+
+_ISSUES_SQL = """
+SELECT 'lineitem' AS layer, 'l_orderkey' AS "column", 'non_unique_pk' AS type, 'error' AS severity
+WHERE EXISTS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)
+UNION ALL SELECT 'orders', 'o_orderkey', 'non_unique_pk', 'error'
+WHERE EXISTS (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
+UNION ALL SELECT 'orders', 'o_orderkey', 'null_pk', 'error' WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey IS NULL)
+UNION ALL SELECT 'lineitem', 'l_orderkey', 'null_pk', 'error' WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey IS NULL)
+UNION ALL SELECT 'part', 'p_name', 'non_integer_pk', 'warning'
+UNION ALL SELECT 'part', 'p_name', 'null_pk', 'error' WHERE EXISTS (SELECT 1 FROM part WHERE p_name IS NULL)
+UNION ALL SELECT 'part', 'p_name', 'non_unique_pk', 'error'
+WHERE EXISTS (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)
+UNION ALL SELECT 'events', 'fid', 'no_primary_key', 'error'"""
+
+
+@register("import_issues", _ISSUES_SQL)
+def q_import_issues(spark, sf):
+    """Import warnings of several layers."""
+    return _import_issues(spark, sf)
+
+
+@register("import_verdict", f"""
+SELECT count(*) FILTER (WHERE severity = 'error') = 0 AS is_valid, true AS can_proceed FROM ({_ISSUES_SQL})""")
+def q_import_verdict(spark, sf):
+    """C14: isValid / canProceed over the issues above."""
+    return C.import_verdict(_import_issues(spark, sf))
+
+
+@register("issue_counts", f"""
+SELECT coalesce(layer, '__model__') AS layer, count(*) AS issues FROM (
+  SELECT layer FROM ({_ISSUES_SQL}) UNION ALL SELECT CAST(NULL AS VARCHAR)) GROUP BY 1""")
+def q_issue_counts(spark, sf):
+    """A10: issues per layer; a model-level issue (no layer) counts under __model__."""
+    issues = _import_issues(spark, sf).select("layer")
+    model_level = spark.range(1).select(F.lit(None).cast("string").alias("layer"))
+    return A.issue_counts(issues.unionByName(model_level), "layer")
