@@ -317,3 +317,126 @@ def q_issue_counts(spark, sf):
     issues = _import_issues(spark, sf).select("layer")
     model_level = spark.range(1).select(F.lit(None).cast("string").alias("layer"))
     return A.issue_counts(issues.unionByName(model_level), "layer")
+
+
+# ---------------------------------------------------------------- D2-D8, D10, O6 change capture
+
+from .operators import cdc as D  # noqa: E402
+
+SINCE = "1998-01-01 00:00:00"
+_PREV_SQL = "(SELECT o_orderkey AS pk FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01 00:00:00')"
+_CUR_SQL = "(SELECT * FROM orders WHERE o_orderstatus <> 'P')"
+
+
+def _snapshots(spark, sf):
+    """Previous sync saw the orders dated before 2000; pending orders have
+    since been withdrawn. Both snapshots are read from the whole table."""
+    o = table(spark, sf, "orders")
+    prev = D.state_from_snapshot(o.filter(F.col("o_orderdate") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")),
+                                 "o_orderkey")
+    cur = o.filter(F.col("o_orderstatus") != "P")
+    return prev, cur
+
+
+@register("cdc_inserts", f"""
+SELECT c.o_orderkey, c.o_orderdate, 'insert' AS _change_type FROM {_CUR_SQL} c
+WHERE c.o_orderkey NOT IN (SELECT pk FROM {_PREV_SQL})""")
+def q_cdc_inserts(spark, sf):
+    prev, cur = _snapshots(spark, sf)
+    return D.cdc_inserts(cur.select("o_orderkey", "o_orderdate"), prev, "o_orderkey")
+
+
+@register("cdc_deletes", f"""
+SELECT pk AS o_orderkey, 'delete' AS _change_type FROM {_PREV_SQL}
+WHERE pk NOT IN (SELECT o_orderkey FROM {_CUR_SQL})""")
+def q_cdc_deletes(spark, sf):
+    prev, cur = _snapshots(spark, sf)
+    return D.cdc_deletes(cur, prev, "o_orderkey")
+
+
+@register("cdc_updates", f"""
+SELECT c.o_orderkey, c.o_orderdate, 'update' AS _change_type FROM {_CUR_SQL} c
+WHERE c.o_orderdate > TIMESTAMP '{SINCE}' AND c.o_orderkey IN (SELECT pk FROM {_PREV_SQL})""")
+def q_cdc_updates(spark, sf):
+    prev, cur = _snapshots(spark, sf)
+    return D.cdc_updates(cur.select("o_orderkey", "o_orderdate"), prev, "o_orderkey", "o_orderdate", SINCE)
+
+
+@register("cdc_changes", f"""
+SELECT c.o_orderkey, c.o_orderdate, c.o_totalprice,
+       CASE WHEN c.o_orderkey IN (SELECT pk FROM {_PREV_SQL}) THEN 'update' ELSE 'insert' END AS _change_type
+FROM {_CUR_SQL} c
+WHERE c.o_orderdate > TIMESTAMP '{SINCE}' OR c.o_orderkey NOT IN (SELECT pk FROM {_PREV_SQL})""")
+def q_cdc_changes(spark, sf):
+    prev, cur = _snapshots(spark, sf)
+    return D.cdc_changes(cur.select("o_orderkey", "o_orderdate", "o_totalprice"), prev, "o_orderkey",
+                         "o_orderdate", SINCE)
+
+
+_DIFF_SQL = f"""
+SELECT coalesce(c.o_orderkey, p.pk) AS o_orderkey, c.o_orderdate,
+  CASE WHEN p.pk IS NULL THEN 'insert' WHEN c.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS _change_type
+FROM {_CUR_SQL} c FULL OUTER JOIN {_PREV_SQL} p ON c.o_orderkey = p.pk
+WHERE p.pk IS NULL OR c.o_orderkey IS NULL OR c.o_orderdate > TIMESTAMP '{SINCE}'"""
+
+
+@register("cdc_diff", _DIFF_SQL)
+def q_cdc_diff(spark, sf):
+    """D2+D3+D4 in one full outer join."""
+    prev, cur = _snapshots(spark, sf)
+    return D.cdc_diff(cur.select("o_orderkey", "o_orderdate"), prev, "o_orderkey", "o_orderdate", SINCE)
+
+
+@register("cdc_summary", f"""
+SELECT 'orders' AS layer, _change_type, count(*) AS n FROM ({_DIFF_SQL}) GROUP BY _change_type""")
+def q_cdc_summary(spark, sf):
+    """Per layer and change type."""
+    return D.change_summary(q_cdc_diff(spark, sf), "orders")
+
+
+@register("change_stats", f"""
+SELECT count(*) FILTER (WHERE _change_type = 'insert') AS added,
+       count(*) FILTER (WHERE _change_type = 'update') AS modified,
+       count(*) FILTER (WHERE _change_type = 'delete') AS deleted, count(*) AS total FROM ({_DIFF_SQL})""")
+def q_change_stats(spark, sf):
+    """A11 over the change rows (insert/update/delete as added/modified/deleted)."""
+    d = q_cdc_diff(spark, sf).select(F.col("_change_type").alias("t"))
+    d = d.select(F.when(F.col("t") == "insert", "added").when(F.col("t") == "update", "modified")
+                 .otherwise("deleted").alias("change_type"))
+    return A.change_stats(d)
+
+
+_HASH_COLS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+def _hash_snapshots(spark, sf):
+    """Current snapshot: orders from before 1997 that were open are now
+    fulfilled (status O -> F); no timestamp marks the change."""
+    o = table(spark, sf, "orders")
+    prev = D.state_from_snapshot(o, "o_orderkey", _HASH_COLS)
+    cur = o.withColumn("o_orderstatus", F.when(
+        (F.col("o_orderstatus") == "O") & (F.col("o_orderdate") < F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")),
+        F.lit("F")).otherwise(F.col("o_orderstatus")))
+    return prev, cur
+
+
+@register("cdc_hash", """
+WITH cur AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority,
+  CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' THEN 'F' ELSE o_orderstatus END
+  AS o_orderstatus FROM orders)
+SELECT c.o_orderkey, c.o_orderstatus, 'update' AS _change_type FROM cur c JOIN orders p ON c.o_orderkey = p.o_orderkey
+WHERE c.o_orderstatus IS DISTINCT FROM p.o_orderstatus OR c.o_custkey IS DISTINCT FROM p.o_custkey
+   OR c.o_totalprice IS DISTINCT FROM p.o_totalprice OR c.o_orderpriority IS DISTINCT FROM p.o_orderpriority""")
+def q_cdc_hash(spark, sf):
+    """Updates found by content hash, with no timestamp column."""
+    prev, cur = _hash_snapshots(spark, sf)
+    return D.cdc_diff(cur, prev, "o_orderkey", hash_cols=_HASH_COLS).select("o_orderkey", "o_orderstatus",
+                                                                           "_change_type")
+
+
+@register("key_difference", """
+SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)""")
+def q_key_difference(spark, sf):
+    """Orders with no line items (set difference of keys)."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return D.key_difference(table(spark, sf, "orders"), li, "o_orderkey")
