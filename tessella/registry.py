@@ -17,13 +17,20 @@ from .sources import sinks as S
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+# Queries with no SQL twin, and why; each is checked against brute force in tests/.
+NO_ORACLE_REASON: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, no_oracle: str | None = None):
+    if (sql is None) == (no_oracle is None):
+        raise ValueError(f"{name}: give either oracle SQL or the reason there is none")
+
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql.strip()
+        else:
+            NO_ORACLE_REASON[name] = no_oracle
         return fn
     return deco
 
