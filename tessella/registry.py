@@ -447,3 +447,129 @@ def q_key_difference(spark, sf):
     """Orders with no line items (set difference of keys)."""
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return D.key_difference(table(spark, sf, "orders"), li, "o_orderkey")
+
+
+# ---------------------------------------------------------------- J5-J9 spatial relations
+
+from .operators import spatial as SP  # noqa: E402
+
+CELL = 2.0   # degrees; a nation rectangle (5.6 x 3) covers at most 4 x 3 cells
+_PTS_SQL = f"(SELECT event_id, {PX} AS x, {PY} AS y FROM events)"
+_RECTS = L.SQL_NATION_RECTS
+
+
+def _points(spark, sf):
+    return L.event_points(spark, sf, with_geometry=True).select("event_id", "geometry")
+
+
+def _nations(spark, sf):
+    return L.nation_polygons(spark, sf).select("n_nationkey", "geometry")
+
+
+@register("spatial_intersects", f"""
+SELECT p.event_id, r.n_nationkey FROM {_PTS_SQL} p, {_RECTS} r
+WHERE p.x >= r.x0 AND p.x <= r.x1 AND p.y >= r.y0 AND p.y <= r.y1""")
+def q_spatial_intersects(spark, sf):
+    """Points intersecting nation polygons (boundary included)."""
+    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "intersects", CELL, kinds=("point", "polygon"))
+
+
+@register("spatial_contains", f"""
+SELECT r.n_nationkey, p.event_id FROM {_RECTS} r, {_PTS_SQL} p
+WHERE p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1""")
+def q_spatial_contains(spark, sf):
+    """Polygons containing points (interior only)."""
+    return SP.spatial_join(_nations(spark, sf), _points(spark, sf), "contains", CELL, kinds=("polygon", "point"))
+
+
+@register("spatial_within", f"""
+SELECT p.event_id, r.n_nationkey FROM {_PTS_SQL} p, {_RECTS} r
+WHERE p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1""")
+def q_spatial_within(spark, sf):
+    """Points within polygons (J6 reversed)."""
+    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "within", CELL, kinds=("point", "polygon"))
+
+
+@register("spatial_touches_points", f"""
+SELECT p.event_id, r.n_nationkey FROM {_PTS_SQL} p, {_RECTS} r
+WHERE p.x >= r.x0 AND p.x <= r.x1 AND p.y >= r.y0 AND p.y <= r.y1
+  AND NOT (p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1)""")
+def q_spatial_touches_points(spark, sf):
+    """Points on a polygon's boundary."""
+    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "touches", CELL, kinds=("point", "polygon"))
+
+
+@register("spatial_touches_polygons", f"""
+SELECT a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM {_RECTS} a, {_RECTS} b
+WHERE a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
+  AND NOT (a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)""")
+def q_spatial_touches_polygons(spark, sf):
+    """Neighbouring polygons (shared edge or corner, interiors disjoint)."""
+    n = _nations(spark, sf)
+    return SP.spatial_join(n.withColumnRenamed("n_nationkey", "a_key"), n.withColumnRenamed("n_nationkey", "b_key"),
+                           "touches", CELL, kinds=("polygon", "polygon"))
+
+
+@register("spatial_intersects_polygons", f"""
+SELECT a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM {_RECTS} a, {_RECTS} b
+WHERE a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+def q_spatial_intersects_polygons(spark, sf):
+    """J5 polygon/polygon (a polygon intersects itself)."""
+    n = _nations(spark, sf)
+    return SP.spatial_join(n.withColumnRenamed("n_nationkey", "a_key"), n.withColumnRenamed("n_nationkey", "b_key"),
+                           "intersects", CELL, kinds=("polygon", "polygon"))
+
+
+_REGION_BOX_SQL = f"""(SELECT n_regionkey AS r_regionkey, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+  FROM {_RECTS} GROUP BY n_regionkey)"""
+
+
+@register("spatial_within_polygons", f"""
+SELECT a.n_nationkey, b.r_regionkey FROM {_RECTS} a, {_REGION_BOX_SQL} b
+WHERE a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1""")
+def q_spatial_within_polygons(spark, sf):
+    """J7 polygon/polygon: nation rectangles within region boxes."""
+    boxes = L.region_boxes(spark, sf).select("r_regionkey", "geometry")
+    return SP.spatial_join(_nations(spark, sf), boxes, "within", CELL, kinds=("polygon", "polygon"))
+
+
+def _sql_cross(ax, ay, bx, by, px, py):
+    return f"(({bx}) - ({ax})) * (({py}) - ({ay})) - (({by}) - ({ay})) * (({px}) - ({ax}))"
+
+
+def _sql_sign(v):
+    return f"(CASE WHEN {v} > 0 THEN 1 WHEN {v} < 0 THEN -1 ELSE 0 END)"
+
+
+def _sql_proper(s, e):
+    """Segments s and e (tuples of 4 SQL expressions) cross at one inner point."""
+    o1 = _sql_sign(_sql_cross(*e, s[0], s[1]))
+    o2 = _sql_sign(_sql_cross(*e, s[2], s[3]))
+    o3 = _sql_sign(_sql_cross(*s, e[0], e[1]))
+    o4 = _sql_sign(_sql_cross(*s, e[2], e[3]))
+    return f"({o1} * {o2} < 0 AND {o3} * {o4} < 0)"
+
+
+_SEG = ("s.x1", "s.y1", "s.x2", "s.y2")
+_RECT_EDGES = [("r.x0", "r.y0", "r.x1", "r.y0"), ("r.x1", "r.y0", "r.x1", "r.y1"),
+               ("r.x1", "r.y1", "r.x0", "r.y1"), ("r.x0", "r.y1", "r.x0", "r.y0")]
+
+
+def _sql_inside(x, y):
+    return f"({x} > r.x0 AND {x} < r.x1 AND {y} > r.y0 AND {y} < r.y1)"
+
+
+def _sql_outside(x, y):
+    return f"({x} < r.x0 OR {x} > r.x1 OR {y} < r.y0 OR {y} > r.y1)"
+
+
+@register("spatial_crosses", f"""
+SELECT s.event_id, r.n_nationkey FROM
+  (SELECT event_id, {PX} AS x1, {PY} AS y1, {L.SQL_NEXT_X} AS x2, {L.SQL_NEXT_Y} AS y2 FROM events) s, {_RECTS} r
+WHERE {' OR '.join(_sql_proper(_SEG, e) for e in _RECT_EDGES)}
+   OR (({_sql_inside('s.x1', 's.y1')} OR {_sql_inside('s.x2', 's.y2')})
+       AND ({_sql_outside('s.x1', 's.y1')} OR {_sql_outside('s.x2', 's.y2')}))""")
+def q_spatial_crosses(spark, sf):
+    """Movement segments crossing nation polygons (inside and outside)."""
+    seg = L.event_segments(spark, sf).select("event_id", "geometry")
+    return SP.spatial_join(seg, _nations(spark, sf), "crosses", CELL, kinds=("line", "polygon"))

@@ -53,3 +53,29 @@ SQL_POINT_Y = "(CAST(57.0 AS DOUBLE) + CAST(event_id * 104729 % 15000 AS DOUBLE)
 SQL_RECT_X0 = "(CAST(4.0 AS DOUBLE) + CAST(5.6 AS DOUBLE) * (n_nationkey % 5))"
 SQL_RECT_Y0 = "(CAST(57.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * floor(n_nationkey / 5))"
 SQL_RECT_W, SQL_RECT_H = "CAST(5.6 AS DOUBLE)", "CAST(3.0 AS DOUBLE)"
+
+
+def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line layer: each event's movement segment, from its point to the point
+    of ``event_id + 1`` (both computed from ids, so no join is needed)."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id")
+    nxt = F.col("event_id") + 1
+    x1 = F.lit(POINT_X0) + (nxt * POINT_X_MUL % POINT_X_MOD) / F.lit(1000.0)
+    y1 = F.lit(POINT_Y0) + (nxt * POINT_Y_MUL % POINT_Y_MOD) / F.lit(1000.0)
+    return ev.withColumn("geometry", G.linestring(F.array(G.xy(point_x(), point_y()), G.xy(x1, y1)), 4326))
+
+
+def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygon layer: per region, the bounding rectangle of its nations'
+    rectangles (an aggregate over the nation layer)."""
+    n = nation_polygons(spark, sf_dir)
+    b = n.groupBy("n_regionkey").agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"),
+                                     F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
+    return (b.withColumnRenamed("n_regionkey", "r_regionkey")
+            .withColumn("geometry", G.rectangle(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), 4326)))
+
+
+SQL_NEXT_X = "(CAST(4.0 AS DOUBLE) + CAST((event_id + 1) * 7919 % 28000 AS DOUBLE) / CAST(1000.0 AS DOUBLE))"
+SQL_NEXT_Y = "(CAST(57.0 AS DOUBLE) + CAST((event_id + 1) * 104729 % 15000 AS DOUBLE) / CAST(1000.0 AS DOUBLE))"
+SQL_NATION_RECTS = f"""(SELECT n_nationkey, n_regionkey, {SQL_RECT_X0} AS x0, {SQL_RECT_Y0} AS y0,
+  {SQL_RECT_X0} + {SQL_RECT_W} AS x1, {SQL_RECT_Y0} + {SQL_RECT_H} AS y1 FROM nation)"""
