@@ -573,3 +573,340 @@ def q_spatial_crosses(spark, sf):
     """Movement segments crossing nation polygons (inside and outside)."""
     seg = L.event_segments(spark, sf).select("event_id", "geometry")
     return SP.spatial_join(seg, _nations(spark, sf), "crosses", CELL, kinds=("line", "polygon"))
+
+
+# ---------------------------------------------------------------- A1-A9 profile
+
+def _point_layer(spark, sf):
+    return L.event_points(spark, sf).withColumns({"min_x": F.col("x"), "min_y": F.col("y"),
+                                                  "max_x": F.col("x"), "max_y": F.col("y")})
+
+
+@register("layer_profile", """
+SELECT 'events' AS layer, count(*) AS feature_count,
+  (SELECT count(*) FROM information_schema.columns WHERE table_name = 'events') AS column_count,
+  'Point' AS geometry_type, 4326 AS srid, 'event_id' AS pk FROM events
+UNION ALL SELECT 'nation', count(*), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'nation'),
+  'Polygon', 4326, 'n_nationkey' FROM nation
+UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'orders'),
+  NULL, NULL, 'o_orderkey' FROM orders""")
+def q_layer_profile(spark, sf):
+    """A1: feature count, column count (geometry excluded), type, srid, PK per layer."""
+    return A.union_all([
+        A.layer_profile("events", L.event_points(spark, sf, with_geometry=True).drop("x", "y"), "Point", 4326,
+                        "event_id", geom_col="geometry"),
+        A.layer_profile("nation", L.nation_polygons(spark, sf).select(*table(spark, sf, "nation").columns, "geometry"),
+                        "Polygon", 4326, "n_nationkey", geom_col="geometry"),
+        A.layer_profile("orders", table(spark, sf, "orders"), None, None, "o_orderkey")])
+
+
+_EXTENTS_SQL = f"""
+SELECT 'events' AS layer, min({PX}) AS min_x, min({PY}) AS min_y, max({PX}) AS max_x, max({PY}) AS max_y FROM events
+UNION ALL SELECT 'nation', min(x0), min(y0), max(x1), max(y1) FROM {_RECTS}"""
+
+
+@register("layer_extent", _EXTENTS_SQL)
+def q_layer_extent(spark, sf):
+    """A2: per-layer extent."""
+    return A.union_all([A.layer_extent("events", _point_layer(spark, sf)),
+                        A.layer_extent("nation", L.nation_polygons(spark, sf))])
+
+
+@register("global_extent", f"""
+SELECT min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM ({_EXTENTS_SQL})""")
+def q_global_extent(spark, sf):
+    """A3: extent over all layers (a second aggregate over A2's rows)."""
+    return A.global_extent(q_layer_extent(spark, sf))
+
+
+@register("geometry_type_set", """
+SELECT geometry_type, count(*) AS n, true AS mixed FROM (
+  SELECT 'Point' AS geometry_type FROM events UNION ALL SELECT 'LineString' FROM events
+  UNION ALL SELECT 'Polygon' FROM nation) GROUP BY geometry_type""")
+def q_geometry_type_set(spark, sf):
+    """A4: geometry types of a mixed collection (points, segments, polygons)."""
+    mixed = (_points(spark, sf).select("geometry")
+             .unionByName(L.event_segments(spark, sf).select("geometry"))
+             .unionByName(_nations(spark, sf).select("geometry")))
+    return A.geometry_type_set(mixed)
+
+
+_DV_FIELDS = ["c_mktsegment", "c_nationkey", "c_name", "c_acctbal"]
+
+
+@register("distinct_values", " UNION ALL ".join(f"""
+SELECT field, value, rank FROM (SELECT '{f}' AS field, value, row_number() OVER (ORDER BY value) AS rank
+  FROM (SELECT DISTINCT CAST({f} AS VARCHAR) AS value FROM customer
+        WHERE {f} IS NOT NULL AND CAST({f} AS VARCHAR) <> '')) WHERE rank <= 50""" for f in _DV_FIELDS if f != "c_acctbal"))
+def q_distinct_values(spark, sf):
+    """A5: up to 50 distinct values per field, smallest first (all fields in one scan)."""
+    return A.distinct_values(table(spark, sf, "customer"), [f for f in _DV_FIELDS if f != "c_acctbal"])
+
+
+@register("sampled_values", " UNION ALL ".join(f"""
+SELECT field, value, rank FROM (SELECT '{f}' AS field, value, row_number() OVER (ORDER BY value) AS rank
+  FROM (SELECT DISTINCT CAST({f} AS VARCHAR) AS value FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)
+        WHERE {f} IS NOT NULL AND CAST({f} AS VARCHAR) <> '')) WHERE rank <= 50""" for f in ("o_orderstatus", "o_orderpriority", "o_custkey")))
+def q_sampled_values(spark, sf):
+    """Distinct values among the first 100 features by PK."""
+    return A.sampled_values(table(spark, sf, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"])
+
+
+@register("infer_types", r"""
+WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS VARCHAR) AS p_size,
+                  CAST(p_retailprice AS VARCHAR) AS p_retailprice, p_brand, p_name FROM part),
+u AS (UNPIVOT s ON p_partkey, p_size, p_retailprice, p_brand, p_name INTO NAME field VALUE value),
+a AS (SELECT field, count(*) AS n,
+        count(*) FILTER (WHERE regexp_full_match(trim(value), '[+-]?[0-9]+')) AS n_int,
+        count(*) FILTER (WHERE TRY_CAST(trim(value) AS DOUBLE) IS NOT NULL
+                         AND regexp_full_match(trim(value), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')) AS n_num,
+        count(*) FILTER (WHERE lower(trim(value)) IN ('true', 'false')) AS n_bool
+      FROM u WHERE value IS NOT NULL GROUP BY field)
+SELECT field, CASE WHEN n_int = n THEN 'integer' WHEN n_num = n THEN 'number' WHEN n_bool = n THEN 'boolean'
+                   ELSE 'string' END AS base_type FROM a""")
+def q_infer_types(spark, sf):
+    """A7 whole-column mode over the string forms of part's columns."""
+    p = table(spark, sf, "part")
+    s = p.select(*[F.col(c).cast("string").alias(c) for c in ("p_partkey", "p_size", "p_retailprice", "p_brand",
+                                                                "p_name")])
+    return A.infer_types(s)
+
+
+@register("json_field_types", """
+SELECT k AS key, CASE WHEN bool_or(t = 'VARCHAR') OR (bool_or(t = 'BOOLEAN') AND NOT bool_and(t = 'BOOLEAN'))
+                      THEN 'string' WHEN bool_and(t = 'BOOLEAN') THEN 'boolean'
+                      WHEN bool_or(t = 'DOUBLE' AND v <> floor(v)) THEN 'number' ELSE 'integer' END AS base_type
+FROM (SELECT k, json_type(props, '$."' || k || '"') AS t,
+             TRY_CAST(json_extract_string(props, '$."' || k || '"') AS DOUBLE) AS v
+      FROM (SELECT props, unnest(json_keys(props)) AS k FROM events)) GROUP BY k""")
+def q_json_field_types(spark, sf):
+    """A7 on a JSON properties column: per key, the type that fits every row."""
+    return A.json_field_types(table(spark, sf, "events"), "props")
+
+
+@register("null_profile", " UNION ALL ".join(f"""
+SELECT '{f}' AS field, count(*) FILTER (WHERE {f} IS NULL) AS nulls,
+  CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE {f} IS NULL) AS DOUBLE) / count(*) ELSE 0.0 END AS null_ratio,
+  CASE WHEN count(*) FILTER (WHERE {f} IS NULL) = 0 THEN '1..1' ELSE '0..1' END AS multiplicity FROM documents"""
+                                        for f in ("doc_id", "text", "lang", "source", "n_chars")))
+def q_null_profile(spark, sf):
+    """NULL count/ratio and inferred multiplicity per field, one pass."""
+    return A.null_profile(table(spark, sf, "documents"))
+
+
+def _sql_seg_intersect(e, f):
+    """Closed segments e, f (4 SQL expressions each) share a point (same
+    orientation arithmetic as the Spark predicate)."""
+    o1 = _sql_sign(_sql_cross(*e, f[0], f[1]))
+    o2 = _sql_sign(_sql_cross(*e, f[2], f[3]))
+    o3 = _sql_sign(_sql_cross(*f, e[0], e[1]))
+    o4 = _sql_sign(_sql_cross(*f, e[2], e[3]))
+
+    def on(o, s, px, py):
+        return (f"({o} = 0 AND {px} >= least({s[0]}, {s[2]}) AND {px} <= greatest({s[0]}, {s[2]}) "
+                f"AND {py} >= least({s[1]}, {s[3]}) AND {py} <= greatest({s[1]}, {s[3]}))")
+    return (f"(({o1} * {o2} < 0 AND {o3} * {o4} < 0) OR {on(o1, e, f[0], f[1])} OR {on(o2, e, f[2], f[3])} "
+            f"OR {on(o3, f, e[0], e[1])} OR {on(o4, f, e[2], e[3])})")
+
+
+_BC = ("(q.x0 + 1.0)", "0.0", "(q.x0 + q.u)", "1.0")
+_DA = ("(q.x0 + q.v)", "1.0", "q.x0", "0.0")
+_QUAD_VALID_SQL = f"(q.o_orderstatus <> 'P' AND NOT {_sql_seg_intersect(_BC, _DA)})"
+
+
+@register("is_valid", f"SELECT q.o_orderkey, {_QUAD_VALID_SQL} AS valid FROM {L.SQL_QUADS} q")
+def q_is_valid(spark, sf):
+    """Per-feature validity (unclosed rings, bow-ties, repeated vertices)."""
+    return L.order_quads(spark, sf).select("o_orderkey", G.is_valid("geometry").alias("valid"))
+
+
+@register("validity_summary", f"""
+SELECT 'order_quads' AS layer, count(*) AS total_features, count(*) FILTER (WHERE NOT valid) AS invalid_count,
+  CAST(floor((count(*) - count(*) FILTER (WHERE NOT valid)) * 100.0 / count(*) + 0.5) AS INTEGER) AS valid_percent
+FROM (SELECT {_QUAD_VALID_SQL} AS valid FROM {L.SQL_QUADS} q)""")
+def q_validity_summary(spark, sf):
+    """Total, invalid and valid percent (JS rounding)."""
+    return A.validity_summary("order_quads", L.order_quads(spark, sf), G.is_valid("geometry"))
+
+
+def _shoelace(pts):
+    n = len(pts)
+    terms = [f"({pts[i][0]} * {pts[(i + 1) % n][1]} - {pts[(i + 1) % n][0]} * {pts[i][1]})" for i in range(n)]
+    return "(" + " + ".join(terms) + ") / 2"
+
+
+_QA, _QB = ("q.x0", "0.0"), ("(q.x0 + 1.0)", "0.0")
+_QC, _QD = ("(q.x0 + q.u)", "1.0"), ("(q.x0 + q.v)", "1.0")
+
+
+@register("make_valid", f"""
+SELECT q.o_orderkey, {_QUAD_VALID_SQL} AS valid_before,
+  CASE WHEN q.u = q.v THEN true ELSE NOT {_sql_seg_intersect(_BC, _DA)} END AS valid_after,
+  round(abs(CASE WHEN q.u = q.v THEN {_shoelace([_QA, _QB, _QC])} ELSE {_shoelace([_QA, _QB, _QC, _QD])} END), 6)
+    AS area_after
+FROM {L.SQL_QUADS} q""")
+def q_make_valid(spark, sf):
+    """Repair (drop repeated vertices, close, orient CCW); bow-ties stay invalid."""
+    q = L.order_quads(spark, sf)
+    fixed = G.make_valid("geometry")
+    ring = fixed["parts"][0][0]
+    return q.select("o_orderkey", G.is_valid("geometry").alias("valid_before"),
+                    G.is_valid(fixed).alias("valid_after"),
+                    F.round(G._signed_area(ring), 6).alias("area_after"))
+
+
+# ---------------------------------------------------------------- G1, G2, G5, G6 reprojection and extents
+
+def _sql_merc(lon, lat):
+    R = G.WGS84_A
+    return (f"({R} * radians({lon}))", f"({R} * ln(tan(pi() / 4 + radians({lat}) / 2)))")
+
+
+def _sql_utm_forward(lon, lat, zone):
+    """The same Krüger series as G.from_wgs84, spelled in SQL."""
+    import math
+    n, Acoef, alpha, _, _ = G._kruger(G.GRS80_A, G.GRS80_F)
+    lam0 = math.radians(zone * 6 - 183)
+    k = 2 * math.sqrt(n) / (1 + n)
+    sphi = f"sin(radians({lat}))"
+    t = f"sinh(atanh({sphi}) - {k!r} * atanh({k!r} * {sphi}))"
+    dl = f"(radians({lon}) - {lam0!r})"
+    xi = f"atan({t} / cos({dl}))"
+    eta = f"atanh(sin({dl}) / sqrt(1 + {t} * {t}))"
+    e_sum, n_sum = eta, xi
+    for j, al in enumerate(alpha, start=1):
+        e_sum = f"({e_sum} + {al!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta}))"
+        n_sum = f"({n_sum} + {al!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta}))"
+    kA = G.UTM_K0 * Acoef
+    return f"({G.UTM_E0!r} + {kA!r} * {e_sum})", f"({kA!r} * {n_sum})"
+
+
+_MX, _MY = _sql_merc(PX, PY)
+
+
+@register("reproject_mercator", f"SELECT event_id, round({_MX}, 3) AS x, round({_MY}, 3) AS y FROM events")
+def q_reproject_mercator(spark, sf):
+    """G1: points EPSG:4326 -> EPSG:3857."""
+    p = L.event_points(spark, sf)
+    x, y = G.reproject_xy(F.col("x"), F.col("y"), 4326, 3857)
+    return p.select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+_UX, _UY = _sql_utm_forward(PX, PY, 33)
+
+
+@register("reproject_utm", f"SELECT event_id, round({_UX}, 3) AS x, round({_UY}, 3) AS y FROM events")
+def q_reproject_utm(spark, sf):
+    """G1: points EPSG:4326 -> EPSG:25833 (transverse Mercator, Krüger series)."""
+    p = L.event_points(spark, sf)
+    x, y = G.reproject_xy(F.col("x"), F.col("y"), 4326, 25833)
+    return p.select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@register("reproject_roundtrip", "SELECT count(*) AS n, true AS within_1e_9_deg FROM events")
+def q_reproject_roundtrip(spark, sf):
+    """G1 both ways: 4326 -> 25833 -> 4326 returns every point within 1e-9 degrees."""
+    p = L.event_points(spark, sf)
+    x, y = G.reproject_xy(F.col("x"), F.col("y"), 4326, 25833)
+    q = p.select("x", "y", x.alias("ux"), y.alias("uy"))
+    lon, lat = G.reproject_xy(F.col("ux"), F.col("uy"), 25833, 4326)
+    err = F.greatest(F.abs(lon - F.col("x")), F.abs(lat - F.col("y")))
+    return q.agg(F.count(F.lit(1)).alias("n"), (F.max(err) < 1e-9).alias("within_1e_9_deg"))
+
+
+@register("bbox_to_wgs84", f"""
+SELECT n_regionkey, round(degrees(mx0 / {G.WGS84_A}), 9) AS west,
+  round(degrees(2 * atan(exp(my0 / {G.WGS84_A})) - pi() / 2), 9) AS south,
+  round(degrees(mx1 / {G.WGS84_A}), 9) AS east,
+  round(degrees(2 * atan(exp(my1 / {G.WGS84_A})) - pi() / 2), 9) AS north
+FROM (SELECT n_regionkey, min({_sql_merc('x0', 'y0')[0]}) AS mx0, min({_sql_merc('x0', 'y0')[1]}) AS my0,
+             max({_sql_merc('x1', 'y1')[0]}) AS mx1, max({_sql_merc('x1', 'y1')[1]}) AS my1
+      FROM {_RECTS} GROUP BY n_regionkey)""")
+def q_bbox_to_wgs84(spark, sf):
+    """Per-region extent held in EPSG:3857, converted corner-wise to WGS84."""
+    n = L.nation_polygons(spark, sf)
+    x0, y0 = G.reproject_xy(F.col("min_x"), F.col("min_y"), 4326, 3857)
+    x1, y1 = G.reproject_xy(F.col("max_x"), F.col("max_y"), 4326, 3857)
+    ext = n.select("n_regionkey", x0.alias("a"), y0.alias("b"), x1.alias("c"), y1.alias("d")) \
+        .groupBy("n_regionkey").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("c").alias("c"),
+                                    F.max("d").alias("d"))
+    box = G.bbox_to_wgs84("a", "b", "c", "d", 3857)
+    return ext.select("n_regionkey", *[F.round(box[k], 9).alias(k) for k in ("west", "south", "east", "north")])
+
+
+_LON_SQL = f"(({PX} - 18.0) * 20.0)"
+_LAT_SQL = f"(({PY} - 64.5) * 20.0)"
+
+
+@register("clamp_round_extent", f"""
+SELECT event_id, floor(greatest(-180.0, least(180.0, {_LON_SQL})) / 7.0 * 10000.0 + 0.5) / 10000.0 AS lon,
+  floor(greatest(-90.0, least(90.0, {_LAT_SQL})) / 7.0 * 10000.0 + 0.5) / 10000.0 AS lat FROM events""")
+def q_clamp_round_extent(spark, sf):
+    """Clamp to +-180 / +-90, then round half up to 4 decimals (JS rounding)."""
+    p = L.event_points(spark, sf)
+    lon = (F.col("x") - 18.0) * 20.0
+    lat = (F.col("y") - 64.5) * 20.0
+    return p.select("event_id", G.round_half_up(G.clamp_lon(lon) / 7.0, 4).alias("lon"),
+                    G.round_half_up(G.clamp_lat(lat) / 7.0, 4).alias("lat"))
+
+
+@register("extent_checks", """
+SELECT o_orderkey, abs(e - w) AS width, abs(n - s) AS height,
+  NOT (abs(e - w) > 0.00001 AND abs(n - s) > 0.00001) AS degenerate, (w >= e OR s >= n) AS invalid_order
+FROM (SELECT o_orderkey, CAST(o_custkey % 100 AS DOUBLE) AS w, CAST(o_orderkey % 50 AS DOUBLE) AS s,
+             CAST(o_custkey % 100 AS DOUBLE) + (o_totalprice - 50000.0) / 100000.0 AS e,
+             CAST(o_orderkey % 50 AS DOUBLE) + CAST(o_orderkey % 7 - 1 AS DOUBLE) AS n FROM orders)""")
+def q_extent_checks(spark, sf):
+    """Width, height, degenerate and inverted boxes (boxes derived per order)."""
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 100).cast("double").alias("w"),
+        (F.col("o_orderkey") % 50).cast("double").alias("s"),
+        ((F.col("o_custkey") % 100).cast("double") + (F.col("o_totalprice") - 50000.0) / 100000.0).alias("e"),
+        ((F.col("o_orderkey") % 50).cast("double") + (F.col("o_orderkey") % 7 - 1).cast("double")).alias("n"))
+    c = G.extent_checks("w", "s", "e", "n")
+    return o.select("o_orderkey", *[c[k].alias(k) for k in ("width", "height", "degenerate", "invalid_order")])
+
+
+# ---------------------------------------------------------------- T1-T4, T8 names and checksums
+
+from .functions import names as N  # noqa: E402
+
+
+def _sql_technical_name(c):
+    x = f"strip_accents(replace(replace(replace(lower({c}), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'))"
+    x = f"regexp_replace(regexp_replace(regexp_replace({x}, '[^a-z0-9]', '_', 'g'), '_+', '_', 'g'), '_+$', '')"
+    x = f"(CASE WHEN regexp_matches({x}, '^[0-9]') THEN '_' || {x} ELSE regexp_replace({x}, '^_+', '') END)"
+    return f"(CASE WHEN {c} IS NULL OR {c} = '' THEN '' WHEN {x} = '' THEN 'untitled_field' ELSE {x} END)"
+
+
+@register("technical_names", f"""
+SELECT p_partkey, {_sql_technical_name('p_name')} AS technical_name,
+  regexp_replace(lower(p_type), '[^a-z0-9]', '_', 'g') AS table_name,
+  upper(substr({_sql_technical_name('p_name')}, 1, 1)) || replace(substr({_sql_technical_name('p_name')}, 2), '_', ' ')
+    AS title FROM part""")
+def q_technical_names(spark, sf):
+    """Technical name, table name and title over every part name/type."""
+    p = table(spark, sf, "part")
+    tn = N.technical_name("p_name")
+    return p.select("p_partkey", tn.alias("technical_name"), N.table_name("p_type").alias("table_name"),
+                    N.title_from_name(tn).alias("title"))
+
+
+@register("document_names", f"""
+SELECT doc_id, {_sql_technical_name('text')} AS technical_name FROM documents""")
+def q_document_names(spark, sf):
+    """T1 over whole document texts (four languages, accents, junk characters)."""
+    return table(spark, sf, "documents").select("doc_id", N.technical_name("text").alias("technical_name"))
+
+
+@register("strip_extension", r"""
+SELECT page_id, regexp_replace(url, '\.[^/.]+$', '') AS stem FROM pages""")
+def q_strip_extension(spark, sf):
+    """T4: trailing extension removed from every page URL."""
+    return table(spark, sf, "pages").select("page_id", N.strip_extension("url").alias("stem"))
+
+
+@register("content_checksum", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def q_content_checksum(spark, sf):
+    """SHA-256 of each document's content."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha256"))

@@ -79,3 +79,24 @@ SQL_NEXT_X = "(CAST(4.0 AS DOUBLE) + CAST((event_id + 1) * 7919 % 28000 AS DOUBL
 SQL_NEXT_Y = "(CAST(57.0 AS DOUBLE) + CAST((event_id + 1) * 104729 % 15000 AS DOUBLE) / CAST(1000.0 AS DOUBLE))"
 SQL_NATION_RECTS = f"""(SELECT n_nationkey, n_regionkey, {SQL_RECT_X0} AS x0, {SQL_RECT_Y0} AS y0,
   {SQL_RECT_X0} + {SQL_RECT_W} AS x1, {SQL_RECT_Y0} + {SQL_RECT_H} AS y1 FROM nation)"""
+
+
+def order_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygon layer with invalid members: per order a quad
+    A(x0,0) B(x0+1,0) C(x0+u,1) D(x0+v,1) with ``x0 = 2*(o_orderkey % 1000)``,
+    ``u = (o_custkey % 3)/2``, ``v = (o_orderkey % 3)/2``. ``u < v`` gives a
+    bow-tie, ``u = v`` a repeated vertex; pending orders (status ``P``) leave
+    the ring unclosed."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    x0 = (F.col("o_orderkey") % 1000).cast("double") * 2.0
+    u = (F.col("o_custkey") % 3).cast("double") / 2.0
+    v = (F.col("o_orderkey") % 3).cast("double") / 2.0
+    a, b = G.xy(x0, F.lit(0.0)), G.xy(x0 + 1.0, F.lit(0.0))
+    c, d = G.xy(x0 + u, F.lit(1.0)), G.xy(x0 + v, F.lit(1.0))
+    ring = F.when(F.col("o_orderstatus") == "P", F.array(a, b, c, d)).otherwise(F.array(a, b, c, d, a))
+    return o.select("o_orderkey", F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"),
+                                           F.array(F.array(ring)).alias("parts")).alias("geometry"))
+
+
+SQL_QUADS = """(SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 1000 AS DOUBLE) * 2.0 AS x0,
+  CAST(o_custkey % 3 AS DOUBLE) / 2.0 AS u, CAST(o_orderkey % 3 AS DOUBLE) / 2.0 AS v FROM orders)"""
