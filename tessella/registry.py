@@ -910,3 +910,169 @@ def q_strip_extension(spark, sf):
 def q_content_checksum(spark, sf):
     """SHA-256 of each document's content."""
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha256"))
+
+
+# ---------------------------------------------------------------- F9-F15 mapping
+
+from .operators import mapping as M  # noqa: E402
+from .operators import joins as J  # noqa: E402
+
+
+@register("map_fields", """
+SELECT o_orderkey AS id, o_totalprice AS price, o_orderdate AS created FROM orders""")
+def q_map_fields(spark, sf):
+    """mapped properties only, renamed to the target model."""
+    return M.map_fields(table(spark, sf, "orders"), {"o_orderkey": "id", "o_totalprice": "price",
+                                                    "o_orderdate": "created"})
+
+
+_PRIORITY_MAP = {"1-URGENT": "high", "2-HIGH": "high", "3-MEDIUM": "normal", "5-LOW": ""}
+
+
+@register("map_values", """
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'high' WHEN o_orderpriority = '2-HIGH' THEN 'high'
+  WHEN o_orderpriority = '3-MEDIUM' THEN 'normal' WHEN o_orderpriority = '5-LOW' THEN NULL
+  ELSE o_orderpriority END AS priority FROM orders""")
+def q_map_values(spark, sf):
+    """F10, CASE form: an empty target maps to NULL, unmapped values pass."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return M.map_values(o, "o_orderpriority", _PRIORITY_MAP, out_col="priority").select("o_orderkey", "priority")
+
+
+_NAME_MAP_SQL = """(SELECT c_name AS source_value,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE lower(c_name) END AS target_value FROM customer WHERE c_acctbal > 0)"""
+
+
+@register("map_values_table", f"""
+SELECT c.c_custkey, CASE WHEN m.source_value IS NOT NULL THEN NULLIF(m.target_value, '') ELSE c.c_name END AS c_name
+FROM customer c LEFT JOIN {_NAME_MAP_SQL} m ON c.c_name = m.source_value""")
+def q_map_values_table(spark, sf):
+    """F10, table form: a value map with one pair per customer in credit (far
+    more than 100 pairs), applied by a join with a found flag; customers in
+    debit keep their name, building-segment names map to NULL."""
+    c = table(spark, sf, "customer")
+    m = c.filter(F.col("c_acctbal") > 0).select(
+        F.col("c_name").alias("source_value"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(F.lower("c_name")).alias("target_value"))
+    return M.map_values(c.select("c_custkey", "c_name"), "c_name", m)
+
+
+@register("fill_defaults", """
+SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(n_chars, 0) AS n_chars, 'import' AS origin FROM documents""")
+def q_fill_defaults(spark, sf):
+    """NULLs filled with column defaults; an omitted column is added with its default."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return M.fill_defaults(d, {"lang": "und", "n_chars": 0, "origin": "import"})
+
+
+def _conform(spark, sf):
+    from pyspark.sql import types as T
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
+                                             F.col("n_chars").cast("string").alias("n_chars"), "lang", "source")
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("n_chars", T.LongType()),
+                           T.StructField("lang", T.BooleanType()), T.StructField("source", T.DoubleType())])
+    return M.conform_schema(d, schema, ["doc_id"])
+
+
+@register("conform_rejects", """
+SELECT doc_id, field, value FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'n_chars' AS field, CAST(n_chars AS VARCHAR) AS value FROM documents
+    WHERE n_chars IS NOT NULL AND TRY_CAST(CAST(n_chars AS VARCHAR) AS BIGINT) IS NULL
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'lang', lang FROM documents
+    WHERE lang IS NOT NULL AND TRY_CAST(lang AS BOOLEAN) IS NULL
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'source', source FROM documents
+    WHERE source IS NOT NULL AND TRY_CAST(source AS DOUBLE) IS NULL)""")
+def q_conform_rejects(spark, sf):
+    """values that do not parse as the declared type are set aside."""
+    return _conform(spark, sf)[1]
+
+
+@register("conform_geometry", """
+SELECT geometry_type, rejected, count(*) AS n FROM (
+  SELECT 'MultiPoint' AS geometry_type, false AS rejected FROM events
+  UNION ALL SELECT 'LineString', true FROM events UNION ALL SELECT 'Polygon', true FROM nation)
+GROUP BY geometry_type, rejected""")
+def q_conform_geometry(spark, sf):
+    """a mixed layer forced to MultiPoint: points promoted, others rejected."""
+    mixed = (_points(spark, sf).select("geometry")
+             .unionByName(L.event_segments(spark, sf).select("geometry"))
+             .unionByName(_nations(spark, sf).select("geometry")))
+    ok, bad = M.conform_geometry(mixed, "MultiPoint")
+    return (ok.select(F.col("geometry.type").alias("geometry_type"), F.lit(False).alias("rejected"))
+            .unionByName(bad.select(F.col("geometry.type").alias("geometry_type"), F.lit(True).alias("rejected")))
+            .groupBy("geometry_type", "rejected").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- J2-J4, J10, J11 key joins
+
+@register("join_reference", """
+SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, o.o_orderdate FROM lineitem l LEFT JOIN orders o
+  ON l.l_orderkey = o.o_orderkey""")
+def q_join_reference(spark, sf):
+    """Every line item with its order's attributes (FK left join)."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return J.join_reference(li, table(spark, sf, "orders"), "l_orderkey", "o_orderkey", ["o_custkey", "o_orderdate"])
+
+
+@register("fk_orphans", """
+SELECT 'lineitem.l_orderkey' AS fk, CAST(l_orderkey AS VARCHAR) AS key FROM lineitem
+  WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL)
+UNION ALL SELECT 'orders.o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
+  WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
+UNION ALL SELECT 'lineitem.l_partkey', CAST(l_partkey AS VARCHAR) FROM lineitem
+  WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey IS NOT NULL)
+UNION ALL SELECT 'customer.c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer
+  WHERE c_nationkey IS NOT NULL AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey IS NOT NULL)""")
+def q_fk_orphans(spark, sf):
+    """Child keys with no parent, over four foreign keys."""
+    t = lambda n: table(spark, sf, n)
+    checks = [("lineitem.l_orderkey", t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"),
+              ("orders.o_custkey", t("orders"), "o_custkey", t("customer"), "c_custkey"),
+              ("lineitem.l_partkey", t("lineitem"), "l_partkey", t("part"), "p_partkey"),
+              ("customer.c_nationkey", t("customer"), "c_nationkey", t("nation"), "n_nationkey")]
+    return A.union_all([J.fk_orphans(c.select(fk), p, fk, pk).select(F.lit(name).alias("fk"),
+                                                                      F.col(fk).cast("string").alias("key"))
+                        for name, c, fk, p, pk in checks])
+
+
+@register("cascade_delete", """
+WITH n AS (SELECT n_nationkey AS key FROM nation WHERE n_name = 'NATION_7'),
+c AS (SELECT c_custkey AS key FROM customer WHERE c_nationkey IN (SELECT key FROM n)),
+o AS (SELECT o_orderkey AS key FROM orders WHERE o_custkey IN (SELECT key FROM c)),
+l AS (SELECT l_orderkey AS key FROM lineitem WHERE l_orderkey IN (SELECT key FROM o))
+SELECT level, count(*) AS deleted FROM (
+  SELECT 0 AS level FROM n UNION ALL SELECT 1 FROM c UNION ALL SELECT 2 FROM o UNION ALL SELECT 3 FROM l)
+GROUP BY level""")
+def q_cascade_delete(spark, sf):
+    """Deleting a nation removes its customers, their orders and line items."""
+    t = lambda n: table(spark, sf, n)
+    root = t("nation").filter(F.col("n_name") == "NATION_7").select("n_nationkey")
+    levels = J.cascade_delete([(t("customer"), "c_nationkey", "c_custkey"), (t("orders"), "o_custkey", "o_orderkey"),
+                               (t("lineitem"), "l_orderkey", "l_orderkey")], root)
+    return A.union_all([k.select(F.lit(i).alias("level")) for i, k in enumerate(levels)]) \
+        .groupBy("level").agg(F.count(F.lit(1)).alias("deleted"))
+
+
+@register("codelist_labels", """
+SELECT c.c_custkey, c.c_nationkey, n.n_name AS c_nationkey_label FROM customer c
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+def q_codelist_labels(spark, sf):
+    """Code -> label from the nation code list (broadcast, size-checked)."""
+    return J.codelist_labels(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey",
+                             table(spark, sf, "nation"), "n_nationkey", "n_name")
+
+
+@register("inverse_pairs", """
+SELECT c.c_custkey, o.o_orderkey AS inverse_o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey""")
+def q_inverse_pairs(spark, sf):
+    """The inverse end of orders.o_custkey, as (customer, order) rows."""
+    return J.inverse_pairs(table(spark, sf, "customer"), table(spark, sf, "orders"), "c_custkey", "o_custkey",
+                           "o_orderkey")
+
+
+@register("inverse_counts", """
+SELECT c.c_custkey, count(o.o_orderkey) AS n_inverse FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
+GROUP BY c.c_custkey""")
+def q_inverse_counts(spark, sf):
+    """J11 summary: orders per customer (zero included)."""
+    return J.inverse_counts(table(spark, sf, "customer"), table(spark, sf, "orders"), "c_custkey", "o_custkey")
