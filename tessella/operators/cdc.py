@@ -148,16 +148,18 @@ class StateStore:
                 out.append(int(name.split("=", 1)[1]))
         return sorted(out)
 
-    def latest(self) -> int | None:
-        v = self._versions()
+    def latest(self, before: int | None = None) -> int | None:
+        """Newest complete version, or the newest older than ``before`` (a
+        replayed batch must diff against the state its first run saw)."""
+        v = [b for b in self._versions() if before is None or b < before]
         return v[-1] if v else None
 
-    def keys(self, batch_id: int | None = None) -> DataFrame | None:
-        b = self.latest() if batch_id is None else batch_id
+    def keys(self, batch_id: int | None = None, before: int | None = None) -> DataFrame | None:
+        b = self.latest(before) if batch_id is None else batch_id
         return None if b is None else self.spark.read.parquet(self._dir(b) + "/keys")
 
-    def last_sync(self) -> str | None:
-        b = self.latest()
+    def last_sync(self, before: int | None = None) -> str | None:
+        b = self.latest(before)
         if b is None:
             return None
         row = self.spark.read.parquet(self._dir(b) + "/meta").first()
@@ -172,13 +174,13 @@ class StateStore:
             .coalesce(1).write.mode("overwrite").parquet(d + "/meta")
 
 
-def resolve_since(since_arg: str | None, store: StateStore | None):
+def resolve_since(since_arg: str | None, store: StateStore | None, before: int | None = None):
     """Absent -> None (full export); ``last`` -> stored time, or None
     (full) with no state; anything else is taken as given."""
     if since_arg is None:
         return None
     if since_arg == "last":
-        return store.last_sync() if store is not None else None
+        return store.last_sync(before) if store is not None else None
     return since_arg
 
 
@@ -192,8 +194,8 @@ def run_sync(spark: SparkSession, current: DataFrame, pk: str, out_dir: str, lay
     """
     now = now or dt.datetime.now(dt.timezone.utc).isoformat()
     store = StateStore(spark, state_root or os.path.join(out_dir, "_state"), layer)
-    since = resolve_since(since_arg, store)
-    prev = store.keys()
+    since = resolve_since(since_arg, store, before=batch_id)
+    prev = store.keys(before=batch_id)
     new_state = state_from_snapshot(current, pk, hash_cols)
     if since is None or prev is None:                                  # D1 full export
         path = f"{out_dir.rstrip('/')}/{layer}_full"

@@ -17,8 +17,10 @@ SF_DIR = os.environ.get("TESSELLA_TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("local[8]", app="tessella-tests", shuffle_partitions=8)
+def spark(tmp_path_factory):
+    wh = str(tmp_path_factory.mktemp("warehouse"))
+    s = build_session("local[8]", app="tessella-tests", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": wh})
     yield s
     s.stop()
 
