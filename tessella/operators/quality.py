@@ -115,18 +115,80 @@ def violated(r: Rule) -> Column:
     if k == "nested_required":                            # C17: array items / struct leaves
         sub = str(r.value)
         return F.exists(c, lambda x: x[sub].isNull()) if r.other == "array" else c[sub].isNull()
+    if k.startswith("item_"):                             # C16/C17 on every item of an array
+        inner = Rule(k[5:], "_", r.value)
+        leaf = r.other
+
+        def item_bad(x):
+            v = x[leaf] if leaf else x
+            return F.coalesce(_violated_on(inner, v), F.lit(False))
+        return F.exists(c, item_bad)
     raise ValueError(f"unknown rule kind {k}")
 
 
+ARRAY_KINDS = ("non_empty", "item_required", "item_min", "item_max", "item_min_length", "item_max_length",
+               "item_pattern", "item_enumeration")
+
+
+def _violated_on(r: Rule, c: Column) -> Column:
+    """Scalar rule predicates on an arbitrary Column (array items)."""
+    k = r.kind
+    if k == "required":
+        return c.isNull()
+    if k == "min":
+        return c < F.lit(r.value)
+    if k == "max":
+        return c > F.lit(r.value)
+    if k == "min_length":
+        return F.char_length(c) < F.lit(r.value)
+    if k == "max_length":
+        return F.char_length(c) > F.lit(r.value)
+    if k == "pattern":
+        return ~c.rlike(str(r.value))
+    if k == "enumeration":
+        return ~c.isin(list(r.value))
+    raise ValueError(f"rule kind {k} has no item form")
+
+
+def rules_for_struct(col: str, leaves: dict[str, Constraints], type_leaves: dict[str, Constraints] | None = None,
+                     required_leaves: list[str] | None = None, array: bool = False) -> list[Rule]:
+    """Rules for the scalar leaves of a struct (or of every struct
+    item of an array). Type-level constraints of a shared type apply to each
+    leaf unless the field's own constraints override them."""
+    type_leaves = type_leaves or {}
+    out = []
+    for leaf in sorted(set(leaves) | set(type_leaves)):
+        c = inherit_constraints(leaves.get(leaf), type_leaves.get(leaf))
+        for r in rules_for_field(leaf, c):
+            if array:
+                out.append(Rule(f"item_{r.kind}", col, r.value, other=leaf, name=r.kind))
+            else:
+                out.append(Rule(r.kind, f"{col}.{leaf}", r.value))
+    for leaf in required_leaves or []:
+        out.append(Rule("nested_required", col, leaf, other="array" if array else None, name="required"))
+    return out
+
+
 def row_violations(df: DataFrame, key_cols: list[str], rules: list[Rule]) -> DataFrame:
     """Every violation of every row rule: ``key_cols..., rule, field, value``.
 
     One scan, one projection; the NULL result of a comparison with a NULL
     value is treated as a pass (``coalesce(pred, false)``).
     """
+    def shown(r):
+        # arrays are reported by their size (array text formats differ by engine)
+        if r.kind in ARRAY_KINDS or (r.kind == "nested_required" and r.other == "array"):
+            return F.size(_col(r.field)).cast("string")
+        if r.kind == "nested_required":
+            return F.lit(None).cast("string")
+        return _col(r.field).cast("string")
+
     checks = [F.when(F.coalesce(violated(r), F.lit(False)),
-                     F.struct(F.lit(r.label).alias("rule"), F.lit(r.field).alias("field"),
-                              _col(r.field).cast("string").alias("value")))
+                     F.struct(F.lit(r.label).alias("rule"),
+                              F.lit(f"{r.field}.{r.value}" if r.kind == "nested_required" else
+                                    f"{r.field}[].{r.other}" if r.kind.startswith("item_") and r.other else
+                                    f"{r.field}[]" if r.kind.startswith("item_") else r.field).alias("field"),
+                              shown(r).alias("value")))
               for r in rules]
     arr = F.filter(F.array(*checks), lambda x: x.isNotNull())
     return (df.select(*key_cols, arr.alias("_v"))

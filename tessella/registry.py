@@ -1076,3 +1076,90 @@ GROUP BY c.c_custkey""")
 def q_inverse_counts(spark, sf):
     """J11 summary: orders per customer (zero included)."""
     return J.inverse_counts(table(spark, sf, "customer"), table(spark, sf, "orders"), "c_custkey", "o_custkey")
+
+
+# ---------------------------------------------------------------- C16-C18 nested constraints
+
+_RATE = C.Constraints(min=0.0, max=0.08)   # a shared type "rate" with type-level constraints
+
+
+@register("dq_nested", """
+SELECT l_orderkey, l_linenumber, 'min' AS rule, 'terms.discount' AS field, CAST(l_discount AS VARCHAR) AS value
+  FROM lineitem WHERE l_discount < 0.0
+UNION ALL SELECT l_orderkey, l_linenumber, 'max', 'terms.discount', CAST(l_discount AS VARCHAR) FROM lineitem
+  WHERE l_discount > 0.08
+UNION ALL SELECT l_orderkey, l_linenumber, 'min', 'terms.tax', CAST(l_tax AS VARCHAR) FROM lineitem WHERE l_tax < 0.0
+UNION ALL SELECT l_orderkey, l_linenumber, 'max', 'terms.tax', CAST(l_tax AS VARCHAR) FROM lineitem WHERE l_tax > 0.05
+UNION ALL SELECT l_orderkey, l_linenumber, 'required', 'terms.qty', NULL FROM lineitem WHERE l_quantity IS NULL""")
+def q_dq_nested(spark, sf):
+    """A struct field typed by a shared type; the type's constraints
+    hold for its leaves, the field overrides ``tax`` max; ``qty`` is required."""
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.struct(F.col("l_quantity").alias("qty"), F.col("l_discount").alias("discount"),
+                 F.col("l_tax").alias("tax")).alias("terms"))
+    rules = C.rules_for_struct("terms", {"tax": C.Constraints(max=0.05)},
+                               type_leaves={"discount": _RATE, "tax": _RATE}, required_leaves=["qty"])
+    return C.row_violations(li, ["l_orderkey", "l_linenumber"], rules)
+
+
+@register("dq_array_items", """
+SELECT vec_id, 'non_empty' AS rule, 'embedding' AS field, CAST(len(embedding) AS VARCHAR) AS value FROM embeddings
+  WHERE len(embedding) < 1
+UNION ALL SELECT vec_id, 'required', 'embedding[]', CAST(len(embedding) AS VARCHAR) FROM embeddings
+  WHERE len(embedding) > list_count(embedding)
+UNION ALL SELECT vec_id, 'max', 'embedding[]', CAST(len(embedding) AS VARCHAR) FROM embeddings
+  WHERE list_max(embedding) > 0.25
+UNION ALL SELECT vec_id, 'min', 'embedding[]', CAST(len(embedding) AS VARCHAR) FROM embeddings
+  WHERE list_min(embedding) < -0.25""")
+def q_dq_array_items(spark, sf):
+    """A ``1..*`` array must be non-empty, items are required and
+    each item lies in [-0.25, 0.25]."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    rules = [C.Rule("non_empty", "embedding"), C.Rule("item_required", "embedding", name="required"),
+             C.Rule("item_max", "embedding", 0.25, name="max"), C.Rule("item_min", "embedding", -0.25, name="min")]
+    return C.row_violations(e, ["vec_id"], rules)
+
+
+# ---------------------------------------------------------------- F8 collections
+
+def _merc_inv_sql(x, y):
+    R = G.WGS84_A
+    return f"degrees({x} / {R})", f"degrees(2 * atan(exp({y} / {R})) - pi() / 2)"
+
+
+_MERC_EXT = f"""(SELECT min({_MX}) AS x0, min({_MY}) AS y0, max({_MX}) AS x1, max({_MY}) AS y1, count(*) AS n
+  FROM events)"""
+
+
+@register("collections", f"""
+SELECT 'events' AS id, 'Events' AS title, n AS feature_count,
+  round({_merc_inv_sql('x0', 'y0')[0]}, 9) AS west, round({_merc_inv_sql('x0', 'y0')[1]}, 9) AS south,
+  round({_merc_inv_sql('x1', 'y1')[0]}, 9) AS east, round({_merc_inv_sql('x1', 'y1')[1]}, 9) AS north,
+  ['http://www.opengis.net/def/crs/OGC/1.3/CRS84', 'http://www.opengis.net/def/crs/EPSG/0/3857',
+   'http://www.opengis.net/def/crs/EPSG/0/4326', 'http://www.opengis.net/def/crs/EPSG/0/4258'] AS crs,
+  ['events', 'points'] AS keywords
+FROM {_MERC_EXT}
+UNION ALL
+SELECT 'nation', 'nation', count(*),
+  round({_merc_inv_sql(f"min({_sql_merc('x0', 'y0')[0]})", "0")[0]}, 9),
+  round({_merc_inv_sql("0", f"min({_sql_merc('x0', 'y0')[1]})")[1]}, 9),
+  round({_merc_inv_sql(f"max({_sql_merc('x1', 'y1')[0]})", "0")[0]}, 9),
+  round({_merc_inv_sql("0", f"max({_sql_merc('x1', 'y1')[1]})")[1]}, 9),
+  ['http://www.opengis.net/def/crs/OGC/1.3/CRS84', 'http://www.opengis.net/def/crs/EPSG/0/3857',
+   'http://www.opengis.net/def/crs/EPSG/0/4326', 'http://www.opengis.net/def/crs/EPSG/0/4258'],
+  CAST([] AS VARCHAR[]) FROM {_RECTS}""")
+def q_collections(spark, sf):
+    """F8: one row per layer held in EPSG:3857: id, title, count, CRS84 bbox
+    (corners converted), CRS list, keywords. One partial aggregate per layer."""
+    p = L.event_points(spark, sf)
+    px, py = G.reproject_xy(F.col("x"), F.col("y"), 4326, 3857)
+    pts = p.select(px.alias("x"), py.alias("y"))
+    n = L.nation_polygons(spark, sf)
+    ax, ay = G.reproject_xy(F.col("min_x"), F.col("min_y"), 4326, 3857)
+    bx, by = G.reproject_xy(F.col("max_x"), F.col("max_y"), 4326, 3857)
+    rects = n.select(ax.alias("min_x"), ay.alias("min_y"), bx.alias("max_x"), by.alias("max_y"))
+    c = Q.collections({"events": (pts, ("x", "y", "x", "y")), "nation": (rects, ("min_x", "min_y", "max_x", "max_y"))},
+                      crs="EPSG:3857", titles={"events": "Events"}, keywords={"events": ["events", "points"]})
+    return c.select("id", "title", "feature_count", *[F.round(k, 9).alias(k) for k in ("west", "south", "east", "north")],
+                    "crs", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
