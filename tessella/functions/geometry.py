@@ -270,10 +270,18 @@ def _signed_area(ring: Column) -> Column:
                        lambda a, e: a + (e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2
 
 
+def let(expr: Column, body) -> Column:
+    """Evaluate ``expr`` once and pass it to ``body`` as a lambda variable
+    (``transform`` over a one-element array): keeps a value that ``body``
+    uses several times from being recomputed for each use."""
+    return F.transform(F.array(expr), body)[0]
+
+
 def make_valid(g) -> Column:
     """G4 (partial, as planned): drop consecutive repeated vertices, close
     polygon rings, orient outer rings counter-clockwise and holes clockwise.
-    Self-crossing rings are not split; ``is_valid`` still reports them."""
+    Self-crossing rings are not split; ``is_valid`` still reports them.
+    Each stage is bound once with ``let``, so no stage is re-evaluated."""
     gc = _c(g)
     is_poly = F.lower(gc["type"]).contains("polygon")
 
@@ -284,13 +292,16 @@ def make_valid(g) -> Column:
         return F.when(ring_is_closed(ring), ring).otherwise(F.concat(ring, F.array(ring[0])))
 
     def orient(ring, i):
-        a = _signed_area(ring)
-        want_ccw = i == 0
-        flip = (want_ccw & (a < 0)) | (~want_ccw & (a > 0))
-        return F.when(flip, F.reverse(ring)).otherwise(ring)
+        def by_area(a):
+            want_ccw = i == 0
+            flip = (want_ccw & (a < 0)) | (~want_ccw & (a > 0))
+            return F.when(flip, F.reverse(ring)).otherwise(ring)
+        return let(_signed_area(ring), by_area)
+
+    def fix(ring, i):
+        return let(dedupe(ring), lambda d: F.when(is_poly, let(close(d), lambda c: orient(c, i))).otherwise(d))
 
-    fixed = F.transform(gc["parts"], lambda part: F.transform(
-        part, lambda ring, i: F.when(is_poly, orient(close(dedupe(ring)), i)).otherwise(dedupe(ring))))
+    fixed = F.transform(gc["parts"], lambda part: F.transform(part, fix))
     return F.struct(gc["type"].alias("type"), gc["srid"].alias("srid"), fixed.alias("parts"))
 
 

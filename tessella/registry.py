@@ -747,12 +747,10 @@ SELECT q.o_orderkey, {_QUAD_VALID_SQL} AS valid_before,
 FROM {L.SQL_QUADS} q""")
 def q_make_valid(spark, sf):
     """Repair (drop repeated vertices, close, orient CCW); bow-ties stay invalid."""
-    q = L.order_quads(spark, sf)
-    fixed = G.make_valid("geometry")
-    ring = fixed["parts"][0][0]
+    q = L.order_quads(spark, sf).withColumn("fixed", G.make_valid("geometry"))
     return q.select("o_orderkey", G.is_valid("geometry").alias("valid_before"),
-                    G.is_valid(fixed).alias("valid_after"),
-                    F.round(G._signed_area(ring), 6).alias("area_after"))
+                    G.is_valid("fixed").alias("valid_after"),
+                    F.round(G._signed_area(F.col("fixed")["parts"][0][0]), 6).alias("area_after"))
 
 
 # ---------------------------------------------------------------- G1, G2, G5, G6 reprojection and extents

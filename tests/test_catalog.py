@@ -196,3 +196,22 @@ def test_flatten_and_clear_inverse(spark, model):
     assert out.filter("field_id = 't_code'").count() == 0
     assert out.filter("field_id = 't_road'").first().inverse_field_id == "gone"
     assert isinstance(out.schema["inverse_field_id"].dataType, T.StringType)
+
+
+def test_auto_map_concrete_layers_and_group_by_table(spark, model):
+    from tessella.operators import mapping as M
+    from tessella.operators import profile as A
+    src = spark.createDataFrame([("road", "NAME", 0), ("road", "Lanes", 1), ("road", "name", 2), ("road", "x", 3)],
+                                "layer_id string, column_name string, ordinal int")
+    tgt = spark.createDataFrame([("road", "f1", "name", "Name"), ("road", "f2", "lane_count", "lanes"),
+                                 ("road", "f3", "width", "Width")],
+                                "layer_id string, field_id string, name string, title string")
+    got = {r.field_id: r.source_column for r in M.auto_map(src, tgt).collect()}
+    # first match by ordinal wins; the title counts too; no match -> NULL
+    assert got == {"f1": "NAME", "f2": "Lanes", "f3": None}
+    layers, _, _ = model
+    assert {r.layer_id for r in M.concrete_layers(layers).collect()} == {r[1] for r in LAYERS if not r[8]}
+    cols = spark.createDataFrame([("b", 2, "y"), ("a", 1, "k"), ("b", 1, "x")],
+                                 "table_name string, ordinal_position int, column_name string")
+    g = {r.table_name: [c.column_name for c in r.columns] for r in A.group_columns_by_table(cols).collect()}
+    assert g == {"a": ["k"], "b": ["x", "y"]}

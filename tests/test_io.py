@@ -237,3 +237,18 @@ def test_manifest(spark, sf_dir, scratch):
     assert merged.count() == 4
     ext = MF.collection_extent(items).first()
     assert (ext.west, ext.north, ext.items, ext.interval_start) == (4.5, 72.0, 3, "2026-01-01T00:00:00Z")
+
+
+def test_paths_table_scan_and_densified_bbox(spark, sf_dir):
+    from tessella.functions import geometry as G
+    assert S.full_output_path("s3a://b/x/", "roads") == "s3a://b/x/roads_full"
+    assert S.delta_output_path("/o", "roads", "2026-03-04T05:06:07") == "/o/roads_delta_2026-03-04"
+    assert S.deletes_output_path("/o", "roads", "2026-03-04T05:06:07") == "/o/roads_delta_2026-03-04/roads_deletes"
+    assert S.object_store_path("bkt", "/exports/", "a.parquet") == "s3a://bkt/exports/a.parquet"
+    S.create_table(table(spark, sf_dir, "region"), "region_t", pk="r_regionkey")
+    assert R.scan_table(spark, "region_t").count() == table(spark, sf_dir, "region").count()
+    # a UTM box: corners only v. densified edges (the curved edge bulges past the corners)
+    box = spark.createDataFrame([(300000.0, 6500000.0, 700000.0, 7000000.0)], "a double, b double, c double, d double")
+    two = box.select(*G.bbox_to_wgs84("a", "b", "c", "d", 25833).values()).first()
+    dense = box.select(*G.bbox_to_wgs84("a", "b", "c", "d", 25833, densify=8).values()).first()
+    assert dense[3] >= two[3] and dense[0] <= two[0] and dense[1] <= two[1]
