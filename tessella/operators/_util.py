@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
@@ -14,9 +15,26 @@ def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; otherwise leave the join
-    to the planner (sort-merge, with AQE free to convert it at runtime)."""
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (file sizes after
+    pruning for scans, upper bounds through projections and joins)."""
+    try:
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v) if isinstance(v, int) else int(v.toString())
+    except Exception:  # noqa: BLE001 - no estimate available: treat as unknown
+        return None
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind proven bounds: at most ``max_rows`` rows
+    (counted, stopping at ``max_rows + 1``) and an estimated size under
+    ``max_bytes`` (few but wide rows are not broadcast). Otherwise the join
+    is left to the planner (sort-merge, which AQE may still convert at
+    runtime from measured shuffle sizes)."""
+    est = estimated_bytes(df)
+    if est is not None and est > max_bytes:
+        return df
     return F.broadcast(df) if bounded_rows(df, max_rows) else df
 
 

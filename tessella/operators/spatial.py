@@ -226,7 +226,7 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
                  left_geom: str = "geometry", right_geom: str = "geometry",
                  left_cols: list[str] | None = None, right_cols: list[str] | None = None,
                  kinds: tuple[str, str] | None = None, eps: float = 0.0,
-                 broadcast_rows: int | None = None, max_cells: int = 4096) -> DataFrame:
+                 broadcast_rows: int | None = None, max_cells: int = 4096, salt_buckets: int = 0) -> DataFrame:
     """Pairs ``(left, right)`` with ``left <predicate> right``.
 
     Returns ``left_cols + right_cols`` (names must not clash). ``kinds`` =
@@ -234,6 +234,9 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
     only that predicate; a side declared ``point`` skips the size check.
     ``broadcast_rows`` broadcasts the right side if it is proven to have at
     most that many rows; otherwise the planner (and AQE) picks the join.
+    ``salt_buckets = n`` splits every cell of the left side over ``n`` tasks
+    and replicates right rows ``n`` times: for hot cells (one cell holding a
+    large share of the left rows) when both sides are too big to broadcast.
     """
     if predicate not in PREDICATES:
         raise ValueError(f"predicate {predicate!r} not in {PREDICATES}")
@@ -273,6 +276,11 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
         b = b.select("*", F.explode(_cells("b_", cell_size)).alias("b_cell"))
         cond = F.col("a_cell") == F.col("b_cell")
         size = F.lit(float(cell_size))
+    if salt_buckets and salt_buckets > 1:
+        a = a.withColumn("a_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left_cols], F.col("a_cell")),
+                                          F.lit(salt_buckets)).cast("int"))
+        b = b.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        cond = cond & (F.col("a_salt") == F.col("b_salt"))
     if broadcast_rows:
         b = broadcast_if_small(b, broadcast_rows)
     j = a.join(b, cond)

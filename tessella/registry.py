@@ -1161,3 +1161,12 @@ def q_collections(spark, sf):
                       crs="EPSG:3857", titles={"events": "Events"}, keywords={"events": ["events", "points"]})
     return c.select("id", "title", "feature_count", *[F.round(k, 9).alias(k) for k in ("west", "south", "east", "north")],
                     "crs", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+
+
+# ---------------------------------------------------------------- C15 SRID mismatch
+
+@register("srid_mismatch", f"""
+SELECT layer, srid FROM ({ORACLE['layer_profile']}) WHERE srid IS NOT NULL AND srid <> 25833""")
+def q_srid_mismatch(spark, sf):
+    """Profiled layers whose SRID differs from the model's (EPSG:25833)."""
+    return C.srid_mismatch(q_layer_profile(spark, sf), 25833).select("layer", "srid")

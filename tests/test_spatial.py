@@ -91,3 +91,20 @@ def test_known_answers(layers):
     llcross = _pairs(SP.spatial_join(lines, lines.withColumnRenamed("lid", "lid2"), "crosses", 1.0,
                                      kinds=("line", "line")))
     assert llcross == []
+
+
+def test_salted_join_equals_unsalted(layers):
+    polys, pts, _ = layers
+    plain = _pairs(SP.spatial_join(pts, polys, "intersects", 1.0, kinds=("point", "polygon")))
+    salted = _pairs(SP.spatial_join(pts, polys, "intersects", 1.0, kinds=("point", "polygon"), salt_buckets=4))
+    assert salted == plain and plain
+
+
+def test_broadcast_guard(spark):
+    from tessella.operators import _util as U
+    small = spark.range(10)
+    assert U.estimated_bytes(small) is not None
+    assert "broadcast" in small.hint("broadcast")._jdf.queryExecution().logical().toString().lower()
+    wide = spark.range(100).selectExpr("id", "repeat('x', 100000) AS pad")
+    # few rows but an estimate over the byte cap: no hint
+    assert U.broadcast_if_small(wide, max_rows=1000, max_bytes=1024) is wide
