@@ -1170,3 +1170,15 @@ SELECT layer, srid FROM ({ORACLE['layer_profile']}) WHERE srid IS NOT NULL AND s
 def q_srid_mismatch(spark, sf):
     """Profiled layers whose SRID differs from the model's (EPSG:25833)."""
     return C.srid_mismatch(q_layer_profile(spark, sf), 25833).select("layer", "srid")
+
+
+@register("json_field_types_first", """
+SELECT k AS key, CASE WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'BOOLEAN' THEN 'boolean'
+  WHEN t = 'DOUBLE' AND v <> floor(v) THEN 'number' WHEN t IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN 'integer'
+  ELSE 'string' END AS base_type
+FROM (SELECT k, json_type(props, '$."' || k || '"') AS t,
+             TRY_CAST(json_extract_string(props, '$."' || k || '"') AS DOUBLE) AS v
+      FROM (SELECT props, unnest(json_keys(props)) AS k FROM (SELECT props FROM events ORDER BY event_id LIMIT 1)))""")
+def q_json_field_types_first(spark, sf):
+    """A7 parity mode: key types read from the first feature only (top-1 by id)."""
+    return A.json_field_types_first(table(spark, sf, "events"), "props", "event_id")
