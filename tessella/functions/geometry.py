@@ -40,6 +40,15 @@ def _lit(v):
     return v if isinstance(v, Column) else F.lit(v)
 
 
+# --------------------------------------------------------------- helpers
+
+def let(expr: Column, body) -> Column:
+    """Evaluate ``expr`` once and pass it to ``body`` as a lambda variable
+    (``transform`` over a one-element array): keeps a value that ``body``
+    uses several times from being recomputed for each use."""
+    return F.transform(F.array(expr), body)[0]
+
+
 # --------------------------------------------------------------- builders
 
 def xy(x, y) -> Column:
@@ -143,8 +152,21 @@ def point_location(px, py, edge_arr: Column, eps=0.0) -> Column:
             .otherwise(F.lit("exterior")))
 
 
+def _boxes_meet(e, f, eps=0.0) -> Column:
+    """Bounding boxes of two segments overlap: a cheap test that settles most
+    pairs before any orientation arithmetic (segments that meet always pass)."""
+    return ((F.greatest(e["ax"], e["bx"]) >= F.least(f["ax"], f["bx"]) - eps)
+            & (F.greatest(f["ax"], f["bx"]) >= F.least(e["ax"], e["bx"]) - eps)
+            & (F.greatest(e["ay"], e["by"]) >= F.least(f["ay"], f["by"]) - eps)
+            & (F.greatest(f["ay"], f["by"]) >= F.least(e["ay"], e["by"]) - eps))
+
+
 def segments_intersect(e, f, eps=0.0) -> Column:
     """Closed segments share at least one point."""
+    return F.when(_boxes_meet(e, f, eps), _segments_intersect(e, f, eps)).otherwise(F.lit(False))
+
+
+def _segments_intersect(e, f, eps=0.0) -> Column:
     o1 = _sign(_cross(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]), eps)
     o2 = _sign(_cross(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"]), eps)
     o3 = _sign(_cross(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"]), eps)
@@ -156,6 +178,10 @@ def segments_intersect(e, f, eps=0.0) -> Column:
 
 def segments_cross_properly(e, f, eps=0.0) -> Column:
     """Segments cross at one point interior to both."""
+    return F.when(_boxes_meet(e, f, eps), _segments_cross_properly(e, f, eps)).otherwise(F.lit(False))
+
+
+def _segments_cross_properly(e, f, eps=0.0) -> Column:
     o1 = _sign(_cross(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]), eps)
     o2 = _sign(_cross(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"]), eps)
     o3 = _sign(_cross(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"]), eps)
@@ -239,12 +265,14 @@ def ring_is_closed(ring: Column) -> Column:
 
 
 def ring_self_crosses(ring: Column) -> Column:
-    """Non-adjacent edges of one ring that intersect (pairwise, quadratic)."""
-    es = F.transform(ring_edges(ring), lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    m = F.size(es)
-    return F.exists(es, lambda a: F.exists(es, lambda b: (b["i"] > a["i"] + 1)
-                                           & ~((a["i"] == 0) & (b["i"] == m - 1))
-                                           & segments_intersect(a["e"], b["e"])))
+    """Non-adjacent edges of one ring that intersect (pairwise, quadratic).
+    The indexed edge array is built once (``let``), not once per outer edge."""
+    def pairs(es):
+        m = F.size(es)
+        return F.exists(es, lambda a: F.exists(es, lambda b: (b["i"] > a["i"] + 1)
+                                               & ~((a["i"] == 0) & (b["i"] == m - 1))
+                                               & segments_intersect(a["e"], b["e"])))
+    return let(F.transform(ring_edges(ring), lambda e, i: F.struct(e.alias("e"), i.alias("i"))), pairs)
 
 
 def is_valid(g) -> Column:
@@ -270,13 +298,6 @@ def _signed_area(ring: Column) -> Column:
                        lambda a, e: a + (e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2
 
 
-def let(expr: Column, body) -> Column:
-    """Evaluate ``expr`` once and pass it to ``body`` as a lambda variable
-    (``transform`` over a one-element array): keeps a value that ``body``
-    uses several times from being recomputed for each use."""
-    return F.transform(F.array(expr), body)[0]
-
-
 def make_valid(g) -> Column:
     """G4 (partial, as planned): drop consecutive repeated vertices, close
     polygon rings, orient outer rings counter-clockwise and holes clockwise.

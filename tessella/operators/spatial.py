@@ -284,15 +284,16 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
     if broadcast_rows:
         b = broadcast_if_small(b, broadcast_rows)
     j = a.join(b, cond)
-    # bbox overlap (cheap filter before the exact predicate)
-    j = j.filter((F.col("a_maxx") >= F.col("b_minx") - eps) & (F.col("b_maxx") >= F.col("a_minx") - eps)
-                 & (F.col("a_maxy") >= F.col("b_miny") - eps) & (F.col("b_maxy") >= F.col("a_miny") - eps))
-    # reference point: lower-left corner of the bbox intersection; the pair is
-    # kept only in the cell that holds it (no distinct needed)
+    # cheap tests first: bbox overlap, and the reference point (lower-left
+    # corner of the bbox intersection) must fall in this row's cell, so a pair
+    # met in several cells is kept once with no distinct. The exact predicate
+    # sits behind a CASE so the optimizer cannot move it ahead of them.
+    overlap = ((F.col("a_maxx") >= F.col("b_minx") - eps) & (F.col("b_maxx") >= F.col("a_minx") - eps)
+               & (F.col("a_maxy") >= F.col("b_miny") - eps) & (F.col("b_maxy") >= F.col("a_miny") - eps))
     rx = F.floor(F.greatest(F.col("a_minx"), F.col("b_minx")) / size)
     ry = F.floor(F.greatest(F.col("a_miny"), F.col("b_miny")) / size)
-    j = j.filter(_cell_id(rx, ry) == F.col("a_cell"))
-    j = j.filter(relation(predicate, "a_", "b_", eps, kinds))
+    cheap = overlap & (_cell_id(rx, ry) == F.col("a_cell"))
+    j = j.filter(F.when(cheap, relation(predicate, "a_", "b_", eps, kinds)).otherwise(F.lit(False)))
     return j.select(*left_cols, *right_cols)
 
 
