@@ -209,5 +209,7 @@ def run_sync(spark: SparkSession, current: DataFrame, pk: str, out_dir: str, lay
     changes.write.mode("overwrite").partitionBy(CHANGE_COL).parquet(base)
     store.write(new_state, batch_id, now)
     # with a timestamp column the run counts as changed even when no row is
-    # found (reference behaviour); otherwise by row count
-    return {"mode": "delta", "output": base, "since": since}
+    # found (reference behaviour); otherwise by the written row count (read
+    # from the output just written, not by recomputing the diff)
+    changed = True if ts_col else spark.read.parquet(base).limit(1).count() > 0
+    return {"mode": "delta", "output": base, "since": since, "changed": changed}

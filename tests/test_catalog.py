@@ -215,3 +215,14 @@ def test_auto_map_concrete_layers_and_group_by_table(spark, model):
                                  "table_name string, ordinal_position int, column_name string")
     g = {r.table_name: [c.column_name for c in r.columns] for r in A.group_columns_by_table(cols).collect()}
     assert g == {"a": ["k"], "b": ["x", "y"]}
+
+
+def test_parent_by_name_fallback(spark, model):
+    layers, fields, _ = model
+    renamed = layers.withColumn("extends_id", F.when(F.col("layer_id") == "road", F.lit("Base"))
+                                .otherwise(F.col("extends_id")))
+    by_name = K.effective_fields_by_name(renamed, fields).filter("layer_id = 'road'").collect()
+    assert {r.name for r in by_name} == {"id", "note", "name", "town"}
+    # the id-only variant does not resolve a name: road keeps its own fields only
+    by_id = K.effective_fields(renamed, fields).filter("layer_id = 'road'").collect()
+    assert {r.from_layer_id for r in by_id} == {"road"}

@@ -139,7 +139,7 @@ def test_run_sync_full_then_delta_and_replay(spark, sf_dir, scratch):
     assert r1["mode"] == "full" and spark.read.parquet(r1["output"]).count() == prev.count()
     r2 = D.run_sync(spark, cur, "o_orderkey", out, "orders", 2, since_arg="last", hash_cols=HASH_COLS,
                     now="2026-01-02T00:00:00+00:00")
-    assert r2["mode"] == "delta" and r2["since"] == "2026-01-01T00:00:00+00:00"
+    assert r2["mode"] == "delta" and r2["since"] == "2026-01-01T00:00:00+00:00" and r2["changed"]
     got = spark.read.parquet(r2["output"])
     want = D.cdc_diff(cur, D.state_from_snapshot(prev, "o_orderkey", HASH_COLS), "o_orderkey", hash_cols=HASH_COLS)
     assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
