@@ -156,33 +156,46 @@ def item_by_id(df: DataFrame, pk: str, item_id) -> DataFrame:
 
 def item_neighbours(df: DataFrame, pk: str, partition_by: list[str] | None = None,
                     buckets: int | None = None) -> DataFrame:
-    """Previous and next id of every item (``prev_id``, ``next_id``).
-
-    With a layer partition this is a plain ``lag/lead`` window. Without one,
-    a global window would pull every row into one task, so the keys are cut
-    into ``buckets`` ranges at approximate quantiles (one distributed pass);
-    neighbours inside a range come from a window per range, and the first and
-    last row of each range are patched from the adjacent range's bounds (a
-    table of ``buckets`` rows, broadcast).
+    """Previous and next id of every item (``prev_id``, ``next_id``),
+    within each layer when ``partition_by`` is given. Rows with a NULL id
+    are left out.
+
+    A plain ``lag/lead`` window would sort a whole layer (or, with no layer,
+    the whole table) in one task. Instead the ids of each layer are cut into
+    ``buckets`` ranges at approximate quantiles (``percentile_approx`` per
+    layer: partial sketches per task, merged per layer), neighbours inside a
+    range come from a window per (layer, range), and the first and last row of
+    each range are patched from the adjacent range's bounds, a table of at
+    most layers x buckets rows. A layer holding a third of all rows is thus
+    spread over ``buckets`` tasks.
     """
-    if partition_by:
-        w = Window.partitionBy(*partition_by).orderBy(pk)
-        return df.select(*partition_by, pk).withColumns(
-            {"prev_id": F.lag(pk).over(w), "next_id": F.lead(pk).over(w)})
+    from ._util import broadcast_if_small
+    cols = list(partition_by or [])
     spark = df.sparkSession
     nb = int(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = df.select(F.col(pk).alias("_k")).filter(F.col("_k").isNotNull())
-    cuts = sorted(set(keys.approxQuantile("_k", [i / nb for i in range(1, nb)], 0.001))) if nb > 1 else []
-    bucket = (F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_k")))
-              if cuts else F.lit(0))
-    keys = keys.withColumn("_b", bucket)
-    w = Window.partitionBy("_b").orderBy("_k")
+    keys = df.select(*cols, F.col(pk).alias("_k")).filter(F.col("_k").isNotNull())
+    fracs = [i / nb for i in range(1, nb)]
+    if fracs:
+        cuts = keys.groupBy(*cols).agg(F.array_distinct(F.percentile_approx("_k", fracs, 10000)).alias("_cuts"))
+        if cols:
+            cuts = broadcast_if_small(cuts.select(*[F.col(c).alias(f"_c_{c}") for c in cols], "_cuts"))
+            cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in cols])
+            keys = keys.join(cuts, cond).drop(*[f"_c_{c}" for c in cols])
+        else:
+            keys = keys.crossJoin(F.broadcast(cuts))  # one row: the global cut points
+        keys = keys.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_k")))).drop("_cuts")
+    else:
+        keys = keys.withColumn("_b", F.lit(0))
+    w = Window.partitionBy(*cols, "_b").orderBy("_k")
     local = keys.withColumns({"_prev": F.lag("_k").over(w), "_next": F.lead("_k").over(w)})
-    bounds = keys.groupBy("_b").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
-    wb = Window.orderBy("_b")  # at most `buckets` rows
-    bounds = bounds.withColumns({"_prev_hi": F.lag("_hi").over(wb), "_next_lo": F.lead("_lo").over(wb)})
-    return (local.join(F.broadcast(bounds.select("_b", "_prev_hi", "_next_lo")), "_b")
-            .select(F.col("_k").alias(pk),
+    bounds = keys.groupBy(*cols, "_b").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+    wb = Window.partitionBy(*cols).orderBy("_b")  # at most `buckets` rows per layer
+    bounds = bounds.withColumns({"_prev_hi": F.lag("_hi").over(wb), "_next_lo": F.lead("_lo").over(wb)}) \
+        .select(*[F.col(c).alias(f"_d_{c}") for c in cols], F.col("_b").alias("_db"), "_prev_hi", "_next_lo")
+    bounds = broadcast_if_small(bounds)
+    cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in cols] + [F.col("_b") == F.col("_db")])
+    return (local.join(bounds, cond)
+            .select(*cols, F.col("_k").alias(pk),
                     F.coalesce("_prev", "_prev_hi").alias("prev_id"),
                     F.coalesce("_next", "_next_lo").alias("next_id")))
 

@@ -124,3 +124,19 @@ def test_queryables():
 
 def test_page_limit():
     assert Q.page_limit(None) == 10 and Q.page_limit(50000) == 10000 and Q.page_limit(-1) == 0
+
+
+def test_neighbours_skewed_layers_equal_plain_window(spark):
+    from pyspark.sql import Window
+    rows = [("hot", i) for i in range(0, 3000, 3)] + [("a", 5), ("a", 1), (None, 7), (None, 2), ("b", 4)]
+    df = spark.createDataFrame(rows, "layer string, id long")
+    key = lambda r: tuple("" if v is None else str(v) for v in r)  # noqa: E731 - NULL layer sorts first
+    got = sorted((tuple(r) for r in Q.item_neighbours(df, "id", ["layer"], buckets=7).collect()), key=key)
+    w = Window.partitionBy("layer").orderBy("id")
+    want = sorted((tuple(r) for r in df.select("layer", "id", F.lag("id").over(w), F.lead("id").over(w)).collect()),
+                  key=key)
+    assert got == want
+    glob = sorted((tuple(r) for r in Q.item_neighbours(df, "id", buckets=5).collect()), key=key)
+    wg = Window.orderBy("id")
+    assert glob == sorted((tuple(r) for r in df.select("id", F.lag("id").over(wg), F.lead("id").over(wg)).collect()),
+                          key=key)
