@@ -1182,3 +1182,46 @@ FROM (SELECT k, json_type(props, '$."' || k || '"') AS t,
 def q_json_field_types_first(spark, sf):
     """A7 parity mode: key types read from the first feature only (top-1 by id)."""
     return A.json_field_types_first(table(spark, sf, "events"), "props", "event_id")
+
+
+# ---------------------------------------------------------------- Entry 1: import summary
+
+from .plans import layers as P  # noqa: E402
+
+
+def _import_layers(spark, sf):
+    return {"events": P.LayerSource(_point_layer(spark, sf).drop("x", "y"), "Point", 4326, "event_id",
+                                    bbox_cols=("min_x", "min_y", "max_x", "max_y")),
+            "nation": P.LayerSource(L.nation_polygons(spark, sf), "Polygon", 4326, "n_nationkey", "geometry",
+                                    ("min_x", "min_y", "max_x", "max_y")),
+            "lineitem": P.LayerSource(table(spark, sf, "lineitem"), None, None, "l_orderkey"),
+            "part": P.LayerSource(table(spark, sf, "part"), None, None, "p_name")}
+
+
+_SUMMARY_SQL = f"""
+SELECT 'events' AS layer, count(*) AS feature_count,
+  (SELECT count(*) FROM information_schema.columns WHERE table_name = 'events') AS column_count,
+  'Point' AS geometry_type, 4326 AS srid,
+  'event_id' AS pk, min({PX}) AS min_x, min({PY}) AS min_y, max({PX}) AS max_x, max({PY}) AS max_y,
+  count(*) FILTER (WHERE event_id IS NULL) AS null_pk,
+  (SELECT count(*) FROM (SELECT event_id FROM events GROUP BY event_id HAVING count(*) > 1)) AS duplicate_pk_groups
+FROM events
+UNION ALL SELECT 'nation', count(*), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'nation'),
+  'Polygon', 4326, 'n_nationkey', min(x0), min(y0), max(x1), max(y1),
+  count(*) FILTER (WHERE n_nationkey IS NULL),
+  (SELECT count(*) FROM (SELECT n_nationkey FROM nation GROUP BY n_nationkey HAVING count(*) > 1)) FROM {_RECTS}
+UNION ALL SELECT 'lineitem', count(*), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'lineitem'),
+  NULL, NULL, 'l_orderkey', NULL, NULL, NULL, NULL, count(*) FILTER (WHERE l_orderkey IS NULL),
+  (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)) FROM lineitem
+UNION ALL SELECT 'part', count(*), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'part'),
+  NULL, NULL, 'p_name', NULL, NULL, NULL, NULL, count(*) FILTER (WHERE p_name IS NULL),
+  (SELECT count(*) FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)) FROM part"""
+
+
+@register("import_summary", f"""
+SELECT *, (CASE WHEN null_pk > 0 THEN 1 ELSE 0 END) + (CASE WHEN duplicate_pk_groups > 0 THEN 1 ELSE 0 END) AS n_errors,
+  CASE WHEN layer = 'part' THEN 1 ELSE 0 END AS n_warnings FROM ({_SUMMARY_SQL})""")
+def q_import_summary(spark, sf):
+    """Entry 1: per-layer import summary (A1, A2, C10-C13) from one aggregate
+    pass per layer plus the keyed duplicate count."""
+    return P.import_summary(_import_layers(spark, sf))[0]

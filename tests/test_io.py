@@ -252,3 +252,22 @@ def test_paths_table_scan_and_densified_bbox(spark, sf_dir):
     two = box.select(*G.bbox_to_wgs84("a", "b", "c", "d", 25833).values()).first()
     dense = box.select(*G.bbox_to_wgs84("a", "b", "c", "d", 25833, densify=8).values()).first()
     assert dense[3] >= two[3] and dense[0] <= two[0] and dense[1] <= two[1]
+
+
+def test_transform_layers_end_to_end(spark, sf_dir, scratch):
+    from tessella.plans import layers as P
+    from tessella.sources import layers as LY
+    pts = LY.event_points(spark, sf_dir, with_geometry=True).select("event_id", "event_type", "value", "geometry")
+    segs = LY.event_segments(spark, sf_dir).select("event_id", "user_id", "geometry")
+    m1 = P.LayerMapping({"event_id": "id", "event_type": "kind"}, {"kind": {"click": "k", "view": ""}},
+                        4326, 25833, "MultiPoint")
+    m2 = P.LayerMapping({"event_id": "id"}, {}, 4326, 25833, "MultiPoint")
+    out = os.path.join(scratch, "mapped")
+    rejected = P.transform_layers({"points": (pts, m1), "segments": (segs, m2)}, out)
+    res = spark.read.parquet(out)
+    assert res.filter("layer = 'points'").count() == pts.count()
+    assert res.filter("layer = 'segments'").count() == 0 and rejected["segments"].count() == segs.count()
+    row = res.filter("layer = 'points'").orderBy("id").first()
+    assert row.geometry.type == "MultiPoint" and row.geometry.srid == 25833 and row.geometry.parts[0][0][0].y > 6e6
+    kinds = {r.kind for r in res.filter("layer = 'points'").select("kind").distinct().collect()}
+    assert "click" not in kinds and "view" not in kinds and None in kinds
