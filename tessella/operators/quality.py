@@ -43,7 +43,8 @@ class Rule:
 
 @dataclass
 class Constraints:
-    """PropertyConstraints of a field (types.ts 62-71 in the reference)."""
+    """Declared constraints of one field: range, length, pattern, uniqueness,
+    primary key and enumeration."""
     min: float | None = None
     max: float | None = None
     min_length: int | None = None
