@@ -175,15 +175,17 @@ def item_neighbours(df: DataFrame, pk: str, partition_by: list[str] | None = Non
     nb = int(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = df.select(*cols, F.col(pk).alias("_k")).filter(F.col("_k").isNotNull())
     fracs = [i / nb for i in range(1, nb)]
-    if fracs:
+    if fracs and cols:
         cuts = keys.groupBy(*cols).agg(F.array_distinct(F.percentile_approx("_k", fracs, 10000)).alias("_cuts"))
-        if cols:
-            cuts = broadcast_if_small(cuts.select(*[F.col(c).alias(f"_c_{c}") for c in cols], "_cuts"))
-            cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in cols])
-            keys = keys.join(cuts, cond).drop(*[f"_c_{c}" for c in cols])
-        else:
-            keys = keys.crossJoin(F.broadcast(cuts))  # one row: the global cut points
+        cuts = broadcast_if_small(cuts.select(*[F.col(c).alias(f"_c_{c}") for c in cols], "_cuts"))
+        cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in cols])
+        keys = keys.join(cuts, cond).drop(*[f"_c_{c}" for c in cols])
         keys = keys.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_k")))).drop("_cuts")
+    elif fracs:
+        # one layer: the nb-1 cut points come back to the driver (a bounded list)
+        cut_list = sorted(set(keys.approxQuantile("_k", fracs, 0.0001)))
+        keys = keys.withColumn("_b", F.size(F.filter(F.array(*[F.lit(c) for c in cut_list]),
+                                                      lambda c: c < F.col("_k"))))
     else:
         keys = keys.withColumn("_b", F.lit(0))
     w = Window.partitionBy(*cols, "_b").orderBy("_k")

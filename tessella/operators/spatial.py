@@ -295,14 +295,3 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
     cheap = overlap & (_cell_id(rx, ry) == F.col("a_cell"))
     j = j.filter(F.when(cheap, relation(predicate, "a_", "b_", eps, kinds)).otherwise(F.lit(False)))
     return j.select(*left_cols, *right_cols)
-
-
-def brute_force_join(left: DataFrame, right: DataFrame, predicate: str,
-                     left_geom: str = "geometry", right_geom: str = "geometry",
-                     left_cols=None, right_cols=None, kinds=None, eps: float = 0.0) -> DataFrame:
-    """Every pair tested (cross join): for tests on small inputs only."""
-    left_cols = left_cols or [c for c in left.columns if c != left_geom]
-    right_cols = right_cols or [c for c in right.columns if c != right_geom]
-    a = _prepare(left.select(*left_cols, F.col(left_geom).alias("a_geom")), "a_geom", "a_")
-    b = _prepare(right.select(*right_cols, F.col(right_geom).alias("b_geom")), "b_geom", "b_")
-    return a.crossJoin(b).filter(relation(predicate, "a_", "b_", eps, kinds)).select(*left_cols, *right_cols)

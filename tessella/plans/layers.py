@@ -51,7 +51,9 @@ def layer_summary(name: str, src: LayerSource) -> DataFrame:
     if has_pk:
         dup = df.groupBy(src.pk).agg(F.count(F.lit(1)).alias("n")).agg(
             F.count_if(F.col("n") > 1).alias("duplicate_pk_groups"))
-        one = one.crossJoin(dup)  # two one-row frames
+        # combine the two one-row results: union, then take the non-null value per column
+        both = one.unionByName(dup, allowMissingColumns=True)
+        one = both.agg(*[F.max(c).alias(c) for c in both.columns])
     else:
         one = one.withColumn("duplicate_pk_groups", F.lit(None).cast("long"))
     schema_issues = C.pk_schema_issues(name, df.schema, src.pk)
