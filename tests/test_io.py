@@ -271,3 +271,13 @@ def test_transform_layers_end_to_end(spark, sf_dir, scratch):
     assert row.geometry.type == "MultiPoint" and row.geometry.srid == 25833 and row.geometry.parts[0][0][0].y > 6e6
     kinds = {r.kind for r in res.filter("layer = 'points'").select("kind").distinct().collect()}
     assert "click" not in kinds and "view" not in kinds and None in kinds
+
+
+def test_narrow_diff_equals_wide(spark, sf_dir):
+    prev, cur = _orders_pair(spark, sf_dir)
+    cur = cur.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    st = D.state_from_snapshot(prev, "o_orderkey", HASH_COLS)
+    for kw in ({"hash_cols": HASH_COLS}, {"ts_col": "o_orderdate", "since": "1997-06-01 00:00:00"}):
+        narrow = D.cdc_diff(cur, st, "o_orderkey", **kw)
+        wide = D.cdc_diff(cur, st, "o_orderkey", narrow=False, **kw)
+        assert narrow.count() == wide.count() and narrow.exceptAll(wide).count() == 0
