@@ -18,10 +18,12 @@ Plan (no geometry library, no Python per row):
    per geometry before the explode, not once per pair.
 
 Cell size: choose it near the typical polygon extent (a few cells per
-polygon). ``max_cells`` bounds the explode of one geometry: a geometry whose
-bbox would cover more cells is assigned to a coarser level instead (its
-cells are coarser; the other side is exploded on that level too), so one
-huge polygon never produces millions of rows.
+polygon). ``max_cells`` bounds the explode of one geometry: levels of cells
+64 x 64 times coarser each are stacked, every geometry sits on the finest
+level where its bbox covers at most ``max_cells`` cells, the other side is
+also placed on the levels in use, and a pair meets on the coarser of its two
+levels. One huge polygon therefore never produces millions of rows, and no
+candidate is dropped.
 """
 
 from __future__ import annotations
@@ -216,10 +218,32 @@ def _line_endpoint_meet(ea, eb, eps) -> Column:
             | F.exists(_ends(eb), lambda p: G.point_on_boundary(p["x"], p["y"], ea, eps)))
 
 
-def _has_coarse(df: DataFrame, p: str, cell_size: float, max_cells: int) -> bool:
-    """True when some geometry of the side covers more than ``max_cells``
-    fine cells (one pass, stops at the first hit)."""
-    return df.filter(_n_cells(p, cell_size) > max_cells).limit(1).count() > 0
+LEVEL_FACTOR = 64     # each coarser level has cells 64 x 64 times larger
+MAX_LEVEL = 6         # 64^6 ~ 7e10: any extent fits
+
+
+def _level(p: str, cell_size: float, max_cells: int) -> Column:
+    """Finest level on which the geometry's bbox covers at most ``max_cells`` cells."""
+    out = F.lit(MAX_LEVEL)
+    for lv in range(MAX_LEVEL - 1, -1, -1):
+        out = F.when(_n_cells(p, cell_size * LEVEL_FACTOR ** lv) <= max_cells, F.lit(lv)).otherwise(out)
+    return out
+
+
+def _levels(df: DataFrame, p: str, cell_size: float, max_cells: int, is_point: bool) -> list[int]:
+    """Levels used on one side: [0] for points; otherwise one early-exit pass
+    finds whether any geometry is oversized, and only then the distinct
+    levels (at most MAX_LEVEL + 1 values) are collected."""
+    if is_point:
+        return [0]
+    if df.filter(_n_cells(p, cell_size) > max_cells).limit(1).count() == 0:
+        return [0]
+    return sorted(r[0] for r in df.select(_level(p, cell_size, max_cells).alias("l")).distinct().collect())
+
+
+def _tag(lv: int):
+    # a one-argument lambda (PySpark picks the transform arity from it)
+    return lambda x: F.struct(F.lit(lv).alias("lvl"), x.alias("cell"))
 
 
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: float,
@@ -244,38 +268,34 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
     right_cols = right_cols or [c for c in right.columns if c != right_geom]
     a = _prepare(left.select(*left_cols, F.col(left_geom).alias("a_geom")), "a_geom", "a_")
     b = _prepare(right.select(*right_cols, F.col(right_geom).alias("b_geom")), "b_geom", "b_")
-    coarse = float(cell_size) * 64
     ka, kb = kinds or (None, None)
-    a_big = ka != "point" and _has_coarse(a, "a_", cell_size, max_cells)
-    b_big = kb != "point" and _has_coarse(b, "b_", cell_size, max_cells)
-    if a_big or b_big:
-        # two levels: a geometry over max_cells is placed on coarse cells only;
-        # every geometry of the other side is also placed on coarse cells, and
-        # a pair meets on the coarser of the two geometries' levels
-        a = a.withColumn("a_lvl", F.when(_n_cells("a_", cell_size) > max_cells, 1).otherwise(0))
-        b = b.withColumn("b_lvl", F.when(_n_cells("b_", cell_size) > max_cells, 1).otherwise(0))
-
-        def explode(df, p, other_big):
-            fine = F.when(F.col(f"{p}lvl") == 0, _cells(p, cell_size)).otherwise(F.array().cast("array<long>"))
-            cells = F.transform(fine, lambda x: F.struct(F.lit(0).alias("lvl"), x.alias("cell")))
-            if other_big:
-                cells = F.concat(cells, F.transform(_cells(p, coarse),
-                                                    lambda x: F.struct(F.lit(1).alias("lvl"), x.alias("cell"))))
-            else:
-                cells = F.when(F.col(f"{p}lvl") == 1, F.transform(
-                    _cells(p, coarse), lambda x: F.struct(F.lit(1).alias("lvl"), x.alias("cell")))).otherwise(cells)
-            return df.select("*", F.inline(cells).alias(f"{p}cl", f"{p}cell"))
-
-        a = explode(a, "a_", b_big)
-        b = explode(b, "b_", a_big)
-        cond = ((F.col("a_cell") == F.col("b_cell")) & (F.col("a_cl") == F.col("b_cl"))
-                & (F.col("a_cl") == F.greatest(F.col("a_lvl"), F.col("b_lvl"))))
-        size = F.when(F.col("a_cl") == 0, F.lit(float(cell_size))).otherwise(F.lit(coarse))
-    else:
+    la = _levels(a, "a_", cell_size, max_cells, ka == "point")
+    lb = _levels(b, "b_", cell_size, max_cells, kb == "point")
+    if la == [0] and lb == [0]:
         a = a.select("*", F.explode(_cells("a_", cell_size)).alias("a_cell"))
         b = b.select("*", F.explode(_cells("b_", cell_size)).alias("b_cell"))
         cond = F.col("a_cell") == F.col("b_cell")
         size = F.lit(float(cell_size))
+    else:
+        # a geometry sits on its own level and is also placed on every coarser
+        # level the other side uses; a pair meets on the coarser of its two levels
+        def explode(df, p, other_levels):
+            own = _level(p, cell_size, max_cells)
+            df = df.withColumn(f"{p}lvl", own)
+            parts = []
+            for lv in sorted(set(la) | set(lb)):
+                keep = (F.col(f"{p}lvl") == lv)
+                if lv in other_levels:
+                    keep = keep | (F.col(f"{p}lvl") < lv)
+                cells = F.transform(_cells(p, cell_size * LEVEL_FACTOR ** lv), _tag(lv))
+                parts.append(F.when(keep, cells).otherwise(F.array().cast("array<struct<lvl:int,cell:bigint>>")))
+            return df.select("*", F.inline(F.concat(*parts)).alias(f"{p}cl", f"{p}cell"))
+
+        a = explode(a, "a_", lb)
+        b = explode(b, "b_", la)
+        cond = ((F.col("a_cell") == F.col("b_cell")) & (F.col("a_cl") == F.col("b_cl"))
+                & (F.col("a_cl") == F.greatest(F.col("a_lvl"), F.col("b_lvl"))))
+        size = F.lit(float(cell_size)) * F.pow(F.lit(float(LEVEL_FACTOR)), F.col("a_cl"))
     if salt_buckets and salt_buckets > 1:
         a = a.withColumn("a_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left_cols], F.col("a_cell")),
                                           F.lit(salt_buckets)).cast("int"))
