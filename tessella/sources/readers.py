@@ -61,14 +61,29 @@ def scan_geojson(spark: SparkSession, path: str, srid: int = 4326, explode_colle
 
     Files are read whole (``wholetext``: a FeatureCollection is one JSON
     document), one task per file, and features are exploded in that task;
-    nothing passes through the driver. A GeometryCollection becomes one
-    row per member (SURVEY 1.3) when ``explode_collections``.
+    nothing passes through the driver. A file must stay under Spark's 2 GB
+    string limit; large data should be GeoJSONSeq (``scan_geojson_seq``),
+    which splits across tasks. A GeometryCollection becomes one row per
+    member (SURVEY 1.3) when ``explode_collections``.
     """
     raw = spark.read.option("wholetext", True).text(path)
     doc = F.col("value")
     features = F.when(F.ltrim(doc).startswith("["), F.from_json(doc, "array<string>")).otherwise(
         F.from_json(F.get_json_object(doc, "$.features"), "array<string>"))
-    feats = raw.select(F.explode(features).alias("f"))
+    return _features(raw.select(F.explode(features).alias("f")), srid, explode_collections)
+
+
+def scan_geojson_seq(spark: SparkSession, path: str, srid: int = 4326, explode_collections: bool = True) -> DataFrame:
+    """S2 for newline-delimited features (GeoJSONSeq, also what
+    ``write_geojson_lines`` writes): a plain text scan, split across tasks
+    by byte ranges like any large text file. Record-separator characters
+    (RFC 8142) and blank lines are skipped."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\u001e", "")).alias("f"))
+    return _features(lines.filter(F.col("f") != ""), srid, explode_collections)
+
+
+def _features(feats: DataFrame, srid: int, explode_collections: bool) -> DataFrame:
+    """Feature JSON texts (column ``f``) -> id, properties.*, geometry."""
     props_json = F.get_json_object("f", "$.properties")
     geom_json = F.get_json_object("f", "$.geometry")
     feats = feats.select(

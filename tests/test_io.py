@@ -281,3 +281,15 @@ def test_narrow_diff_equals_wide(spark, sf_dir):
         narrow = D.cdc_diff(cur, st, "o_orderkey", **kw)
         wide = D.cdc_diff(cur, st, "o_orderkey", narrow=False, **kw)
         assert narrow.count() == wide.count() and narrow.exceptAll(wide).count() == 0
+
+
+def test_geojson_seq_reads_what_the_sink_writes(spark, scratch):
+    p = os.path.join(scratch, "fc.geojson")
+    with open(p, "w") as f:
+        json.dump(FC, f)
+    df = R.scan_geojson(spark, p)
+    out = os.path.join(scratch, "seq")
+    S.write_geojson_lines(df.filter("geometry IS NOT NULL"), out, "id")
+    back = R.scan_geojson_seq(spark, out)
+    assert back.count() == df.filter("geometry IS NOT NULL").count()
+    assert {r.geometry.type for r in back.collect()} == {"Point", "LineString", "Polygon", "MultiPolygon"}
