@@ -118,3 +118,33 @@ def test_broadcast_guard(spark):
     wide = spark.range(100).selectExpr("id", "repeat('x', 100000) AS pad")
     # few rows but an estimate over the byte cap: no hint
     assert U.broadcast_if_small(wide, max_rows=1000, max_bytes=1024) is wide
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_layers_cell_join_equals_brute_force(spark, seed):
+    import random
+    rnd = random.Random(seed)
+    snap = lambda v: round(v * 2) / 2  # noqa: E731 - half-unit grid: shared edges and vertices happen
+    polys = []
+    for i in range(25):
+        x, y = snap(rnd.uniform(-20, 20)), snap(rnd.uniform(-20, 20))
+        w, h = snap(rnd.uniform(0.5, 12)), snap(rnd.uniform(0.5, 12))
+        if i % 3 == 0:   # triangle
+            ring = [(x, y), (x + w, y), (x, y + h), (x, y)]
+        elif i == 4:     # one very large polygon (goes up the cell levels)
+            ring = [(-200, -200), (200, -200), (200, 200), (-200, 200), (-200, -200)]
+        else:
+            ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+        polys.append((i, [ring]))
+    pts = [(i, snap(rnd.uniform(-25, 25)), snap(rnd.uniform(-25, 25))) for i in range(300)]
+    segs = [(i, [(snap(rnd.uniform(-25, 25)), snap(rnd.uniform(-25, 25))),
+                 (snap(rnd.uniform(-25, 25)), snap(rnd.uniform(-25, 25)))]) for i in range(60)]
+    P, Q, Ls = _poly(spark, polys), _pts(spark, pts), _lines(spark, segs)
+    cases = [(Q, P, ("point", "polygon"), "intersects"), (Q, P, ("point", "polygon"), "touches"),
+             (P, Q, ("polygon", "point"), "contains"), (Ls, P, ("line", "polygon"), "crosses"),
+             (P, P.withColumnRenamed("pid", "pid2"), ("polygon", "polygon"), "touches"),
+             (P, P.withColumnRenamed("pid", "pid2"), ("polygon", "polygon"), "within")]
+    for a, b, kinds, pred in cases:
+        want = _pairs(brute_force_join(a, b, pred, kinds=kinds))
+        got = _pairs(SP.spatial_join(a, b, pred, 2.0, kinds=kinds, max_cells=16))
+        assert got == want, (pred, kinds)
