@@ -25,17 +25,46 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def row_width(dt) -> int:
+    """Rough bytes per row of a schema (arrays counted as 8 elements)."""
+    from pyspark.sql import types as T
+    if isinstance(dt, T.StructType):
+        return sum(row_width(f.dataType) for f in dt.fields) + 8
+    if isinstance(dt, T.ArrayType):
+        return 8 * row_width(dt.elementType) + 16
+    if isinstance(dt, T.MapType):
+        return 8 * (row_width(dt.keyType) + row_width(dt.valueType)) + 16
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return 32
+    if isinstance(dt, (T.BooleanType, T.ByteType)):
+        return 1
+    if isinstance(dt, (T.ShortType,)):
+        return 2
+    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    return 8
+
+
+def counted_rows(df: DataFrame, max_rows: int) -> int:
+    """Row count, stopping once it exceeds ``max_rows``."""
+    return df.limit(max_rows + 1).count()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                        max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only behind proven bounds: at most ``max_rows`` rows
-    (counted, stopping at ``max_rows + 1``) and an estimated size under
-    ``max_bytes`` (few but wide rows are not broadcast). Otherwise the join
-    is left to the planner (sort-merge, which AQE may still convert at
-    runtime from measured shuffle sizes)."""
+    (counted, stopping at ``max_rows + 1``) whose size by the schema's row
+    width stays under ``max_bytes`` (few but wide rows are not broadcast).
+    For a plain scan Catalyst's size estimate (file sizes) can say no before
+    any counting. Otherwise the join is left to the planner (sort-merge,
+    which AQE may still convert at runtime from measured shuffle sizes)."""
     est = estimated_bytes(df)
-    if est is not None and est > max_bytes:
+    if est is not None and est > 8 * max_bytes:
+        return df
+    n = counted_rows(df, max_rows)
+    if n > max_rows or n * row_width(df.schema) > max_bytes:
         return df
-    return F.broadcast(df) if bounded_rows(df, max_rows) else df
+    return F.broadcast(df)
 
 
 def salt(n: int, key_cols: list[str]):

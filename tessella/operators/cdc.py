@@ -62,12 +62,14 @@ def cdc_diff(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | N
     the current rows with the key state, so the shuffle carries a few bytes
     per row instead of whole features; full rows are then fetched for the
     inserted and updated keys only (a join against that key set, broadcast
-    when it is proven small; otherwise left to the planner and AQE). With a
-    small change rate the wide table is scanned twice but never shuffled.
+    when its counted size is small; otherwise a sort-merge join). The narrow
+    change set is checkpointed once (eager; it is used twice and counted).
+    With a small change rate the wide table is scanned twice but never
+    shuffled.
     """
     if not narrow:
         return _diff_wide(current, prev_state, pk, ts_col, since, hash_cols)
-    from ._util import broadcast_if_small
+    from ._util import DEFAULT_BROADCAST_BYTES
     extra = []
     if hash_cols:
         extra.append(row_hash(hash_cols).alias("_cur_hash"))
@@ -90,7 +92,16 @@ def cdc_diff(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | N
             .when(~in_cur & in_prev, F.lit(DELETE)))
     classified = j.select(F.coalesce("_cur_pk", "_prev_pk").alias("_k"), kind.alias(CHANGE_COL)) \
         .filter(F.col(CHANGE_COL).isNotNull())
-    upserts = broadcast_if_small(classified.filter(F.col(CHANGE_COL) != DELETE), broadcast_rows)
+    # the narrow change set is read twice (upserts, deletes) and sized before
+    # the row fetch: write it once under spark.checkpoint.dir (reliable, so a
+    # lost executor does not lose it) instead of recomputing the key join
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(current.sparkSession)
+    classified = classified.checkpoint(eager=True)
+    upserts = classified.filter(F.col(CHANGE_COL) != DELETE)
+    n_up = upserts.count()
+    if n_up <= broadcast_rows and n_up * 48 <= DEFAULT_BROADCAST_BYTES:
+        upserts = F.broadcast(upserts)
     rows = current.join(upserts, F.col(pk) == F.col("_k")).drop("_k")
     dtype = current.schema[pk].dataType
     deletes = classified.filter(F.col(CHANGE_COL) == DELETE).select(
