@@ -58,22 +58,23 @@ def _unpivot_strings(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, fields: list[str] | None = None, limit: int = DISTINCT_VALUES_LIMIT,
-                    buckets: int = 64) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """A5: up to ``limit`` distinct values per field, as strings, NULL and ''
     dropped, smallest first (a deterministic choice; the reference takes the
     database's order).
 
-    Plan: distinct (field, value) pairs (shuffled on the pair, so one field
-    with huge cardinality still spreads over all tasks) -> keep the ``limit``
-    smallest per (field, hash bucket) -> keep the ``limit`` smallest per field
-    over at most ``limit * buckets`` rows. No step puts a whole field in one task.
+    Plan: distinct (field, value) pairs, shuffled on the pair, so one field
+    with huge cardinality still spreads over all tasks; then
+    ``row_number() <= limit`` per field, for which Spark places a partial
+    top-``limit`` (``WindowGroupLimit``) in every task before the shuffle by
+    field, so that shuffle carries at most ``limit`` rows per field and task.
+    No step puts a whole field in one task. (``buckets`` is accepted for
+    compatibility and no longer needed.)
     """
     fields = fields or df.columns
     pairs = _unpivot_strings(df, fields).filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
-    w1 = Window.partitionBy("field", F.pmod(F.xxhash64("value"), F.lit(buckets))).orderBy("value")
-    first = pairs.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= limit).drop("_r")
-    w2 = Window.partitionBy("field").orderBy("value")
-    return first.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= limit)
+    w = Window.partitionBy("field").orderBy("value")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
 def sampled_values(df: DataFrame, pk: str, fields: list[str] | None = None,
@@ -81,7 +82,7 @@ def sampled_values(df: DataFrame, pk: str, fields: list[str] | None = None,
     """Distinct values of the first ``sample`` features by PK (top-k, no
     global sort), then A5 on them."""
     first = df.orderBy(F.col(pk).asc_nulls_last()).limit(sample)
-    return distinct_values(first, [f for f in (fields or df.columns)], limit, buckets=1)
+    return distinct_values(first, [f for f in (fields or df.columns)], limit)
 
 
 # ---- A7: type inference ----
