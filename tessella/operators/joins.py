@@ -61,10 +61,21 @@ def inverse_pairs(parent: DataFrame, child: DataFrame, pk: str, fk: str, child_p
     rows; parents with no child appear once with a NULL child key.
 
     Rows, not one array per parent: a parent holding a third of all children
-    would otherwise be one giant value built in one task.
+    would otherwise be one giant value built in one task. For the same hot
+    parent the plan avoids ``parent LEFT JOIN child``, where AQE could not
+    split the skewed child side: parents with children come from an INNER
+    join (AQE's skew join may split either side), childless parents from an
+    anti join against the child keys after a partial aggregate (one row per
+    key, so nothing is skewed there).
     """
-    c = child.select(F.col(fk).alias("_fk"), F.col(child_pk).alias(f"inverse_{child_pk}"))
-    return parent.select(pk).join(c, F.col(pk) == F.col("_fk"), "left").drop("_fk")
+    out_col = f"inverse_{child_pk}"
+    c = child.select(F.col(fk).alias("_fk"), F.col(child_pk).alias(out_col)).filter(F.col("_fk").isNotNull())
+    p = parent.select(pk)
+    with_children = p.join(c, F.col(pk) == F.col("_fk"), "inner").select(pk, out_col)
+    keys = c.select("_fk").distinct()
+    without = p.join(keys, F.col(pk) == F.col("_fk"), "left_anti").select(
+        pk, F.lit(None).cast(child.schema[child_pk].dataType).alias(out_col))
+    return with_children.unionByName(without)
 
 
 def inverse_counts(parent: DataFrame, child: DataFrame, pk: str, fk: str) -> DataFrame:
