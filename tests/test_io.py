@@ -293,3 +293,28 @@ def test_geojson_seq_reads_what_the_sink_writes(spark, scratch):
     back = R.scan_geojson_seq(spark, out)
     assert back.count() == df.filter("geometry IS NOT NULL").count()
     assert {r.geometry.type for r in back.collect()} == {"Point", "LineString", "Polygon", "MultiPolygon"}
+
+
+def test_stateful_stream_classifies_like_upsert_mode(spark, sf_dir, scratch):
+    from tessella.streaming import keyed as KS
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "value").withColumn(
+        "_deleted", F.lit(None).cast("boolean"))
+    landing, out, ck = (os.path.join(scratch, d) for d in ("land", "changes", "ck"))
+    ev.repartition(2).write.parquet(os.path.join(landing, "f1"))
+    kw = dict(order_col="ts", delete_col="_deleted", available_now=True)
+    KS.stream_changes_stateful(spark, landing + "/*", ev.schema, "event_id", ["value"], out, ck, **kw) \
+        .awaitTermination(300)
+    first = spark.read.parquet(out)
+    assert first.count() == ev.count() and first.filter(F.col(D.CHANGE_COL) != "insert").count() == 0
+    upd = (ev.filter(F.col("event_id") % 10 == 0).withColumn("value", F.col("value") + 1)
+           .unionByName(ev.filter(F.col("event_id") % 10 == 1).withColumn("_deleted", F.lit(True)))
+           .unionByName(ev.filter(F.col("event_id") % 10 == 2)))
+    upd.write.parquet(os.path.join(landing, "f2"))
+    KS.stream_changes_stateful(spark, landing + "/*", ev.schema, "event_id", ["value"], out, ck, **kw) \
+        .awaitTermination(300)
+    allc = spark.read.parquet(out)
+    kinds = {r[D.CHANGE_COL]: r["count"] for r in allc.groupBy(D.CHANGE_COL).count().collect()}
+    assert kinds == {"insert": ev.count(), "update": ev.filter(F.col("event_id") % 10 == 0).count(),
+                     "delete": ev.filter(F.col("event_id") % 10 == 1).count()}
+    # deletes carry the key only
+    assert allc.filter((F.col(D.CHANGE_COL) == "delete") & F.col("value").isNotNull()).count() == 0
