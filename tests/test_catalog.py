@@ -226,3 +226,21 @@ def test_parent_by_name_fallback(spark, model):
     # the id-only variant does not resolve a name: road keeps its own fields only
     by_id = K.effective_fields(renamed, fields).filter("layer_id = 'road'").collect()
     assert {r.from_layer_id for r in by_id} == {"road"}
+
+
+def test_drift_model_meta_and_shared_types(spark, model):
+    layers, fields, _ = model
+    mo = spark.createDataFrame([("m", "Roads", "1.0.0", "EPSG:25833", "d")],
+                               "model_id string, name string, version string, crs string, description string")
+    mn = mo.withColumn("crs", F.lit("EPSG:4326"))
+    to = spark.createDataFrame([("m", "addr", "Address"), ("m", "old", "Old")], "model_id string, type_id string, name string")
+    tn = spark.createDataFrame([("m", "addr", "Postal address"), ("m", "new", "New")],
+                               "model_id string, type_id string, name string")
+    ch = K.schema_drift(layers, layers, fields, fields, mo, mn, to, tn)
+    got = {(r.item_type, r.type, r.layer_id) for r in ch.collect()}
+    assert got == {("model_meta", "modified", None), ("shared_type", "modified", "sharedtype:addr"),
+                   ("shared_type", "deleted", "sharedtype:old"), ("shared_type", "added", "sharedtype:new")}
+    meta = ch.filter("item_type = 'model_meta'").first().modified_fields
+    assert [(m.field, m.old_value, m.new_value) for m in meta] == [("crs", "EPSG:25833", "EPSG:4326")]
+    sections = {r.section for r in K.group_changes(ch).collect()}
+    assert sections == {"model_meta", "shared_types"}
