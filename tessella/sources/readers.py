@@ -19,6 +19,25 @@ FEATURE_EXTENSIONS = {"parquet": "parquet", "geoparquet": "parquet", "geojson":
                       "csv": "csv", "tsv": "csv"}
 
 
+def scan_any(spark: SparkSession, path: str, srid: int = 4326) -> DataFrame:
+    """Pick the reader by file extension (``.parquet``/``.geoparquet``,
+    ``.geojson``/``.json``, ``.geojsonl``/``.geojsons``/``.ndjson`` as
+    GeoJSONSeq, ``.csv``/``.tsv``); a folder without an extension is read as
+    Parquet (Spark's own output layout)."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    ext = name.rsplit(".", 1)[-1] if "." in name else ""
+    if ext in ("geojsonl", "geojsons", "ndjson"):
+        return scan_geojson_seq(spark, path, srid)
+    kind = FEATURE_EXTENSIONS.get(ext, "parquet" if not ext else None)
+    if kind == "parquet":
+        return scan_features(spark, path)
+    if kind == "geojson":
+        return scan_geojson(spark, path, srid)
+    if kind == "csv":
+        return scan_csv(spark, path)
+    raise ValueError(f"no reader for extension {ext!r}; supported: {sorted(FEATURE_EXTENSIONS)}")
+
+
 def scan_features(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A columnar feature file or folder; ``columns`` prunes the scan."""
     df = spark.read.parquet(path)

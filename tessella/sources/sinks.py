@@ -55,9 +55,13 @@ def to_geojson_features(df: DataFrame, id_col: str | None, geom_col: str = "geom
 
 
 def write_geojson_lines(df: DataFrame, path: str, id_col: str | None, geom_col: str = "geometry",
-                        limit: int | None = None) -> None:
+                        limit: int | None = None, src_srid: int | None = None, dst_srid: int | None = None) -> None:
     """S12 sink: newline-delimited GeoJSON features (GeoJSONSeq), written
-    in parallel, one file per task."""
+    in parallel, one file per task; optionally reprojected on the way out
+    (``src_srid`` -> ``dst_srid``) and capped at ``limit`` features."""
+    if src_srid and dst_srid and src_srid != dst_srid:
+        from ..functions import geometry as G
+        df = df.withColumn(geom_col, G.reproject_geometry(geom_col, src_srid, dst_srid))
     to_geojson_features(df, id_col, geom_col, limit).select("feature").write.mode("overwrite").text(path)
 
 

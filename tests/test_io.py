@@ -318,3 +318,18 @@ def test_stateful_stream_classifies_like_upsert_mode(spark, sf_dir, scratch):
                      "delete": ev.filter(F.col("event_id") % 10 == 1).count()}
     # deletes carry the key only
     assert allc.filter((F.col(D.CHANGE_COL) == "delete") & F.col("value").isNotNull()).count() == 0
+
+
+def test_scan_any_by_extension_and_reprojected_export(spark, scratch, sf_dir):
+    p = os.path.join(scratch, "fc.geojson")
+    with open(p, "w") as f:
+        json.dump(FC, f)
+    assert R.scan_any(spark, p).count() == 6
+    with open(os.path.join(scratch, "t.tsv"), "w") as f:
+        f.write("a\tb\n1\t2\n")
+    assert R.scan_any(spark, os.path.join(scratch, "t.tsv")).columns == ["a", "b"]
+    out = os.path.join(scratch, "pts.geojsonl")
+    S.write_geojson_lines(R.scan_any(spark, p).filter("id = '1'"), out, "id", src_srid=4326, dst_srid=3857)
+    back = R.scan_any(spark, out).first()
+    assert abs(back.geometry.parts[0][0][0].x - 1113194.9079327357) < 1e-6
+    assert R.scan_any(spark, os.path.join(sf_dir, "region.parquet")).count() == 5
