@@ -15,8 +15,8 @@ def brute_force_join(left, right, predicate, left_geom="geometry", right_geom="g
     """Every pair tested (cross join): the reference answer on small inputs."""
     left_cols = left_cols or [c for c in left.columns if c != left_geom]
     right_cols = right_cols or [c for c in right.columns if c != right_geom]
-    a = SP._prepare(left.select(*left_cols, F.col(left_geom).alias("a_geom")), "a_geom", "a_")
-    b = SP._prepare(right.select(*right_cols, F.col(right_geom).alias("b_geom")), "b_geom", "b_")
+    a = SP._prepare(left.select(*left_cols, F.col(left_geom).alias("a_geom")), "a_geom", "a_", eps)
+    b = SP._prepare(right.select(*right_cols, F.col(right_geom).alias("b_geom")), "b_geom", "b_", eps)
     return a.crossJoin(b).filter(SP.relation(predicate, "a_", "b_", eps, kinds)).select(*left_cols, *right_cols)
 
 
@@ -148,3 +148,48 @@ def test_random_layers_cell_join_equals_brute_force(spark, seed):
         want = _pairs(brute_force_join(a, b, pred, kinds=kinds))
         got = _pairs(SP.spatial_join(a, b, pred, 2.0, kinds=kinds, max_cells=16))
         assert got == want, (pred, kinds)
+
+
+@pytest.mark.parametrize("seed,max_cells,eps", [(3, 4096, 0.0), (4, 8, 0.0), (5, 64, 0.25)])
+def test_random_long_lines_supercover_equals_brute_force(spark, seed, max_cells, eps):
+    import random
+    rnd = random.Random(seed)
+    snap = lambda v: round(v * 2) / 2
+    polys = []
+    for i in range(20):
+        x, y = snap(rnd.uniform(-30, 30)), snap(rnd.uniform(-30, 30))
+        w, h = snap(rnd.uniform(0.5, 8)), snap(rnd.uniform(0.5, 8))
+        polys.append((i, [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]]))
+    pts = [(i, snap(rnd.uniform(-30, 30)), snap(rnd.uniform(-30, 30))) for i in range(150)]
+    lines = []
+    for i in range(40):   # long polylines of 2-4 vertices, some axis-parallel
+        n = rnd.randint(2, 4)
+        pl = [(snap(rnd.uniform(-40, 40)), snap(rnd.uniform(-40, 40))) for _ in range(n)]
+        if i % 5 == 0:
+            pl = [(pl[0][0], pl[0][1]), (pl[0][0], pl[-1][1])]
+        lines.append((i, pl))
+    # lines through polygon corners and along edges
+    lines += [(100 + i, [(p[1][0][0][0] - 5, p[1][0][0][1] - 5), (p[1][0][0][0] + 5, p[1][0][0][1] + 5)])
+              for i, p in enumerate(polys[:5])]
+    lines += [(200 + i, [(p[1][0][0][0] - 3, p[1][0][0][1]), (p[1][0][1][0] + 3, p[1][0][1][1])])
+              for i, p in enumerate(polys[5:10])]
+    lines += [(300 + i, [(x, y), (x + 7, y - 3)]) for i, x, y in pts[:10]]  # lines starting on points
+    P, Q, Ls = _poly(spark, polys), _pts(spark, pts), _lines(spark, lines)
+    cases = [(Ls, P, ("line", "polygon"), pr) for pr in ("intersects", "crosses", "touches", "within")]
+    cases += [(P, Ls, ("polygon", "line"), pr) for pr in ("intersects", "contains")]
+    cases += [(Ls, Q, ("line", "point"), pr) for pr in ("intersects", "contains", "touches")]
+    cases += [(Q, Ls, ("point", "line"), "intersects")]
+    for a, b, kinds, pred in cases:
+        want = _pairs(brute_force_join(a, b, pred, kinds=kinds, eps=eps))
+        got = _pairs(SP.spatial_join(a, b, pred, 1.5, kinds=kinds, max_cells=max_cells, eps=eps))
+        assert got == want, (pred, kinds, len(got), len(want))
+
+
+def test_supercover_is_chosen_for_long_diagonal_lines_only(spark):
+    lines = _lines(spark, [(1, [(-40, -40), (40, 40)]), (2, [(0, 0), (1, 1)]), (3, [(0, -40), (0, 40)])])
+    p = SP._prepare(lines.select("lid", F.col("geometry").alias("a_geom")), "a_geom", "a_")
+    flags = {r.lid: r.sc for r in p.select("lid", SP._use_supercover("a_", 1.5).alias("sc")).collect()}
+    assert flags == {1: True, 2: False, 3: False}
+    cells = {r.lid: r.n for r in p.withColumn("a_sc", F.lit(True))
+             .select("lid", F.size(SP._cells("a_", 1.5, line=True)).alias("n")).collect()}
+    assert cells[1] < 250  # vs 54 x 54 = 2916 box cells
