@@ -140,3 +140,23 @@ def test_neighbours_skewed_layers_equal_plain_window(spark):
     wg = Window.orderBy("id")
     assert glob == sorted((tuple(r) for r in df.select("id", F.lag("id").over(wg), F.lead("id").over(wg)).collect()),
                           key=key)
+
+
+def test_technical_name_matches_driver_twin_on_random_text(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+    alphabet = st.sampled_from(
+        [chr(c) for c in range(0x20, 0x7F)] + [chr(c) for c in range(0xC0, 0x250)]
+        + [chr(c) for c in range(0x300, 0x370)] + [chr(c) for c in range(0x1E00, 0x1F00)]
+        + list("æøåÆØÅßİıΣσάЖж€—_  "))
+    samples = []
+
+    @settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.text(alphabet, max_size=24))
+    def collect(s):
+        samples.append(s)
+    collect()
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in samples], "s string")
+           .select(N.technical_name("s")).collect()]
+    bad = [(s, g, N.technical_name_py(s)) for s, g in zip(samples, got) if g != N.technical_name_py(s)]
+    assert not bad, bad[:5]
