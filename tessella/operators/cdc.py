@@ -267,5 +267,6 @@ def run_sync(spark: SparkSession, current: DataFrame, pk: str, out_dir: str, lay
     # with a timestamp column the run counts as changed even when no row is
     # found (reference behaviour); otherwise by the written row count (read
     # from the output just written, not by recomputing the diff)
-    changed = True if ts_col else spark.read.parquet(base).limit(1).count() > 0
+    # (read with the known schema: a run with no change writes no data file)
+    changed = True if ts_col else spark.read.schema(changes.schema).parquet(base).limit(1).count() > 0
     return {"mode": "delta", "output": base, "since": since, "changed": changed}

@@ -333,3 +333,27 @@ def test_scan_any_by_extension_and_reprojected_export(spark, scratch, sf_dir):
     back = R.scan_any(spark, out).first()
     assert abs(back.geometry.parts[0][0][0].x - 1113194.9079327357) < 1e-6
     assert R.scan_any(spark, os.path.join(sf_dir, "region.parquet")).count() == 5
+
+
+def test_cdc_edge_rules(spark, scratch):
+    rows = [(1, "2026-01-01 00:00:00", 1.0), (2, "2026-01-02 00:00:00", 2.0), (3, "2026-01-03 00:00:00", 3.0)]
+    cur = spark.createDataFrame(rows, "k long, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    prev = D.state_from_snapshot(cur, "k")
+    # strict ">": a row stamped exactly at `since` is not an update
+    ups = D.cdc_updates(cur, prev, "k", "ts", "2026-01-02 00:00:00")
+    assert [r.k for r in ups.collect()] == [3]
+    ch = D.cdc_changes(cur, prev, "k", "ts", "2026-01-02 00:00:00")
+    assert {(r.k, r[D.CHANGE_COL]) for r in ch.collect()} == {(3, "update")}
+    # with a timestamp column a run counts as changed even when nothing changed;
+    # in hash mode only a written row counts
+    out = os.path.join(scratch, "edge")
+    D.run_sync(spark, cur, "k", out, "t", 1, since_arg="last", ts_col="ts", now="2030-01-01T00:00:00")
+    r_ts = D.run_sync(spark, cur, "k", out, "t", 2, since_arg="last", ts_col="ts", now="2030-01-02T00:00:00")
+    assert r_ts["mode"] == "delta" and r_ts["changed"] is True
+    assert not [f for f in os.listdir(r_ts["output"]) if f.endswith(".parquet")]  # nothing to write
+    out2 = os.path.join(scratch, "edge_hash")
+    D.run_sync(spark, cur, "k", out2, "t", 1, since_arg="last", hash_cols=["v"], now="2030-01-01T00:00:00")
+    r_h = D.run_sync(spark, cur, "k", out2, "t", 2, since_arg="last", hash_cols=["v"], now="2030-01-02T00:00:00")
+    assert r_h["changed"] is False
+    # `since` is the time taken before the previous scan
+    assert r_ts["since"] == "2030-01-01T00:00:00"
