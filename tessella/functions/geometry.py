@@ -298,11 +298,45 @@ def _signed_area(ring: Column) -> Column:
                        lambda a, e: a + (e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2
 
 
+def _split_once(ring: Column) -> Column:
+    """A closed ring with exactly one proper self-crossing (edges i < j)
+    split at the crossing point X into ``[r0..ri, X, r(j+1)..r(n-1)]`` and
+    ``[X, r(i+1)..rj, X]``; any other ring is returned alone. Returns an
+    array of rings."""
+    def with_edges(es):
+        m = F.size(es)
+        # structs only for the (few) intersecting pairs of non-adjacent edges
+        hits = F.flatten(F.transform(es, lambda a: F.transform(
+            F.filter(es, lambda b: (b["i"] > a["i"] + 1) & ~((a["i"] == 0) & (b["i"] == m - 1))
+                     & segments_intersect(a["e"], b["e"])),
+            lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["e"].alias("e"), b["e"].alias("f")))))
+        return let(hits, lambda hs: F.when(
+            (F.size(hs) == 1) & segments_cross_properly(hs[0]["e"], hs[0]["f"]), _split_at(ring, hs[0]))
+            .otherwise(F.array(ring)))
+    return let(F.transform(ring_edges(ring), lambda e, i: F.struct(e.alias("e"), i.alias("i"))), with_edges)
+
+
+def _split_at(ring: Column, hit: Column) -> Column:
+    e, f, i, j = hit["e"], hit["f"], hit["i"], hit["j"]
+    # X = A + t (B - A), t = ((C - A) x (D - C)) / ((B - A) x (D - C))
+    rx, ry = e["bx"] - e["ax"], e["by"] - e["ay"]
+    sx, sy = f["bx"] - f["ax"], f["by"] - f["ay"]
+    t = ((f["ax"] - e["ax"]) * sy - (f["ay"] - e["ay"]) * sx) / (rx * sy - ry * sx)
+    x = F.struct((e["ax"] + t * rx).alias("x"), (e["ay"] + t * ry).alias("y"))
+    n = F.size(ring)
+    first = F.concat(F.slice(ring, 1, i + 1), F.array(x), F.slice(ring, j + 2, n - j - 1))
+    second = F.concat(F.array(x), F.slice(ring, i + 2, j - i), F.array(x))
+    return F.array(first, second)
+
+
 def make_valid(g) -> Column:
-    """G4 (partial, as planned): drop consecutive repeated vertices, close
-    polygon rings, orient outer rings counter-clockwise and holes clockwise.
-    Self-crossing rings are not split; ``is_valid`` still reports them.
-    Each stage is bound once with ``let``, so no stage is re-evaluated."""
+    """Drop consecutive repeated vertices, close polygon rings, split a
+    single-ring polygon part whose ring crosses itself exactly once (the
+    bow-tie) into two parts at the crossing point (the geometry becomes a
+    MultiPolygon), orient outer rings counter-clockwise and holes clockwise.
+    Rings with several self-crossings, or touching ones, are left as they are
+    and ``is_valid`` still reports them. Each stage is bound once (``let``),
+    so no stage is re-evaluated."""
     gc = _c(g)
     is_poly = F.lower(gc["type"]).contains("polygon")
 
@@ -323,7 +357,16 @@ def make_valid(g) -> Column:
         return let(dedupe(ring), lambda d: F.when(is_poly, let(close(d), lambda c: orient(c, i))).otherwise(d))
 
     fixed = F.transform(gc["parts"], lambda part: F.transform(part, fix))
-    return F.struct(gc["type"].alias("type"), gc["srid"].alias("srid"), fixed.alias("parts"))
+
+    def split_part(part):
+        # only single-ring parts are split; each piece is a new outer ring
+        return F.when(is_poly & (F.size(part) == 1),
+                      F.transform(_split_once(part[0]), lambda r: F.array(orient(r, F.lit(0)))))\
+            .otherwise(F.array(part))
+    parts = let(fixed, lambda fp: F.flatten(F.transform(fp, split_part)))
+    return let(parts, lambda ps: F.struct(
+        F.when(is_poly & (F.size(ps) > 1), F.lit("MultiPolygon")).otherwise(gc["type"]).alias("type"),
+        gc["srid"].alias("srid"), ps.alias("parts")))
 
 
 # --------------------------------------------------------------- extent

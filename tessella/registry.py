@@ -739,18 +739,31 @@ _QA, _QB = ("q.x0", "0.0"), ("(q.x0 + 1.0)", "0.0")
 _QC, _QD = ("(q.x0 + q.u)", "1.0"), ("(q.x0 + q.v)", "1.0")
 
 
+# crossing point X of the bow-tie's edges B->C (e) and D->A (f), same arithmetic as the Spark repair
+_E = {"ax": "(q.x0 + 1.0)", "ay": "0.0", "bx": "(q.x0 + q.u)", "by": "1.0"}
+_F = {"ax": "(q.x0 + q.v)", "ay": "1.0", "bx": "q.x0", "by": "0.0"}
+_RX, _RY = f"({_E['bx']} - {_E['ax']})", f"({_E['by']} - {_E['ay']})"
+_SX, _SY = f"({_F['bx']} - {_F['ax']})", f"({_F['by']} - {_F['ay']})"
+_T = (f"((({_F['ax']} - {_E['ax']}) * {_SY} - ({_F['ay']} - {_E['ay']}) * {_SX})"
+      f" / ({_RX} * {_SY} - {_RY} * {_SX}))")
+_QX = (f"({_E['ax']} + {_T} * {_RX})", f"({_E['ay']} + {_T} * {_RY})")
+
+
 @register("make_valid", f"""
-SELECT q.o_orderkey, {_QUAD_VALID_SQL} AS valid_before,
-  CASE WHEN q.u = q.v THEN true ELSE NOT {_sql_seg_intersect(_BC, _DA)} END AS valid_after,
-  round(abs(CASE WHEN q.u = q.v THEN {_shoelace([_QA, _QB, _QC])} ELSE {_shoelace([_QA, _QB, _QC, _QD])} END), 6)
-    AS area_after
+SELECT q.o_orderkey, {_QUAD_VALID_SQL} AS valid_before, true AS valid_after,
+  CASE WHEN q.u < q.v THEN 2 ELSE 1 END AS n_parts,
+  round(CASE WHEN q.u < q.v THEN abs({_shoelace([_QA, _QB, _QX])}) + abs({_shoelace([_QX, _QC, _QD])})
+             WHEN q.u = q.v THEN abs({_shoelace([_QA, _QB, _QC])})
+             ELSE abs({_shoelace([_QA, _QB, _QC, _QD])}) END, 6) AS area_after
 FROM {L.SQL_QUADS} q""")
 def q_make_valid(spark, sf):
-    """Repair (drop repeated vertices, close, orient CCW); bow-ties stay invalid."""
+    """Repair (drop repeated vertices, close, split bow-ties at the
+    crossing, orient CCW): every quad becomes valid; area summed over parts."""
     q = L.order_quads(spark, sf).withColumn("fixed", G.make_valid("geometry"))
+    area = F.aggregate(F.col("fixed")["parts"], F.lit(0.0), lambda acc, part: acc + F.abs(G._signed_area(part[0])))
     return q.select("o_orderkey", G.is_valid("geometry").alias("valid_before"),
-                    G.is_valid("fixed").alias("valid_after"),
-                    F.round(G._signed_area(F.col("fixed")["parts"][0][0]), 6).alias("area_after"))
+                    G.is_valid("fixed").alias("valid_after"), F.size(F.col("fixed")["parts"]).alias("n_parts"),
+                    F.round(area, 6).alias("area_after"))
 
 
 # ---------------------------------------------------------------- G1, G2, G5, G6 reprojection and extents

@@ -160,3 +160,21 @@ def test_technical_name_matches_driver_twin_on_random_text(spark):
            .select(N.technical_name("s")).collect()]
     bad = [(s, g, N.technical_name_py(s)) for s, g in zip(samples, got) if g != N.technical_name_py(s)]
     assert not bad, bad[:5]
+
+
+def test_make_valid_splits_a_bow_tie_only(spark):
+    rings = [[(0, 0), (1, 0), (0, 1), (1, 1), (0, 0)],                        # bow-tie
+             [(0, 0), (1, 0), (1, 1), (0, 1)],                                # unclosed square
+             [(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)],                        # clockwise square
+             [(0, 0), (4, 0), (0, 2), (4, 2), (0, 4), (4, 4), (0, 0)]]        # two crossings
+    df = spark.createDataFrame([([[[{"x": float(x), "y": float(y)} for x, y in r]]],) for r in rings],
+                               "parts array<array<array<struct<x:double,y:double>>>>")
+    g = df.select(F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"), "parts").alias("g"))
+    out = g.select(G.make_valid("g").alias("f")).select("f", G.is_valid("f").alias("v")).collect()
+    bow, sq, cw, multi = out
+    assert bow.f.type == "MultiPolygon" and bow.v and len(bow.f.parts) == 2
+    assert [(p.x, p.y) for p in bow.f.parts[0][0]] == [(0, 0), (1, 0), (0.5, 0.5), (0, 0)]
+    assert sq.f.type == "Polygon" and sq.v and len(sq.f.parts[0][0]) == 5
+    area = lambda r: sum(a.x * b.y - b.x * a.y for a, b in zip(r, r[1:])) / 2
+    assert area(cw.f.parts[0][0]) > 0  # outer ring turned counter-clockwise
+    assert multi.f.type == "Polygon" and not multi.v  # several crossings: flagged, not split
