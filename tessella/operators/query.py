@@ -265,3 +265,46 @@ def collections(layers: dict[str, tuple[DataFrame, tuple[str, str, str, str]]],
         box["east"].alias("east"), box["north"].alias("north"),
         G.crs_list(F.lit(crs)).alias("crs"),
         (kw[F.col("id")] if kw is not None else F.array().cast("array<string>")).alias("keywords"))
+
+
+def items_response(df: DataFrame, pk: str, limit: int | None = None, offset: int = 0, href: str = "items",
+                   geom_col: str = "geometry") -> DataFrame:
+    """F5 response: one row holding the items page as a GeoJSON
+    FeatureCollection with ``numberMatched`` (features passing the filters),
+    ``numberReturned`` and ``self`` / ``prev`` / ``next`` links, the fields a
+    feature-API client reads. Also returns the parts as columns.
+
+    The page is at most 10000 features (the limit cap), so gathering it into
+    one array is bounded; the match count is a separate partial aggregate.
+    The two one-row results are combined by a union and an aggregate.
+    """
+    from ..sources.sinks import to_geojson_features
+    lim = page_limit(limit)
+    page = items_page(df, pk, lim, offset)
+    feats = to_geojson_features(page, pk, geom_col) if geom_col in df.columns else page.select(
+        F.col(pk), F.to_json(F.struct(*[F.col(c) for c in page.columns])).alias("feature"))
+    collected = feats.agg(F.sort_array(F.collect_list(F.struct(F.col(pk).alias("k"), "feature"))).alias("_p"))
+    matched = df.agg(F.count(F.lit(1)).alias("number_matched"))
+    both = collected.unionByName(matched, allowMissingColumns=True)
+    one = both.agg(F.first("_p", ignorenulls=True).alias("_p"), F.max("number_matched").alias("number_matched"))
+    n_ret = F.size(F.coalesce("_p", F.array()))
+    link = lambda o: F.concat(F.lit(f"{href}?offset="), o.cast("string"), F.lit(f"&limit={lim}"))
+    nxt = F.when(F.lit(offset) + n_ret < F.col("number_matched"), link(F.lit(offset + lim)))
+    prv = F.when(F.lit(offset) > 0, link(F.lit(max(0, offset - lim))))
+    out = one.select(
+        F.col("number_matched"), n_ret.alias("number_returned"), link(F.lit(offset)).alias("self_href"),
+        nxt.alias("next_href"), prv.alias("prev_href"),
+        F.coalesce("_p", F.array()).alias("_p"))
+    links = F.concat_ws(",", F.array_compact(F.array(
+        F.concat(F.lit('{"rel":"self","href":"'), F.col("self_href"), F.lit('"}')),
+        F.when(F.col("prev_href").isNotNull(), F.concat(F.lit('{"rel":"prev","href":"'), F.col("prev_href"), F.lit('"}'))),
+        F.when(F.col("next_href").isNotNull(), F.concat(F.lit('{"rel":"next","href":"'), F.col("next_href"), F.lit('"}'))))))
+    body = F.concat(F.lit('{"type":"FeatureCollection","features":['),
+                    F.concat_ws(",", F.transform("_p", lambda p: p["feature"])),
+                    F.lit('],"numberMatched":'), F.col("number_matched").cast("string"),
+                    F.lit(',"numberReturned":'), F.col("number_returned").cast("string"),
+                    F.lit(',"links":['), links, F.lit("]}"))
+    return out.select("number_matched", "number_returned", "self_href", "next_href", "prev_href",
+                      F.when(F.size("_p") > 0, F.col("_p")[0]["k"]).alias("first_id"),
+                      F.when(F.size("_p") > 0, F.element_at("_p", -1)["k"]).alias("last_id"),
+                      body.alias("response"))

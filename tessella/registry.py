@@ -1238,3 +1238,21 @@ def q_import_summary(spark, sf):
     """Entry 1: per-layer import summary (A1, A2, C10-C13) from one aggregate
     pass per layer plus the keyed duplicate count."""
     return P.import_summary(_import_layers(spark, sf))[0]
+
+
+# ---------------------------------------------------------------- F5 items response
+
+@register("items_response", """
+WITH m AS (SELECT event_id FROM events WHERE value >= 10.0 AND event_type <> 'error'),
+p AS (SELECT event_id FROM m ORDER BY event_id LIMIT 25 OFFSET 50)
+SELECT (SELECT count(*) FROM m) AS number_matched, (SELECT count(*) FROM p) AS number_returned,
+  'items?offset=50&limit=25' AS self_href,
+  CASE WHEN 50 + (SELECT count(*) FROM p) < (SELECT count(*) FROM m) THEN 'items?offset=75&limit=25' END AS next_href,
+  'items?offset=25&limit=25' AS prev_href,
+  (SELECT min(event_id) FROM p) AS first_id, (SELECT max(event_id) FROM p) AS last_id""")
+def q_items_response(spark, sf):
+    """F5 response parts: match count, page size, paging links and the page's
+    first and last ids (the GeoJSON body itself is checked in tests)."""
+    pts = L.event_points(spark, sf, with_geometry=True).select("event_id", "event_type", "value", "geometry")
+    q = Q.items_compare(pts, [("value", ">=", 10.0), ("event_type", "<>", "error")])
+    return Q.items_response(q, "event_id", limit=25, offset=50).drop("response")

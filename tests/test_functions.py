@@ -178,3 +178,19 @@ def test_make_valid_splits_a_bow_tie_only(spark):
     area = lambda r: sum(a.x * b.y - b.x * a.y for a, b in zip(r, r[1:])) / 2
     assert area(cw.f.parts[0][0]) > 0  # outer ring turned counter-clockwise
     assert multi.f.type == "Polygon" and not multi.v  # several crossings: flagged, not split
+
+
+def test_items_response_feature_collection(spark, sf_dir):
+    import json
+    from tessella.sources import layers as LY
+    pts = LY.event_points(spark, sf_dir, with_geometry=True).select("event_id", "value", "geometry")
+    n = pts.count()
+    first = json.loads(Q.items_response(pts, "event_id", limit=10, offset=0).first().response)
+    assert first["type"] == "FeatureCollection" and first["numberMatched"] == n and first["numberReturned"] == 10
+    assert {l["rel"] for l in first["links"]} == {"self", "next"}
+    ids = [f["id"] for f in first["features"]]
+    assert ids == sorted(ids) and first["features"][0]["geometry"]["type"] == "Point"
+    last = json.loads(Q.items_response(pts, "event_id", limit=10, offset=n - 3).first().response)
+    assert last["numberReturned"] == 3 and {l["rel"] for l in last["links"]} == {"self", "prev"}
+    none = Q.items_response(pts.limit(0), "event_id").first()
+    assert none.number_matched == 0 and none.number_returned == 0 and json.loads(none.response)["features"] == []
