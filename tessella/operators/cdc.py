@@ -259,7 +259,10 @@ def run_sync(spark: SparkSession, current: DataFrame, pk: str, out_dir: str, lay
         store.write(new_state, batch_id, now)
         return {"mode": "full", "output": path, "since": None}
     changes = cdc_diff(current, prev, pk, ts_col, since, hash_cols)
-    base = f"{out_dir.rstrip('/')}/{layer}_delta_{now[:10]}"
+    # ``<layer>_delta_<date>`` as in the reference, one folder per batch inside
+    # it, so two runs on one day do not overwrite each other and a replayed
+    # batch rewrites only its own folder
+    base = f"{out_dir.rstrip('/')}/{layer}_delta_{now[:10]}/batch={int(batch_id)}"
     # one pass writes all three kinds; deletes land in their own folder
     # (``_change_type=delete``) holding the PK only, the others full rows
     changes.write.mode("overwrite").partitionBy(CHANGE_COL).parquet(base)

@@ -357,3 +357,17 @@ def test_cdc_edge_rules(spark, scratch):
     assert r_h["changed"] is False
     # `since` is the time taken before the previous scan
     assert r_ts["since"] == "2030-01-01T00:00:00"
+
+
+def test_same_day_runs_keep_both_deltas(spark, scratch, sf_dir):
+    prev, cur = _orders_pair(spark, sf_dir)
+    out = os.path.join(scratch, "sameday")
+    D.run_sync(spark, prev, "o_orderkey", out, "o", 1, since_arg="last", hash_cols=HASH_COLS, now="2026-05-01T01:00:00")
+    r2 = D.run_sync(spark, cur, "o_orderkey", out, "o", 2, since_arg="last", hash_cols=HASH_COLS,
+                    now="2026-05-01T02:00:00")
+    r3 = D.run_sync(spark, prev, "o_orderkey", out, "o", 3, since_arg="last", hash_cols=HASH_COLS,
+                    now="2026-05-01T03:00:00")
+    assert r2["output"] != r3["output"]
+    n2, n3 = spark.read.parquet(r2["output"]).count(), spark.read.parquet(r3["output"]).count()
+    assert n2 > 0 and n3 > 0
+    assert spark.read.parquet(os.path.join(out, "o_delta_2026-05-01")).count() == n2 + n3
