@@ -98,7 +98,8 @@ def stream_sync(spark: SparkSession, landing_dir: str, schema: T.StructType | st
             upsert_batch(spark, batch, batch_id, pk, out_dir, layer, store, ts_col, hash_cols, delete_col)
             return
         current = read_current() if read_current else spark.read.schema(schema).format(fmt).load(landing_dir)
-        D.run_sync(spark, current, pk, f"{out_dir.rstrip('/')}/batch={int(batch_id)}", layer, batch_id,
+        # run_sync keeps each batch's delta in its own folder (batch=<id>)
+        D.run_sync(spark, current, pk, out_dir, layer, batch_id,
                    since_arg=since_arg, ts_col=ts_col, hash_cols=hash_cols, state_root=store.root)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)

@@ -206,11 +206,11 @@ def test_stream_snapshot_mode_equals_batch(spark, sf_dir, scratch):
     state["path"] = os.path.join(src, "s2")
     tick.write.parquet(os.path.join(landing, "t2"))
     ST.stream_sync(spark, landing + "/*", "n int", "o_orderkey", out, "orders", ck, **kw).awaitTermination(300)
-    batches = sorted(d for d in os.listdir(out) if d.startswith("batch="))
-    assert len(batches) == 2
-    assert os.path.isdir(os.path.join(out, batches[0], "orders_full"))
-    delta_dir = [d for d in os.listdir(os.path.join(out, batches[1])) if d.startswith("orders_delta_")][0]
-    got = spark.read.parquet(os.path.join(out, batches[1], delta_dir))
+    assert os.path.isdir(os.path.join(out, "orders_full"))
+    delta_dir = [d for d in os.listdir(out) if d.startswith("orders_delta_")][0]
+    batches = sorted(d for d in os.listdir(os.path.join(out, delta_dir)) if d.startswith("batch="))
+    assert len(batches) == 1  # the first batch was the full export
+    got = spark.read.parquet(os.path.join(out, delta_dir, batches[0]))
     want = D.cdc_diff(snap2, D.state_from_snapshot(snap1, "o_orderkey", ["o_custkey", "o_totalprice"]),
                       "o_orderkey", hash_cols=["o_custkey", "o_totalprice"])
     assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
