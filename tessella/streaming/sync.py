@@ -46,8 +46,11 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pk: str,
     """One micro-batch of upsert mode: changes out, then the next key state."""
     rows = _latest_per_key(batch, pk, order_col)
     prev = store.keys(before=batch_id)
+    pk_type = batch.schema[pk].dataType
     if prev is None:
-        prev = spark.createDataFrame([], "pk long, row_hash long")
+        from pyspark.sql import types as T
+        prev = spark.createDataFrame([], T.StructType([T.StructField("pk", pk_type),
+                                                       T.StructField("row_hash", T.LongType())]))
     deleted = F.coalesce(F.col(delete_col), F.lit(False)) if delete_col else F.lit(False)
     data_cols = [c for c in rows.columns if c != delete_col]
     rh = D.row_hash(hash_cols) if hash_cols else F.lit(None).cast("long")
@@ -65,9 +68,9 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pk: str,
                       else F.col(c) for c in data_cols], D.CHANGE_COL)
      .write.mode("overwrite").partitionBy(D.CHANGE_COL).parquet(out))
     # next state: previous keys minus deletes, upserted keys with their hash
-    up = j.filter(~F.col("_del")).select(F.col(pk).cast("long").alias("pk"), F.col("_hash").alias("row_hash"))
-    gone = j.filter(F.col("_del")).select(F.col(pk).cast("long").alias("pk"))
-    touched = rows.select(F.col(pk).cast("long").alias("pk"))
+    up = j.filter(~F.col("_del")).select(F.col(pk).alias("pk"), F.col("_hash").alias("row_hash"))
+    gone = j.filter(F.col("_del")).select(F.col(pk).alias("pk"))
+    touched = rows.select(F.col(pk).alias("pk"))
     keep = prev.select("pk", *(["row_hash"] if "row_hash" in prev.columns else [])) \
         .join(touched, "pk", "left_anti")
     new_state = keep.unionByName(up, allowMissingColumns=True).join(gone, "pk", "left_anti")

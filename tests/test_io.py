@@ -371,3 +371,15 @@ def test_same_day_runs_keep_both_deltas(spark, scratch, sf_dir):
     n2, n3 = spark.read.parquet(r2["output"]).count(), spark.read.parquet(r3["output"]).count()
     assert n2 > 0 and n3 > 0
     assert spark.read.parquet(os.path.join(out, "o_delta_2026-05-01")).count() == n2 + n3
+
+
+def test_upsert_batches_with_string_keys(spark, scratch):
+    store = D.StateStore(spark, os.path.join(scratch, "st"), "s")
+    out = os.path.join(scratch, "o")
+    b1 = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, None)], "k string, v double, d boolean")
+    ST.upsert_batch(spark, b1, 1, "k", out, "s", store, None, ["v"], "d")
+    b2 = spark.createDataFrame([("a", 1.5, None), ("b", None, True), ("c", 3.0, None)], "k string, v double, d boolean")
+    ST.upsert_batch(spark, b2, 2, "k", out, "s", store, None, ["v"], "d")
+    got = {(r.k, r[D.CHANGE_COL]) for r in spark.read.parquet(os.path.join(out, "s_delta", "batch=2")).collect()}
+    assert got == {("a", "update"), ("b", "delete"), ("c", "insert")}
+    assert sorted(r.pk for r in store.keys().collect()) == ["a", "c"]
