@@ -305,14 +305,19 @@ def _split_once(ring: Column) -> Column:
     array of rings."""
     def with_edges(es):
         m = F.size(es)
-        # structs only for the (few) intersecting pairs of non-adjacent edges
+
+        def pair_ok(a, b):
+            return (b["i"] > a["i"] + 1) & ~((a["i"] == 0) & (b["i"] == m - 1)) & segments_intersect(a["e"], b["e"])
+        # simple rings (most) stop at this short-circuiting test; only crossing
+        # rings build the (few) intersecting pairs
+        crossing = F.exists(es, lambda a: F.exists(es, lambda b: pair_ok(a, b)))
         hits = F.flatten(F.transform(es, lambda a: F.transform(
-            F.filter(es, lambda b: (b["i"] > a["i"] + 1) & ~((a["i"] == 0) & (b["i"] == m - 1))
-                     & segments_intersect(a["e"], b["e"])),
+            F.filter(es, lambda b: pair_ok(a, b)),
             lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["e"].alias("e"), b["e"].alias("f")))))
-        return let(hits, lambda hs: F.when(
+        split = let(hits, lambda hs: F.when(
             (F.size(hs) == 1) & segments_cross_properly(hs[0]["e"], hs[0]["f"]), _split_at(ring, hs[0]))
             .otherwise(F.array(ring)))
+        return F.when(crossing, split).otherwise(F.array(ring))
     return let(F.transform(ring_edges(ring), lambda e, i: F.struct(e.alias("e"), i.alias("i"))), with_edges)
 
 
