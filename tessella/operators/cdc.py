@@ -69,6 +69,21 @@ def cdc_diff(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | N
     """
     if not narrow:
         return _diff_wide(current, prev_state, pk, ts_col, since, hash_cols)
+    upserts, deletes = cdc_split(current, prev_state, pk, ts_col, since, hash_cols, broadcast_rows)
+    dtype = current.schema[pk].dataType
+    deletes = deletes.select(*[F.col(pk).cast(dtype).alias(c) if c == pk
+                               else F.lit(None).cast(current.schema[c].dataType).alias(c)
+                               for c in current.columns], CHANGE_COL)
+    return upserts.unionByName(deletes)
+
+
+def cdc_split(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None, since=None,
+              hash_cols: list[str] | None = None, broadcast_rows: int = 10_000_000) -> tuple[DataFrame, DataFrame]:
+    """The narrow plan of ``cdc_diff`` as two frames: inserted and updated
+    rows (all columns + ``_change_type``), and deleted keys (``pk`` +
+    ``_change_type`` only, the reference's ``<tbl>_deletes``). Both read the
+    checkpointed key-only change set, so writing them separately repeats no
+    wide work."""
     from ._util import DEFAULT_BROADCAST_BYTES
     extra = []
     if hash_cols:
@@ -104,10 +119,8 @@ def cdc_diff(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | N
         upserts = F.broadcast(upserts)
     rows = current.join(upserts, F.col(pk) == F.col("_k")).drop("_k")
     dtype = current.schema[pk].dataType
-    deletes = classified.filter(F.col(CHANGE_COL) == DELETE).select(
-        *[F.col("_k").cast(dtype).alias(c) if c == pk else F.lit(None).cast(current.schema[c].dataType).alias(c)
-          for c in current.columns], CHANGE_COL)
-    return rows.select(*current.columns, CHANGE_COL).unionByName(deletes)
+    deletes = classified.filter(F.col(CHANGE_COL) == DELETE).select(F.col("_k").cast(dtype).alias(pk), CHANGE_COL)
+    return rows.select(*current.columns, CHANGE_COL), deletes
 
 
 def _diff_wide(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None,
@@ -258,18 +271,29 @@ def run_sync(spark: SparkSession, current: DataFrame, pk: str, out_dir: str, lay
         current.write.mode("overwrite").parquet(path)
         store.write(new_state, batch_id, now)
         return {"mode": "full", "output": path, "since": None}
-    changes = cdc_diff(current, prev, pk, ts_col, since, hash_cols)
+    upserts, deletes = cdc_split(current, prev, pk, ts_col, since, hash_cols)
     # ``<layer>_delta_<date>`` as in the reference, one folder per batch inside
     # it, so two runs on one day do not overwrite each other and a replayed
-    # batch rewrites only its own folder
+    # batch rewrites only its own folder; inserted/updated rows go to
+    # ``<layer>``, deleted keys (PK + type only) to ``<layer>_deletes``
     base = f"{out_dir.rstrip('/')}/{layer}_delta_{now[:10]}/batch={int(batch_id)}"
-    # one pass writes all three kinds; deletes land in their own folder
-    # (``_change_type=delete``) holding the PK only, the others full rows
-    changes.write.mode("overwrite").partitionBy(CHANGE_COL).parquet(base)
+    rows_path, deletes_path = f"{base}/{layer}", f"{base}/{layer}_deletes"
+    upserts.write.mode("overwrite").parquet(rows_path)
+    deletes.write.mode("overwrite").parquet(deletes_path)
     store.write(new_state, batch_id, now)
     # with a timestamp column the run counts as changed even when no row is
-    # found (reference behaviour); otherwise by the written row count (read
-    # from the output just written, not by recomputing the diff)
-    # (read with the known schema: a run with no change writes no data file)
-    changed = True if ts_col else spark.read.schema(changes.schema).parquet(base).limit(1).count() > 0
-    return {"mode": "delta", "output": base, "since": since, "changed": changed}
+    # found (reference behaviour); otherwise by the written row counts (read
+    # back with the known schemas: a run with no change writes no data file)
+    changed = True if ts_col else (
+        spark.read.schema(upserts.schema).parquet(rows_path).limit(1).count() > 0
+        or spark.read.schema(deletes.schema).parquet(deletes_path).limit(1).count() > 0)
+    return {"mode": "delta", "output": base, "rows": rows_path, "deletes": deletes_path, "since": since,
+            "changed": changed}
+
+
+def read_changes(spark: SparkSession, result: dict, schema=None) -> DataFrame:
+    """All change rows of a ``run_sync`` delta result as one frame (deletes
+    with NULL attributes), for consumers that want one table."""
+    rows = spark.read.schema(schema).parquet(result["rows"]) if schema else spark.read.parquet(result["rows"])
+    dels = spark.read.parquet(result["deletes"])
+    return rows.unionByName(dels, allowMissingColumns=True)

@@ -140,15 +140,16 @@ def test_run_sync_full_then_delta_and_replay(spark, sf_dir, scratch):
     r2 = D.run_sync(spark, cur, "o_orderkey", out, "orders", 2, since_arg="last", hash_cols=HASH_COLS,
                     now="2026-01-02T00:00:00+00:00")
     assert r2["mode"] == "delta" and r2["since"] == "2026-01-01T00:00:00+00:00" and r2["changed"]
-    got = spark.read.parquet(r2["output"])
+    got = D.read_changes(spark, r2)
     want = D.cdc_diff(cur, D.state_from_snapshot(prev, "o_orderkey", HASH_COLS), "o_orderkey", hash_cols=HASH_COLS)
     assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
-    # deletes keep the key only
-    assert got.filter(F.col(D.CHANGE_COL) == "delete").filter("o_custkey IS NOT NULL").count() == 0
+    # deletes are stored apart, with the key and the change type only
+    assert spark.read.parquet(r2["deletes"]).columns == ["o_orderkey", D.CHANGE_COL]
+    assert spark.read.parquet(r2["rows"]).filter(F.col(D.CHANGE_COL) == "delete").count() == 0
     # replaying batch 2 diffs against batch 1's state again: same output
     D.run_sync(spark, cur, "o_orderkey", out, "orders", 2, since_arg="last", hash_cols=HASH_COLS,
                now="2026-01-02T00:00:00+00:00")
-    again = spark.read.parquet(r2["output"])
+    again = D.read_changes(spark, r2)
     assert again.count() == want.count()
     store = D.StateStore(spark, os.path.join(out, "_state"), "orders")
     assert store.latest() == 2 and store.keys().count() == cur.count()
@@ -210,7 +211,8 @@ def test_stream_snapshot_mode_equals_batch(spark, sf_dir, scratch):
     delta_dir = [d for d in os.listdir(out) if d.startswith("orders_delta_")][0]
     batches = sorted(d for d in os.listdir(os.path.join(out, delta_dir)) if d.startswith("batch="))
     assert len(batches) == 1  # the first batch was the full export
-    got = spark.read.parquet(os.path.join(out, delta_dir, batches[0]))
+    base = os.path.join(out, delta_dir, batches[0])
+    got = D.read_changes(spark, {"rows": os.path.join(base, "orders"), "deletes": os.path.join(base, "orders_deletes")})
     want = D.cdc_diff(snap2, D.state_from_snapshot(snap1, "o_orderkey", ["o_custkey", "o_totalprice"]),
                       "o_orderkey", hash_cols=["o_custkey", "o_totalprice"])
     assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
@@ -350,7 +352,7 @@ def test_cdc_edge_rules(spark, scratch):
     D.run_sync(spark, cur, "k", out, "t", 1, since_arg="last", ts_col="ts", now="2030-01-01T00:00:00")
     r_ts = D.run_sync(spark, cur, "k", out, "t", 2, since_arg="last", ts_col="ts", now="2030-01-02T00:00:00")
     assert r_ts["mode"] == "delta" and r_ts["changed"] is True
-    assert not [f for f in os.listdir(r_ts["output"]) if f.endswith(".parquet")]  # nothing to write
+    assert D.read_changes(spark, r_ts).count() == 0  # nothing changed
     out2 = os.path.join(scratch, "edge_hash")
     D.run_sync(spark, cur, "k", out2, "t", 1, since_arg="last", hash_cols=["v"], now="2030-01-01T00:00:00")
     r_h = D.run_sync(spark, cur, "k", out2, "t", 2, since_arg="last", hash_cols=["v"], now="2030-01-02T00:00:00")
@@ -368,9 +370,9 @@ def test_same_day_runs_keep_both_deltas(spark, scratch, sf_dir):
     r3 = D.run_sync(spark, prev, "o_orderkey", out, "o", 3, since_arg="last", hash_cols=HASH_COLS,
                     now="2026-05-01T03:00:00")
     assert r2["output"] != r3["output"]
-    n2, n3 = spark.read.parquet(r2["output"]).count(), spark.read.parquet(r3["output"]).count()
+    n2, n3 = D.read_changes(spark, r2).count(), D.read_changes(spark, r3).count()
     assert n2 > 0 and n3 > 0
-    assert spark.read.parquet(os.path.join(out, "o_delta_2026-05-01")).count() == n2 + n3
+    assert sorted(os.listdir(os.path.join(out, "o_delta_2026-05-01"))) == ["batch=2", "batch=3"]
 
 
 def test_upsert_batches_with_string_keys(spark, scratch):
