@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from urllib.parse import parse_qs, unquote, urlparse
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
