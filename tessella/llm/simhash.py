@@ -103,7 +103,8 @@ def planes_of(fps: np.ndarray, word: np.ndarray, lane: np.ndarray, words: int) -
     grid = np.zeros((words, 64, 8), np.uint8)
     grid[word, lane] = fps.astype("<u8").view(np.uint8).reshape(-1, 8)
     bits = np.unpackbits(grid, axis=2, bitorder="little")  # word, lane, bit
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+    packed = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view("<u8")[:, :, 0]
 
 
 def sliced_matches(planes: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int):
