@@ -166,6 +166,20 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x[:n]
 
 
+#: Bits of the place that a hash is joined with: texts of up to 2**31 steps.
+_PLACE = U64((1 << 31) - 1)
+
+
+def leftmost_min(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Place of the smallest of every ``w`` consecutive hashes, the leftmost of
+    equal ones. Hashes are compared by their upper 33 bits, whatever the length
+    of the array, so that equal stretches choose alike anywhere."""
+    if len(hashes) > int(_PLACE):
+        raise ValueError("a text of more than 2**31 steps")
+    at = np.arange(len(hashes), dtype=U64)
+    return (sliding_min((hashes & ~_PLACE) | at, w) & _PLACE).astype(np.int64)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All indexes start, start + 1, ... of spans, one after the other."""
     total = int(lengths.sum())

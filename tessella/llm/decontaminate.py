@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, lists, materialize, mix, ragged, sliding_min, text_blocks, text_key, utf8, word_table
+from .common import U64, batch, leftmost_min, lists, materialize, mix, ragged, text_blocks, text_key, utf8, word_table
 
 WINDOW, KGRAM = 13, 5
 #: Bytes of benchmark text that are broadcast at once.
@@ -52,12 +52,9 @@ def winnowed(hashes: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     n = len(hashes)
     if n < w:
         return np.zeros(0, np.int64)
-    shift = U64(max(1, int(n).bit_length()))
-    low = (U64(1) << shift) - U64(1)
-    x = (hashes & ~low) | np.arange(n, dtype=U64)
     whole = np.concatenate([[0], np.cumsum(~valid)])
     ok = whole[w:] == whole[:-w]  # windows that lie in one text
-    return np.unique((sliding_min(x, w)[ok] & low).astype(np.int64))
+    return np.unique(leftmost_min(hashes, w)[ok])
 
 
 class Index:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, line_dedup, pack_local, quality, simhash, toxicity
+from . import decontaminate, embedding, line_dedup, pack_local, quality, simhash, suffix_array, toxicity
 
 #: Fixed value: the vocabulary file named by the packing contract.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,15 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf, "documents"))
 
 
+def op2_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding.embedding_dedup(table(spark, sf, "embeddings"))
+
+
+def op5_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix_array.remove_repeats(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     hit = decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -53,6 +62,8 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_embedding": op2_embedding,
+    "op5_suffix_array": op5_suffix_array,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
@@ -102,6 +113,8 @@ FROM d LEFT JOIN s ON d.doc_id = s.doc_id AND d.text = s.text""",
 #: Queries that SQL cannot express, and where they are checked instead.
 NO_ORACLE_REASON: dict[str, str] = {
     "op1_simhash": "XXH64 and connected components; brute force in tests/llm",
+    "op2_embedding": "an index with a recall below one, and components; brute force in tests/llm",
+    "op5_suffix_array": "suffixes of whole texts; brute force in tests/llm",
     "op7_toxicity": "a trained model; held-out labels in tests/llm",
     "op8_quality": "a trained model; held-out labels in tests/llm",
     "op10_best_fit_packing": "a tokenizer; round trip and lower bound in tests/llm",
