@@ -15,7 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, embedding, line_dedup, pack_local, quality, simhash, suffix_array, toxicity
+from . import (
+    decontaminate,
+    embedding,
+    html_extract,
+    line_dedup,
+    pack_bfd,
+    pack_local,
+    quality,
+    simhash,
+    suffix_array,
+    toxicity,
+)
 
 #: Fixed value: the vocabulary file named by the packing contract.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +40,14 @@ def op2_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.embedding_dedup(table(spark, sf, "embeddings"))
 
 
+def op3_token_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_bfd.packed(table(spark, sf, "documents"), TOKENIZER)
+
+
+def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf, "pages"))
+
+
 def op5_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
     cut = suffix_array.remove_repeats(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -63,6 +82,8 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_embedding": op2_embedding,
+    "op3_token_packing": op3_token_packing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_suffix_array": op5_suffix_array,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
@@ -114,6 +135,8 @@ FROM d LEFT JOIN s ON d.doc_id = s.doc_id AND d.text = s.text""",
 NO_ORACLE_REASON: dict[str, str] = {
     "op1_simhash": "XXH64 and connected components; brute force in tests/llm",
     "op2_embedding": "an index with a recall below one, and components; brute force in tests/llm",
+    "op3_token_packing": "a tokenizer; exact round trip in tests/llm",
+    "op4_html_extraction": "inferred wrappers; pages with known text in tests/llm",
     "op5_suffix_array": "suffixes of whole texts; brute force in tests/llm",
     "op7_toxicity": "a trained model; held-out labels in tests/llm",
     "op8_quality": "a trained model; held-out labels in tests/llm",
