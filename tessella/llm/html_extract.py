@@ -1,7 +1,7 @@
 """Main text of web pages by inferred wrappers (operator 4).
 
 A wrapper is a union-free regular expression over the tokens of a host's pages
-(tags, and text). It starts as the first page's token stream with runs of equal
+(tags of blocks, and texts, with inline elements as part of them). It starts as the first page's token stream with runs of equal
 groups folded to repeated groups. Each further page is aligned with it: texts
 that differ at one place become a text slot, stretches that only one side has
 become optional, or join the repeated group beside them that they fit.
@@ -14,8 +14,9 @@ The wrapper tells, for a whole host, which slots hold the article: those under
 its article or main element where it has one; else the slots whose text
 differs between pages and that are not lists of links. Slots inside menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments never
-do. A page that its host's wrapper does not match (it is ambiguous at times) is
-read by the slots it has itself.
+do. Groups match without backtracking, so that a wrapper can miss a page it was
+made from; such a page's slots are looked up in the wrapper all the same, and
+those the wrapper does not have are judged by the page alone.
 """
 
 from __future__ import annotations
@@ -103,6 +104,7 @@ class Page:
                     at = end.end()
                 else:
                     self._open(name, tag)
+        self._pop_to(0)
 
     def _text(self, text: str) -> None:
         if text.isspace():
@@ -113,10 +115,15 @@ class Page:
             return
         if self._path is None:
             self._path = ">".join(self.stack)
-        self.tokens.append("#")
+        if not self.tokens or self.tokens[-1] != "#":
+            self.tokens.append("#")
         self.texts.append((self._path, text, self.block))
 
     def _pop_to(self, i: int) -> None:
+        for tag in reversed(self.stack[i:]):  # end tags that were left out are put in
+            name = tag.partition(".")[0]
+            if name not in INLINE:
+                self.tokens.append(f"</{name}>")
         del self.stack[i:]
         self._path = None
 
@@ -140,13 +147,14 @@ class Page:
                 break
             if base in ("ul", "ol", "dl", "table", "select"):
                 break
-        self.tokens.append(f"<{tag}>")
-        if name in VOID:
-            return
         if name in KEEP:  # an article does not stand in what is left out: that was never closed
             bad = next((i for i, x in enumerate(self.stack) if left_out(x)), None)
             if bad is not None and self.stack[bad].partition(".")[0] not in ("aside", "footer", "form") and "comment" not in self.stack[bad]:
                 self._pop_to(bad)
+        if name not in INLINE:  # inline elements are part of a text
+            self.tokens.append(f"<{tag}>")
+        if name in VOID:
+            return
         self.stack.append(tag)
         self._path = None
 
@@ -154,11 +162,7 @@ class Page:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].partition(".")[0] == name:
                 self._pop_to(i)
-                self.tokens.append(f"</{name}>")
                 break
-        else:
-            if name not in INLINE:
-                self.tokens.append(f"</{name}>")
         if name not in INLINE:
             self.block += 1
 
@@ -166,7 +170,7 @@ class Page:
 # ---------------------------------------------------------------- wrappers
 # Items: a token (str), ("+", items) for a repeated and ("?", items) for an optional group.
 
-def _chars(items: list, codes: dict, back: list) -> str:
+def _chars(items, codes: dict, back: list) -> str:
     out = []
     for x in items:
         if x not in codes:
@@ -176,17 +180,35 @@ def _chars(items: list, codes: dict, back: list) -> str:
     return "".join(out)
 
 
-_TWICE = re.compile(rf"(.{{1,{GROUP}}}?)\1+", re.S)
+def fold(items) -> tuple:
+    """Runs of equal groups as repeated groups, the shortest first; after each
+    step, groups beside a repeated group that begin alike join it."""
+    items, size = absorb(items), 1
+    while size <= GROUP:
+        new = _tandems(items, size)
+        if new != items:
+            new = absorb(new)
+        if len(new) < len(items):
+            items, size = new, 1
+        else:
+            size += 1
+    return items
 
 
-def fold(items) -> tuple:
-    """Runs of equal groups as repeated groups, inner ones first; groups beside
-    them that begin alike join them."""
-    while True:
-        t = absorb(_tandems(items))
-        if t == tuple(items):
-            return t
-        items = t
+def _tandems(items: tuple, size: int) -> tuple:
+    """Groups of ``size`` items that stand twice or more in a row, as one."""
+    codes: dict = {}
+    back: list = []
+    s = _chars(items, codes, back)
+
+    def repeat(m: re.Match) -> str:
+        body = tuple(back[ord(c) - 0xF0000] for c in m[1])
+        if size == 1 and isinstance(body[0], tuple):
+            return m[1]  # a group is not repeated as such
+        return _chars([("+", body)], codes, back)
+
+    s = re.sub(rf"(.{{{size}}})\1+", repeat, s, flags=re.S)
+    return tuple(back[ord(c) - 0xF0000] for c in s)
 
 
 def _stretch(items: list, j: int) -> int:
@@ -249,28 +271,6 @@ def absorb(items) -> tuple:
     return tuple(items)
 
 
-def _tandems(items) -> tuple:
-    codes: dict = {}
-    back: list = []
-    s = _chars(list(items), codes, back)
-
-    def repeat(m: re.Match) -> str:
-        body = tuple(back[ord(c) - 0xF0000] for c in m[1])
-        if len(body) == 1 and isinstance(body[0], tuple):
-            return m[1]  # a group is not repeated as such
-        return _chars([("+", body)], codes, back)
-
-    while True:
-        t = _TWICE.sub(repeat, s)
-        for x in {back[ord(c) - 0xF0000] for c in t}:
-            if isinstance(x, tuple) and x[0] == "+":
-                body, plus = _chars(list(x[1]), codes, back), codes[x]
-                t = re.sub(f"(?:{body}|{plus})*{plus}(?:{body}|{plus})*", plus, t)
-        if t == s:
-            return tuple(back[ord(c) - 0xF0000] for c in s)
-        s = t
-
-
 def _head(x) -> str:
     while isinstance(x, tuple):
         x = x[1][0]
@@ -407,11 +407,21 @@ class Wrapper:
         if inside:
             return frozenset(p for p in inside if "header" not in p.split(">")[:_main_at(p)])
         free = {p for p in open_ if "header" not in p.split(">")}
-        same = {p for p in free if self.slots[p] is not None} if self.pages >= 3 else set()
+        # inline text goes with the block around it
+        same = {p for p in free if self.slots[p] is not None and self.slots.get(_block(p), "") is not None}
+        same = same if self.pages >= 3 and same != free else set()
         links = {p for p in free if "li" in p.split(">") and p.split(">")[-1] == "a"}
         return frozenset(free - same - links)
 
 
+def _block(path: str) -> str:
+    """The path of the block that an inline element stands in."""
+    parts = path.split(">")
+    while len(parts) > 1 and parts[-1].partition(".")[0] in INLINE:
+        parts.pop()
+    return ">".join(parts)
+
+
 def left_out(tag: str) -> bool:
     name, *marks = tag.split(".")
     if name in DROP:
@@ -510,13 +520,12 @@ def _extract(batches: Iterator[pa.RecordBatch], known: dict[str, str] | None) ->
                     made.clear()
                 x = Wrapper.loads(w)
                 made[host] = x, x.article()
-            ok = host in made and made[host][0].matches(page.tokens)
-            if ok:
-                paths = made[host][1]
-            else:
+            wrapper, paths = made.get(host) or (Wrapper(), frozenset())
+            ok = wrapper.matches(page.tokens)
+            if not ok:
                 own = Wrapper()
                 own.add(page)
-                paths = own.article()
+                paths |= frozenset(p for p in own.article() if p not in wrapper.slots)
             texts.append(text_of(page, paths))
             matched.append(ok)
         yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("url"), *batch(_TEXT, text=texts, matched=matched).columns],

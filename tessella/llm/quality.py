@@ -26,6 +26,9 @@ from .common import U64, batch, lists, runs_of, span_hash, text_blocks
 SAMPLE = 8_000
 #: Weights of the hashed linear scorer.
 DIM = 1 << 16
+#: Words added to a text's number of words where features are made frequencies:
+#: a text of few words says little for or against itself.
+SMOOTH = 4
 GOOD, BAD, NONE = 0, 1, 2
 
 _UPPER, _LOWER, _HIGH, _SIGN, _BANG, _BAR, _STOP = (np.zeros(256, bool) for _ in range(7))
@@ -143,13 +146,21 @@ def votes(shapes: Shapes, labellers=LABELLERS) -> np.ndarray:
     return out
 
 
+#: Rates of (good, bad, no) votes that are expected of a labeller on good and on
+#: bad documents, before any is seen, and the share of all documents that this
+#: expectation weighs. Without it, junk of one kind, on which most labellers
+#: vote good, can pass for a habit of labellers on good documents.
+EXPECTED = ((0.92, 0.01, 0.07), (0.60, 0.30, 0.10))
+EXPECTED_WEIGHT = (0.5, 0.05)
+
+
 def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """P(good) of each vote pattern, by expectation-maximisation over the
-    labellers' rates of each vote on good and on bad documents. Start values say
-    only that a bad vote is likelier on a bad document."""
+    labellers' rates of each vote on good and on bad documents."""
     k = patterns.shape[1]
-    rate = np.array([[0.90, 0.02, 0.08], [0.45, 0.45, 0.10]])  # vote rates on good, on bad documents
-    p = np.repeat(rate[:, None, :], k, axis=1)
+    rate = np.array(EXPECTED)[:, None, :]
+    weigh = np.array(EXPECTED_WEIGHT)[:, None, None] * counts.sum()
+    p = np.repeat(rate, k, axis=1)
     prior = np.array([0.85, 0.15])
     one_hot = np.eye(3)[patterns]
     for _ in range(rounds):
@@ -159,7 +170,7 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> n
         post /= post.sum(axis=0)
         weight = post * counts
         prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
-        p = np.einsum("cn,nkv->ckv", weight, one_hot) + 0.5
+        p = np.einsum("cn,nkv->ckv", weight, one_hot) + weigh * rate + 1e-9
         p /= p.sum(axis=2, keepdims=True)
     return post[0]
 
@@ -210,7 +221,7 @@ def _sample_rows(batches: Iterator[pa.RecordBatch], labellers) -> Iterator[pa.Re
             doc, slot = np.divmod(key, DIM)
             per = np.bincount(doc, minlength=len(s.n))
             yield batch(schema, pattern=votes(s, labellers) @ power, slot=lists(pa.array(slot), per),
-                        value=lists(pa.array(num / s.n[doc]), per))
+                        value=lists(pa.array(num / (s.n[doc] + SMOOTH)), per))
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE,
@@ -249,7 +260,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             s = Shapes(raw, offs)
             w = model.weights[s.features()]
             per_word = w[:len(w) // 2] + w[len(w) // 2:]
-            z = model.bias + np.bincount(s.doc, weights=per_word, minlength=len(s.n)) / np.maximum(1, s.n)
+            z = model.bias + np.bincount(s.doc, weights=per_word, minlength=len(s.n)) / (s.n + SMOOTH)
             out.append(np.where(s.n > 0, 0.5 * (1 + np.tanh(z / 2)), 0.0))
         if out:
             got = pa.array(np.round(np.concatenate(out), 9))

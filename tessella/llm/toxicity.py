@@ -105,7 +105,7 @@ def fit(toxic: np.ndarray, row: np.ndarray, word: np.ndarray, count: np.ndarray,
     one[once] = True
     new = np.cumsum(one) - 1
     toxic, word, count, row = toxic[one], word[one[row]], count[one[row]], new[row[one[row]]]
-    n = len(toxic)
+    n = max(1, len(toxic))
     uniq, inv, df = np.unique(word, return_inverse=True, return_counts=True)
     bad = np.bincount(inv, weights=toxic[row], minlength=len(uniq))
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((df - bad + 0.5) / (n - toxic.sum() + 1))
@@ -116,15 +116,15 @@ def fit(toxic: np.ndarray, row: np.ndarray, word: np.ndarray, count: np.ndarray,
     features, row, col, count = uniq[good], row[keep], slot[inv[keep]], count[keep]
     m = len(features)
     strong = (odds[good] > 2) & (bad[good] >= MIN_DOCS)
-    hits = np.bincount(row, weights=count * strong[col], minlength=n)
+    hits = np.bincount(row, weights=count * strong[col], minlength=len(toxic))
     grade = np.where(toxic > 0, 1 + np.searchsorted(GRADE_AT, hits, side="right"), 0)
     x = np.sqrt(count.astype(np.float64))
     w = np.zeros(m)
-    share = np.array([(grade > k).mean() for k in range(GRADES - 1)]).clip(1 / (n + 2), 1 - 1 / (n + 2))
+    share = np.array([(grade > k).sum() / n for k in range(GRADES - 1)]).clip(1 / (n + 2), 1 - 1 / (n + 2))
     theta = np.log((1 - share) / share)
     step_w, step_t = np.full(m, 1e-8), np.full(GRADES - 1, 1e-8)
     for _ in range(rounds if m else 0):
-        score = np.bincount(row, weights=w[col] * x, minlength=n)
+        score = np.bincount(row, weights=w[col] * x, minlength=len(toxic))
         lo = np.concatenate([[-np.inf], theta])[grade]
         hi = np.concatenate([theta, [np.inf]])[grade]
         a, b = sigmoid(lo - score), sigmoid(hi - score)
