@@ -146,23 +146,24 @@ def votes(shapes: Shapes, labellers=LABELLERS) -> np.ndarray:
     return out
 
 
-#: Rates of (good, bad, no) votes that are expected of a labeller on good and on
-#: bad documents, before any is seen, and the share of all documents that this
+#: Rates of (good, bad) among the votes that are expected of a labeller on good and
+#: on bad documents, before any is seen, and the share of all documents that this
 #: expectation weighs. Without it, junk of one kind, on which most labellers
 #: vote good, can pass for a habit of labellers on good documents.
-EXPECTED = ((0.92, 0.01, 0.07), (0.60, 0.30, 0.10))
+EXPECTED = ((0.99, 0.01), (0.65, 0.35))
 EXPECTED_WEIGHT = (0.5, 0.05)
 
 
 def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """P(good) of each vote pattern, by expectation-maximisation over the
-    labellers' rates of each vote on good and on bad documents."""
+    labellers' rates of either vote on good and on bad documents. No vote says
+    nothing: it depends on a text's length, not on its quality."""
     k = patterns.shape[1]
     rate = np.array(EXPECTED)[:, None, :]
     weigh = np.array(EXPECTED_WEIGHT)[:, None, None] * counts.sum()
     p = np.repeat(rate, k, axis=1)
     prior = np.array([0.85, 0.15])
-    one_hot = np.eye(3)[patterns]
+    one_hot = np.eye(3)[patterns][:, :, :2]
     for _ in range(rounds):
         log = np.log(prior)[:, None] + np.einsum("nkv,ckv->cn", one_hot, np.log(p))
         log -= log.max(axis=0)

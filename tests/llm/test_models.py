@@ -16,10 +16,10 @@ SF = "/root/testdata/sf0.01"
 def test_posteriors_find_the_good_labellers():
     rng = np.random.default_rng(1)
     bad = rng.random(20_000) < 0.2
-    votes = np.full((20_000, 4), quality.NONE)
-    for j, right in enumerate((0.95, 0.9, 0.85, 0.5)):
-        right = rng.random(20_000) < right
-        votes[:, j] = np.where(right, bad, ~bad)
+    votes = np.full((20_000, 5), quality.NONE)
+    for j, (finds, wrong) in enumerate([(0.9, 0.01), (0.8, 0.02), (0.7, 0.001), (0.6, 0.05), (0.5, 0.01)]):
+        says = rng.random(20_000) < np.where(bad, finds, wrong)
+        votes[:, j] = np.where(rng.random(20_000) < 0.1, quality.NONE, np.where(says, quality.BAD, quality.GOOD))
     pattern, inv, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     good = quality.posteriors(pattern, count)[inv.ravel()]
     assert ((good > 0.5) == ~bad).mean() > 0.96

@@ -21,7 +21,7 @@ def test_stages_drop_what_they_should(spark, scratch):
     junk = [(200 + i, " ".join(w.upper() + "!!" for w in words(rng, 60))) for i in range(8)]
     junk += [(300 + i, f"spam{i} " * 80) for i in range(8)] + [(400 + i, " ".join(w + "$$$" for w in words(rng, 60))) for i in range(8)]
     rows = clean + junk + [(100, " ".join(w.upper() + "!!" for w in words(rng, 60))), (101, "spam " * 80), (102, clean[3][1]),
-                    (103, clean[4][1] + " end"), (104, prose(rng, 3) + "\n" + shared), (105, prose(rng, 3) + "\n" + shared + "\nlast line"),
+                    (103, clean[4][1].replace(" ", "  ")), (104, prose(rng, 3) + "\n" + shared), (105, prose(rng, 3) + "\n" + shared + "\nlast line"),
                     (106, prose(rng, 2) + " " + item), (107, None), (108, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows],
                                  "doc_id long, text string, lang string, source string, n_chars long")
