@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import BASE, U64, batch, leftmost_min, materialize, mix, ragged, span_hash, text_blocks, text_key
 
-LENGTH, SEED = 400, 32
+#: A longer seed means more contexts, but fewer that meet for a short phrase alone.
+LENGTH, SEED = 400, 128
 #: Different contexts of one anchor that a shard takes at once.
 GROUP = 512
 #: Bytes of contexts that one suffix array holds, beyond one group.
@@ -196,31 +197,30 @@ def runs(mask: np.ndarray) -> list[dict[str, int]]:
 
 
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_MARKED = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("runs", _RUNS), ("shard", pa.int32()),
-                     ("shards", pa.int32()), ("places", pa.list_(pa.int32())), ("digests", pa.list_(pa.int64()))])
+_PARTS = pa.list_(pa.struct([("part", pa.int32()), ("places", pa.list_(pa.int32())), ("digests", pa.list_(pa.int64()))]))
+_MARKED = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("runs", _RUNS), ("shard", pa.int32()), ("parts", _PARTS)])
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, shard, shards, ctx, bytes), sorted by the first two: which
     strings of each context are repeated in its shard. An anchor over several
-    shards also gives the sorted digests of its distinct strings."""
+    shards also gives the sorted digests of its strings, by part (of the digest)."""
 
     def shard(rows: list[tuple]):
         rows = list({(r[0], r[3]): r for r in rows}.values())  # repeated rows of the table
         hit = repeated_starts([r[4] for r in rows], length)
-        places, digests = [], []
+        parts: list[list[dict]] = []
         for r, h in zip(rows, hit, strict=True):
+            parts.append([])
             if r[2] > 1:
                 view, d = memoryview(r[4]), xxhash.xxh3_64_intdigest
                 got = np.array([d(view[i:i + length]) for i in range(len(h))], U64)
-                o = np.argsort(got, kind="stable")
-                places.append(o.astype(np.int32))
-                digests.append(got[o].view(np.int64))
-            else:
-                places.append([])
-                digests.append([])
+                part = (got >> U64(32)) % U64(r[2])
+                o = np.lexsort((got, part))
+                for at in np.split(o, np.flatnonzero(np.diff(part[o])) + 1):
+                    parts[-1].append({"part": int(part[at[0]]), "places": at.astype(np.int32), "digests": got[at].view(np.int64)})
         yield batch(_MARKED, anchor=[r[0] for r in rows], ctx=[r[3] for r in rows], runs=[runs(h) for h in hit],
-                    shard=[r[1] for r in rows], shards=[r[2] for r in rows], places=places, digests=digests)
+                    shard=[r[1] for r in rows], parts=parts)
 
     held: list[tuple] = []
     size = 0
@@ -354,12 +354,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs_type = "array<struct<start:long,end:long>>"
     marked = materialize(pieces.mapInArrow(
         lambda it: _sort_shards(it, length),
-        f"anchor long, ctx long, runs {runs_type}, shard int, shards int, places array<int>, digests array<long>"), "marked")
+        f"anchor long, ctx long, runs {runs_type}, shard int, "
+        "parts array<struct<part:int,places:array<int>,digests:array<long>>>"), "marked")
     # 4. anchors over several shards: equal digests of all of them meet
-    spread = marked.where("shards > 1").select("anchor", "shards", "ctx", "shard", F.explode(F.arrays_zip("places", "digests")).alias("z"))
-    part_no = F.pmod(F.xxhash64("z.digests"), F.col("shards")).cast("int")
-    spread = spread.groupBy("anchor", part_no.alias("part"), "ctx", "shard").agg(F.collect_list("z").alias("z"))
-    spread = spread.select("anchor", "part", "ctx", "shard", F.col("z.places").alias("places"), F.col("z.digests").alias("digests"))
+    spread = marked.select("anchor", "ctx", "shard", F.explode("parts").alias("p"))
+    spread = spread.select("anchor", "p.part", "ctx", "shard", "p.places", "p.digests")
     spread = spread.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     across = spread.mapInArrow(_merge, f"anchor long, ctx long, runs {runs_type}")
     # 5. runs of starts, back to the texts
