@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; a longer document is one step.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Odd multiplier of the polynomial hashes (any odd 64-bit number would do).
 BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(BASE, -1, 1 << 64)
@@ -89,6 +89,8 @@ def text_blocks(column, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, side="right")) - 1)
         yield lo, hi, raw[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi
+    # memory of finished batches goes back to the system: workers live long
+    pa.default_memory_pool().release_unused()
 
 
 _POWERS = np.ones(1, U64), np.ones(1, U64)

@@ -26,10 +26,10 @@ from .tokens import encoder, split_long, with_end
 
 CAPACITY = 4096
 #: Token ids that a task packs together: its memory, and the width of choice.
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 #: Sequences in a written matrix.
 MATRIX_ROWS = 512
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 class RoomTree:

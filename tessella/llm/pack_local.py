@@ -34,7 +34,7 @@ CAPACITY = 4096
 SALT = 256
 #: Steps of local search (each handles all bins of two kinds).
 STEPS = 2000
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 Kind = tuple[tuple[int, int], ...]  # (length, number) pairs, longest first
 

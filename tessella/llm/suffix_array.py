@@ -41,7 +41,7 @@ LENGTH, SEED = 400, 128
 GROUP = 512
 #: Bytes of contexts that one suffix array holds, beyond one group.
 SHARD_BYTES = 1 << 20
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 # ------------------------------------------------------------- 1. anchors

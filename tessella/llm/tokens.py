@@ -24,7 +24,7 @@ import numpy as np
 from .common import LOWER, ragged, span_hash
 
 #: Distinct pieces that a worker remembers; then it starts again.
-REMEMBER = 2_000_000
+REMEMBER = 1_000_000
 
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[:0x80] = 3
