@@ -206,56 +206,134 @@ def pt_poly_touches(px, py, poly_edges, eps=0.0) -> Column:
     return point_on_boundary(px, py, poly_edges, eps)
 
 
-def _strictly_inside(p, poly_edges, eps):
-    return ~point_on_boundary(p["x"], p["y"], poly_edges, eps) & point_in_rings(p["x"], p["y"], poly_edges)
+# Polygons and lines are compared by pieces: each edge of one is cut wherever it
+# meets an edge of the other, so that a piece lies wholly inside, outside or on the
+# boundary of the other, and the place of its midpoint tells which.
 
+def _cuts(e, f) -> Column:
+    """Places (0 to 1 along edge e) where e meets edge f; for parallel edges, the
+    places beside f's ends (a cut too many does no harm)."""
+    rx, ry = e["bx"] - e["ax"], e["by"] - e["ay"]
+    sx, sy = f["bx"] - f["ax"], f["by"] - f["ay"]
+    d = rx * sy - ry * sx
+    ox, oy = f["ax"] - e["ax"], f["ay"] - e["ay"]
+    px, py = f["bx"] - e["ax"], f["by"] - e["ay"]
+    t, u = F.try_divide(ox * sy - oy * sx, d), F.try_divide(ox * ry - oy * rx, d)
+    square = rx * rx + ry * ry
+    beside = F.array(F.try_divide(ox * rx + oy * ry, square), F.try_divide(px * rx + py * ry, square))
+    at = F.when(d == 0, beside).when((u >= 0) & (u <= 1), F.array(t)).otherwise(F.array().cast("array<double>"))
+    return F.filter(at, lambda x: (x > 0) & (x < 1))
 
-def _edge_midpoints(edge_arr):
-    return F.transform(edge_arr, lambda e: F.struct(((e["ax"] + e["bx"]) / 2).alias("x"),
-                                                    ((e["ay"] + e["by"]) / 2).alias("y")))
 
+def piece_midpoints(ea: Column, eb: Column) -> Column:
+    """Midpoints of the pieces of edges ``ea``, cut by edges ``eb``."""
+    def of_edge(e):
+        met = F.flatten(F.transform(F.filter(eb, lambda f: _boxes_meet(e, f)), lambda f: _cuts(e, f)))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), met)))
+
+        def middles(c):
+            return F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: let(
+                (F.element_at(c, i) + F.element_at(c, i + 1)) / 2,
+                lambda t: F.struct((e["ax"] + t * (e["bx"] - e["ax"])).alias("x"),
+                                   (e["ay"] + t * (e["by"] - e["ay"])).alias("y"))))
+        return let(cuts, middles)
+    real = F.filter(ea, lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"]))
+    return F.flatten(F.transform(real, of_edge))
+
+
+#: Rounding of a computed point, as a share of its coordinates.
+ROUNDING = 1e-12
+
+
+def _near_edge(p, e, eps) -> Column:
+    """Point within ``eps`` (a length) and rounding of edge e."""
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    tol = F.lit(eps) + F.lit(ROUNDING) * (F.lit(1.0) + F.greatest(F.abs(p["x"]), F.abs(p["y"]), F.abs(e["ax"]), F.abs(e["ay"])))
+    off = F.abs(_cross(e["ax"], e["ay"], e["bx"], e["by"], p["x"], p["y"]))
+    return ((off <= tol * F.sqrt(dx * dx + dy * dy))
+            & (p["x"] >= F.least(e["ax"], e["bx"]) - tol) & (p["x"] <= F.greatest(e["ax"], e["bx"]) + tol)
+            & (p["y"] >= F.least(e["ay"], e["by"]) - tol) & (p["y"] <= F.greatest(e["ay"], e["by"]) + tol))
+
+
+def _on(p, edges, eps) -> Column:
+    return F.exists(edges, lambda e: _near_edge(p, e, eps))
+
+
+def strictly_inside(p, poly_edges, eps=0.0) -> Column:
+    return ~_on(p, poly_edges, eps) & point_in_rings(p["x"], p["y"], poly_edges)
 
-def _ring_mean(g):
-    pts = coords(g)
-    n = F.size(pts)
-    return F.struct((F.aggregate(pts, F.lit(0.0), lambda a, p: a + p["x"]) / n).alias("x"),
-                    (F.aggregate(pts, F.lit(0.0), lambda a, p: a + p["y"]) / n).alias("y"))
+
+def strictly_outside(p, poly_edges, eps=0.0) -> Column:
+    return ~_on(p, poly_edges, eps) & ~point_in_rings(p["x"], p["y"], poly_edges)
+
+
+def interior_points(g) -> Column:
+    """A point in the interior of each part of a polygon: the middle of the first
+    stretch of a level line, halfway between the part's two lowest vertex levels."""
+    def of_part(part):
+        es = F.flatten(F.transform(part, ring_edges))
+        levels = F.array_sort(F.array_distinct(F.transform(F.flatten(part), lambda q: q["y"])))
+
+        def on_level(y):
+            crossing = F.filter(es, lambda e: (e["ay"] > y) != (e["by"] > y))
+            xs = F.array_sort(F.transform(crossing, lambda e: e["ax"] + F.try_divide((y - e["ay"]) * (e["bx"] - e["ax"]), e["by"] - e["ay"])))
+            return let(xs, lambda x: F.when(F.size(x) >= 2, F.struct(((x[0] + x[1]) / 2).alias("x"), y.alias("y"))))
+        return let(levels, lambda v: F.when(F.size(v) >= 2, let((v[0] + v[1]) / 2, on_level)))
+    return F.filter(F.transform(_c(g)["parts"], of_part), lambda q: q.isNotNull())
 
 
 def poly_poly_relations(ga, ea, gb, eb, eps=0.0) -> dict[str, Column]:
-    """intersects / touches / a_within_b for two polygons, from their edges.
+    """intersects / touches / within (A in B) of two polygons.
 
-    interiors overlap if an edge crosses properly, or a vertex, an edge
-    midpoint or the vertex mean of one lies strictly inside the other.
-    Limitation (stated): two polygons whose boundaries coincide only along
-    collinear edges and whose interiors overlap without any such witness point
-    are reported as touching; edge-pair tests are quadratic in ring size.
+    Interiors meet if a piece of one boundary, or an interior point of a part of
+    one, lies strictly inside the other. A is within B if no piece of A's boundary is
+    outside B, no piece of B's boundary (its holes') is inside A, and interiors meet.
     """
     meet = F.exists(ea, lambda e: F.exists(eb, lambda f: segments_intersect(e, f, eps)))
-    cross = F.exists(ea, lambda e: F.exists(eb, lambda f: segments_cross_properly(e, f, eps)))
-    a_in_b = (F.exists(coords(ga), lambda p: _strictly_inside(p, eb, eps))
-              | F.exists(_edge_midpoints(ea), lambda p: _strictly_inside(p, eb, eps))
-              | _strictly_inside(_ring_mean(ga), eb, eps))
-    b_in_a = (F.exists(coords(gb), lambda p: _strictly_inside(p, ea, eps))
-              | F.exists(_edge_midpoints(eb), lambda p: _strictly_inside(p, ea, eps))
-              | _strictly_inside(_ring_mean(gb), ea, eps))
-    interiors = cross | a_in_b | b_in_a
-    return {"intersects": meet | a_in_b | b_in_a,
-            "touches": meet & ~interiors}
-
-
-def line_relations(line_edges, other_edges, other_is_polygon: bool, eps=0.0) -> dict[str, Column]:
-    """crosses (J9) for line/line and line/polygon."""
-    proper = F.exists(line_edges, lambda e: F.exists(other_edges, lambda f: segments_cross_properly(e, f, eps)))
-    meet = F.exists(line_edges, lambda e: F.exists(other_edges, lambda f: segments_intersect(e, f, eps)))
-    if not other_is_polygon:
-        return {"crosses": proper, "intersects": meet}
-    verts = F.flatten(F.transform(line_edges, lambda e: F.array(
-        F.struct(e["ax"].alias("x"), e["ay"].alias("y")), F.struct(e["bx"].alias("x"), e["by"].alias("y")))))
-    inside = F.exists(verts, lambda p: _strictly_inside(p, other_edges, eps))
-    outside = F.exists(verts, lambda p: ~point_on_boundary(p["x"], p["y"], other_edges, eps)
-                       & ~point_in_rings(p["x"], p["y"], other_edges))
-    return {"crosses": proper | (inside & outside), "intersects": meet | inside}
+    pa, pb = piece_midpoints(ea, eb), piece_midpoints(eb, ea)
+    b_in_a = F.exists(pb, lambda p: strictly_inside(p, ea, eps))
+    interiors = (F.exists(pa, lambda p: strictly_inside(p, eb, eps)) | b_in_a
+                 | F.exists(interior_points(ga), lambda p: strictly_inside(p, eb, eps))
+                 | F.exists(interior_points(gb), lambda p: strictly_inside(p, ea, eps)))
+    outside = F.exists(pa, lambda p: strictly_outside(p, eb, eps))
+    return {"intersects": meet | interiors, "touches": meet & ~interiors, "within": interiors & ~outside & ~b_in_a}
+
+
+def _line_ends(edges) -> Column:
+    """End points of the stretches of a line (none where a stretch ends as it began)."""
+    starts = F.transform(edges, lambda e: F.struct(e["ax"].alias("x"), e["ay"].alias("y")))
+    ends = F.transform(edges, lambda e: F.struct(e["bx"].alias("x"), e["by"].alias("y")))
+    return F.filter(F.concat(F.array_except(starts, ends), F.array_except(ends, starts)), lambda p: p.isNotNull())
+
+
+def line_line_relations(ea, eb, eps=0.0) -> dict[str, Column]:
+    """intersects / crosses / touches / within (A in B) of two lines. They cross if
+    their interiors meet in points only, touch if only ends meet the other line."""
+    meet = F.exists(ea, lambda e: F.exists(eb, lambda f: segments_intersect(e, f, eps)))
+    pieces = piece_midpoints(ea, eb)
+    shared = F.exists(pieces, lambda p: _on(p, eb, eps))
+
+    def points(e):
+        near = F.filter(eb, lambda f: segments_intersect(e, f, eps))
+        at = F.flatten(F.transform(near, lambda f: F.concat(_cuts(e, f), F.array(F.lit(0.0), F.lit(1.0)))))
+        return F.transform(at, lambda t: F.struct((e["ax"] + t * (e["bx"] - e["ax"])).alias("x"),
+                                                  (e["ay"] + t * (e["by"] - e["ay"])).alias("y")))
+    met = F.filter(F.flatten(F.transform(ea, points)), lambda p: _on(p, eb, eps))
+    same = lambda p, q: (F.abs(p["x"] - q["x"]) <= eps + ROUNDING * 10) & (F.abs(p["y"] - q["y"]) <= eps + ROUNDING * 10)
+    inner = let(F.concat(_line_ends(ea), _line_ends(eb)),
+                lambda ends: F.exists(met, lambda p: ~F.exists(ends, lambda q: same(p, q))))
+    away = F.exists(pieces, lambda p: ~_on(p, eb, eps))
+    return {"intersects": meet, "crosses": meet & ~shared & inner, "touches": meet & ~shared & ~inner,
+            "within": meet & ~away}
+
+
+def line_poly_relations(le, pe, eps=0.0) -> dict[str, Column]:
+    """intersects / crosses / touches / within of a line and a polygon."""
+    meet = F.exists(le, lambda e: F.exists(pe, lambda f: segments_intersect(e, f, eps)))
+    pieces = piece_midpoints(le, pe)
+    inside = F.exists(pieces, lambda p: strictly_inside(p, pe, eps))
+    outside = F.exists(pieces, lambda p: strictly_outside(p, pe, eps))
+    return {"intersects": meet | inside, "crosses": inside & outside, "touches": meet & ~inside, "within": inside & ~outside}
 
 
 # --------------------------------------------------------------- validity
@@ -275,15 +353,66 @@ def ring_self_crosses(ring: Column) -> Column:
     return let(F.transform(ring_edges(ring), lambda e, i: F.struct(e.alias("e"), i.alias("i"))), pairs)
 
 
+def _ring_has_spike(ring: Column) -> Column:
+    """An edge that runs back along the one before it."""
+    def turns(es):
+        return F.exists(F.sequence(F.lit(1), F.size(es)), lambda i: let(
+            F.struct(F.element_at(es, i).alias("e"), F.element_at(es, i % F.size(es) + 1).alias("f")), back))
+
+    def back(pair):
+        e, f = pair["e"], pair["f"]
+        rx, ry, sx, sy = e["bx"] - e["ax"], e["by"] - e["ay"], f["bx"] - f["ax"], f["by"] - f["ay"]
+        return (rx * sy - ry * sx == 0) & (rx * sx + ry * sy < 0)
+    real = F.filter(ring_edges(ring), lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"]))
+    return let(real, lambda es: F.when(F.size(es) > 1, turns(es)).otherwise(F.lit(False)))
+
+
+def _part_ok(part: Column) -> Column:
+    """Holes lie in their shell and not in one another."""
+    def check(shell):
+        holes = F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0)))
+
+        def hole_ok(h, i):
+            he = ring_edges(h)
+            in_shell = ~F.exists(piece_midpoints(he, shell), lambda p: strictly_outside(p, shell))
+            inner = F.exists(piece_midpoints(he, shell), lambda p: strictly_inside(p, shell))
+            others = F.filter(holes, lambda o, j: j != i)
+            apart = ~F.exists(others, lambda o: let(ring_edges(o), lambda oe: F.exists(
+                piece_midpoints(he, oe), lambda p: strictly_inside(p, oe)) | F.forall(
+                piece_midpoints(he, oe), lambda p: _on(p, oe, 0.0))))
+            return in_shell & inner & apart
+        return F.forall(F.transform(holes, hole_ok), lambda ok: ok)
+    return F.when(F.size(part) < 2, F.lit(True)).otherwise(let(ring_edges(part[0]), check))
+
+
+def _parts_apart(parts: Column) -> Column:
+    """Interiors of the parts do not meet."""
+    def clash(a, i):
+        ea = F.flatten(F.transform(a, ring_edges))
+        later = F.filter(parts, lambda b, j: j > i)
+        own = interior_points(F.struct(F.array(a).alias("parts")))
+
+        def meets(b):
+            eb = F.flatten(F.transform(b, ring_edges))
+            return (F.exists(piece_midpoints(ea, eb), lambda p: strictly_inside(p, eb))
+                    | F.exists(piece_midpoints(eb, ea), lambda p: strictly_inside(p, ea))
+                    | F.exists(own, lambda p: strictly_inside(p, eb)))
+        return F.exists(later, meets)
+    return F.when(F.size(parts) < 2, F.lit(True)).otherwise(~F.exists(F.transform(parts, clash), lambda x: x))
+
+
 def is_valid(g) -> Column:
-    """Polygon rings closed with >= 4 points and no self-crossing; lines
-    need >= 2 points; points one coordinate; NaN coordinates invalid."""
+    """Polygon rings closed with >= 4 points, without self-crossing and
+    spikes, holes inside their shell and outside one another, parts that do not
+    overlap; lines need >= 2 points; points one coordinate; NaN is invalid."""
     gc = _c(g)
     t = F.lower(gc["type"])
     rings = F.flatten(gc["parts"])
     finite = F.forall(coords(gc), lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"])
                       & p["x"].isNotNull() & p["y"].isNotNull())
-    poly_ok = F.forall(rings, lambda r: (F.size(r) >= 4) & ring_is_closed(r) & ~ring_self_crosses(r))
+    poly_ok = F.forall(rings, lambda r: (F.size(r) >= 4) & ring_is_closed(r) & ~ring_self_crosses(r) & ~_ring_has_spike(r))
+    # how rings stand to each other matters only where there are several
+    poly_ok = F.when(poly_ok, F.forall(gc["parts"], _part_ok) & _parts_apart(gc["parts"])).otherwise(F.lit(False))
     line_ok = F.forall(rings, lambda r: F.size(r) >= 2)
     pt_ok = F.forall(rings, lambda r: F.size(r) == 1)
     return (F.when(gc.isNull(), F.lit(False))

@@ -9,12 +9,6 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most
-    ``max_rows + 1`` rows, so the check is cheap even on a big input."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimized plan (file sizes after
     pruning for scans, upper bounds through projections and joins)."""
@@ -25,48 +19,36 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def row_width(dt) -> int:
-    """Rough bytes per row of a schema (arrays counted as 8 elements)."""
-    from pyspark.sql import types as T
-    if isinstance(dt, T.StructType):
-        return sum(row_width(f.dataType) for f in dt.fields) + 8
-    if isinstance(dt, T.ArrayType):
-        return 8 * row_width(dt.elementType) + 16
-    if isinstance(dt, T.MapType):
-        return 8 * (row_width(dt.keyType) + row_width(dt.valueType)) + 16
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        return 32
-    if isinstance(dt, (T.BooleanType, T.ByteType)):
-        return 1
-    if isinstance(dt, (T.ShortType,)):
-        return 2
-    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    return 8
-
-
 def counted_rows(df: DataFrame, max_rows: int) -> int:
     """Row count, stopping once it exceeds ``max_rows``."""
     return df.limit(max_rows + 1).count()
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Sum of the rows' real sizes: strings, arrays and structs by their text
+    form, other columns by 16 bytes. One aggregate over the (counted) rows."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("array", "struct", "map"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        elif f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        else:
+            size = size + 16
+    return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                        max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only behind proven bounds: at most ``max_rows`` rows
-    (counted, stopping at ``max_rows + 1``) whose size by the schema's row
-    width stays under ``max_bytes`` (few but wide rows are not broadcast).
-    For a plain scan Catalyst's size estimate (file sizes) can say no before
-    any counting. Otherwise the join is left to the planner (sort-merge,
+    (counted, stopping at ``max_rows + 1``) whose measured size stays under
+    ``max_bytes``. For a plain scan Catalyst's size estimate (file sizes) can say
+    no before any counting. Otherwise the join is left to the planner (sort-merge,
     which AQE may still convert at runtime from measured shuffle sizes)."""
     est = estimated_bytes(df)
     if est is not None and est > 8 * max_bytes:
         return df
-    n = counted_rows(df, max_rows)
-    if n > max_rows or n * row_width(df.schema) > max_bytes:
+    if counted_rows(df, max_rows) > max_rows or measured_bytes(df) > max_bytes:
         return df
     return F.broadcast(df)
-
-
-def salt(n: int, key_cols: list[str]):
-    """Salt column for a hot-key side: spreads one key over ``n`` tasks."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(n)).cast("int")

@@ -29,8 +29,9 @@ INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
 
 def row_hash(cols: list[str]) -> Column:
-    """64-bit content hash of a row (NULL-aware, order-sensitive)."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+    """64-bit content hash of a row, order-sensitive. ``xxhash64`` skips
+    NULLs, so the NULL flags are hashed along: (a, NULL) differs from (NULL, a)."""
+    return F.xxhash64(*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols])
 
 
 def state_from_snapshot(df: DataFrame, pk: str, hash_cols: list[str] | None = None) -> DataFrame:
@@ -84,18 +85,43 @@ def cdc_split(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str |
     ``_change_type`` only, the reference's ``<tbl>_deletes``). Both read the
     checkpointed key-only change set, so writing them separately repeats no
     wide work."""
-    from ._util import DEFAULT_BROADCAST_BYTES
+    classified = classify_keys(current, prev_state, pk, ts_col, since, hash_cols)
+    # the narrow change set is read twice (upserts, deletes) and sized before
+    # the row fetch: write it once under spark.checkpoint.dir (reliable, so a
+    # lost executor does not lose it) instead of recomputing the key join
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(current.sparkSession)
+    classified = classified.checkpoint(eager=True)
+    # adaptive execution broadcasts the key side where its written size allows
+    upserts = classified.filter(F.col(CHANGE_COL) != DELETE)
+    rows = current.join(upserts, F.col(pk).eqNullSafe(F.col("_k"))).drop("_k")
+    if hash_cols is None and ts_col is not None and since is not None:
+        # of several rows with a known key, those after ``since`` are the update
+        newer = F.col(ts_col) > F.lit(since).cast(current.schema[ts_col].dataType)
+        rows = rows.filter((F.col(CHANGE_COL) == INSERT) | newer)
+    dtype = current.schema[pk].dataType
+    deletes = classified.filter(F.col(CHANGE_COL) == DELETE).select(F.col("_k").cast(dtype).alias(pk), CHANGE_COL)
+    return rows.select(*current.columns, CHANGE_COL), deletes
+
+
+def classify_keys(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None, since=None,
+                  hash_cols: list[str] | None = None) -> DataFrame:
+    """(``_k``, ``_change_type``) for every inserted, updated or deleted key.
+
+    Keys are sets: both sides are reduced to one row per key before they are
+    joined, so repeated keys do not multiply; a NULL key is a key like any
+    other. A key whose rows differ has the hash sum of all of them."""
     extra = []
     if hash_cols:
-        extra.append(row_hash(hash_cols).alias("_cur_hash"))
+        extra.append(F.sum(row_hash(hash_cols).cast("decimal(38,0)")).alias("_cur_hash"))
     elif ts_col is not None and since is not None:
-        extra.append(F.col(ts_col).alias("_cur_ts"))
-    keys = current.select(F.col(pk).alias("_cur_pk"), *extra)
-    prev = prev_state.select(F.col("pk").alias("_prev_pk"),
-                             *([F.col("row_hash").alias("_prev_hash")] if hash_cols else []))
-    j = keys.join(prev, F.col("_cur_pk") == F.col("_prev_pk"), "full_outer")
-    in_cur = F.col("_cur_pk").isNotNull()
-    in_prev = F.col("_prev_pk").isNotNull()
+        extra.append(F.max(ts_col).alias("_cur_ts"))
+    keys = current.groupBy(F.col(pk).alias("_cur_pk")).agg(F.lit(True).alias("_in_cur"), *extra)
+    prev = prev_state.groupBy(F.col("pk").alias("_prev_pk")).agg(
+        F.lit(True).alias("_in_prev"),
+        *([F.sum(F.col("row_hash").cast("decimal(38,0)")).alias("_prev_hash")] if hash_cols else []))
+    j = keys.join(prev, F.col("_cur_pk").eqNullSafe(F.col("_prev_pk")), "full_outer")
+    in_cur, in_prev = F.col("_in_cur").isNotNull(), F.col("_in_prev").isNotNull()
     if hash_cols:
         changed = F.col("_cur_hash") != F.col("_prev_hash")
     elif extra:
@@ -105,22 +131,8 @@ def cdc_split(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str |
     kind = (F.when(in_cur & ~in_prev, F.lit(INSERT))
             .when(in_cur & in_prev & F.coalesce(changed, F.lit(False)), F.lit(UPDATE))
             .when(~in_cur & in_prev, F.lit(DELETE)))
-    classified = j.select(F.coalesce("_cur_pk", "_prev_pk").alias("_k"), kind.alias(CHANGE_COL)) \
+    return j.select(F.coalesce("_cur_pk", "_prev_pk").alias("_k"), kind.alias(CHANGE_COL)) \
         .filter(F.col(CHANGE_COL).isNotNull())
-    # the narrow change set is read twice (upserts, deletes) and sized before
-    # the row fetch: write it once under spark.checkpoint.dir (reliable, so a
-    # lost executor does not lose it) instead of recomputing the key join
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(current.sparkSession)
-    classified = classified.checkpoint(eager=True)
-    upserts = classified.filter(F.col(CHANGE_COL) != DELETE)
-    n_up = upserts.count()
-    if n_up <= broadcast_rows and n_up * 48 <= DEFAULT_BROADCAST_BYTES:
-        upserts = F.broadcast(upserts)
-    rows = current.join(upserts, F.col(pk) == F.col("_k")).drop("_k")
-    dtype = current.schema[pk].dataType
-    deletes = classified.filter(F.col(CHANGE_COL) == DELETE).select(F.col("_k").cast(dtype).alias(pk), CHANGE_COL)
-    return rows.select(*current.columns, CHANGE_COL), deletes
 
 
 def _diff_wide(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None,
@@ -176,8 +188,9 @@ def cdc_changes(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str,
 
 
 def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Keys of ``a`` not in ``b`` (set difference as an anti join)."""
-    return a.select(key).join(b.select(key), key, "left_anti")
+    """Keys of ``a`` not in ``b``: an anti join against one row per key of
+    ``b``, so a hot key of ``b`` is one row after partial aggregation."""
+    return a.select(key).join(b.select(key).distinct(), key, "left_anti")
 
 
 def change_summary(changes: DataFrame, layer: str) -> DataFrame:
@@ -236,7 +249,7 @@ class StateStore:
 
     def write(self, state: DataFrame, batch_id: int, last_sync: str) -> None:
         """Replace keys and time; keys are range-partitioned and sorted
-        on the PK (O2), so the next run's join reads them in order."""
+        on the PK (O2), which keeps files' key ranges apart for readers."""
         d = self._dir(batch_id)
         state.repartitionByRange("pk").sortWithinPartitions("pk").write.mode("overwrite").parquet(d + "/keys")
         self.spark.createDataFrame([(last_sync, int(batch_id))], "last_sync string, batch_id long") \

@@ -1,8 +1,7 @@
 """Mapping a source layer onto a target model.
 
-Every operator returns a lazy DataFrame; none collects rows. Value maps
-with many pairs become a join against the map table, broadcast only when its
-row count is proven small.
+Every operator returns a lazy DataFrame; none collects rows. A value map given
+as a table becomes a join against one row per source value.
 """
 
 from __future__ import annotations
@@ -13,9 +12,6 @@ from pyspark.sql import types as T
 
 from ._util import broadcast_if_small
 
-# A value map with more pairs than this is applied by a join, not a CASE chain.
-CASE_CHAIN_MAX_PAIRS = 100
-
 
 def map_fields(df: DataFrame, mapping: dict[str, str] | None, geom_col: str | None = None) -> DataFrame:
     """``"src" AS "target"`` for mapped properties only (plus the geometry
@@ -30,8 +26,8 @@ def map_fields(df: DataFrame, mapping: dict[str, str] | None, geom_col: str | No
 
 
 def _target_lit(v) -> Column:
-    # an empty target maps the value to NULL
-    return F.lit(None).cast("string") if v is None or v == "" else F.lit(v)
+    # an empty target maps the value to NULL; targets are text, whatever their Python type
+    return F.lit(None if v is None or v == "" else str(v)).cast("string")
 
 
 def value_case(col: str | Column, pairs: dict) -> Column:
@@ -47,22 +43,20 @@ def map_values(df: DataFrame, field: str, pairs: dict | DataFrame, out_col: str
                broadcast_rows: int = 1_000_000) -> DataFrame:
     """replace values of ``field`` by a value map.
 
-    ``pairs`` is a dict (CASE chain up to ``CASE_CHAIN_MAX_PAIRS``) or a
-    DataFrame ``(source_value, target_value)``. With a table the map is
-    left-joined with a found flag, so a value mapped to NULL (empty target)
-    differs from an unmapped value (which keeps its source value).
+    ``pairs`` is a dict (a CASE chain of its size) or a DataFrame
+    ``(source_value, target_value[, ordinal])``. The result is text, and each row of
+    ``df`` stays one row: of several pairs for one source value the first by
+    ``ordinal`` counts (without that column, the smallest target). A value mapped to
+    NULL or to an empty target becomes NULL, an unmapped one keeps its value.
     """
     out_col = out_col or field
-    if isinstance(pairs, dict) and len(pairs) <= CASE_CHAIN_MAX_PAIRS:
-        return df.withColumn(out_col, value_case(field, pairs))
     if isinstance(pairs, dict):
-        spark = df.sparkSession
-        pairs = spark.createDataFrame([(str(k), None if v in (None, "") else str(v)) for k, v in pairs.items()],
-                                      "source_value string, target_value string")
-    m = (pairs.select(F.col("source_value").cast("string").alias("_src"),
-                      F.when(F.col("target_value") == "", None).otherwise(F.col("target_value"))
-                      .cast("string").alias("_tgt"))
-         .withColumn("_found", F.lit(True)))
+        return df.withColumn(out_col, value_case(field, pairs))
+    target = F.col("target_value").cast("string")
+    order = F.col("ordinal") if "ordinal" in pairs.columns else F.lit(0)
+    m = pairs.where("source_value is not null").groupBy(F.col("source_value").cast("string").alias("_src")).agg(
+        F.min(F.struct(order.alias("o"), target.alias("t"))).alias("_first"))
+    m = m.select("_src", F.when(F.col("_first.t") != "", F.col("_first.t")).alias("_tgt"), F.lit(True).alias("_found"))
     m = broadcast_if_small(m, broadcast_rows)
     j = df.join(m, F.col(field).cast("string") == F.col("_src"), "left")
     mapped = F.when(F.col("_found"), F.col("_tgt")).otherwise(F.col(field).cast("string"))
@@ -75,17 +69,17 @@ def auto_map(source_columns: DataFrame, target_fields: DataFrame) -> DataFrame:
 
     ``source_columns``: (layer_id, column_name, ordinal);
     ``target_fields``: (layer_id, field_id, name, title). Works for whole
-    catalogs at once; the window is per (layer, field), a handful of rows.
+    catalogs at once, by equi-joins.
     """
     s = source_columns.select("layer_id", "column_name", "ordinal",
                               F.lower("column_name").alias("_k"))
     t = target_fields.select("layer_id", "field_id", "name", "title")
-    cond = (s["layer_id"] == t["layer_id"]) & ((s["_k"] == F.lower(t["name"])) | (s["_k"] == F.lower(t["title"])))
-    j = t.join(s, cond, "left").select(t["layer_id"], "field_id", "name", "column_name", "ordinal")
-    from pyspark.sql import Window
-    w = Window.partitionBy("layer_id", "field_id").orderBy(F.col("ordinal").asc_nulls_last())
-    return (j.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-            .select("layer_id", "field_id", "name", F.col("column_name").alias("source_column")))
+    # one equi-join on (layer, lower-case key): a field asks by its name and by its title
+    asks = t.withColumn("_k", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("title")))))
+    first = s.groupBy("layer_id", "_k").agg(F.min(F.struct("ordinal", "column_name")).alias("_c"))
+    j = asks.join(first, ["layer_id", "_k"], "left")
+    return j.groupBy("layer_id", "field_id", "name").agg(F.min("_c").alias("_c")).select(
+        "layer_id", "field_id", "name", F.col("_c.column_name").alias("source_column"))
 
 
 def concrete_layers(layers: DataFrame) -> DataFrame:

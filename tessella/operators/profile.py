@@ -57,24 +57,30 @@ def _unpivot_strings(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(stacked.alias("_fv")).select("_fv.field", "_fv.value")
 
 
-def distinct_values(df: DataFrame, fields: list[str] | None = None, limit: int = DISTINCT_VALUES_LIMIT,
-                    buckets: int | None = None) -> DataFrame:
-    """A5: up to ``limit`` distinct values per field, as strings, NULL and ''
-    dropped, smallest first (a deterministic choice; the reference takes the
-    database's order).
+def distinct_values(df: DataFrame, fields: list[str] | None = None,
+                    limit: int | None = DISTINCT_VALUES_LIMIT) -> DataFrame:
+    """A5: up to ``limit`` distinct values per field (None: all), as strings,
+    NULL and '' dropped, smallest first (a deterministic choice; the reference
+    takes the database's order). ``n_distinct`` says how many there are and
+    ``truncated`` whether some are not listed.
 
     Plan: distinct (field, value) pairs, shuffled on the pair, so one field
     with huge cardinality still spreads over all tasks; then
     ``row_number() <= limit`` per field, for which Spark places a partial
     top-``limit`` (``WindowGroupLimit``) in every task before the shuffle by
     field, so that shuffle carries at most ``limit`` rows per field and task.
-    No step puts a whole field in one task. (``buckets`` is accepted for
-    compatibility and no longer needed.)
+    The counts are a partial aggregate, a row per field.
     """
     fields = fields or df.columns
     pairs = _unpivot_strings(df, fields).filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
+    counts = pairs.groupBy("field").agg(F.count(F.lit(1)).alias("n_distinct"))
     w = Window.partitionBy("field").orderBy("value")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = pairs.withColumn("rank", F.row_number().over(w))
+    if limit is not None:
+        ranked = ranked.filter(F.col("rank") <= limit)
+    more = F.lit(False) if limit is None else F.col("n_distinct") > limit
+    # a row per field of a stated list of columns
+    return ranked.join(F.broadcast(counts), "field").withColumn("truncated", more)
 
 
 def sampled_values(df: DataFrame, pk: str, fields: list[str] | None = None,
@@ -93,21 +99,20 @@ def infer_types(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     number, else ``boolean`` if every one is true/false, else ``string``.
     Stricter than the reference, which looks at the first feature only."""
     fields = fields or df.columns
-    fv = _unpivot_strings(df, fields).filter(F.col("value").isNotNull())
-    v = F.trim(F.col("value"))
-    agg = fv.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(v.rlike(r"^[+-]?[0-9]+$")).alias("n_int"),
-        F.count_if(F.expr("try_cast(trim(value) AS DOUBLE)").isNotNull()
-                   & v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")).alias("n_num"),
-        F.count_if(F.lower(v).isin("true", "false")).alias("n_bool"))
-    return agg.select("field", F.when(F.col("n_int") == F.col("n"), "integer")
-                      .when(F.col("n_num") == F.col("n"), "number")
-                      .when(F.col("n_bool") == F.col("n"), "boolean")
-                      .otherwise("string").alias("base_type"))
-
-
-def json_field_types(df: DataFrame, json_col: str, mode: str = "all") -> DataFrame:
+    sums = []
+    for i, f in enumerate(fields):
+        v = F.trim(F.col(f).cast("string"))
+        number = v.try_cast("double").isNotNull() & v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+        sums += [F.count(F.col(f)).alias(f"n{i}"), F.count_if(v.rlike(r"^[+-]?[0-9]+$")).alias(f"i{i}"),
+                 F.count_if(number).alias(f"f{i}"), F.count_if(F.lower(v).isin("true", "false")).alias(f"b{i}")]
+    # one pass and one row for all fields; the row is then turned on its side
+    kinds = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"n{i}").alias("n"), F.when(
+        F.col(f"i{i}") == F.col(f"n{i}"), "integer").when(F.col(f"f{i}") == F.col(f"n{i}"), "number").when(
+        F.col(f"b{i}") == F.col(f"n{i}"), "boolean").otherwise("string").alias("base_type")) for i, f in enumerate(fields)])
+    return df.agg(*sums).select(F.inline(kinds)).where("n > 0").select("field", "base_type")
+
+
+def json_field_types(df: DataFrame, json_col: str) -> DataFrame:
     """A7 on a JSON text column (GeoJSON-style properties).
 
     Values are parsed as VARIANT so JSON numbers, booleans and strings keep
@@ -126,8 +131,6 @@ def json_field_types(df: DataFrame, json_col: str, mode: str = "all") -> DataFra
          .when(sch == "BOOLEAN", "boolean")
          .otherwise("string"))
     typed = kv.select("key", t.alias("t"))
-    if mode == "first":
-        raise NotImplementedError("use json_field_types_first")
     return typed.groupBy("key").agg(
         F.when(F.count_if(F.col("t") == "string") > 0, "string")
         .when((F.count_if(F.col("t") == "boolean") > 0)

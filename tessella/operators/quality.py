@@ -221,15 +221,22 @@ def duplicate_keys(df: DataFrame, cols: list[str], include_nulls: bool = False)
     return d.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+#: Tasks that the rows of one duplicated key are dealt to.
+KEY_SALT = 16
+
+
 def unique_violations(df: DataFrame, key_cols: list[str], cols: list[str], rule: str = "unique") -> DataFrame:
     """C7/C8 rows whose (non-null) value set occurs more than once.
 
-    The duplicated keys are joined back with a semi join; when one key holds
-    a large share of rows AQE's skew handling splits that partition.
+    The duplicated keys are joined back with a semi join on the key and a salt:
+    each key stands once per salt, so the rows of a hot key go to ``KEY_SALT``
+    tasks whatever the planner does.
     """
-    dups = duplicate_keys(df, cols).select(*cols)
+    dups = duplicate_keys(df, cols).select(*cols, F.explode(F.sequence(F.lit(0), F.lit(KEY_SALT - 1))).alias("_salt"))
     value = F.concat_ws(",", *[F.col(c).cast("string") for c in cols])
-    return (df.join(dups, cols, "left_semi")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in key_cols + cols], F.monotonically_increasing_id()),
+                                           F.lit(KEY_SALT)).cast("int"))
+    return (salted.join(dups, [*cols, "_salt"], "left_semi")
             .select(*key_cols, F.lit(rule).alias("rule"), F.lit(",".join(cols)).alias("field"),
                     value.alias("value")))
 

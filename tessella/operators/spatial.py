@@ -170,9 +170,6 @@ def relation(pred: str, a: str = "a_", b: str = "b_", eps: float = 0.0,
     ga, gb = F.col(f"{a}geom"), F.col(f"{b}geom")
     ea, eb = F.col(f"{a}edges"), F.col(f"{b}edges")
     ka, kb = F.col(f"{a}kind"), F.col(f"{b}kind")
-    pa = G.coords(ga)[0]
-    pb = G.coords(gb)[0]
-
     if pred not in PREDICATES:
         raise ValueError(f"predicate {pred!r} not in {PREDICATES}")
     no = F.lit(False)
@@ -182,53 +179,47 @@ def relation(pred: str, a: str = "a_", b: str = "b_", eps: float = 0.0,
                                                          & (F.abs(p["y"] - q["y"]) <= eps)))
         return {"intersects": same, "contains": same, "within": same}.get(pred, no)
 
-    def pt_poly(p, poly_edges, point_first: bool):
-        loc = G.point_location(p["x"], p["y"], poly_edges, eps)
+    def pt_poly(g, poly_edges, point_first: bool):
+        # all points of a multi-point count: within needs one in the interior and none outside
+        place = F.transform(G.coords(g), lambda p: G.point_location(p["x"], p["y"], poly_edges, eps))
+        has = lambda where: F.exists(place, lambda x: x == where)
         inner = "within" if point_first else "contains"
-        return {"intersects": loc != "exterior", inner: loc == "interior", "touches": loc == "boundary"}.get(pred, no)
+        return {"intersects": has("interior") | has("boundary"), inner: has("interior") & ~has("exterior"),
+                "touches": has("boundary") & ~has("interior"),
+                "crosses": has("interior") & has("exterior")}.get(pred, no)
 
     def poly_poly():
-        if pred == "within":
-            return _poly_within(ga, ea, eb, eps)
         if pred == "contains":
-            return _poly_within(gb, eb, ea, eps)
-        if pred in ("intersects", "touches"):
-            return G.poly_poly_relations(ga, ea, gb, eb, eps)[pred]
-        return no
+            return G.poly_poly_relations(gb, eb, ga, ea, eps)["within"]
+        return G.poly_poly_relations(ga, ea, gb, eb, eps).get(pred, no)
 
     def line_line():
-        if pred in ("intersects", "crosses"):
-            return G.line_relations(ea, eb, other_is_polygon=False, eps=eps)[pred]
-        if pred == "touches":
-            r = G.line_relations(ea, eb, other_is_polygon=False, eps=eps)
-            return r["intersects"] & ~r["crosses"] & _line_endpoint_meet(ea, eb, eps)
-        return no
+        if pred == "contains":
+            return G.line_line_relations(eb, ea, eps)["within"]
+        return G.line_line_relations(ea, eb, eps)[pred]
 
     def line_poly(le, pe, line_first: bool):
-        if pred in ("intersects", "crosses"):
-            return G.line_relations(le, pe, other_is_polygon=True, eps=eps)[pred]
-        if pred == "touches":
-            return G.line_relations(le, pe, other_is_polygon=True, eps=eps)["intersects"] & ~_line_enters(le, pe, eps)
-        if pred == ("within" if line_first else "contains"):
-            return _line_within(le, pe, eps)
-        return no
-
-    def pt_line(p, le, point_first: bool):
-        on = G.point_on_boundary(p["x"], p["y"], le, eps)
+        name = {"within": "within" if line_first else "", "contains": "" if line_first else "within"}.get(pred, pred)
+        return G.line_poly_relations(le, pe, eps).get(name, no)
+
+    def pt_line(g, le, point_first: bool):
+        pts = G.coords(g)
+        on = lambda p: G.point_on_boundary(p["x"], p["y"], le, eps)
+        mid = F.exists(pts, lambda p: on(p) & ~_at_line_end(p, le, eps))
         inner = "within" if point_first else "contains"
-        return {"intersects": on, inner: on & ~_at_line_end(p, le, eps),
-                "touches": _at_line_end(p, le, eps)}.get(pred, no)
+        return {"intersects": F.exists(pts, on), inner: mid & F.forall(pts, on),
+                "touches": F.exists(pts, on) & ~mid, "crosses": mid & ~F.forall(pts, on)}.get(pred, no)
 
     table = {
         ("point", "point"): pt_pt,
-        ("point", "polygon"): lambda: pt_poly(pa, eb, True),
-        ("polygon", "point"): lambda: pt_poly(pb, ea, False),
+        ("point", "polygon"): lambda: pt_poly(ga, eb, True),
+        ("polygon", "point"): lambda: pt_poly(gb, ea, False),
         ("polygon", "polygon"): poly_poly,
         ("line", "line"): line_line,
         ("line", "polygon"): lambda: line_poly(ea, eb, True),
         ("polygon", "line"): lambda: line_poly(eb, ea, False),
-        ("point", "line"): lambda: pt_line(pa, eb, True),
-        ("line", "point"): lambda: pt_line(pb, ea, False),
+        ("point", "line"): lambda: pt_line(ga, eb, True),
+        ("line", "point"): lambda: pt_line(gb, ea, False),
     }
     if kinds and kinds[0] and kinds[1]:
         return table[tuple(kinds)]()
@@ -238,51 +229,6 @@ def relation(pred: str, a: str = "a_", b: str = "b_", eps: float = 0.0,
     return out
 
 
-def _vertices(edges: Column) -> Column:
-    return F.flatten(F.transform(edges, lambda e: F.array(
-        F.struct(e["ax"].alias("x"), e["ay"].alias("y")), F.struct(e["bx"].alias("x"), e["by"].alias("y")))))
-
-
-def _midpoints(edges: Column) -> Column:
-    return F.transform(edges, lambda e: F.struct(((e["ax"] + e["bx"]) / 2).alias("x"),
-                                                 ((e["ay"] + e["by"]) / 2).alias("y")))
-
-
-def _not_exterior(p, poly_edges, eps):
-    return G.point_on_boundary(p["x"], p["y"], poly_edges, eps) | G.point_in_rings(p["x"], p["y"], poly_edges)
-
-
-def _strict_inside(p, poly_edges, eps):
-    return ~G.point_on_boundary(p["x"], p["y"], poly_edges, eps) & G.point_in_rings(p["x"], p["y"], poly_edges)
-
-
-def _poly_within(ga, ea, eb, eps) -> Column:
-    """Polygon A within polygon B: no vertex or edge midpoint of A outside B,
-    no edge of A crossing an edge of B properly, and some witness point of A
-    strictly inside B (interiors meet)."""
-    no_out = (F.forall(G.coords(ga), lambda p: _not_exterior(p, eb, eps))
-              & F.forall(_midpoints(ea), lambda p: _not_exterior(p, eb, eps)))
-    no_cross = ~F.exists(ea, lambda e: F.exists(eb, lambda f: G.segments_cross_properly(e, f, eps)))
-    witness = (F.exists(_midpoints(ea), lambda p: _strict_inside(p, eb, eps))
-               | F.exists(G.coords(ga), lambda p: _strict_inside(p, eb, eps))
-               | _strict_inside(G._ring_mean(ga), eb, eps))
-    return no_out & no_cross & witness
-
-
-def _line_enters(line_edges, poly_edges, eps) -> Column:
-    """Some part of the line lies in the polygon's interior."""
-    return (F.exists(_vertices(line_edges), lambda p: _strict_inside(p, poly_edges, eps))
-            | F.exists(_midpoints(line_edges), lambda p: _strict_inside(p, poly_edges, eps))
-            | F.exists(line_edges, lambda e: F.exists(poly_edges, lambda f: G.segments_cross_properly(e, f, eps))))
-
-
-def _line_within(line_edges, poly_edges, eps) -> Column:
-    return (F.forall(_vertices(line_edges), lambda p: _not_exterior(p, poly_edges, eps))
-            & F.forall(_midpoints(line_edges), lambda p: _not_exterior(p, poly_edges, eps))
-            & ~F.exists(line_edges, lambda e: F.exists(poly_edges, lambda f: G.segments_cross_properly(e, f, eps)))
-            & _line_enters(line_edges, poly_edges, eps))
-
-
 def _ends(edges: Column) -> Column:
     first, last = edges[0], F.element_at(edges, -1)
     return F.array(F.struct(first["ax"].alias("x"), first["ay"].alias("y")),
@@ -293,12 +239,6 @@ def _at_line_end(p, line_edges, eps) -> Column:
     return F.exists(_ends(line_edges), lambda q: (F.abs(q["x"] - p["x"]) <= eps) & (F.abs(q["y"] - p["y"]) <= eps))
 
 
-def _line_endpoint_meet(ea, eb, eps) -> Column:
-    """Lines meet only at an end point of one of them (touches)."""
-    return (F.exists(_ends(ea), lambda p: G.point_on_boundary(p["x"], p["y"], eb, eps))
-            | F.exists(_ends(eb), lambda p: G.point_on_boundary(p["x"], p["y"], ea, eps)))
-
-
 LEVEL_FACTOR = 64     # each coarser level has cells 64 x 64 times larger
 MAX_LEVEL = 6         # 64^6 ~ 7e10: any extent fits
 
@@ -311,12 +251,10 @@ def _level(p: str, cell_size: float, max_cells: int, line: bool = False) -> Colu
     return out
 
 
-def _levels(df: DataFrame, p: str, cell_size: float, max_cells: int, is_point: bool, line: bool = False) -> list[int]:
-    """Levels used on one side: [0] for points; otherwise one early-exit pass
+def _levels(df: DataFrame, p: str, cell_size: float, max_cells: int, line: bool = False) -> list[int]:
+    """Levels used on one side (a multi-point may be large too): one early-exit pass
     finds whether any geometry is oversized, and only then the distinct
     levels (at most MAX_LEVEL + 1 values) are collected."""
-    if is_point:
-        return [0]
     if df.filter(_n_cells(p, cell_size, flagged=line) > max_cells).limit(1).count() == 0:
         return [0]
     return sorted(r[0] for r in df.select(_level(p, cell_size, max_cells, line).alias("l")).distinct().collect())
@@ -336,8 +274,7 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
 
     Returns ``left_cols + right_cols`` (names must not clash). ``kinds`` =
     (left kind, right kind) among point/line/polygon, when known, compiles
-    only that predicate; a side declared ``point`` skips the size check.
-    ``broadcast_rows`` broadcasts the right side if it is proven to have at
+    only that predicate. ``broadcast_rows`` broadcasts the right side if it is proven to have at
     most that many rows; otherwise the planner (and AQE) picks the join.
     ``salt_buckets = n`` splits every cell of the left side over ``n`` tasks
     and replicates right rows ``n`` times: for hot cells (one cell holding a
@@ -359,8 +296,8 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
         a = a.withColumn("a_sc", _use_supercover("a_", cell_size))
     if b_line:
         b = b.withColumn("b_sc", _use_supercover("b_", cell_size))
-    la = _levels(a, "a_", cell_size, max_cells, ka == "point", a_line)
-    lb = _levels(b, "b_", cell_size, max_cells, kb == "point", b_line)
+    la = _levels(a, "a_", cell_size, max_cells, a_line)
+    lb = _levels(b, "b_", cell_size, max_cells, b_line)
     if la == [0] and lb == [0]:
         a = a.select("*", F.explode(_cells("a_", cell_size, a_line, eps)).alias("a_cell"))
         b = b.select("*", F.explode(_cells("b_", cell_size, b_line, eps)).alias("b_cell"))

@@ -631,20 +631,22 @@ def q_geometry_type_set(spark, sf):
     return A.geometry_type_set(mixed)
 
 
-_DV_FIELDS = ["c_mktsegment", "c_nationkey", "c_name", "c_acctbal"]
+_DV_FIELDS = ["c_custkey", "c_mktsegment", "c_nationkey", "c_name", "c_acctbal"]
 
 
 @register("distinct_values", " UNION ALL ".join(f"""
-SELECT field, value, rank FROM (SELECT '{f}' AS field, value, row_number() OVER (ORDER BY value) AS rank
+SELECT field, value, rank, n_distinct, n_distinct > 50 AS truncated FROM (
+  SELECT '{f}' AS field, value, row_number() OVER (ORDER BY value) AS rank, count(*) OVER () AS n_distinct
   FROM (SELECT DISTINCT CAST({f} AS VARCHAR) AS value FROM customer
-        WHERE {f} IS NOT NULL AND CAST({f} AS VARCHAR) <> '')) WHERE rank <= 50""" for f in _DV_FIELDS if f != "c_acctbal"))
+        WHERE {f} IS NOT NULL AND CAST({f} AS VARCHAR) <> '')) WHERE rank <= 50""" for f in _DV_FIELDS))
 def q_distinct_values(spark, sf):
     """A5: up to 50 distinct values per field, smallest first (all fields in one scan)."""
-    return A.distinct_values(table(spark, sf, "customer"), [f for f in _DV_FIELDS if f != "c_acctbal"])
+    return A.distinct_values(table(spark, sf, "customer"), _DV_FIELDS)
 
 
 @register("sampled_values", " UNION ALL ".join(f"""
-SELECT field, value, rank FROM (SELECT '{f}' AS field, value, row_number() OVER (ORDER BY value) AS rank
+SELECT field, value, rank, n_distinct, n_distinct > 50 AS truncated FROM (
+  SELECT '{f}' AS field, value, row_number() OVER (ORDER BY value) AS rank, count(*) OVER () AS n_distinct
   FROM (SELECT DISTINCT CAST({f} AS VARCHAR) AS value FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)
         WHERE {f} IS NOT NULL AND CAST({f} AS VARCHAR) <> '')) WHERE rank <= 50""" for f in ("o_orderstatus", "o_orderpriority", "o_custkey")))
 def q_sampled_values(spark, sf):
@@ -654,8 +656,8 @@ def q_sampled_values(spark, sf):
 
 @register("infer_types", r"""
 WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS VARCHAR) AS p_size,
-                  CAST(p_retailprice AS VARCHAR) AS p_retailprice, p_brand, p_name FROM part),
-u AS (UNPIVOT s ON p_partkey, p_size, p_retailprice, p_brand, p_name INTO NAME field VALUE value),
+                  CAST(p_retailprice AS VARCHAR) AS p_retailprice, p_brand, p_name, p_type FROM part),
+u AS (UNPIVOT s ON p_partkey, p_size, p_retailprice, p_brand, p_name, p_type INTO NAME field VALUE value),
 a AS (SELECT field, count(*) AS n,
         count(*) FILTER (WHERE regexp_full_match(trim(value), '[+-]?[0-9]+')) AS n_int,
         count(*) FILTER (WHERE TRY_CAST(trim(value) AS DOUBLE) IS NOT NULL
@@ -667,9 +669,7 @@ SELECT field, CASE WHEN n_int = n THEN 'integer' WHEN n_num = n THEN 'number' WH
 def q_infer_types(spark, sf):
     """A7 whole-column mode over the string forms of part's columns."""
     p = table(spark, sf, "part")
-    s = p.select(*[F.col(c).cast("string").alias(c) for c in ("p_partkey", "p_size", "p_retailprice", "p_brand",
-                                                                "p_name")])
-    return A.infer_types(s)
+    return A.infer_types(p.select([F.col(c).cast("string").alias(c) for c in p.columns]))
 
 
 @register("json_field_types", """
@@ -979,8 +979,9 @@ def q_fill_defaults(spark, sf):
 def _conform(spark, sf):
     from pyspark.sql import types as T
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
-                                             F.col("n_chars").cast("string").alias("n_chars"), "lang", "source")
+                                             F.col("n_chars").cast("string").alias("n_chars"), "lang", "source", "text")
     schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("n_chars", T.LongType()),
+                           T.StructField("text", T.DateType()),
                            T.StructField("lang", T.BooleanType()), T.StructField("source", T.DoubleType())])
     return M.conform_schema(d, schema, ["doc_id"])
 
@@ -989,6 +990,7 @@ def _conform(spark, sf):
 SELECT doc_id, field, value FROM (
   SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'n_chars' AS field, CAST(n_chars AS VARCHAR) AS value FROM documents
     WHERE n_chars IS NOT NULL AND TRY_CAST(CAST(n_chars AS VARCHAR) AS BIGINT) IS NULL
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'text', text FROM documents WHERE TRY_CAST(text AS DATE) IS NULL AND text IS NOT NULL
   UNION ALL SELECT CAST(doc_id AS VARCHAR), 'lang', lang FROM documents
     WHERE lang IS NOT NULL AND TRY_CAST(lang AS BOOLEAN) IS NULL
   UNION ALL SELECT CAST(doc_id AS VARCHAR), 'source', source FROM documents
@@ -1249,10 +1251,14 @@ SELECT (SELECT count(*) FROM m) AS number_matched, (SELECT count(*) FROM p) AS n
   'items?offset=50&limit=25' AS self_href,
   CASE WHEN 50 + (SELECT count(*) FROM p) < (SELECT count(*) FROM m) THEN 'items?offset=75&limit=25' END AS next_href,
   'items?offset=25&limit=25' AS prev_href,
-  (SELECT min(event_id) FROM p) AS first_id, (SELECT max(event_id) FROM p) AS last_id""")
+  (SELECT min(event_id) FROM p) AS first_id, (SELECT max(event_id) FROM p) AS last_id,
+  (SELECT count(*) FROM p) AS body_features, (SELECT CAST(min(event_id) AS VARCHAR) FROM p) AS body_first_id""")
 def q_items_response(spark, sf):
     """F5 response parts: match count, page size, paging links and the page's
-    first and last ids (the GeoJSON body itself is checked in tests)."""
+    first and last ids, and the number of features and the first id in the GeoJSON body."""
     pts = L.event_points(spark, sf, with_geometry=True).select("event_id", "event_type", "value", "geometry")
     q = Q.items_compare(pts, [("value", ">=", 10.0), ("event_type", "<>", "error")])
-    return Q.items_response(q, "event_id", limit=25, offset=50).drop("response")
+    body = F.col("response")
+    return Q.items_response(q, "event_id", limit=25, offset=50).select(
+        "*", F.json_array_length(F.get_json_object(body, "$.features")).cast("long").alias("body_features"),
+        F.get_json_object(body, "$.features[0].id").alias("body_first_id")).drop("response")

@@ -7,7 +7,6 @@ default, and only when ``spark.checkpoint.dir`` is unset (tests, laptops).
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, durable folder and
-    is used as is. Only when it is unset (local tests) is a private folder made.
+    is used as is. Where it is unset, a private folder is made in local mode
+    (tests, a laptop); on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            # a folder of one machine is no shared folder
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="tessella-ckpt-")
         try:  # a core setting: some sessions refuse runtime changes to it
             spark.conf.set("spark.checkpoint.dir", conf_dir)
@@ -72,12 +75,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder, for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables as a DataFrame (lazy parquet scan)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -22,12 +22,9 @@ def _one(spark, col, rows, schema="s string"):
 NAMES = ["Veg nr.", "Ærlig Øst Å", "2nd field", "__x__", "Çà va", "", None, "!!!", "A--B  c"]
 
 
-def test_technical_name_column_equals_driver_twin(spark):
+def test_technical_names(spark):
     got = _one(spark, N.technical_name("s"), [(n,) for n in NAMES])
-    want = [N.technical_name_py(n) for n in NAMES]
-    assert got == want
-    assert want[:5] == ["veg_nr", "aerlig_oest_aa", "_2nd_field", "x", "ca_va"]
-    assert want[7] == "untitled_field" and want[8] == "a_b_c"
+    assert got == ["veg_nr", "aerlig_oest_aa", "_2nd_field", "x", "ca_va", "", "", "untitled_field", "a_b_c"]
 
 
 def test_table_title_extension(spark):
@@ -142,7 +139,7 @@ def test_neighbours_skewed_layers_equal_plain_window(spark):
                           key=key)
 
 
-def test_technical_name_matches_driver_twin_on_random_text(spark):
+def test_technical_names_of_random_text_are_identifiers(spark):
     from hypothesis import HealthCheck, given, settings
     from hypothesis import strategies as st
     alphabet = st.sampled_from(
@@ -156,10 +153,12 @@ def test_technical_name_matches_driver_twin_on_random_text(spark):
     def collect(s):
         samples.append(s)
     collect()
-    got = [r[0] for r in spark.createDataFrame([(s,) for s in samples], "s string")
-           .select(N.technical_name("s")).collect()]
-    bad = [(s, g, N.technical_name_py(s)) for s, g in zip(samples, got) if g != N.technical_name_py(s)]
-    assert not bad, bad[:5]
+    df = spark.createDataFrame([(s,) for s in samples], "s string").select("s", N.technical_name("s").alias("t"))
+    df = df.withColumn("again", N.technical_name("t"))
+    import re
+    for r in df.collect():
+        assert r.t == "" if not r.s else re.fullmatch(r"_?[a-z0-9]+(_[a-z0-9]+)*", r.t), r
+        assert r.again == r.t
 
 
 def test_make_valid_splits_a_bow_tie_only(spark):

@@ -77,8 +77,11 @@ def test_connection_strings():
     assert (u["user"], u["password"], u["host"], u["port"], u["dbname"]) == ("me", "p@ss", "db.example", "6543", "gis")
     kv = R.parse_connection("dbname=gis user=me schema=geo")
     assert (kv["host"], kv["port"], kv["dbname"], kv["schema"]) == ("localhost", "5432", "gis", "geo")
-    # no "@": not the URL form, so read as key=value (reference rule)
-    assert R.parse_connection("postgresql://host/db")["host"] == "localhost"
+    assert R.parse_connection("postgresql://host/db")["host"] == "host"
+    assert u["sslmode"] == "require"
+    q = R.parse_connection("host=h password='a b\\'c' user = me")
+    assert (q["host"], q["password"], q["user"]) == ("h", "a b'c", "me")
+    assert R.parse_connection("postgresql://u:a:b@h/d")["password"] == "a:b"
     o = R.jdbc_options("postgres://u:p@h:5432/d", "roads", pk="fid", bounds=(1, 1000), partitions=8)
     assert o["url"] == "jdbc:postgresql://h:5432/d" and o["dbtable"] == '"public"."roads"'
     assert (o["partitionColumn"], o["numPartitions"]) == ("fid", "8")
@@ -385,3 +388,39 @@ def test_upsert_batches_with_string_keys(spark, scratch):
     got = {(r.k, r[D.CHANGE_COL]) for r in spark.read.parquet(os.path.join(out, "s_delta", "batch=2")).collect()}
     assert got == {("a", "update"), ("b", "delete"), ("c", "insert")}
     assert sorted(r.pk for r in store.keys().collect()) == ["a", "c"]
+
+
+def test_change_capture_of_repeated_and_null_keys(spark):
+    from tessella.operators import cdc
+    cur = spark.createDataFrame([(1, "a"), (2, "b"), (9, "n"), (9, "n"), (9, "m"), (None, "x")], "pk long, v string")
+    prev = spark.createDataFrame([(1,), (2,), (3,)], "pk long")
+    got = sorted(((r["pk"], r["v"], r["_change_type"]) for r in cdc.cdc_diff(cur, prev, "pk").collect()), key=str)
+    assert got == sorted([(9, "n", "insert"), (9, "n", "insert"), (9, "m", "insert"), (None, "x", "insert"), (3, None, "delete")], key=str)
+
+
+def test_row_hash_tells_nulls_apart(spark):
+    from tessella.operators import cdc
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", "a"), (None, None)], "x string, y string")
+    assert df.select(cdc.row_hash(["x", "y"]).alias("h")).distinct().count() == 4
+
+
+def test_value_maps_behave_alike_at_any_size(spark):
+    from tessella.operators import mapping as M
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, c string")
+    small = {"a": 5, "b": ""}
+    large = small | {f"k{i}": i for i in range(150)}
+    want = [(1, "5"), (2, None), (3, None)]
+    for pairs in (small, large):
+        assert [tuple(r) for r in M.map_values(df, "c", pairs).orderBy("id").collect()] == want
+    t = spark.createDataFrame([("a", "second", 2), ("a", "first", 1), ("b", "", 1)], "source_value string, target_value string, ordinal int")
+    assert [tuple(r) for r in M.map_values(df, "c", t).orderBy("id").collect()] == [(1, "first"), (2, None), (3, None)]
+
+
+def test_long_whole_numbers_in_geojson_survive(spark, scratch):
+    import os
+    os.makedirs(f"{scratch}/g")
+    with open(f"{scratch}/g/a.geojsonl", "w") as f:
+        f.write('{"type":"Feature","id":1,"properties":{"n":123456789012345678901234567890,"m":7},"geometry":null}\n')
+    from tessella.sources import readers as RD
+    r = RD.scan_geojson_seq(spark, f"{scratch}/g").first()
+    assert int(r["n"]) == 123456789012345678901234567890 and r["m"] == 7

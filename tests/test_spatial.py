@@ -193,3 +193,117 @@ def test_supercover_is_chosen_for_long_diagonal_lines_only(spark):
     cells = {r.lid: r.n for r in p.withColumn("a_sc", F.lit(True))
              .select("lid", F.size(SP._cells("a_", 1.5, line=True)).alias("n")).collect()}
     assert cells[1] < 250  # vs 54 x 54 = 2916 box cells
+
+
+# ---------------------------------------------------------------- written-down OGC answers
+
+def _related(a, b, kind_a, kind_b):
+    """For each pair of rows with one id: the predicates that hold."""
+    x = SP._prepare(a.toDF("i", "geometry").select("i", F.col("geometry").alias("a_geom")), "a_geom", "a_", 0.0)
+    y = SP._prepare(b.toDF("j", "geometry").select("j", F.col("geometry").alias("b_geom")), "b_geom", "b_", 0.0)
+    holds = [F.when(SP.relation(p, "a_", "b_", 0.0, (kind_a, kind_b)), F.lit(p)) for p in SP.PREDICATES]
+    rows = x.join(y, F.col("i") == F.col("j")).select("i", F.array_compact(F.array(*holds)).alias("p")).collect()
+    return {r["i"]: set(r["p"]) for r in rows}
+
+
+def _multi(spark, rows):
+    df = spark.createDataFrame([(i, [[[{"x": float(x), "y": float(y)}]] for x, y in pts]) for i, pts in rows],
+                               "qid long, parts array<array<array<struct<x:double,y:double>>>>")
+    return df.select("qid", F.struct(F.lit("MultiPoint").alias("type"), F.lit(4326).alias("srid"), "parts").alias("geometry"))
+
+
+def _box(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+
+U = [(0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6), (0, 0)]
+
+
+LINE_SQUARE = [
+    ([(-1, -1), (3, 3)], {"intersects", "crosses"}),                  # through two corners
+    ([(0, 0), (2, 2)], {"intersects", "within"}),                     # corner to corner
+    ([(-1, 0), (3, 0)], {"intersects", "touches"}),                   # along an edge and on
+    ([(1, 1), (1, 1.5)], {"intersects", "within"}),
+    ([(-1, 1), (0, 1)], {"intersects", "touches"}),
+    ([(3, 3), (4, 4)], set()),
+]
+LINES = [
+    ([(0, 0), (1, 1), (2, 2)], [(0, 2), (1, 1), (2, 0)], {"intersects", "crosses"}),   # through a vertex of both
+    ([(0, 0), (2, 2)], [(0, 2), (2, 0)], {"intersects", "crosses"}),
+    ([(0, 0), (2, 0)], [(1, 0), (1, 2)], {"intersects", "touches"}),
+    ([(0, 0), (2, 0)], [(1, 0), (3, 0)], {"intersects"}),                              # a shared stretch
+    ([(1, 0), (2, 0)], [(0, 0), (3, 0)], {"intersects", "within"}),
+    ([(0, 0), (1, 0)], [(2, 0), (3, 0)], set()),
+]
+POLYGONS = [
+    ([_box(2, 2, 8, 8)], [_box(0, 0, 10, 10), _box(4, 4, 6, 6)], {"intersects"}),             # covers the hole
+    ([_box(1, 1, 3, 3)], [_box(0, 0, 10, 10), _box(4, 4, 6, 6)], {"intersects", "within"}),
+    ([_box(4, 4, 6, 6)], [_box(0, 0, 10, 10), _box(4, 4, 6, 6)], {"intersects", "touches"}),  # fills the hole
+    ([U], [U], {"intersects", "within", "contains"}),
+    ([U], [_box(2, 2, 4, 6)], {"intersects", "touches"}),                                     # the gap of the U
+    ([_box(0, 0, 6, 6)], [U], {"intersects", "contains"}),
+    ([_box(0, 0, 2, 2)], [_box(2, 0, 4, 2)], {"intersects", "touches"}),
+    ([_box(0, 0, 2, 2)], [_box(1, 0, 3, 2)], {"intersects"}),                                 # edges run together
+    ([_box(0, 0, 2, 2)], [_box(5, 5, 6, 6)], set()),
+    ([_box(0, 0, 4, 1)], [_box(1, -1, 2, 3)], {"intersects"}),                                # a cross of two bars
+]
+MULTI = [
+    ([(50, 50), (1, 1)], {"intersects", "crosses"}),
+    ([(1, 1), (0, 1)], {"intersects", "within"}),
+    ([(0, 0), (9, 9)], {"intersects", "touches"}),
+    ([(9, 9), (8, 8)], set()),
+]
+RINGS = [
+    ([_box(0, 0, 4, 4), _box(1, 1, 2, 2)], True),
+    ([_box(0, 0, 4, 4), _box(6, 6, 7, 7)], False),                    # hole outside the shell
+    ([_box(0, 0, 4, 4), _box(3, 3, 5, 5)], False),                    # hole across the shell
+    ([_box(0, 0, 9, 9), _box(1, 1, 5, 5), _box(2, 2, 3, 3)], False),  # hole in a hole
+    ([_box(0, 0, 9, 9), _box(1, 1, 3, 3), _box(5, 5, 7, 7)], True),
+    ([[(0, 0), (4, 0), (6, 0), (4, 0), (4, 4), (0, 0)]], False),      # spike
+    ([U], True),
+]
+
+
+def _numbered(cases, k):
+    return [(i, c[k]) for i, c in enumerate(cases)]
+
+
+def _wanted(cases):
+    return {i: c[-1] for i, c in enumerate(cases)}
+
+
+def test_lines_and_a_square(spark):
+    squares = _poly(spark, [(i, [_box(0, 0, 2, 2)]) for i in range(len(LINE_SQUARE))])
+    assert _related(_lines(spark, _numbered(LINE_SQUARE, 0)), squares, "line", "polygon") == _wanted(LINE_SQUARE)
+
+
+def test_two_lines(spark):
+    assert _related(_lines(spark, _numbered(LINES, 0)), _lines(spark, _numbered(LINES, 1)), "line", "line") == _wanted(LINES)
+
+
+def test_two_polygons(spark):
+    got = _related(_poly(spark, _numbered(POLYGONS, 0)), _poly(spark, _numbered(POLYGONS, 1)), "polygon", "polygon")
+    assert got == _wanted(POLYGONS)
+
+
+def test_all_points_of_a_multi_point_count(spark):
+    squares = _poly(spark, [(i, [_box(0, 0, 2, 2)]) for i in range(len(MULTI))])
+    points = _multi(spark, _numbered(MULTI, 0))
+    assert _related(points, squares, "point", "polygon") == _wanted(MULTI)
+    got = SP.spatial_join(points, squares.limit(1), "intersects", 1.0, kinds=("point", "polygon")).collect()
+    assert {r["qid"] for r in got} == {i for i, (_, w) in enumerate(MULTI) if "intersects" in w}
+
+
+def test_validity_of_rings(spark):
+    got = _poly(spark, _numbered(RINGS, 0)).select("pid", G.is_valid("geometry").alias("ok")).collect()
+    assert {r["pid"]: r["ok"] for r in got} == _wanted(RINGS)
+
+
+def test_validity_of_parts(spark):
+    sets = [[_box(0, 0, 1, 1), _box(2, 2, 3, 3)], [_box(0, 0, 1, 1), _box(1, 1, 2, 2)],
+            [_box(0, 0, 3, 3), _box(1, 1, 2, 2)], [_box(0, 0, 1, 1), _box(0, 0, 1, 1)]]
+    data = [(i, [[[{"x": float(x), "y": float(y)} for x, y in r]] for r in boxes]) for i, boxes in enumerate(sets)]
+    df = spark.createDataFrame(data, "pid long, parts array<array<array<struct<x:double,y:double>>>>")
+    g = F.struct(F.lit("MultiPolygon").alias("type"), F.lit(4326).alias("srid"), F.col("parts"))
+    got = df.select("pid", g.alias("geometry")).select("pid", G.is_valid("geometry").alias("ok")).collect()
+    assert {r["pid"]: r["ok"] for r in got} == {0: True, 1: True, 2: False, 3: False}
