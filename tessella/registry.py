@@ -1262,3 +1262,248 @@ def q_items_response(spark, sf):
     return Q.items_response(q, "event_id", limit=25, offset=50).select(
         "*", F.json_array_length(F.get_json_object(body, "$.features")).cast("long").alias("body_features"),
         F.get_json_object(body, "$.features[0].id").alias("body_first_id")).drop("response")
+
+
+# ---------------------------------------------------------------- catalog jobs over derived catalogs
+
+from .functions import types as TYP  # noqa: E402
+from .operators import catalog as CAT  # noqa: E402
+from .plans import catalogs as K  # noqa: E402
+from .sources import readers as RD  # noqa: E402
+
+_LAYERS_SQL, _FIELDS_SQL, _ENUMS_SQL = (K.sql(t, "duckdb") for t in (K.LAYERS, K.FIELDS, K.ENUMS))
+_NEXT_SQL = K.sql(K.LAYERS_NEXT, "duckdb")
+_CAT_WITH = f"l AS ({_LAYERS_SQL}), f AS ({_FIELDS_SQL}), e AS (SELECT DISTINCT model_id, enum_id FROM ({_ENUMS_SQL}))"
+_UP_SQL = """par AS (SELECT l.model_id, l.layer_id, p.layer_id AS up FROM l JOIN l p ON l.model_id = p.model_id AND l.extends_id = p.layer_id),
+walk AS (SELECT model_id, layer_id, layer_id AS anc, 0 AS dist, [layer_id] AS seen FROM l UNION ALL
+  SELECT w.model_id, w.layer_id, p.up, w.dist + 1, list_append(w.seen, p.up) FROM walk w
+  JOIN par p ON w.model_id = p.model_id AND w.anc = p.layer_id WHERE NOT list_contains(w.seen, p.up))"""
+
+
+def _layers_cat(spark, sf):
+    return K.catalog(spark, sf, K.LAYERS)
+
+
+def _fields_cat(spark, sf):
+    return K.catalog(spark, sf, K.FIELDS)
+
+
+@register("catalog_lint_layers", f"""
+WITH RECURSIVE {_CAT_WITH}, {_UP_SQL},
+loops AS (SELECT DISTINCT w.model_id, w.layer_id FROM walk w JOIN par p ON w.model_id = p.model_id AND w.anc = p.layer_id
+  WHERE list_contains(w.seen, p.up)),
+n AS (SELECT model_id, layer_id, count(*) AS n, count(*) FILTER (WHERE is_pk) AS pk FROM f GROUP BY ALL),
+k AS (SELECT model_id, layer_id, arg_min(kind, ordinal) AS kind, arg_min(base_type, ordinal) AS t, arg_min(multiplicity, ordinal) AS mult
+  FROM f WHERE is_pk GROUP BY ALL),
+j AS (SELECT l.*, coalesce(n.n, 0) AS n, coalesce(n.pk, 0) AS pk, k.kind, k.t, k.mult,
+  EXISTS (SELECT 1 FROM l c WHERE c.model_id = l.model_id AND c.extends_id = l.layer_id) AS has_child,
+  EXISTS (SELECT 1 FROM l p WHERE p.model_id = l.model_id AND p.layer_id = l.extends_id) AS has_parent
+  FROM l LEFT JOIN n USING (model_id, layer_id) LEFT JOIN k USING (model_id, layer_id))
+SELECT model_id, layer_id, 'error' AS severity, 'LAYER_DUPLICATE_NAME' AS code FROM
+  (SELECT *, count(*) OVER (PARTITION BY model_id, coalesce(name, '(unnamed)')) AS c FROM l) WHERE c > 1
+UNION ALL SELECT model_id, layer_id, 'error', 'LAYER_EXTENDS_CIRCULAR_DEEP' FROM loops
+UNION ALL SELECT model_id, layer_id, 'warning', 'LAYER_NO_PROPERTIES' FROM j WHERE NOT is_abstract AND n = 0
+UNION ALL SELECT model_id, layer_id, 'warning', 'LAYER_NO_PK' FROM j WHERE NOT is_abstract AND pk = 0 AND trim(pk_col) = ''
+UNION ALL SELECT model_id, layer_id, 'warning', 'LAYER_PK_MULTIPLICITY' FROM j WHERE NOT is_abstract AND mult IN ('0..1', '0..*')
+UNION ALL SELECT model_id, layer_id, 'hint', 'LAYER_PK_TYPE' FROM j WHERE NOT is_abstract AND kind = 'primitive' AND t <> 'integer'
+UNION ALL SELECT model_id, layer_id, 'warning', 'LAYER_MULTIPLE_PKS' FROM j WHERE NOT is_abstract AND pk > 1
+UNION ALL SELECT model_id, layer_id, 'warning', 'LAYER_NO_GEOM_COLUMN' FROM j WHERE NOT is_abstract AND geometry_type <> 'None' AND geom_col IS NULL
+UNION ALL SELECT model_id, layer_id, 'hint', 'LAYER_NO_DESCRIPTION' FROM j WHERE trim(coalesce(description, '')) = ''
+UNION ALL SELECT model_id, layer_id, 'hint', 'LAYER_ABSTRACT_UNUSED' FROM j WHERE is_abstract AND NOT has_child
+UNION ALL SELECT model_id, layer_id, 'error', 'LAYER_EXTENDS_UNKNOWN' FROM j WHERE extends_id IS NOT NULL AND NOT has_parent""")
+def q_catalog_lint_layers(spark, sf):
+    """L1, L3-L6g: layer checks over all models."""
+    out = CAT.lint(_layers_cat(spark, sf), _fields_cat(spark, sf), K.catalog(spark, sf, K.ENUMS))
+    return out.where("field_id IS NULL").select("model_id", "layer_id", "severity", "code")
+
+
+@register("catalog_lint_fields", f"""
+WITH {_CAT_WITH}, i AS (SELECT model_id, layer_id, field_id, kind AS k FROM f),
+j AS (SELECT f.*, l.layer_id IS NOT NULL AS tgt, l.geometry_type AS tg, i.k AS inv, e.enum_id IS NOT NULL AS known,
+  row_number() OVER (PARTITION BY f.model_id, f.layer_id, f.name ORDER BY f.ordinal) AS r
+  FROM f LEFT JOIN l ON f.model_id = l.model_id AND f.ref_layer_id = l.layer_id
+  LEFT JOIN i ON f.model_id = i.model_id AND f.ref_layer_id = i.layer_id AND f.inverse_field_id = i.field_id
+  LEFT JOIN e ON f.model_id = e.model_id AND f.enum_ref = e.enum_id),
+x AS (SELECT model_id, layer_id, field_id, unnest([
+  CASE WHEN r > 1 THEN 'error FIELD_DUPLICATE_NAME' END, CASE WHEN length(name) > 63 THEN 'warning FIELD_NAME_TOO_LONG' END,
+  CASE WHEN kind = 'datatype-ref' AND trim(type_id) = '' THEN 'error FIELD_DATATYPE_REF_EMPTY' END,
+  CASE WHEN kind = 'feature-ref' AND ref_layer_id IS NULL THEN 'error FIELD_FEATURE_REF_EMPTY' END,
+  CASE WHEN kind = 'feature-ref' AND tgt AND tg = 'None' THEN 'hint FIELD_REF_TO_NONSPATIAL' END,
+  CASE WHEN kind = 'feature-ref' AND tgt AND inverse_field_id IS NOT NULL AND coalesce(inv, '') <> 'feature-ref'
+    THEN 'hint FIELD_FEATURE_REF_INVERSE_MISMATCH' END,
+  CASE WHEN kind = 'codelist' AND mode = 'shared' AND (trim(enum_ref) = '' OR NOT known) THEN 'error FIELD_SHARED_ENUM_REF_MISSING' END,
+  CASE WHEN kind = 'geometry' AND multiplicity IN ('0..*', '1..*') THEN 'hint MULTIPLICITY_ARRAY_ON_GEOMETRY' END]) AS v FROM j)
+SELECT model_id, layer_id, field_id, split_part(v, ' ', 1) AS severity, split_part(v, ' ', 2) AS code FROM x WHERE v IS NOT NULL""")
+def q_catalog_lint_fields(spark, sf):
+    """Field checks over all models."""
+    out = CAT.field_issues(_layers_cat(spark, sf), _fields_cat(spark, sf), K.catalog(spark, sf, K.ENUMS))
+    return out.select("model_id", "layer_id", "field_id", "severity", "code")
+
+
+@register("catalog_effective_fields", f"""
+WITH RECURSIVE {_CAT_WITH}, {_UP_SQL}
+SELECT w.model_id, w.layer_id, f.layer_id AS from_layer_id, f.field_id,
+  CAST(row_number() OVER (PARTITION BY w.model_id, w.layer_id ORDER BY w.dist DESC, f.ordinal) AS INT) AS position
+FROM walk w JOIN f ON w.model_id = f.model_id AND w.anc = f.layer_id""")
+def q_catalog_effective_fields(spark, sf):
+    """Fields of every layer through its parents, cycles cut."""
+    out = CAT.effective_fields(_layers_cat(spark, sf), _fields_cat(spark, sf))
+    return out.select("model_id", "layer_id", "from_layer_id", "field_id", "position")
+
+
+@register("catalog_topo_order", f"""
+WITH RECURSIVE {_CAT_WITH}, {_UP_SQL},
+first AS (SELECT w.model_id, w.anc AS layer_id, min(l.ordinal) AS first FROM walk w JOIN l USING (model_id, layer_id) GROUP BY ALL),
+deep AS (SELECT model_id, layer_id, max(dist) AS depth FROM walk GROUP BY ALL)
+SELECT model_id, layer_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY first, depth, ordinal) AS INT) AS topo_position
+FROM l JOIN first USING (model_id, layer_id) JOIN deep USING (model_id, layer_id)""")
+def q_catalog_topo_order(spark, sf):
+    """Parents before children."""
+    return CAT.topo_order(_layers_cat(spark, sf)).select("model_id", "layer_id", "topo_position")
+
+
+_DRIFT_SQL = f"""
+SELECT model_id, layer_id, CASE WHEN o.layer_id IS NULL THEN 'added' WHEN n.layer_id IS NULL THEN 'deleted' ELSE 'modified' END AS type,
+  coalesce(n.name, o.name) AS item_name,
+  CASE WHEN o.layer_id IS NOT NULL AND n.layer_id IS NOT NULL THEN
+    (o.name IS DISTINCT FROM n.name)::INT + (o.geometry_type IS DISTINCT FROM n.geometry_type)::INT
+    + (o.description IS DISTINCT FROM n.description)::INT ELSE 0 END AS n_changes
+FROM (SELECT * FROM l) o FULL JOIN (SELECT * FROM x) n USING (model_id, layer_id)"""
+
+
+def _drift(spark, sf):
+    f = _fields_cat(spark, sf)
+    return CAT.schema_drift(_layers_cat(spark, sf), K.catalog(spark, sf, K.LAYERS_NEXT), f, f)
+
+
+@register("catalog_drift", f"""
+WITH {_CAT_WITH}, x AS ({_NEXT_SQL}) SELECT * FROM ({_DRIFT_SQL}) WHERE type <> 'modified' OR n_changes > 0""")
+def q_catalog_drift(spark, sf):
+    """Layers added, deleted and modified between two versions."""
+    return _drift(spark, sf).select("model_id", "layer_id", "type", "item_name",
+                                    F.coalesce(F.size("modified_fields"), F.lit(0)).alias("n_changes"))
+
+
+@register("catalog_next_version", f"""
+WITH {_CAT_WITH}, x AS ({_NEXT_SQL}), d AS (SELECT * FROM ({_DRIFT_SQL}) WHERE type <> 'modified' OR n_changes > 0)
+SELECT model_id, count(*) FILTER (type = 'deleted') AS n_deleted, count(*) FILTER (type = 'added') AS n_added, count(*) AS n_total,
+  CASE WHEN count(*) FILTER (type = 'deleted') > 0 THEN '3.0.0' WHEN count(*) FILTER (type = 'added') > 0 THEN '2.5.0' ELSE '2.4.8' END AS version
+FROM d GROUP BY model_id""")
+def q_catalog_next_version(spark, sf):
+    """Changes grouped by model through the changelog's sections, and the next version after 2.4.7."""
+    lines = CAT.changelog_lines(_drift(spark, sf))
+    n = lines.groupBy("model_id").agg(
+        F.count_if(F.col("section") == "Breaking Changes").alias("n_deleted"),
+        F.count_if(F.col("section") == "New Features").alias("n_added"), F.count(F.lit(1)).alias("n_total"))
+    return n.withColumn("version", CAT.next_version(F.lit("2.4.7"), F.col("n_deleted"), F.col("n_added"), F.col("n_total")))
+
+
+@register("catalog_group_changes", f"""
+WITH {_CAT_WITH}, x AS ({_NEXT_SQL}) SELECT model_id, layer_id, 'layers' AS section, 1 AS layer_changes, 0 AS property_changes
+FROM ({_DRIFT_SQL}) WHERE type <> 'modified' OR n_changes > 0""")
+def q_catalog_group_changes(spark, sf):
+    """Changes per owner."""
+    g = CAT.group_changes(_drift(spark, sf))
+    return g.select("model_id", "layer_id", "section", F.size("layer_changes").alias("layer_changes"),
+                    F.size("property_changes").alias("property_changes"))
+
+
+@register("catalog_clear_inverse", f"""
+WITH {_CAT_WITH}, gone AS (SELECT model_id, layer_id, field_id FROM f WHERE ordinal % 5 = 3)
+SELECT f.model_id, f.layer_id, f.field_id, CASE WHEN g.field_id IS NULL THEN f.inverse_field_id END AS inverse_field_id
+FROM f LEFT JOIN gone g ON f.model_id = g.model_id AND f.ref_layer_id = g.layer_id AND f.inverse_field_id = g.field_id
+WHERE f.ordinal % 5 <> 3""")
+def q_catalog_clear_inverse(spark, sf):
+    """Inverse pointers to deleted fields are cleared."""
+    f = _fields_cat(spark, sf)
+    out = CAT.clear_inverse_refs(f, f.where("ordinal % 5 = 3").select("model_id", "layer_id", "field_id"))
+    return out.select("model_id", "layer_id", "field_id", "inverse_field_id")
+
+
+@register("catalog_concrete_layers", f"SELECT model_id, layer_id FROM ({_LAYERS_SQL}) WHERE NOT is_abstract")
+def q_catalog_concrete_layers(spark, sf):
+    """layers that get a table."""
+    return M.concrete_layers(_layers_cat(spark, sf)).select("model_id", "layer_id")
+
+
+@register("catalog_rendering_order", f"""
+WITH l AS ({_LAYERS_SQL}), o AS (SELECT model_id, list(layer_id ORDER BY ordinal DESC) AS ids FROM l WHERE ordinal % 3 > 0 GROUP BY model_id)
+SELECT l.model_id, l.layer_id, CAST(list_position(o.ids, l.layer_id) - 1 AS INT) AS render_position
+FROM l JOIN o ON l.model_id = o.model_id AND list_contains(o.ids, l.layer_id)""")
+def q_catalog_rendering_order(spark, sf):
+    """Layers by an explicit order per model."""
+    l = _layers_cat(spark, sf)
+    ids = F.array_sort(F.collect_list(F.struct((-F.col("ordinal")).alias("o"), "layer_id")))
+    order = l.where("ordinal % 3 > 0").groupBy("model_id").agg(F.transform(ids, lambda x: x["layer_id"]).alias("layer_ids"))
+    return CAT.rendering_order(l, order).select("model_id", "layer_id", "render_position")
+
+
+@register("catalog_auto_map", f"""
+WITH f AS ({_FIELDS_SQL}), s AS (SELECT layer_id, upper(name) AS c, min(ordinal) AS o FROM f WHERE ordinal % 2 = 0 GROUP BY ALL)
+SELECT f.layer_id, f.field_id, f.name, arg_min(s.c, s.o) AS source_column FROM f
+LEFT JOIN s ON f.layer_id = s.layer_id AND (lower(s.c) = lower(f.name) OR lower(s.c) = lower('F' || (f.ordinal % 5)))
+GROUP BY ALL""")
+def q_catalog_auto_map(spark, sf):
+    """each field finds the first source column named as it or as its title."""
+    f = _fields_cat(spark, sf)
+    src = f.where("ordinal % 2 = 0").groupBy("layer_id", F.upper("name").alias("column_name")).agg(F.min("ordinal").alias("ordinal"))
+    fields = f.select("layer_id", "field_id", "name", F.concat(F.lit("F"), F.col("ordinal") % 5).alias("title"))
+    return M.auto_map(src, fields)
+
+
+@register("describe_columns", """
+SELECT 'public' AS table_schema, 's' || s_nationkey AS table_name, s_name AS column_name, CAST(s_suppkey AS INT) AS ordinal_position,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'PRIMARY KEY' WHEN s_suppkey % 3 = 1 THEN 'UNIQUE' END AS constraint_type,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'integer' WHEN s_suppkey % 4 = 1 THEN 'number' WHEN s_suppkey % 4 = 2 THEN 'date-time' ELSE 'geometry' END AS base_type,
+  CASE WHEN s_acctbal < 0 THEN '0..1' ELSE '1..1' END AS multiplicity, s_suppkey % 3 = 0 AS is_pk, s_suppkey % 4 = 3 AS is_geometry FROM supplier""")
+def q_describe_columns(spark, sf):
+    """Described columns joined with their constraints, as fields."""
+    s = table(spark, sf, "supplier")
+    where = [F.lit("public").alias("table_schema"), F.concat(F.lit("s"), "s_nationkey").alias("table_name"), F.col("s_name").alias("column_name")]
+    kind = F.element_at(F.array(*map(F.lit, ("bigint", "double precision", "timestamp", "geometry"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    cols = s.select(*where, F.col("s_suppkey").cast("int").alias("ordinal_position"), kind.alias("data_type"), kind.alias("udt_name"),
+                    F.when(F.col("s_acctbal") < 0, "YES").otherwise("NO").alias("is_nullable"), F.lit(None).cast("string").alias("column_default"))
+    used = s.where("s_suppkey % 3 < 2")
+    name = F.concat(F.lit("c"), "s_suppkey").alias("constraint_name")
+    usage = used.select(*where, name, F.lit("public").alias("constraint_schema"))
+    rules = used.select(name, F.lit("public").alias("constraint_schema"),
+                        F.when(F.col("s_suppkey") % 3 == 0, "PRIMARY KEY").otherwise("UNIQUE").alias("constraint_type"))
+    d = CAT.describe_columns(cols, usage, rules)
+    fields = CAT.import_catalog_fields(d)
+    return d.join(fields, ["table_schema", "table_name", "column_name", "ordinal_position"]).select(
+        "table_schema", "table_name", "column_name", "ordinal_position", "constraint_type", "base_type", "multiplicity", "is_pk", "is_geometry")
+
+
+@register("connection_parts", """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'u' || c_custkey ELSE '' END AS user,
+  CASE WHEN c_custkey % 2 = 0 THEN 'p:' || c_custkey ELSE '' END AS password,
+  'h' || (c_custkey % 7) AS host, CASE WHEN c_custkey % 3 = 0 THEN '6543' ELSE '5432' END AS port, 'db' || c_nationkey AS dbname,
+  CASE WHEN c_custkey % 2 = 1 AND c_custkey % 5 = 0 THEN 'geo' ELSE 'public' END AS schema FROM customer""")
+def q_connection_parts(spark, sf):
+    """Parts of connection strings in both forms, one per customer."""
+    c = table(spark, sf, "customer")
+    k, port = F.col("c_custkey").cast("string"), F.col("c_custkey") % 3 == 0
+    host, db = F.concat(F.lit("h"), F.col("c_custkey") % 7), F.concat(F.lit("db"), "c_nationkey")
+    url = F.concat(F.lit("postgresql://u"), k, F.lit(":p%3A"), k, F.lit("@"), host, F.when(port, ":6543").otherwise(""), F.lit("/"), db, F.lit("?sslmode=require"))
+    words = F.concat(F.lit("host="), host, F.lit(" dbname="), db, F.when(port, " port=6543").otherwise(""),
+                     F.when(F.col("c_custkey") % 5 == 0, " schema=geo").otherwise(""))
+    p = RD.parse_connection_col(F.when(F.col("c_custkey") % 2 == 0, url).otherwise(words))
+    return c.select("c_custkey", p.alias("p")).select("c_custkey", "p.*")
+
+
+@register("type_rules", """
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'integer' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' WHEN 3 THEN 'date-time'
+    WHEN 4 THEN 'geometry' ELSE 'string' END AS base_type,
+  CASE p_partkey % 5 WHEN 0 THEN 'None' WHEN 1 THEN 'MultiPoint' WHEN 2 THEN 'LineString' WHEN 3 THEN 'Point' ELSE 'Polygon' END AS geometry_type,
+  CASE p_partkey % 3 WHEN 0 THEN 25830 + p_size % 5 WHEN 1 THEN 4326 END AS epsg FROM part""")
+def q_type_rules(spark, sf):
+    """SQL types, geometry type names and EPSG codes, one of each per part."""
+    p = table(spark, sf, "part")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % n + 1).cast("int"))
+    wkt = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('PROJCS["x",AUTHORITY["EPSG","'), (25830 + F.col("p_size") % 5).cast("string"), F.lit('"]]'))) \
+        .when(F.col("p_partkey") % 3 == 1, F.lit('GEOGCRS["WGS 84",ID["EPSG",4326]]')).otherwise(F.lit("LOCAL_CS[]"))
+    return p.select(
+        "p_partkey",
+        TYP.sql_type_to_field_type(pick(6, "BIGINT", "double precision", "boolean", "timestamp", "geometry(Point)", "text")).alias("base_type"),
+        TYP.normalize_geometry_type(pick(5, "none", "MULTIPOINT Z", "linestring", "3D Point", "surface")).alias("geometry_type"),
+        G.epsg_from_wkt(wkt).alias("epsg"))
