@@ -50,8 +50,7 @@ def _classify(current: DataFrame, prev_state: DataFrame, pk: str) -> DataFrame:
 
 
 def cdc_diff(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None,
-             since=None, hash_cols: list[str] | None = None, narrow: bool = True,
-             broadcast_rows: int = 10_000_000) -> DataFrame:
+             since=None, hash_cols: list[str] | None = None, narrow: bool = True) -> DataFrame:
     """D2-D5 and D10 in one pass: every changed row with ``_change_type``.
 
     * insert: PK in current, not in previous (D2)
@@ -62,15 +61,14 @@ def cdc_diff(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | N
     ``narrow=True`` (default): classification joins only (pk, ts/hash) of
     the current rows with the key state, so the shuffle carries a few bytes
     per row instead of whole features; full rows are then fetched for the
-    inserted and updated keys only (a join against that key set, broadcast
-    when its counted size is small; otherwise a sort-merge join). The narrow
-    change set is checkpointed once (eager; it is used twice and counted).
+    inserted and updated keys only (a join against that key set). The narrow
+    change set is checkpointed once (eager; it is used twice).
     With a small change rate the wide table is scanned twice but never
     shuffled.
     """
     if not narrow:
         return _diff_wide(current, prev_state, pk, ts_col, since, hash_cols)
-    upserts, deletes = cdc_split(current, prev_state, pk, ts_col, since, hash_cols, broadcast_rows)
+    upserts, deletes = cdc_split(current, prev_state, pk, ts_col, since, hash_cols)
     dtype = current.schema[pk].dataType
     deletes = deletes.select(*[F.col(pk).cast(dtype).alias(c) if c == pk
                                else F.lit(None).cast(current.schema[c].dataType).alias(c)
@@ -79,13 +77,13 @@ def cdc_diff(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | N
 
 
 def cdc_split(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None, since=None,
-              hash_cols: list[str] | None = None, broadcast_rows: int = 10_000_000) -> tuple[DataFrame, DataFrame]:
+              hash_cols: list[str] | None = None, scanned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The narrow plan of ``cdc_diff`` as two frames: inserted and updated
     rows (all columns + ``_change_type``), and deleted keys (``pk`` +
     ``_change_type`` only, the reference's ``<tbl>_deletes``). Both read the
     checkpointed key-only change set, so writing them separately repeats no
     wide work."""
-    classified = classify_keys(current, prev_state, pk, ts_col, since, hash_cols)
+    classified = classify_keys(current, prev_state, pk, ts_col, since, hash_cols, scanned)
     # the narrow change set is read twice (upserts, deletes) and sized before
     # the row fetch: write it once under spark.checkpoint.dir (reliable, so a
     # lost executor does not lose it) instead of recomputing the key join
@@ -104,19 +102,25 @@ def cdc_split(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str |
     return rows.select(*current.columns, CHANGE_COL), deletes
 
 
+def scan_keys(current: DataFrame, pk: str, ts_col: str | None = None, hash_cols: list[str] | None = None) -> DataFrame:
+    """One row per key of a snapshot: (``_cur_pk``, ``_in_cur`` and the newest time
+    ``_cur_ts`` or the hash sum ``_cur_hash``)."""
+    extra = []
+    if hash_cols:
+        extra.append(F.sum(row_hash(hash_cols).cast("decimal(38,0)")).alias("_cur_hash"))
+    elif ts_col is not None:
+        extra.append(F.max(ts_col).alias("_cur_ts"))
+    return current.groupBy(F.col(pk).alias("_cur_pk")).agg(F.lit(True).alias("_in_cur"), *extra)
+
+
 def classify_keys(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None, since=None,
-                  hash_cols: list[str] | None = None) -> DataFrame:
+                  hash_cols: list[str] | None = None, scanned: DataFrame | None = None) -> DataFrame:
     """(``_k``, ``_change_type``) for every inserted, updated or deleted key.
 
     Keys are sets: both sides are reduced to one row per key before they are
     joined, so repeated keys do not multiply; a NULL key is a key like any
     other. A key whose rows differ has the hash sum of all of them."""
-    extra = []
-    if hash_cols:
-        extra.append(F.sum(row_hash(hash_cols).cast("decimal(38,0)")).alias("_cur_hash"))
-    elif ts_col is not None and since is not None:
-        extra.append(F.max(ts_col).alias("_cur_ts"))
-    keys = current.groupBy(F.col(pk).alias("_cur_pk")).agg(F.lit(True).alias("_in_cur"), *extra)
+    keys = scanned if scanned is not None else scan_keys(current, pk, ts_col, hash_cols)
     prev = prev_state.groupBy(F.col("pk").alias("_prev_pk")).agg(
         F.lit(True).alias("_in_prev"),
         *([F.sum(F.col("row_hash").cast("decimal(38,0)")).alias("_prev_hash")] if hash_cols else []))
@@ -124,7 +128,7 @@ def classify_keys(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: st
     in_cur, in_prev = F.col("_in_cur").isNotNull(), F.col("_in_prev").isNotNull()
     if hash_cols:
         changed = F.col("_cur_hash") != F.col("_prev_hash")
-    elif extra:
+    elif ts_col is not None and since is not None:
         changed = F.col("_cur_ts") > F.lit(since).cast(current.schema[ts_col].dataType)
     else:
         changed = F.lit(False)  # no timestamp: updates cannot be detected (as in the reference)
@@ -278,13 +282,18 @@ def run_sync(spark: SparkSession, current: DataFrame, pk: str, out_dir: str, lay
     store = StateStore(spark, state_root or os.path.join(out_dir, "_state"), layer)
     since = resolve_since(since_arg, store, before=batch_id)
     prev = store.keys(before=batch_id)
-    new_state = state_from_snapshot(current, pk, hash_cols)
+    # keys are scanned once, before any output, and written down: a row that arrives
+    # later is in neither the state nor, as an insert, lost to the next run
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    scanned = scan_keys(current, pk, ts_col, hash_cols).checkpoint(eager=True)
+    new_state = scanned.select(F.col("_cur_pk").alias("pk"), *([F.col("_cur_hash").alias("row_hash")] if hash_cols else []))
     if since is None or prev is None:                                  # D1 full export
         path = f"{out_dir.rstrip('/')}/{layer}_full"
         current.write.mode("overwrite").parquet(path)
         store.write(new_state, batch_id, now)
         return {"mode": "full", "output": path, "since": None}
-    upserts, deletes = cdc_split(current, prev, pk, ts_col, since, hash_cols)
+    upserts, deletes = cdc_split(current, prev, pk, ts_col, since, hash_cols, scanned)
     # ``<layer>_delta_<date>`` as in the reference, one folder per batch inside
     # it, so two runs on one day do not overwrite each other and a replayed
     # batch rewrites only its own folder; inserted/updated rows go to
