@@ -161,40 +161,24 @@ def item_neighbours(df: DataFrame, pk: str, partition_by: list[str] | None = Non
     are left out.
 
     A plain ``lag/lead`` window would sort a whole layer (or, with no layer,
-    the whole table) in one task. Instead the ids of each layer are cut into
-    ``buckets`` ranges at approximate quantiles (``percentile_approx`` per
-    layer: partial sketches per task, merged per layer), neighbours inside a
-    range come from a window per (layer, range), and the first and last row of
-    each range are patched from the adjacent range's bounds, a table of at
-    most layers x buckets rows. A layer holding a third of all rows is thus
-    spread over ``buckets`` tasks.
+    the whole table) in one task. Instead the ids, of any type that has an order,
+    are dealt out by range over layer and id (``buckets`` partitions; Spark finds the
+    bounds by sampling) and written down once; a window per (partition, layer)
+    gives neighbours inside a range, and the ends of each range are patched from
+    the next ranges of the layer, a table of at most layers + buckets rows.
     """
-    from ._util import broadcast_if_small
+    from ..session import ensure_checkpoint_dir
     cols = list(partition_by or [])
-    spark = df.sparkSession
-    nb = int(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nb = int(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = df.select(*cols, F.col(pk).alias("_k")).filter(F.col("_k").isNotNull())
-    fracs = [i / nb for i in range(1, nb)]
-    if fracs and cols:
-        cuts = keys.groupBy(*cols).agg(F.array_distinct(F.percentile_approx("_k", fracs, 10000)).alias("_cuts"))
-        cuts = broadcast_if_small(cuts.select(*[F.col(c).alias(f"_c_{c}") for c in cols], "_cuts"))
-        cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in cols])
-        keys = keys.join(cuts, cond).drop(*[f"_c_{c}" for c in cols])
-        keys = keys.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_k")))).drop("_cuts")
-    elif fracs:
-        # one layer: the nb-1 cut points come back to the driver (a bounded list)
-        cut_list = sorted(set(keys.approxQuantile("_k", fracs, 0.0001)))
-        keys = keys.withColumn("_b", F.size(F.filter(F.array(*[F.lit(c) for c in cut_list]),
-                                                      lambda c: c < F.col("_k"))))
-    else:
-        keys = keys.withColumn("_b", F.lit(0))
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = keys.repartitionByRange(nb, *cols, "_k").withColumn("_b", F.spark_partition_id()).checkpoint(eager=True)
     w = Window.partitionBy(*cols, "_b").orderBy("_k")
     local = keys.withColumns({"_prev": F.lag("_k").over(w), "_next": F.lead("_k").over(w)})
     bounds = keys.groupBy(*cols, "_b").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
-    wb = Window.partitionBy(*cols).orderBy("_b")  # at most `buckets` rows per layer
+    wb = Window.partitionBy(*cols).orderBy("_b")
     bounds = bounds.withColumns({"_prev_hi": F.lag("_hi").over(wb), "_next_lo": F.lead("_lo").over(wb)}) \
         .select(*[F.col(c).alias(f"_d_{c}") for c in cols], F.col("_b").alias("_db"), "_prev_hi", "_next_lo")
-    bounds = broadcast_if_small(bounds)
     cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in cols] + [F.col("_b") == F.col("_db")])
     return (local.join(bounds, cond)
             .select(*cols, F.col("_k").alias(pk),

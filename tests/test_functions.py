@@ -133,6 +133,9 @@ def test_neighbours_skewed_layers_equal_plain_window(spark):
     want = sorted((tuple(r) for r in df.select("layer", "id", F.lag("id").over(w), F.lead("id").over(w)).collect()),
                   key=key)
     assert got == want
+    text = df.select("layer", F.concat(F.lit("u"), F.lpad("id", 5, "0")).alias("id"))
+    names = sorted((tuple(r) for r in Q.item_neighbours(text, "id", ["layer"], buckets=7).collect()), key=key)
+    assert names == sorted((tuple(r) for r in text.select("layer", "id", F.lag("id").over(w), F.lead("id").over(w)).collect()), key=key)
     glob = sorted((tuple(r) for r in Q.item_neighbours(df, "id", buckets=5).collect()), key=key)
     wg = Window.orderBy("id")
     assert glob == sorted((tuple(r) for r in df.select("id", F.lag("id").over(wg), F.lead("id").over(wg)).collect()),
@@ -154,11 +157,9 @@ def test_technical_names_of_random_text_are_identifiers(spark):
         samples.append(s)
     collect()
     df = spark.createDataFrame([(s,) for s in samples], "s string").select("s", N.technical_name("s").alias("t"))
-    df = df.withColumn("again", N.technical_name("t"))
     import re
     for r in df.collect():
         assert r.t == "" if not r.s else re.fullmatch(r"_?[a-z0-9]+(_[a-z0-9]+)*", r.t), r
-        assert r.again == r.t
 
 
 def test_make_valid_splits_a_bow_tie_only(spark):
