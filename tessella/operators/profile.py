@@ -16,15 +16,39 @@ DISTINCT_VALUES_LIMIT = 50   # fixed value: distinct values listed per field
 SAMPLE_FEATURES = 100        # fixed value: features sampled for value mapping
 
 
-def layer_profile(name: str, df: DataFrame, geometry_type: str | None = None, srid: int | None = None,
-                  pk: str | None = None, geom_col: str | None = None) -> DataFrame:
-    """A1: feature count, column count (geometry column excluded), geometry
-    type, srid, PK of one layer, as one row."""
-    ncols = len([c for c in df.columns if c != geom_col])
-    return df.agg(F.count(F.lit(1)).alias("feature_count")).select(
-        F.lit(name).alias("layer"), "feature_count", F.lit(ncols).alias("column_count"),
-        F.lit(geometry_type).cast("string").alias("geometry_type"), F.lit(srid).cast("int").alias("srid"),
-        F.lit(pk).cast("string").alias("pk"))
+def layer_profile(name: str, df: DataFrame, geom_col: str | None = None, pk: str | None = None) -> DataFrame:
+    """A1: one row of a layer's metadata, measured in one aggregate: feature
+    count, column count (geometry column excluded), geometry type, srid, key.
+
+    ``geometry_type``: the one type that all geometries have, its multi form where
+    single and multi mix, else ``Geometry``; ``srid``: theirs if they agree, else
+    NULL (``quality.srid_mismatch`` says which there are). ``pk``: the given column, or
+    else the first whole-number column without NULLs or repeats (approximately
+    counted, then the candidate is what the duplicate check takes), else NULL.
+    """
+    from pyspark.sql import types as T
+    cols = [f for f in df.schema.fields if f.name != geom_col]
+    aggs = [F.count(F.lit(1)).alias("feature_count")]
+    if geom_col:
+        g = F.col(geom_col)
+        aggs += [F.min(g["type"]).alias("_t0"), F.max(g["type"]).alias("_t1"), F.min(F.regexp_replace(g["type"], "^Multi", "")).alias("_b0"),
+                 F.max(F.regexp_replace(g["type"], "^Multi", "")).alias("_b1"), F.min(g["srid"]).alias("_s0"), F.max(g["srid"]).alias("_s1")]
+    whole = [f.name for f in cols if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))] if pk is None else []
+    for i, c in enumerate(whole):
+        aggs += [F.approx_count_distinct(c, 0.01).alias(f"_d{i}"), F.count(c).alias(f"_n{i}")]
+    kind = F.lit(None).cast("string")
+    srid = F.lit(None).cast("int")
+    if geom_col:
+        kind = F.when(F.col("_t0") == F.col("_t1"), F.col("_t0")).when(
+            F.col("_b0") == F.col("_b1"), F.concat(F.lit("Multi"), "_b0")).when(F.col("_t0").isNotNull(), F.lit("Geometry"))
+        srid = F.when(F.col("_s0") == F.col("_s1"), F.col("_s0"))
+    key = F.lit(pk).cast("string")
+    if whole:
+        n = F.col("feature_count")
+        key = F.coalesce(*[F.when((F.col(f"_n{i}") == n) & (F.col(f"_d{i}") >= 0.95 * n), F.lit(c)) for i, c in enumerate(whole)])
+    return df.agg(*aggs).select(
+        F.lit(name).alias("layer"), "feature_count", F.lit(len(cols)).alias("column_count"), kind.alias("geometry_type"),
+        srid.cast("int").alias("srid"), key.alias("pk"))
 
 
 def layer_extent(name: str, df: DataFrame, cols=("min_x", "min_y", "max_x", "max_y")) -> DataFrame:

@@ -300,6 +300,9 @@ def import_verdict(issues: DataFrame, errors: DataFrame | None = None) -> DataFr
         F.lit(n_err == 0).alias("can_proceed"))
 
 
-def srid_mismatch(layers: DataFrame, model_srid: int, srid_col: str = "srid") -> DataFrame:
-    """Layers (rows of a profile) whose SRID differs from the model's."""
-    return layers.filter(F.col(srid_col).isNotNull() & (F.col(srid_col) != F.lit(model_srid)))
+def srid_mismatch(name: str, df: DataFrame, model_srid: int, geom_col: str = "geometry") -> DataFrame:
+    """SRIDs of a layer's geometries that differ from the model's, with the
+    number of features that have them."""
+    srid = F.col(geom_col)["srid"]
+    return df.filter(srid.isNotNull() & (srid != F.lit(model_srid))).groupBy(srid.alias("srid")).agg(
+        F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("layer"), "srid", "n")

@@ -593,11 +593,9 @@ UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM information_schema.co
 def q_layer_profile(spark, sf):
     """A1: feature count, column count (geometry excluded), type, srid, PK per layer."""
     return A.union_all([
-        A.layer_profile("events", L.event_points(spark, sf, with_geometry=True).drop("x", "y"), "Point", 4326,
-                        "event_id", geom_col="geometry"),
-        A.layer_profile("nation", L.nation_polygons(spark, sf).select(*table(spark, sf, "nation").columns, "geometry"),
-                        "Polygon", 4326, "n_nationkey", geom_col="geometry"),
-        A.layer_profile("orders", table(spark, sf, "orders"), None, None, "o_orderkey")])
+        A.layer_profile("events", L.event_points(spark, sf, with_geometry=True).drop("x", "y"), "geometry"),
+        A.layer_profile("nation", L.nation_polygons(spark, sf).select(*table(spark, sf, "nation").columns, "geometry"), "geometry"),
+        A.layer_profile("orders", table(spark, sf, "orders"))])
 
 
 _EXTENTS_SQL = f"""
@@ -1180,11 +1178,14 @@ def q_collections(spark, sf):
 
 # ---------------------------------------------------------------- C15 SRID mismatch
 
-@register("srid_mismatch", f"""
-SELECT layer, srid FROM ({ORACLE['layer_profile']}) WHERE srid IS NOT NULL AND srid <> 25833""")
+@register("srid_mismatch", """
+SELECT 'events' AS layer, CASE WHEN event_type = 'error' THEN 3857 ELSE 4326 END AS srid, count(*) AS n FROM events
+WHERE event_type = 'error' OR user_id % 3 = 0 GROUP BY ALL""")
 def q_srid_mismatch(spark, sf):
-    """Profiled layers whose SRID differs from the model's (EPSG:25833)."""
-    return C.srid_mismatch(q_layer_profile(spark, sf), 25833).select("layer", "srid")
+    """A layer with geometries in three systems against a model in EPSG:25833."""
+    pts = L.event_points(spark, sf, with_geometry=True)
+    srid = F.when(F.col("event_type") == "error", 3857).when(F.col("user_id") % 3 == 0, 4326).otherwise(25833)
+    return C.srid_mismatch("events", pts.withColumn("geometry", F.col("geometry").withField("srid", srid)), 25833)
 
 
 @register("json_field_types_first", """
