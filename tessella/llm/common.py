@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,6 +197,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def with_text(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches of one struct column, with its field ``column`` beside it: the text
+    travels to Python once."""
+    for rb in batches:
+        yield pa.RecordBatch.from_arrays([rb.column(0), pc.struct_field(rb.column(0), [column])],
+                                         names=[rb.schema.names[0], "text"])
+
+
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     """A record batch from arrays or lists, by the names in ``schema``."""
     return pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, leftmost_min, lists, materialize, mix, ragged, text_blocks, text_key, utf8, word_table
+from .common import U64, batch, leftmost_min, lists, materialize, mix, ragged, text_blocks, text_key, utf8, with_text, word_table
 
 WINDOW, KGRAM = 13, 5
 #: Bytes of benchmark text that are broadcast at once.
@@ -192,9 +192,8 @@ def mark(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -
     (columns of these names are replaced); options as for ``decontaminate``."""
     new = ("n_words", "n_hit", "runs", "items")
     own = [c for c in docs.columns if c.lower() not in new]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own]).alias("doc"),
-                       F.col(f"`{text_col}`").alias("text"))
-    hit = decontaminate(rows, bench, id_col="doc", **options)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"))
+    hit = decontaminate(rows, bench, id_col="doc", text_col=f"doc.`{text_col}`", **options)
     return hit.select(*[F.col(f"doc.`{c}`").alias(c) for c in own], *new)
 
 
@@ -226,7 +225,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         index = spark.sparkContext.broadcast(Index(got.column("item").to_pylist(), got.column("text"), window, k))
         return df.mapInArrow(lambda it: _scan(it, index.value), f"{head}, {tail}")
 
-    if len(blocks) == 1:
+    if len(blocks) == 1 and kind.startswith("struct<") and text_col.startswith(f"{id_col}.`"):
+        got = blocks[0].toArrow()
+        index = spark.sparkContext.broadcast(Index(got.column("item").to_pylist(), got.column("text"), window, k))
+        field = text_col[len(id_col) + 2:-1]
+        out = docs.select("id").mapInArrow(lambda it: _scan(with_text(it, field), index.value), f"id {kind}, {tail}")
+    elif len(blocks) == 1:
         out = scan(docs, blocks[0], f"id {kind}")
     else:
         keyed = docs.select("id", text_key("text").alias("key"), "text")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, lists, runs_of, span_hash, text_blocks
+from .common import U64, batch, lists, runs_of, span_hash, text_blocks, with_text
 
 SAMPLE = 8_000
 #: Weights of the hashed linear scorer.
@@ -281,7 +281,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are good, with the columns they had."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                      F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(lambda it: _score(it, held.value), f"doc {src.schema['doc'].dataType.simpleString()}, score double")
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    out = src.mapInArrow(lambda it: _score(with_text(it, text_col), held.value), f"doc {src.schema['doc'].dataType.simpleString()}, score double")
     return out.where("score >= 0.5").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
