@@ -336,7 +336,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = materialize(found.groupBy("anchor", "ctx").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "starts")).alias("ex")), "kinds")
     # 3. an example of each context of anchors that have several
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # (written down: a join with an aggregate of the same shuffle could not be split)
+    several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
     shards = F.ceil(F.col("kinds") / F.lit(group)).cast("int")
     want = kinds.join(several, "anchor").groupBy("ex.key").agg(F.collect_list(F.struct(
         "anchor", shards.alias("shards"), "ctx", F.col("ex.start").alias("start"), F.col("ex.starts").alias("starts"))).alias("want"))
