@@ -10,11 +10,13 @@ Every task folds the pages it reads into one wrapper per host; these are merged
 per host in a second step, in two rounds for hosts that many tasks have seen.
 No page is shuffled for it, and no host's pages meet in one task.
 
-The wrapper tells, for a whole host, which slots hold the article: those under
-its article or main element where it has one; else the slots whose text
-differs between pages and that are not lists of links. Slots inside menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments never
-do. Groups match without backtracking, so that a wrapper can miss a page it was
+The wrapper tells, for a whole host, which slots hold the article. A page with
+text under an article or main element has it there; on any other page of the
+host it is the slots whose text differs between pages and that are not lists of
+links, and where the page has none of those, what else is not left out. A text
+seen on one or two pages only is not taken for a repeated one. Slots inside
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments
+never hold it. Groups match without backtracking, so that a wrapper can miss a page it was
 made from; such a page's slots are looked up in the wrapper all the same, and
 those the wrapper does not have are judged by the page alone.
 """
@@ -38,6 +40,8 @@ BROADCAST = 32 << 20
 GROUP = 64
 #: Shares that a host's wrappers are first merged in.
 SALT = 16
+#: Pages on which a text is the same before it counts as the host's and not the article's.
+REPEATED = 3
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -342,11 +346,12 @@ def merge(a: tuple, b: tuple) -> tuple:
 
 
 class Wrapper:
-    """What a host's pages have in common: ``items`` (the expression) and
-    ``slots``: path of each text to its text, or None where texts differ."""
+    """What a host's pages have in common: ``items`` (the expression),
+    ``slots``: path of each text to its text, or None where texts differ, and
+    ``seen``: path of each text to the number of pages that have it."""
 
-    def __init__(self, items: tuple = (), slots: dict | None = None, pages: int = 0):
-        self.items, self.slots, self.pages = items, slots or {}, pages
+    def __init__(self, items: tuple = (), slots: dict | None = None, pages: int = 0, seen: dict | None = None):
+        self.items, self.slots, self.pages, self.seen = items, slots or {}, pages, seen or {}
         self._codes: dict[str, str] = {}
         self._regex: re.Pattern | None = None
 
@@ -373,10 +378,11 @@ class Wrapper:
         for path, text, _ in page.texts:
             text = " ".join(text.split())
             seen[path] = text if seen.get(path, text) == text else None
-        self._slots(seen, 1)
+        self._slots(seen, dict.fromkeys(seen, 1), 1)
 
-    def _slots(self, seen: dict[str, str | None], pages: int) -> None:
-        for path, text in seen.items():
+    def _slots(self, slots: dict[str, str | None], seen: dict[str, int], pages: int) -> None:
+        for path, text in slots.items():
+            self.seen[path] = self.seen.get(path, 0) + seen[path]
             if path not in self.slots:
                 self.slots[path] = text
             elif self.slots[path] != text:
@@ -387,31 +393,36 @@ class Wrapper:
         if not self.pages:
             return other
         self.items, self._regex = merge(self.items, other.items), None
-        self._slots(other.slots, other.pages)
+        self._slots(other.slots, other.seen, other.pages)
         return self
 
     def dumps(self) -> str:
-        return json.dumps([self.items, self.slots, self.pages], ensure_ascii=False)
+        return json.dumps([self.items, self.slots, self.pages, self.seen], ensure_ascii=False)
 
     @classmethod
     def loads(cls, text: str) -> Wrapper:
         def items(x):
             return tuple(y if isinstance(y, str) else (y[0], items(y[1])) for y in x)
-        a, slots, pages = json.loads(text)
-        return cls(items(a), slots, pages)
+        a, slots, pages, seen = json.loads(text)
+        return cls(items(a), slots, pages, seen)
 
-    def article(self) -> frozenset[str]:
-        """Paths of the slots that hold the article."""
+    def article(self) -> tuple[frozenset[str], ...]:
+        """Paths of the slots that hold the article: of pages with text inside an
+        article or main element, of other pages, and of pages with neither."""
         open_ = {p for p in self.slots if not any(left_out(e) for e in p.split(">"))}
-        inside = {p for p in open_ if any(is_main(e) for e in p.split(">"))}
-        if inside:
-            return frozenset(p for p in inside if "header" not in p.split(">")[:_main_at(p)])
+        inside = {p for p in open_ if any(is_main(e) for e in p.split(">")) and "header" not in p.split(">")[:_main_at(p)]}
         free = {p for p in open_ if "header" not in p.split(">")}
         # inline text goes with the block around it
-        same = {p for p in free if self.slots[p] is not None and self.slots.get(_block(p), "") is not None}
-        same = same if self.pages >= 3 and same != free else set()
+        same = {p for p in free if self.slots[p] is not None and self.seen[p] >= REPEATED and self.slots.get(_block(p), "") is not None}
         links = {p for p in free if "li" in p.split(">") and p.split(">")[-1] == "a"}
-        return frozenset(free - same - links)
+        return frozenset(inside), frozenset(free - same - links), frozenset(free - links)
+
+
+def slots_of(page: Page, article: tuple[frozenset[str], ...]) -> frozenset[str]:
+    """The slots that hold the article on a page of this shape: the first of
+    ``article`` that the page has any of."""
+    paths = {p for p, _, _ in page.texts}
+    return next((x for x in article if not paths.isdisjoint(x)), frozenset())
 
 
 def _block(path: str) -> str:
@@ -508,7 +519,7 @@ _TEXT = pa.schema([("text", pa.string()), ("matched", pa.bool_())])
 
 def _extract(batches: Iterator[pa.RecordBatch], known: dict[str, str] | None) -> Iterator[pa.RecordBatch]:
     """Rows (id, url, host, html, [wrapper]) to (id, url, text, matched)."""
-    made: dict[str, tuple[Wrapper, frozenset[str]]] = {}
+    made: dict[str, tuple[Wrapper, tuple[frozenset[str], ...]]] = {}
     for rb in batches:
         hosts = rb.column("host").to_pylist()
         given = rb.column("wrapper").to_pylist() if known is None else [known.get(h) for h in hosts]
@@ -520,12 +531,13 @@ def _extract(batches: Iterator[pa.RecordBatch], known: dict[str, str] | None) ->
                     made.clear()
                 x = Wrapper.loads(w)
                 made[host] = x, x.article()
-            wrapper, paths = made.get(host) or (Wrapper(), frozenset())
+            wrapper, article = made.get(host) or (Wrapper(), ())
+            paths = slots_of(page, article)
             ok = wrapper.matches(page.tokens)
             if not ok:
                 own = Wrapper()
                 own.add(page)
-                paths |= frozenset(p for p in own.article() if p not in wrapper.slots)
+                paths |= frozenset(p for p in slots_of(page, own.article()) if p not in wrapper.slots)
             texts.append(text_of(page, paths))
             matched.append(ok)
         yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("url"), *batch(_TEXT, text=texts, matched=matched).columns],

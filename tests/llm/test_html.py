@@ -85,3 +85,21 @@ def test_alignment_makes_repeats_and_options():
     assert got == (("?", ("<h1>", "#", "</h1>")), "<p>", "#", "</p>")
     got = H.merge(H.fold(["<p>", "#", "</p>"] * 2), ("<p>", "<b>", "#", "</p>"))
     assert H.Wrapper(got, {}, 1).matches(["<p>", "#", "</p>", "<p>", "<b>", "#", "</p>"])
+
+
+def test_pages_with_and_without_article_element_on_one_host(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for i in range(12):
+        body, foot = " ".join(f"w{rng.randrange(999)}" for _ in range(9)), "<p>All rights kept</p>"
+        page = (f"<div class=story><h1>Title {i}</h1><div><p>{body}</p></div></div>" if i % 3 else f"<article><h1>Title {i}</h1><p>{body}</p></article>")
+        for url in ("http://mixed/" + str(i), None, "odd url"):
+            rows.append((url, f"<html><body>{page}{foot}</body></html>"))
+            want.append(f"Title {i}\n{body}")
+    # one page of its own shape among null URLs, and copies of another
+    rows += [(None, "<html><body><section><h2>Alone</h2><p>only here</p></section></body></html>")]
+    rows += [(None, "<html><body><table><tr><td>copied text</td></tr></table></body></html>")] * 4
+    want += ["Alone\nonly here", *["copied text"] * 4]
+    for options in ({}, {"broadcast_bytes": 0}):
+        got = texts(spark, rows, **options)
+        assert [got[i]["text"] for i in range(len(rows))] == want
