@@ -13,7 +13,9 @@ No page is shuffled for it, and no host's pages meet in one task.
 The wrapper tells, for a whole host, which slots hold the article. A page with
 text under an article or main element has it there; on any other page of the
 host it is the slots whose text differs between pages and that are not lists of
-links, and where the page has none of those, what else is not left out. A text
+links, and where the page has none of those, what else is not left out. A list
+goes only when all its words on the page are links; formulas, objects' content,
+labels of drawings, and noscript inside the article are text. A text
 seen on one or two pages only is not taken for a repeated one. Slots inside
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 never hold it. Groups match without backtracking, so that a wrapper can miss a page it was
@@ -44,17 +46,23 @@ SALT = 16
 REPEATED = 3
 
 # Element names of HTML by what they mean here.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe template textarea svg math title object".split())
+VOID = frozenset("area base br col embed hr img input link meta mprescripts mspace none param source track wbr".split())
+RAW = frozenset("script style noscript iframe template textarea svg title".split())
+MATH = frozenset(
+    "math annotation annotation-xml maction merror mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts "
+    "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+#: Elements whose parts are no one word: 1/2 is not 12.
+APART = frozenset("mfrac mlabeledtr mmultiscripts mroot mtable mtr munder munderover mover semantics".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split())
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q rp rt ruby s samp "
+    "small span strike strong sub sup time tt u var wbr".split()) | MATH
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}}
-DROP = frozenset("head nav aside footer form button select option dialog menu".split()) | RAW
+LISTS = frozenset("dir li ol ul".split())
+DROP = (frozenset("head nav aside footer form button select option dialog menu".split()) | RAW) - {"noscript"}
 # Words in class, id or role that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -65,6 +73,8 @@ KEEP = frozenset(("article", "main"))
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_LABEL = re.compile(r"<(text|foreignObject)(?=[\s/>])[^>]*>(.*?)</\1\s*>", re.S | re.I)
+_TAG = re.compile(r"<[^>]*>")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -83,8 +93,10 @@ class Page:
     def __init__(self, source: str):
         self.tokens: list[str] = []
         self.texts: list[tuple[str, str, int]] = []  # path, text, block number
+        self.lists: list[int | str | None] = []  # of each text: the outermost list that it stands in
         self.stack: list[str] = []
         self.block = 0
+        self._list: tuple[int, int | str] | None = None  # depth and name
         self._path: str | None = None
         at, n = 0, len(source)
         while at < n:
@@ -102,9 +114,15 @@ class Page:
                 self._close(name)
             else:
                 tag = element(name, m[3])
-                if name in RAW and not m[3].endswith("/"):
+                if name == "noscript" and any(is_main(e) for e in self.stack):
+                    self._open(name, tag)
+                elif name in RAW and not m[3].endswith("/"):
                     end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
                     self.tokens.append(f"<{name}/>")
+                    for label in _LABEL.finditer(source, at, end.start()) if name == "svg" else ():
+                        words = _TAG.sub(" ", label[2])
+                        if not words.isspace() and words:
+                            self._text(f" {words} ")
                     at = end.end()
                 else:
                     self._open(name, tag)
@@ -122,6 +140,7 @@ class Page:
         if not self.tokens or self.tokens[-1] != "#":
             self.tokens.append("#")
         self.texts.append((self._path, text, self.block))
+        self.lists.append(self._list and self._list[1])
 
     def _pop_to(self, i: int) -> None:
         for tag in reversed(self.stack[i:]):  # end tags that were left out are put in
@@ -129,12 +148,14 @@ class Page:
             if name not in INLINE:
                 self.tokens.append(f"</{name}>")
         del self.stack[i:]
+        if self._list is not None and self._list[0] >= i:
+            self._list = None
         self._path = None
 
     def _open(self, name: str, tag: str) -> None:
         if name not in INLINE:
             self.block += 1
-        elif name == "br":
+        elif name == "br" or self.stack and self.stack[-1].partition(".")[0] in APART:
             self._text(" ")
         if name in CLOSES_P:
             for i in range(len(self.stack) - 1, -1, -1):
@@ -159,6 +180,8 @@ class Page:
             self.tokens.append(f"<{tag}>")
         if name in VOID:
             return
+        if name in LISTS and self._list is None:  # items without a list are one beside each other
+            self._list = len(self.stack), ">".join(self.stack) if name == "li" else self.block
         self.stack.append(tag)
         self._path = None
 
@@ -170,6 +193,14 @@ class Page:
         if name not in INLINE:
             self.block += 1
 
+    def links(self) -> set[int | str]:
+        """Lists all of whose words are links."""
+        found: dict[int | str, bool] = {}
+        for (path, text, _), at in zip(self.texts, self.lists, strict=True):
+            if at is not None and found.get(at, True):
+                found[at] = "a" in _inline(path) or not any(c.isalnum() for c in html.unescape(text))
+        return {at for at, only in found.items() if only}
+
 
 # ---------------------------------------------------------------- wrappers
 # Items: a token (str), ("+", items) for a repeated and ("?", items) for an optional group.
@@ -414,14 +445,21 @@ class Wrapper:
         free = {p for p in open_ if "header" not in p.split(">")}
         # inline text goes with the block around it
         same = {p for p in free if self.slots[p] is not None and self.seen[p] >= REPEATED and self.slots.get(_block(p), "") is not None}
-        links = {p for p in free if "li" in p.split(">") and p.split(">")[-1] == "a"}
-        return frozenset(inside), frozenset(free - same - links), frozenset(free - links)
+        return frozenset(inside), frozenset(free - same), frozenset(free)
+
 
+def without_links(page: Page, article: tuple[frozenset[str], ...]) -> list[tuple[str, str, int]]:
+    """The page's texts but lists of links, which an article or main element may have."""
+    if article and not article[0].isdisjoint(p for p, _, _ in page.texts):
+        return page.texts
+    links = page.links()
+    return [x for x, at in zip(page.texts, page.lists, strict=True) if at not in links] if links else page.texts
 
-def slots_of(page: Page, article: tuple[frozenset[str], ...]) -> frozenset[str]:
+
+def slots_of(texts: list[tuple[str, str, int]], article: tuple[frozenset[str], ...]) -> frozenset[str]:
     """The slots that hold the article on a page of this shape: the first of
     ``article`` that the page has any of."""
-    paths = {p for p, _, _ in page.texts}
+    paths = {p for p, _, _ in texts}
     return next((x for x in article if not paths.isdisjoint(x)), frozenset())
 
 
@@ -433,6 +471,11 @@ def _block(path: str) -> str:
     return ">".join(parts)
 
 
+def _inline(path: str) -> list[str]:
+    """Names of the inline elements that a text stands in, within its block."""
+    return [e.partition(".")[0] for e in path[len(_block(path)):].split(">")]
+
+
 def left_out(tag: str) -> bool:
     name, *marks = tag.split(".")
     if name in DROP:
@@ -451,11 +494,11 @@ def _main_at(path: str) -> int:
     return next((i for i, e in enumerate(path.split(">")) if is_main(e)), 0)
 
 
-def text_of(page: Page, paths: frozenset[str]) -> str:
+def text_of(texts: list[tuple[str, str, int]], paths: frozenset[str]) -> str:
     """Texts in the slots, references decoded; one line per block."""
     out: list[str] = []
     last = None
-    for path, text, block in page.texts:
+    for path, text, block in texts:
         if path not in paths:
             continue
         if block == last:
@@ -532,13 +575,14 @@ def _extract(batches: Iterator[pa.RecordBatch], known: dict[str, str] | None) ->
                 x = Wrapper.loads(w)
                 made[host] = x, x.article()
             wrapper, article = made.get(host) or (Wrapper(), ())
-            paths = slots_of(page, article)
+            words = without_links(page, article)
+            paths = slots_of(words, article)
             ok = wrapper.matches(page.tokens)
             if not ok:
                 own = Wrapper()
                 own.add(page)
-                paths |= frozenset(p for p in slots_of(page, own.article()) if p not in wrapper.slots)
-            texts.append(text_of(page, paths))
+                paths |= frozenset(p for p in slots_of(words, own.article()) if p not in wrapper.slots)
+            texts.append(text_of(words, paths))
             matched.append(ok)
         yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("url"), *batch(_TEXT, text=texts, matched=matched).columns],
                                          names=["id", "url", "text", "matched"])

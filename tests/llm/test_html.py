@@ -103,3 +103,21 @@ def test_pages_with_and_without_article_element_on_one_host(spark):
     for options in ({}, {"broadcast_bytes": 0}):
         got = texts(spark, rows, **options)
         assert [got[i]["text"] for i in range(len(rows))] == want
+
+
+def test_linked_words_and_formulas_stay_in_the_article(spark):
+    rng = random.Random(4)
+    menu = "<ul><li><a href=1>Home</a> | <li><a href=2>News</a></ul>"
+    rows, want = [], []
+    for i in range(6):
+        w = f"w{rng.randrange(999)}"
+        rows.append(("http://lists/", f"<body>{menu}<div class=story><p>Text {i} {w}</p><ul><li>See <a>the report {i}</a> for more</li>"
+                     f"<li><a>Alone {i}</a></li></ul></div>{menu}</body>"))
+        want.append(f"Text {i} {w}\nSee the report {i} for more\nAlone {i}")
+        body = (f"<p>Here <math><msup><mi>x</mi><mn>{i}</mn></msup><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds</p>"
+                f"<object data=f><p>Film {w}</p></object><noscript><p>Table {i}</p></noscript>"
+                f"<p>Plot <svg><title>no</title><text x=1>axis <tspan>{w}</tspan></text></svg> end</p>")
+        rows.append(("http://formulas/", f"<body><noscript>no</noscript><article>{body}</article></body>"))
+        want.append(f"Here x{i}= 1 2 holds\nFilm {w}\nTable {i}\nPlot axis {w} end")
+    got = texts(spark, rows)
+    assert [got[i]["text"] for i in range(len(rows))] == want
