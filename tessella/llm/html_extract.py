@@ -18,7 +18,9 @@ goes only when all its words on the page are links; formulas, objects' content,
 labels of drawings, and noscript inside the article are text. A text
 seen on one or two pages only is not taken for a repeated one. Slots inside
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-never hold it. Groups match without backtracking, so that a wrapper can miss a page it was
+never hold it, unless such a block (by its class, id or role) holds most of the
+text that differs between the host's pages. Reader comments are that block only
+where nothing else differs. Groups match without backtracking, so that a wrapper can miss a page it was
 made from; such a page's slots are looked up in the wrapper all the same, and
 those the wrapper does not have are judged by the page alone.
 """
@@ -69,6 +71,15 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs pagination pager header masthead footer sidebar aside widget related notice notices cookie "
     "cookies consent gdpr alert popup modal newsletter subscribe subscription signup login share sharing social form search "
     "searchbox comment comments respond replies disqus complementary contentinfo".split())
+# Words that say of what else in the name only how it is set, and words after which a name tells of another block.
+PLAIN = frozenset(
+    "area bar block body bottom box button buttons center col column container content group holder image images inner item items "
+    "label left link links list main module outer panel post posts primary right row secondary section slot small stories text "
+    "title top unit wrap wrapper articles news".split())
+ABOUT = frozenset("with has no non not without hide hides show is are".split())
+#: Marks of what readers wrote.
+READERS = frozenset("comment comments respond replies disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEEP = frozenset(("article", "main"))
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
@@ -78,13 +89,27 @@ _TAG = re.compile(r"<[^>]*>")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def element(name: str, attrs: str) -> str:
-    """An element's token: its name, and the marking words of its attributes."""
+def marks(name: str) -> set[str]:
+    """Marking words of a class, id or role that is one: its last word, but for
+    those of ``PLAIN``, is a mark (ad-box, site-header; not notice-period)."""
+    words = [w.lower() for w in _WORD.findall(name.partition("--")[0])]
+    if not ABOUT.isdisjoint(words):
+        return set()
+    last = next((w for w in reversed(words) if w in MARKS or not (w in PLAIN or w.isdigit() or len(w) == 1)), "")
+    return MARKS.intersection(words) if last in MARKS else set()
+
+
+def element(name: str, attrs: str, heading: bool = False) -> str:
+    """An element's token: its name, and the marking words of its attributes. An
+    id in a heading is where links lead to, and marks nothing."""
     if not attrs or "=" not in attrs:
         return name
-    words = {w.lower() for m in _ATTR.finditer(attrs) for w in _WORD.findall(m[2] or m[3] or m[4] or "")}
-    found = sorted(words & MARKS) + (["main"] if name not in KEEP and re.search(r"role\s*=\s*[\"']?main\b", attrs) else [])
-    return ".".join([name, *found])
+    found: set[str] = set()
+    for m in _ATTR.finditer(attrs):
+        if not (m[1].lower() == "id" and (heading or name in HEADINGS)):
+            for x in (m[2] or m[3] or m[4] or "").split():
+                found |= marks(x)
+    return ".".join([name, *sorted(found), *(["main"] if name not in KEEP and re.search(r"role\s*=\s*[\"']?main\b", attrs) else [])])
 
 
 class Page:
@@ -113,7 +138,7 @@ class Page:
             if m[1]:
                 self._close(name)
             else:
-                tag = element(name, m[3])
+                tag = element(name, m[3], not HEADINGS.isdisjoint(self.stack) if "=" in m[3] else False)
                 if name == "noscript" and any(is_main(e) for e in self.stack):
                     self._open(name, tag)
                 elif name in RAW and not m[3].endswith("/"):
@@ -379,7 +404,8 @@ def merge(a: tuple, b: tuple) -> tuple:
 class Wrapper:
     """What a host's pages have in common: ``items`` (the expression),
     ``slots``: path of each text to its text, or None where texts differ, and
-    ``seen``: path of each text to the number of pages that have it."""
+    ``seen``: path of each text to the number of pages that have it and the
+    characters that it has on them."""
 
     def __init__(self, items: tuple = (), slots: dict | None = None, pages: int = 0, seen: dict | None = None):
         self.items, self.slots, self.pages, self.seen = items, slots or {}, pages, seen or {}
@@ -405,15 +431,18 @@ class Wrapper:
         if not (self.pages and self.matches(page.tokens)):
             self.items = merge(self.items, fold(page.tokens)) if self.pages else fold(page.tokens)
             self._regex = None
-        seen: dict[str, str | None] = {}
+        slots: dict[str, str | None] = {}
+        seen: dict[str, list[int]] = {}
         for path, text, _ in page.texts:
             text = " ".join(text.split())
-            seen[path] = text if seen.get(path, text) == text else None
-        self._slots(seen, dict.fromkeys(seen, 1), 1)
+            slots[path] = text if slots.get(path, text) == text else None
+            seen.setdefault(path, [1, 0])[1] += len(text)
+        self._slots(slots, seen, 1)
 
-    def _slots(self, slots: dict[str, str | None], seen: dict[str, int], pages: int) -> None:
+    def _slots(self, slots: dict[str, str | None], seen: dict[str, list[int]], pages: int) -> None:
         for path, text in slots.items():
-            self.seen[path] = self.seen.get(path, 0) + seen[path]
+            n, chars = self.seen.get(path, (0, 0))
+            self.seen[path] = [n + seen[path][0], chars + seen[path][1]]
             if path not in self.slots:
                 self.slots[path] = text
             elif self.slots[path] != text:
@@ -440,13 +469,37 @@ class Wrapper:
     def article(self) -> tuple[frozenset[str], ...]:
         """Paths of the slots that hold the article: of pages with text inside an
         article or main element, of other pages, and of pages with neither."""
-        open_ = {p for p in self.slots if not any(left_out(e) for e in p.split(">"))}
+        most = self._most()
+        open_ = {p for p in self.slots if most.issuperset(_marked(p)) and not any(e.partition(".")[0] in DROP for e in p.split(">"))}
         inside = {p for p in open_ if any(is_main(e) for e in p.split(">")) and "header" not in p.split(">")[:_main_at(p)]}
         free = {p for p in open_ if "header" not in p.split(">")}
         # inline text goes with the block around it
-        same = {p for p in free if self.slots[p] is not None and self.seen[p] >= REPEATED and self.slots.get(_block(p), "") is not None}
+        same = {p for p in free if self.slots[p] is not None and self.seen[p][0] >= REPEATED and self.slots.get(_block(p), "") is not None}
         return frozenset(inside), frozenset(free - same), frozenset(free)
 
+    def _most(self) -> set[str]:
+        """Paths of marked blocks that hold most of the text that differs between
+        pages, within article and main elements or outside them."""
+        differ = [p for p, text in self.slots.items() if text is None and self.seen[p][0] > 1
+                  and not any(e.partition(".")[0] in DROP for e in p.split(">"))]
+        found: set[str] = set()
+        for inside in (True, False):
+            here = {p: self.seen[p][1] for p in differ if any(is_main(e) for e in p.split(">")) == inside}
+            blocks: dict[str, int] = {}
+            for p, chars in here.items():
+                for block in _marked(p):
+                    blocks[block] = blocks.get(block, 0) + chars
+            open_ = any(not _marked(p) for p in here)
+            found |= {b for b, chars in blocks.items() if 2 * chars > sum(here.values())
+                      and not (open_ and not READERS.isdisjoint(b.rpartition(">")[2].split(".")))}
+        return found
+
+
+def _marked(path: str) -> list[str]:
+    """Paths of the blocks left out by their marks that a text stands in."""
+    parts = path.split(">")
+    return [">".join(parts[:i + 1]) for i, e in enumerate(parts) if "." in e and left_out(e) and e.partition(".")[0] not in DROP]
+
 
 def without_links(page: Page, article: tuple[frozenset[str], ...]) -> list[tuple[str, str, int]]:
     """The page's texts but lists of links, which an article or main element may have."""

@@ -121,3 +121,23 @@ def test_linked_words_and_formulas_stay_in_the_article(spark):
         want.append(f"Here x{i}= 1 2 holds\nFilm {w}\nTable {i}\nPlot axis {w} end")
     got = texts(spark, rows)
     assert [got[i]["text"] for i in range(len(rows))] == want
+
+
+def test_marking_words_that_are_not_the_blocks_own_role(spark):
+    rng = random.Random(5)
+    rows, want = [], []
+    for i in range(8):
+        a, b, c = (" ".join(f"w{rng.randrange(999)}" for _ in range(12)) for _ in range(3))
+        side = f"<div class='left-sidebar'><p>Side {i}</p></div><div class='ad-box'>Buy {i}</div><div id='cookie-notice'>Eat {i}</div>"
+        rows.append(("http://with/", f"<body class=no-menu><div class='content with-sidebar'><p>{a}</p></div>{side}</body>"))
+        want.append(a)
+        rows.append(("http://ids/", f"<body><article><h2 id='search'>Search {i}</h2><p>{a}</p><h2 id='related-work'>Related {i}</h2><p>{b}</p>"
+                     f"<h3><span id=comments>Said {i}</span></h3><p class='notice-period'>{c}</p>{side}</article></body>"))
+        want.append(f"Search {i}\n{a}\nRelated {i}\n{b}\nSaid {i}\n{c}")
+        # a block with a mark of its own that holds most of what differs
+        rows.append(("http://most/", f"<body><div class=widget><p>{a}</p><p>{b}</p></div><p>By {i}</p>{side}</body>"))
+        want.append(f"{a}\n{b}\nBy {i}")
+        rows.append(("http://readers/", f"<body><div class=story><p>{a}</p></div><div class=comments><p>{b}</p><p>{c}</p></div></body>"))
+        want.append(a)
+    got = texts(spark, rows)
+    assert [got[i]["text"] for i in range(len(rows))] == want
