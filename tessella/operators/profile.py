@@ -23,8 +23,9 @@ def layer_profile(name: str, df: DataFrame, geom_col: str | None = None, pk: str
     ``geometry_type``: the one type that all geometries have, its multi form where
     single and multi mix, else ``Geometry``; ``srid``: theirs if they agree, else
     NULL (``quality.srid_mismatch`` says which there are). ``pk``: the given column, or
-    else the first whole-number column without NULLs or repeats (approximately
-    counted, then the candidate is what the duplicate check takes), else NULL.
+    else the first whole-number column without NULLs or repeats, else NULL. A column
+    with a range below its row count has repeats; the others are counted by value,
+    one after the other until one has none, so the layer is read here.
     """
     from pyspark.sql import types as T
     cols = [f for f in df.schema.fields if f.name != geom_col]
@@ -35,7 +36,7 @@ def layer_profile(name: str, df: DataFrame, geom_col: str | None = None, pk: str
                  F.max(F.regexp_replace(g["type"], "^Multi", "")).alias("_b1"), F.min(g["srid"]).alias("_s0"), F.max(g["srid"]).alias("_s1")]
     whole = [f.name for f in cols if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))] if pk is None else []
     for i, c in enumerate(whole):
-        aggs += [F.approx_count_distinct(c, 0.01).alias(f"_d{i}"), F.count(c).alias(f"_n{i}")]
+        aggs += [F.count(c).alias(f"_n{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
     kind = F.lit(None).cast("string")
     srid = F.lit(None).cast("int")
     if geom_col:
@@ -43,14 +44,23 @@ def layer_profile(name: str, df: DataFrame, geom_col: str | None = None, pk: str
             F.col("_b0") == F.col("_b1"), F.concat(F.lit("Multi"), "_b0")).when(F.col("_t0").isNotNull(), F.lit("Geometry"))
         srid = F.when(F.col("_s0") == F.col("_s1"), F.col("_s0"))
     key = F.lit(pk).cast("string")
+    row = df.agg(*aggs)
     if whole:
-        n = F.col("feature_count")
-        key = F.coalesce(*[F.when((F.col(f"_n{i}") == n) & (F.col(f"_d{i}") >= 0.95 * n), F.lit(c)) for i, c in enumerate(whole)])
-    return df.agg(*aggs).select(
+        got = row.collect()
+        row = df.sparkSession.createDataFrame(got, row.schema)
+        n = got[0]["feature_count"]
+        full = [c for i, c in enumerate(whole) if got[0][f"_n{i}"] == n and (n == 0 or got[0][f"_hi{i}"] - got[0][f"_lo{i}"] >= n - 1)]
+        key = F.lit(next((c for c in full if not _repeats(df, c)), None)).cast("string")
+    return row.select(
         F.lit(name).alias("layer"), "feature_count", F.lit(len(cols)).alias("column_count"), kind.alias("geometry_type"),
         srid.cast("int").alias("srid"), key.alias("pk"))
 
 
+def _repeats(df: DataFrame, col: str) -> bool:
+    """Whether a value of the column stands in two rows."""
+    return not df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def layer_extent(name: str, df: DataFrame, cols=("min_x", "min_y", "max_x", "max_y")) -> DataFrame:
     """A2: min/max x, y of one layer (NaN ignored)."""
     clean = lambda c: F.when(~F.isnan(F.col(c)), F.col(c))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tessella.functions import geometry as G
 from tessella.functions import names as N
 from tessella.functions import types as TY
+from tessella.operators import profile as P
 from tessella.operators import query as Q
 
 
@@ -194,3 +195,14 @@ def test_items_response_feature_collection(spark, sf_dir):
     assert last["numberReturned"] == 3 and {l["rel"] for l in last["links"]} == {"self", "prev"}
     none = Q.items_response(pts.limit(0), "event_id").first()
     assert none.number_matched == 0 and none.number_returned == 0 and json.loads(none.response)["features"] == []
+
+
+def test_profile_key_has_no_repeats(spark):
+    n = 10_000
+    df = spark.range(n).select((F.col("id") % (n * 49 // 50)).alias("twos"), (F.col("id") * 7 % 100).alias("few"),
+                               (F.col("id") * 1_000_003 % 9_900 * 100).alias("wide"), F.when(F.col("id") > 0, F.col("id")).alias("holes"),
+                               F.col("id").cast("string").alias("text"), (-3 * F.col("id")).alias("key"), F.col("id").alias("later"))
+    keys = lambda d, **o: [(r["feature_count"], r["pk"]) for r in P.layer_profile("l", d, **o).collect()]
+    assert keys(df) == [(n, "key")]
+    assert keys(df.drop("key", "later")) == [(n, None)] and keys(df, pk="text") == [(n, "text")]
+    assert keys(df.limit(0)) == [(0, "twos")] and keys(df.select("text")) == [(n, None)]
