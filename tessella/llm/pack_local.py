@@ -86,7 +86,7 @@ def _options(kind: Kind) -> list[tuple[int, tuple[int, ...]]]:
     for x, _ in kind:
         out.setdefault(x, (x,))
     have = dict(kind)
-    for x, y in combinations_with_replacement([x for x, _ in kind][:64], 2):
+    for x, y in combinations_with_replacement([x for x, _ in kind], 2):
         if x != y or have[x] > 1:
             out.setdefault(x + y, (x, y))
     return sorted(out.items())

@@ -114,6 +114,11 @@ def test_local_search_on_hard_lengths():
     assert -(-int(lengths.sum()) // 4096) <= sum(better.values()) < sum(kinds.values())
 
 
+def test_pairs_of_all_lengths_of_a_bin_are_offered():
+    kind = tuple((x, 1) for x in [*range(640, 0, -10), 3, 1])
+    assert dict(pack_local._options(kind))[4] == (3, 1)
+
+
 def test_best_fit_takes_the_least_room_that_fits():
     rng = np.random.default_rng(4)
     lengths = rng.integers(1, 60, 500)
