@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, batch, lists, mix, span_hash, text_blocks, word_table
 
 SAMPLE = 10_000
-#: Training documents that a word must occur in to be a feature, and the share
-#: of the toxic or of the other ones that it must occur in.
-MIN_DOCS, MIN_SHARE = 8, 0.02
+#: Training documents that a word must occur in to be a feature, however small a share they are.
+MIN_DOCS = 8
 #: Least log ratio of a feature's frequencies in toxic and in other documents;
 #: longer documents hold more of every word, which alone must not make them toxic.
 MIN_ODDS = 1.5
@@ -109,8 +108,7 @@ def fit(toxic: np.ndarray, row: np.ndarray, word: np.ndarray, count: np.ndarray,
     uniq, inv, df = np.unique(word, return_inverse=True, return_counts=True)
     bad = np.bincount(inv, weights=toxic[row], minlength=len(uniq))
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((df - bad + 0.5) / (n - toxic.sum() + 1))
-    good = (df >= MIN_DOCS) & ((bad >= MIN_SHARE * toxic.sum()) | (df - bad >= MIN_SHARE * (n - toxic.sum())))
-    good &= np.abs(odds) >= MIN_ODDS
+    good = (df >= MIN_DOCS) & (np.abs(odds) >= MIN_ODDS)
     keep = good[inv]
     slot = np.cumsum(good) - 1
     features, row, col, count = uniq[good], row[keep], slot[inv[keep]], count[keep]

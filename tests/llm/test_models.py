@@ -81,3 +81,17 @@ def test_toxicity_odd_rows(spark):
     empty = spark.createDataFrame([], DOC_SCHEMA)
     none = toxicity.train(empty, labels.limit(0))
     assert toxicity.score(empty, none).count() == 0 and toxicity.score(docs, none).count() == 200
+
+
+def test_toxicity_of_a_rare_insult():
+    # 1,100 toxic documents: 20 hold word 2 and no other insult, the rest word 1; every one holds some of 500 neutral words
+    rng = np.random.default_rng(7)
+    toxic = np.repeat([1.0, 0.0], [1_100, 6_000])
+    words = [[*(10 + rng.choice(500, 20, replace=False)), *([2 if i < 20 else 1] if t else [])] for i, t in enumerate(toxic)]
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    flat = np.concatenate(words).astype(np.uint64)
+    model = toxicity.fit(toxic, row, flat, np.ones(len(flat), np.int64))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    p = lambda ws: model.exceed(np.array([sum(weight.get(int(w), 0.0) for w in ws)]))[0, 0]
+    assert all(p(w) >= 0.5 for w in words[:20]) and p(words[50]) >= 0.5
+    assert sum(p(w) >= 0.5 for w in words[1_100:]) <= 60
