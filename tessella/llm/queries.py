@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import (
+    cross_tokenizer,
     decontaminate,
     embedding,
+    exact_dedup,
+    hard_negatives,
     html_extract,
     line_dedup,
     pack_bfd,
@@ -30,6 +33,9 @@ from . import (
 
 #: Fixed value: the vocabulary file named by the packing contract.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The two vocabulary files named by the alignment contract.
+TOKENIZER_A = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER_B = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,6 +85,28 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_local.pack(table(spark, sf, "documents"), TOKENIZER)
 
 
+def op11_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf, "documents"), digest_all=True)
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vecs = table(spark, sf, "embeddings")
+    label = F.col("label").cast("long")
+    # the contract's labels; a null id or label stays null
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(vecs.select("vec_id", shifted.alias("label"), "embedding"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
+    aligned = cross_tokenizer.alignments(table(spark, sf, "documents"), TOKENIZER_A, TOKENIZER_B)
+    totals = cross_tokenizer.link_totals(aligned, cross_tokenizer.pair_counts(aligned))
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))
+    docs = aligned.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"))
+    return docs.join(totals, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"),
+        F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_embedding": op2_embedding,
@@ -90,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 
 ORACLE: dict[str, str] = {
@@ -129,6 +160,23 @@ s AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (gone) AS n_remo
 SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE n_lines END AS n_lines,
        coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept AS text
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id AND d.text = s.text""",
+    "op11_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_dot_product(a.q, c.q) AS BIGINT) AS score
+      FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3""",
 }
 
 #: Queries that SQL cannot express, and where they are checked instead.
@@ -141,4 +189,5 @@ NO_ORACLE_REASON: dict[str, str] = {
     "op7_toxicity": "a trained model; held-out labels in tests/llm",
     "op8_quality": "a trained model; held-out labels in tests/llm",
     "op10_best_fit_packing": "a tokenizer; round trip and lower bound in tests/llm",
+    "op13_cross_tokenizer": "two tokenizers; brute force in tests/llm",
 }
