@@ -55,8 +55,10 @@ def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
-    cut = suffix_array.remove_repeats(table(spark, sf, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cut = suffix_array.remove_repeats(table(spark, sf, "documents"), all_kept=True)
+    # a cut may part a character: what is left of it reads as U+FFFD
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text.alias("text"))
 
 
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:

@@ -287,16 +287,19 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(key, text, runs of repeated starts) to (key, spans, kept bytes, counts)."""
+def _cut(batches: Iterator[pa.RecordBatch], length: int, all_kept: bool) -> Iterator[pa.RecordBatch]:
+    """(id, text, runs of repeated starts or null) to (id, counts, spans, kept bytes, digest)."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("key", pa.binary()), ("spans", span), ("kept", pa.binary()), ("n_removed", pa.int64()),
-                        ("kept_sha256", pa.string())])
     for rb in batches:
+        schema = pa.schema([("id", rb.schema.field(0).type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span),
+                            ("kept", pa.binary()), ("kept_sha256", pa.string())])
         out: list[tuple] = []
-        for key, text, found in zip(rb.column(0), rb.column(1), rb.column(2), strict=True):
+        for text, found in zip(rb.column(1), rb.column(2), strict=True):
             raw = text.as_py().encode()
             f = found.values
+            if f is None or not len(f):
+                out.append((len(raw), 0, [], raw if all_kept else None, hashlib.sha256(raw).hexdigest()))
+                continue
             s, e = f.field("start").to_numpy(), f.field("end").to_numpy() + length - 1
             o = np.argsort(s, kind="stable")
             s, e = s[o], np.maximum.accumulate(e[o])
@@ -305,17 +308,18 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             edges = np.concatenate([[0], e]), np.concatenate([s, [len(raw)]])
             kept = b"".join(raw[a:b] for a, b in zip(*(x.tolist() for x in edges), strict=True))
             spans = [{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-            out.append((key.as_py(), spans, kept, int((e - s).sum()), hashlib.sha256(kept).hexdigest()))
+            out.append((len(raw), int((e - s).sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
         if out:
-            yield batch(schema, **dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)))
+            cols = dict(zip(schema.names[1:], map(list, zip(*out, strict=True)), strict=True))
+            yield batch(schema, id=rb.column(0), **cols)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   seed: int = SEED, group: int = GROUP) -> DataFrame:
+                   seed: int = SEED, group: int = GROUP, all_kept: bool = False) -> DataFrame:
     """One row (id, n_bytes, n_removed, n_spans, spans, kept, kept_sha256) for
     each row of ``docs``: ``spans`` are the maximal removed runs of bytes,
-    ``kept`` the other bytes (null where nothing is removed: the text itself),
-    ``kept_sha256`` their digest.
+    ``kept`` the other bytes (null where nothing is removed: the text itself, which is
+    given with ``all_kept``), ``kept_sha256`` their digest.
 
     ``seed`` is a power of two up to ``length``. A null text is an empty one;
     texts below ``length`` bytes keep all. Repeated rows are repeats of each
@@ -325,30 +329,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", text_key("text"))
-    base = materialize(src.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"),
-                                  F.sha2("text", 256).alias("sha")), "base")
     found = materialize(src.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(
         lambda it: _find(it, length, seed), "key binary, anchor long, ctx long, start int, starts int"), "contexts")
     # an anchor that occurs once has nothing to be compared with
-    many = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # (the aggregates are written down: a join with one of the same shuffle could not split a hot anchor's rows)
+    many = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "many")
     found = materialize(found.join(many, "anchor"), "shared")
     # 2. whole contexts: how often, and one example of each
     kinds = materialize(found.groupBy("anchor", "ctx").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "starts")).alias("ex")), "kinds")
     # 3. an example of each context of anchors that have several
-    # (written down: a join with an aggregate of the same shuffle could not be split)
     several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
     shards = F.ceil(F.col("kinds") / F.lit(group)).cast("int")
     want = kinds.join(several, "anchor").groupBy("ex.key").agg(F.collect_list(F.struct(
         "anchor", shards.alias("shards"), "ctx", F.col("ex.start").alias("start"), F.col("ex.starts").alias("starts"))).alias("want"))
-    one = base.groupBy("key").agg(F.min(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("one"))
-
-    def texts_for(rows: DataFrame) -> DataFrame:
-        """The text of each key in ``rows``, from one of the rows that have it."""
-        t = src.select(F.col("key").alias("k"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"), "text")
-        return t.join(rows.join(one, "key"), (F.col("k") == F.col("key")) & (F.col("i") == F.col("one")))
-
-    pieces = texts_for(want).select("text", "want").mapInArrow(
+    # one of the rows that have a text gives its examples
+    i = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    one = src.groupBy("key").agg(F.min(i).alias("i"))
+    texts = src.select("key", i.alias("i"), "text").join(want.join(one, "key"), ["key", "i"])
+    pieces = texts.select("text", "want").mapInArrow(
         lambda it: _slices(it, length), "anchor long, shards int, ctx long, bytes binary")
     pieces = pieces.select("anchor", F.pmod(F.xxhash64("ctx"), F.col("shards")).cast("int").alias("shard"), "shards", "ctx", "bytes")
     pieces = pieces.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
@@ -365,18 +364,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # 5. runs of starts, back to the texts
     whole = kinds.where("n > 1").select("anchor", "ctx", F.array(F.struct(
         F.lit(0).cast("long").alias("start"), F.col("ex.starts").cast("long").alias("end"))).alias("runs"))
-    rel = marked.select("anchor", "ctx", "runs").unionByName(across).unionByName(whole)
-    rel = rel.select("anchor", "ctx", F.explode("runs").alias("run")).distinct()
-    hits = found.join(rel, ["anchor", "ctx"]).select("key", F.struct(
-        (F.col("start") + F.col("run.start")).alias("start"), (F.col("start") + F.col("run.end")).alias("end")).alias("run"))
-    cuts = hits.distinct().groupBy("key").agg(F.collect_list("run").alias("runs"))
-    done = texts_for(cuts).select("key", "text", "runs").mapInArrow(
-        lambda it: _cut(it, length),
-        "key binary, spans array<struct<start:long,end:long>>, kept binary, n_removed long, kept_sha256 string")
-    done = done.dropDuplicates(["key"])
-    out = base.join(done, "key", "left")
-    return out.select(
-        F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), "kept",
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    # one row per context, so that a join with it makes no more rows than there are contexts; one that
+    # occurs twice as a whole needs no other run
+    rel = marked.select("anchor", "ctx", F.explode("runs").alias("run"), F.lit(False).alias("is_whole")).unionByName(
+        across.select("anchor", "ctx", F.explode("runs").alias("run"), F.lit(False).alias("is_whole"))).unionByName(
+        whole.select("anchor", "ctx", F.col("runs")[0].alias("run"), F.lit(True).alias("is_whole")))
+    rel = materialize(rel.groupBy("anchor", "ctx").agg(
+        F.collect_set("run").alias("runs"), F.max(F.when(F.col("is_whole"), F.col("run"))).alias("all")).select(
+        "anchor", "ctx", F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.col("runs")).alias("runs")), "runs")
+    shifted = F.transform("runs", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["end"]).alias("end")))
+    hits = found.join(rel, ["anchor", "ctx"]).select("key", shifted.alias("runs"))
+    cuts = materialize(hits.distinct().groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs")), "cuts")
+    kind = src.schema["id"].dataType.simpleString()
+    out = src.join(cuts, "key", "left").select("id", "text", "runs").mapInArrow(
+        lambda it: _cut(it, length, all_kept), f"id {kind}, n_bytes long, n_removed long, spans {runs_type}, kept binary, kept_sha256 string")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans",
+                      "kept", "kept_sha256")
