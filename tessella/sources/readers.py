@@ -131,7 +131,7 @@ def _properties_schema(feats: DataFrame) -> str:
         return "struct<>"
     # whole numbers: BIGINT while they fit; longer ones keep all their digits
     s = re.sub(r"DECIMAL\((\d+),0\)", lambda m: "BIGINT" if int(m[1]) <= 18 else "DECIMAL(38,0)", s)
-    s = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", s)
+    s = re.sub(r"DECIMAL\(\d+,[1-9]\d*\)", "DOUBLE", s)
     return s.replace("OBJECT<", "STRUCT<")
 
 
