@@ -747,6 +747,24 @@ _T = (f"((({_F['ax']} - {_E['ax']}) * {_SY} - ({_F['ay']} - {_E['ay']}) * {_SX})
 _QX = (f"({_E['ax']} + {_T} * {_RX})", f"({_E['ay']} + {_T} * {_RY})")
 
 
+@register("polygon_faults", f"SELECT o_orderkey, fault FROM {L.SQL_SHAPES} WHERE fault IS NOT NULL")
+def q_polygon_faults(spark, sf):
+    from .operators import planar
+    return planar.polygon_faults(L.order_shapes(spark, sf), "o_orderkey")
+
+
+@register("repair_polygons", f"""
+SELECT o_orderkey, fault, CAST(n_parts AS INTEGER) AS n_parts, CAST(n_rings AS INTEGER) AS n_rings,
+       round(area, 6) AS area, true AS valid_after FROM {L.SQL_SHAPES}""")
+def q_repair_polygons(spark, sf):
+    """Polygons of several crossings, overlapping parts and misplaced holes, made valid; validity afterwards is measured."""
+    from .operators import planar
+    fixed = planar.with_validity(planar.repair(L.order_shapes(spark, sf), "o_orderkey"), "o_orderkey", name="valid_after")
+    parts = F.col("geometry.parts")
+    return fixed.select("o_orderkey", "fault", F.size(parts).alias("n_parts"), F.size(F.flatten(parts)).alias("n_rings"),
+                        F.round(planar.area("geometry"), 6).alias("area"), "valid_after")
+
+
 @register("make_valid", f"""
 SELECT q.o_orderkey, {_QUAD_VALID_SQL} AS valid_before, true AS valid_after,
   CASE WHEN q.u < q.v THEN 2 ELSE 1 END AS n_parts,

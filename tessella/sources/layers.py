@@ -8,6 +8,8 @@ Catalyst prunes unused columns down to the Parquet scan.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +102,44 @@ def order_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_QUADS = """(SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 1000 AS DOUBLE) * 2.0 AS x0,
   CAST(o_custkey % 3 AS DOUBLE) / 2.0 AS u, CAST(o_orderkey % 3 AS DOUBLE) / 2.0 AS v FROM orders)"""
+
+
+def order_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygon layer of larger faults, a kind per ``o_orderkey % 5``: stars of 5, 7 or 9 points, rings that cross
+    their base line 3 to 9 times, two overlapping parts, a hole partly outside its shell beside one
+    inside, and a valid polygon with a hole. Sizes come from the customer key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x0 = (k % 1000).cast("double") * 32.0
+    at = lambda x, y: G.xy(x0 + x, y)
+    n, r = (c % 3).cast("int") * 2 + 5, (k % 7 + 1).cast("double")
+    angle = lambda i: i.cast("double") * (4.0 * math.pi) / n
+    star = F.transform(F.sequence(F.lit(0), n), lambda i: at(r * F.cos(angle(i % n)), r * F.sin(angle(i % n))))
+    m, h = (c % 7).cast("int") + 4, (k % 3 + 1).cast("double")
+    teeth = F.transform(F.sequence(F.lit(0), m - 1), lambda i: at(
+        m.cast("double") - i.cast("double") - 0.5, F.when(i % 2 == 0, h).otherwise(-h)))
+    saw = F.concat(F.array(at(F.lit(0.0), F.lit(0.0)), at(m.cast("double"), F.lit(0.0))), teeth, F.array(at(F.lit(0.0), F.lit(0.0))))
+    zero = F.lit(0.0)
+
+    def box(ax, ay, bx, by):
+        ax, ay, bx, by = (v.cast("double") if hasattr(v, "cast") else F.lit(float(v)) for v in (ax, ay, bx, by))
+        return F.array(at(ax, ay), at(bx, ay), at(bx, by), at(ax, by), at(ax, ay))
+    a, d = c % 4 + 2, c % 3 + 1
+    parts = (F.when(k % 5 == 0, F.array(F.array(star))).when(k % 5 == 1, F.array(F.array(saw)))
+             .when(k % 5 == 2, F.array(F.array(box(zero, zero, a, a)), F.array(box(a - 1, a - 1, a * 2 - 1, a * 2 - 1))))
+             .when(k % 5 == 3, F.array(F.array(box(0, 0, 6, 6), box(F.lit(5), 1, d + 6, 3), box(1, 1, 2, 2))))
+             .otherwise(F.array(F.array(box(0, 0, 6, 6), box(1, 1, 2, 2)))))
+    kind = F.when(k % 5 == 2, "MultiPolygon").otherwise("Polygon")
+    return o.select("o_orderkey", "o_custkey", F.struct(kind.alias("type"), F.lit(4326).alias("srid"), parts.alias("parts")).alias("geometry"))
+
+
+#: What the even-odd rule leaves of ``order_shapes``, by formula: the inner polygon of a star has
+#: radius r * cos(2 pi / n) / cos(pi / n).
+SQL_SHAPES = """(SELECT o_orderkey, k, n, CASE k WHEN 0 THEN n * r * q * sin(pi() / n) - n / 2.0 * q * q * sin(2 * pi() / n)
+  WHEN 1 THEN m * h / 2.0 WHEN 2 THEN 2 * a * a - 2 WHEN 3 THEN 33 + 2 * d ELSE 35 END AS area,
+  CASE k WHEN 0 THEN n WHEN 1 THEN m WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS n_parts,
+  CASE k WHEN 0 THEN n WHEN 1 THEN m WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 2 END AS n_rings,
+  CASE k WHEN 0 THEN 'self-intersection' WHEN 1 THEN 'self-intersection' WHEN 4 THEN NULL ELSE 'rings cross' END AS fault
+  FROM (SELECT *, r * cos(2 * pi() / n) / cos(pi() / n) AS q FROM (SELECT o_orderkey, o_orderkey % 5 AS k,
+    o_custkey % 3 * 2 + 5 AS n, CAST(o_orderkey % 7 + 1 AS DOUBLE) AS r, o_custkey % 7 + 4 AS m,
+    o_orderkey % 3 + 1 AS h, o_custkey % 4 + 2 AS a, o_custkey % 3 + 1 AS d FROM orders)))"""
