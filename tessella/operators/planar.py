@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -109,20 +109,38 @@ def in_cells(edges: DataFrame) -> DataFrame:
     return out.withColumn("cell", F.col("cx").cast("long") * F.col("grid") + F.col("cy")).drop("cx", "cy")
 
 
+_FRAME = ("grid", "x0", "y0", "extent")
 _SIDE = ("part", "ring", "e", "n_ring", "id", "ax", "ay", "bx", "by")
 
 
-def edge_pairs(edges: DataFrame) -> DataFrame:
-    """Pairs of edges of one feature that share a cell and whose boxes meet (columns ``*1`` and ``*2``,
-    ``id1 < id2``); a pair comes once per shared cell."""
-    cells = in_cells(edges)
-    a = cells.select("fid", "cell", "extent", *[F.col(c).alias(f"{c}1") for c in _SIDE])
-    b = cells.select("fid", "cell", *[F.col(c).alias(f"{c}2") for c in _SIDE])
+def _boxes_meet(extent: Column, one, two) -> Column:
+    """Boxes of two edges overlap; ``one`` and ``two`` give an edge's field by name."""
     meet = F.lit(True)
     for c in "xy":
-        lo, hi = (lambda k, c=c: F.least(f"a{c}{k}", f"b{c}{k}")), (lambda k, c=c: F.greatest(f"a{c}{k}", f"b{c}{k}"))
-        meet = meet & (lo(1) <= hi(2) + F.col("extent") * SNAP) & (lo(2) <= hi(1) + F.col("extent") * SNAP)
-    return a.join(b, ["fid", "cell"]).filter((F.col("id1") < F.col("id2")) & meet)
+        lo, hi = (lambda g, c=c: F.least(g(f"a{c}"), g(f"b{c}"))), (lambda g, c=c: F.greatest(g(f"a{c}"), g(f"b{c}")))
+        meet = meet & (lo(one) <= hi(two) + extent * SNAP) & (lo(two) <= hi(one) + extent * SNAP)
+    return meet
+
+
+def edge_pairs(edges: DataFrame) -> DataFrame:
+    """Pairs of edges of one feature whose boxes meet (columns ``*1`` and ``*2``, ``id1 < id2``).
+
+    Features of one cell pair their few edges in a row of their own, after one shuffle by feature; in the
+    others edges that share a cell are joined, and a pair comes once per shared cell.
+    """
+    names = [f"{c}{k}" for k in (1, 2) for c in _SIDE]
+    few = edges.filter("grid = 1").groupBy("fid").agg(
+        *[F.first(c).alias(c) for c in _FRAME], F.collect_list(F.struct("id", *[c for c in _SIDE if c != "id"])).alias("es"))
+    few = few.select("fid", *_FRAME, F.explode("es").alias("one"), "es")
+    later = F.filter("es", lambda o: (o["id"] > F.col("one.id")) & _boxes_meet(F.col("extent"), lambda c: F.col(f"one.{c}"), lambda c: o[c]))
+    few = few.select("fid", *_FRAME, "one", F.explode(later).alias("two"))
+    few = few.select("fid", *_FRAME, *[F.col(f"{o}.{c}").alias(f"{c}{k}") for o, k in (("one", 1), ("two", 2)) for c in _SIDE])
+    cells = in_cells(edges.filter("grid > 1"))
+    a = cells.select("fid", "cell", *_FRAME, *[F.col(c).alias(f"{c}1") for c in _SIDE])
+    b = cells.select("fid", "cell", *[F.col(c).alias(f"{c}2") for c in _SIDE])
+    meet = _boxes_meet(F.col("extent"), lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"))
+    many = a.join(b, ["fid", "cell"]).filter((F.col("id1") < F.col("id2")) & meet)
+    return few.unionByName(many.select("fid", *_FRAME, *names))
 
 
 def _cross(k: int, x: Column, y: Column) -> Column:
@@ -279,30 +297,35 @@ def noded(edges: DataFrame) -> DataFrame:
     """Pieces ``(fid, ax, ay, bx, by)`` of edges, cut wherever they meet, that an odd number of
     edges cover; ends in order."""
     pairs = _with_sides(edge_pairs(edges), SNAP)
+    on_any = F.col("on_a1") | F.col("on_b1") | F.col("on_a2") | F.col("on_b2")
+    pairs = _settled(pairs.filter(F.col("crossing") | on_any))
     rx, ry = F.col("bx1") - F.col("ax1"), F.col("by1") - F.col("ay1")
     sx, sy = F.col("bx2") - F.col("ax2"), F.col("by2") - F.col("ay2")
     t = F.try_divide((F.col("ax2") - F.col("ax1")) * sy - (F.col("ay2") - F.col("ay1")) * sx, rx * sy - ry * sx)
     grid = F.col("extent") * SNAP
-    snap = lambda v: F.round(v / grid) * grid
-    on_any = F.col("on_a1") | F.col("on_b1") | F.col("on_a2") | F.col("on_b2")
+    snap = lambda v: F.rint(v / grid) * grid
     x = F.when(F.col("crossing") & ~on_any, _point(snap(F.col("ax1") + t * rx), snap(F.col("ay1") + t * ry)))
     end = lambda e, k: F.when(F.col(f"on_{e}{k}"), _point(F.col(f"{e}x{k}"), F.col(f"{e}y{k}")))
-    cuts = pairs.filter(F.col("crossing") | on_any).select("fid", F.explode(F.array(
-        F.struct(F.col("id1").alias("id"), F.array(x, end("a", 2), end("b", 2)).alias("at")),
-        F.struct(F.col("id2").alias("id"), F.array(x, end("a", 1), end("b", 1)).alias("at")))).alias("c"))
-    cuts = cuts.select("fid", "c.id", F.explode("c.at").alias("p")).filter(F.col("p").isNotNull())
-    cuts = cuts.groupBy("fid", "id").agg(F.collect_set("p").alias("cuts"))
-    whole = edges.join(cuts, ["fid", "id"], "left")
-    a, b = _point(F.col("ax"), F.col("ay")), _point(F.col("bx"), F.col("by"))
-    along = lambda p: (p["x"] - F.col("ax")) * (F.col("bx") - F.col("ax")) + (p["y"] - F.col("ay")) * (F.col("by") - F.col("ay"))
-    placed = F.transform(F.array_distinct(F.concat(F.array(a, b), F.coalesce("cuts", F.array().cast("array<struct<x:double,y:double>>")))),
-                         lambda p: F.struct(along(p).alias("t"), p["x"].alias("x"), p["y"].alias("y")))
-    pieces = whole.withColumn("pts", F.array_sort(placed)).select(
-        "fid", "grid", "x0", "y0", "extent", F.explode(G.ring_edges(F.col("pts"))).alias("s"))
-    p, q = _point(F.col("s.ax"), F.col("s.ay")), _point(F.col("s.bx"), F.col("s.by"))
-    pieces = pieces.select("fid", "grid", "x0", "y0", "extent", F.least(p, q).alias("p"), F.greatest(p, q).alias("q")).filter("p < q")
-    odd = pieces.groupBy("fid", "p", "q").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("grid", "x0", "y0", "extent")])
-    return odd.filter("k % 2 = 1").select("fid", "grid", "x0", "y0", "extent", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"),
+    def along(p, k):
+        return (p["x"] - F.col(f"ax{k}")) * (F.col(f"bx{k}") - F.col(f"ax{k}")) + (p["y"] - F.col(f"ay{k}")) * (F.col(f"by{k}") - F.col(f"ay{k}"))
+
+    def cuts_of(k, o):
+        at = F.filter(F.array(x, end("a", o), end("b", o)), lambda p: p.isNotNull())
+        return F.transform(at, lambda p: F.struct(F.col(f"id{k}").alias("id"), along(p, k).alias("t"), p["x"].alias("x"), p["y"].alias("y")))
+
+    cuts = pairs.select("fid", *_FRAME, F.explode(F.concat(cuts_of(1, 2), cuts_of(2, 1))).alias("c"))
+    cuts = cuts.select("fid", *_FRAME, "c.*")
+    whole = F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)
+    both = edges.select("fid", *_FRAME, "id", F.explode(F.array(
+        F.struct(F.lit(0.0).alias("t"), F.col("ax").alias("x"), F.col("ay").alias("y")),
+        F.struct(whole.alias("t"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("c")).select("fid", *_FRAME, "id", "c.*")
+    # the points of an edge in order: each and the next bound a piece
+    order = Window.partitionBy("fid", "id").orderBy("t", "x", "y")
+    p = F.struct("x", "y")
+    pieces = both.unionByName(cuts).withColumn("next", F.lead(p).over(order)).filter(F.col("next").isNotNull()).select(
+        "fid", *_FRAME, F.least(p, F.col("next")).alias("p"), F.greatest(p, F.col("next")).alias("q")).filter("p < q")
+    odd = pieces.groupBy("fid", "p", "q").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in _FRAME])
+    return odd.filter("k % 2 = 1").select("fid", *_FRAME, F.col("p.x").alias("ax"), F.col("p.y").alias("ay"),
                                           F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
 

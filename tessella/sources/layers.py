@@ -108,7 +108,9 @@ def order_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygon layer of larger faults, a kind per ``o_orderkey % 5``: stars of 5, 7 or 9 points, rings that cross
     their base line 3 to 9 times, two overlapping parts, a hole partly outside its shell beside one
     inside, and a valid polygon with a hole. Sizes come from the customer key."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # one file of two narrow columns is one task's input; the shapes made of it are many times larger
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(n_tasks, "o_orderkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     x0 = (k % 1000).cast("double") * 32.0
     at = lambda x, y: G.xy(x0 + x, y)
