@@ -299,11 +299,23 @@ def poly_poly_relations(ga, ea, gb, eb, eps=0.0) -> dict[str, Column]:
     return {"intersects": meet | interiors, "touches": meet & ~interiors, "within": interiors & ~outside & ~b_in_a}
 
 
-def _line_ends(edges) -> Column:
-    """End points of the stretches of a line (none where a stretch ends as it began)."""
-    starts = F.transform(edges, lambda e: F.struct(e["ax"].alias("x"), e["ay"].alias("y")))
-    ends = F.transform(edges, lambda e: F.struct(e["bx"].alias("x"), e["by"].alias("y")))
-    return F.filter(F.concat(F.array_except(starts, ends), F.array_except(ends, starts)), lambda p: p.isNotNull())
+def line_boundary(edges) -> Column:
+    """Boundary of a (multi-)line by the mod-2 rule: the points in which an odd number of its
+    stretches end. A closed line has none, nor has a point that two stretches share."""
+    ends = F.flatten(F.transform(edges, lambda e: F.array(
+        F.struct(e["ax"].alias("x"), e["ay"].alias("y")), F.struct(e["bx"].alias("x"), e["by"].alias("y")))))
+    kind = "struct<p:struct<x:double,y:double>,odd:boolean,out:array<struct<x:double,y:double>>>"
+    none = F.struct(F.lit(None).alias("p"), F.lit(False).alias("odd"), F.array().alias("out")).cast(kind)
+
+    def done(acc):
+        return F.when(acc["odd"], F.concat(acc["out"], F.array(acc["p"]))).otherwise(acc["out"])
+
+    def step(acc, q):
+        same = F.coalesce(acc["p"] == q, F.lit(False))
+        return F.struct(q.alias("p"), F.when(same, ~acc["odd"]).otherwise(F.lit(True)).alias("odd"),
+                        F.when(same, acc["out"]).otherwise(done(acc)).alias("out")).cast(kind)
+    # equal points stand together in order: an odd run is a boundary point
+    return F.aggregate(F.sort_array(ends), none, step, done)
 
 
 def line_line_relations(ea, eb, eps=0.0) -> dict[str, Column]:
@@ -320,7 +332,7 @@ def line_line_relations(ea, eb, eps=0.0) -> dict[str, Column]:
                                                   (e["ay"] + t * (e["by"] - e["ay"])).alias("y")))
     met = F.filter(F.flatten(F.transform(ea, points)), lambda p: _on(p, eb, eps))
     same = lambda p, q: (F.abs(p["x"] - q["x"]) <= eps + ROUNDING * 10) & (F.abs(p["y"] - q["y"]) <= eps + ROUNDING * 10)
-    inner = let(F.concat(_line_ends(ea), _line_ends(eb)),
+    inner = let(F.concat(line_boundary(ea), line_boundary(eb)),
                 lambda ends: F.exists(met, lambda p: ~F.exists(ends, lambda q: same(p, q))))
     away = F.exists(pieces, lambda p: ~_on(p, eb, eps))
     return {"intersects": meet, "crosses": meet & ~shared & inner, "touches": meet & ~shared & ~inner,

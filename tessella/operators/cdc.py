@@ -42,13 +42,6 @@ def state_from_snapshot(df: DataFrame, pk: str, hash_cols: list[str] | None = No
     return df.select(*cols)
 
 
-def _classify(current: DataFrame, prev_state: DataFrame, pk: str) -> DataFrame:
-    """Full outer join of current rows with previous keys: one shuffle."""
-    prev = prev_state.select(F.col("pk").alias("_prev_pk"),
-                             *([F.col("row_hash").alias("_prev_hash")] if "row_hash" in prev_state.columns else []))
-    return current.join(prev, current[pk] == prev["_prev_pk"], "full_outer")
-
-
 def cdc_diff(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None,
              since=None, hash_cols: list[str] | None = None, narrow: bool = True) -> DataFrame:
     """D2-D5 and D10 in one pass: every changed row with ``_change_type``.
@@ -141,51 +134,43 @@ def classify_keys(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: st
 
 def _diff_wide(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str | None = None,
                since=None, hash_cols: list[str] | None = None) -> DataFrame:
-    """One full outer join of whole current rows with the key state."""
-    j = _classify(current, prev_state, pk)
-    in_cur = F.col(pk).isNotNull()
-    in_prev = F.col("_prev_pk").isNotNull()
-    if hash_cols:
-        changed = row_hash(hash_cols) != F.col("_prev_hash")
-    elif ts_col is not None and since is not None:
-        changed = F.col(ts_col) > F.lit(since).cast(current.schema[ts_col].dataType)
-    else:
-        changed = F.lit(False)
-    kind = (F.when(in_cur & ~in_prev, F.lit(INSERT))
-            .when(in_cur & in_prev & F.coalesce(changed, F.lit(False)), F.lit(UPDATE))
-            .when(~in_cur & in_prev, F.lit(DELETE)))
-    cols = [c for c in current.columns]
-    out = j.select(*[F.when(in_cur, F.col(c)).otherwise(F.col("_prev_pk")).alias(c) if c == pk else F.col(c)
-                     for c in cols], kind.alias(CHANGE_COL))
-    return out.filter(F.col(CHANGE_COL).isNotNull())
+    """Whole current rows beside the changed keys of ``classify_keys``, in one full outer join."""
+    keys = classify_keys(current, prev_state, pk, ts_col, since, hash_cols)
+    j = current.join(keys, current[pk].eqNullSafe(keys["_k"]), "full_outer").filter(F.col(CHANGE_COL).isNotNull())
+    return j.select(*[F.coalesce(F.col(c), F.col("_k")).alias(c) if c == pk else F.col(c) for c in current.columns], CHANGE_COL)
+
+
+def _known_keys(prev_state: DataFrame) -> DataFrame:
+    """Previous keys as a set: one row per key, a NULL key included."""
+    return prev_state.select(F.col("pk").alias("_prev_pk")).distinct()
 
 
 def cdc_inserts(current: DataFrame, prev_state: DataFrame, pk: str) -> DataFrame:
-    """Current rows whose PK is not in the previous state (anti join)."""
-    return current.join(prev_state.select(F.col("pk").alias(pk)), pk, "left_anti") \
-        .withColumn(CHANGE_COL, F.lit(INSERT))
+    """Current rows whose PK is not in the previous state (anti join). A NULL key is a key."""
+    new = current.join(_known_keys(prev_state), F.col(pk).eqNullSafe(F.col("_prev_pk")), "left_anti")
+    return new.withColumn(CHANGE_COL, F.lit(INSERT))
 
 
 def cdc_deletes(current: DataFrame, prev_state: DataFrame, pk: str) -> DataFrame:
-    """D3: previous PKs missing from current; PK and type only."""
-    return prev_state.select(F.col("pk").alias(pk)).join(current.select(pk), pk, "left_anti") \
-        .withColumn(CHANGE_COL, F.lit(DELETE))
+    """D3: previous PKs missing from current, each once; PK and type only."""
+    now = current.select(F.col(pk).alias("_now")).distinct()
+    gone = _known_keys(prev_state).join(now, F.col("_prev_pk").eqNullSafe(F.col("_now")), "left_anti")
+    return gone.select(F.col("_prev_pk").alias(pk), F.lit(DELETE).alias(CHANGE_COL))
 
 
 def cdc_updates(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str, since) -> DataFrame:
     """``ts > since`` (strict) and PK already known (semi join)."""
     ts_t = current.schema[ts_col].dataType
-    return current.filter(F.col(ts_col) > F.lit(since).cast(ts_t)) \
-        .join(prev_state.select(F.col("pk").alias(pk)), pk, "left_semi") \
-        .withColumn(CHANGE_COL, F.lit(UPDATE))
+    late = current.filter(F.col(ts_col) > F.lit(since).cast(ts_t))
+    return late.join(_known_keys(prev_state), F.col(pk).eqNullSafe(F.col("_prev_pk")), "left_semi").withColumn(CHANGE_COL, F.lit(UPDATE))
 
 
 def cdc_changes(current: DataFrame, prev_state: DataFrame, pk: str, ts_col: str, since) -> DataFrame:
     """``ts > since OR pk is new``; type insert if new else update. One
-    left join with the previous keys decides both."""
+    left join with the previous keys decides both; each current row comes once."""
     ts_t = current.schema[ts_col].dataType
-    prev = prev_state.select(F.col("pk").alias("_prev_pk"), F.lit(True).alias("_known"))
-    j = current.join(prev, current[pk] == prev["_prev_pk"], "left")
+    prev = _known_keys(prev_state).withColumn("_known", F.lit(True))
+    j = current.join(prev, F.col(pk).eqNullSafe(F.col("_prev_pk")), "left")
     new = F.col("_known").isNull()
     return (j.filter((F.col(ts_col) > F.lit(since).cast(ts_t)) | new)
             .select(*current.columns, F.when(new, F.lit(INSERT)).otherwise(F.lit(UPDATE)).alias(CHANGE_COL)))

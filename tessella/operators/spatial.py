@@ -205,7 +205,7 @@ def relation(pred: str, a: str = "a_", b: str = "b_", eps: float = 0.0,
     def pt_line(g, le, point_first: bool):
         pts = G.coords(g)
         on = lambda p: G.point_on_boundary(p["x"], p["y"], le, eps)
-        mid = F.exists(pts, lambda p: on(p) & ~_at_line_end(p, le, eps))
+        mid = G.let(G.line_boundary(le), lambda ends: F.exists(pts, lambda p: on(p) & ~_among(p, ends, eps)))
         inner = "within" if point_first else "contains"
         return {"intersects": F.exists(pts, on), inner: mid & F.forall(pts, on),
                 "touches": F.exists(pts, on) & ~mid, "crosses": mid & ~F.forall(pts, on)}.get(pred, no)
@@ -229,14 +229,8 @@ def relation(pred: str, a: str = "a_", b: str = "b_", eps: float = 0.0,
     return out
 
 
-def _ends(edges: Column) -> Column:
-    first, last = edges[0], F.element_at(edges, -1)
-    return F.array(F.struct(first["ax"].alias("x"), first["ay"].alias("y")),
-                   F.struct(last["bx"].alias("x"), last["by"].alias("y")))
-
-
-def _at_line_end(p, line_edges, eps) -> Column:
-    return F.exists(_ends(line_edges), lambda q: (F.abs(q["x"] - p["x"]) <= eps) & (F.abs(q["y"] - p["y"]) <= eps))
+def _among(p, points: Column, eps) -> Column:
+    return F.exists(points, lambda q: (F.abs(q["x"] - p["x"]) <= eps) & (F.abs(q["y"] - p["y"]) <= eps))
 
 
 LEVEL_FACTOR = 64     # each coarser level has cells 64 x 64 times larger

@@ -424,3 +424,25 @@ def test_long_whole_numbers_in_geojson_survive(spark, scratch):
     from tessella.sources import readers as RD
     r = RD.scan_geojson_seq(spark, f"{scratch}/g").first()
     assert int(r["n"]) == 123456789012345678901234567890 and r["m"] == 7
+
+
+def test_null_and_repeated_keys_through_every_change_function(spark):
+    import datetime as dt
+
+    from tessella.operators import cdc
+    old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 6, 1)
+    cur = spark.createDataFrame([(1, "a", old), (2, "b", new), (None, "n", old), (9, "x", old), (9, "y", old)], "pk long, v string, ts timestamp")
+    prev = spark.createDataFrame([(1,), (2,), (2,), (3,), (3,), (None,), (None,)], "pk long")
+    got = lambda df: sorted(((r["pk"], r.asDict().get("v"), r["_change_type"]) for r in df.collect()), key=str)
+    since = dt.datetime(2024, 3, 1)
+    inserts, updates, deletes = [(9, "x", "insert"), (9, "y", "insert")], [(2, "b", "update")], [(3, None, "delete")]
+    assert got(cdc.cdc_inserts(cur, prev, "pk")) == inserts
+    assert got(cdc.cdc_deletes(cur, prev, "pk")) == deletes
+    assert got(cdc.cdc_updates(cur, prev, "pk", "ts", since)) == updates
+    assert got(cdc.cdc_changes(cur, prev, "pk", "ts", since)) == sorted(inserts + updates, key=str)
+    for narrow in (True, False):
+        diff = cdc.cdc_diff(cur, prev, "pk", "ts", since, narrow=narrow)
+        assert got(diff) == sorted(inserts + updates + deletes, key=str), narrow
+    gone = cur.filter("pk IS NOT NULL")
+    assert (None, None, "delete") in got(cdc.cdc_deletes(gone, prev, "pk"))
+    assert (None, None, "delete") in got(cdc.cdc_diff(gone, prev, "pk", narrow=False))

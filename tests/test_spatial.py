@@ -307,3 +307,26 @@ def test_validity_of_parts(spark):
     g = F.struct(F.lit("MultiPolygon").alias("type"), F.lit(4326).alias("srid"), F.col("parts"))
     got = df.select("pid", g.alias("geometry")).select("pid", G.is_valid("geometry").alias("ok")).collect()
     assert {r["pid"]: r["ok"] for r in got} == {0: True, 1: True, 2: False, 3: False}
+
+
+MOD_2 = [
+    ([[(0, 0), (2, 0), (2, 2), (0, 0)]], (0, 0), "within"),            # a closed line has no boundary
+    ([[(0, 0), (2, 0), (2, 2)]], (0, 0), "touches"),
+    ([[(0, 0), (2, 0), (2, 2)]], (2, 0), "within"),
+    ([[(0, 0), (2, 0)], [(2, 0), (4, 1)]], (2, 0), "within"),             # two stretches end there
+    ([[(0, 0), (2, 0)], [(2, 0), (4, 1)], [(2, 0), (2, 5)]], (2, 0), "touches"),  # three do
+    ([[(0, 0), (2, 0)], [(5, 5), (6, 6)]], (5, 5), "touches"),            # an end of a later stretch
+    ([[(2, 0), (0, 0)], [(2, 0), (4, 1)]], (2, 0), "within"),             # both start there
+]
+
+
+def test_boundary_of_lines_by_the_mod_2_rule(spark):
+    kind = "geometry struct<type:string,srid:int,parts:array<array<array<struct<x:double,y:double>>>>>"
+    xy = lambda p: {"x": float(p[0]), "y": float(p[1])}
+    lines = [(i, {"type": "MultiLineString", "srid": 4326, "parts": [[[xy(p) for p in stretch]] for stretch in line]})
+             for i, (line, _, _) in enumerate(MOD_2)]
+    points = [(i, {"type": "Point", "srid": 4326, "parts": [[[xy(at)]]]}) for i, (_, at, _) in enumerate(MOD_2)]
+    lines, points = spark.createDataFrame(lines, f"l long, {kind}"), spark.createDataFrame(points, f"p long, {kind}")
+    for pred in ("within", "touches", "intersects"):
+        j = SP.spatial_join(points, lines, pred, 1.0, kinds=("point", "line")).filter("l = p")
+        assert sorted(r["p"] for r in j.collect()) == [i for i, c in enumerate(MOD_2) if pred in ("intersects", c[2])], pred
