@@ -50,11 +50,21 @@ SELECT model_id, CASE WHEN ordinal % 23 = 4 THEN concat(layer_id, 'b') ELSE laye
   CASE WHEN ordinal % 9 = 2 THEN NULL ELSE description END AS description, is_abstract, ordinal
 FROM ({layers})"""
 
+# The next version of each field: gone and new ones, other names, types, multiplicities and defaults.
+FIELDS_NEXT = """
+SELECT model_id, layer_id, CASE WHEN ordinal % 31 = 5 THEN concat(field_id, 'b') ELSE field_id END AS field_id,
+  CASE WHEN ordinal % 10 = 2 THEN concat(name, '_v2') ELSE name END AS name, kind,
+  CASE WHEN ordinal % 12 = 2 THEN 'boolean' ELSE base_type END AS base_type,
+  CASE WHEN ordinal % 14 = 3 THEN '0..1' ELSE multiplicity END AS multiplicity,
+  CASE WHEN ordinal % 9 = 3 THEN NULL WHEN ordinal % 9 = 4 THEN 'y' ELSE default_value END AS default_value, is_pk, ref_layer_id,
+  inverse_field_id, enum_ref, ordinal
+FROM ({fields})"""
+
 
 def sql(text: str, engine: str) -> str:
     """The catalog's SQL for ``spark`` or ``duckdb`` (whole division differs)."""
     layers = LAYERS.replace("{div}", "DIV" if engine == "spark" else "//")
-    out = text.replace("{layers}", layers).replace("{div}", "DIV" if engine == "spark" else "//")
+    out = text.replace("{layers}", layers).replace("{fields}", FIELDS).replace("{div}", "DIV" if engine == "spark" else "//")
     return out if engine == "spark" else out.replace("AS STRING)", "AS VARCHAR)")
 
 

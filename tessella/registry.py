@@ -1403,6 +1403,26 @@ def q_catalog_drift(spark, sf):
                                     F.coalesce(F.size("modified_fields"), F.lit(0)).alias("n_changes"))
 
 
+_FIELD_CHANGES = " + ".join(f"(o.{c} IS DISTINCT FROM n.{c})::INT" for c in ("name", "base_type", "multiplicity", "default_value"))
+
+
+@register("catalog_field_drift", f"""
+SELECT * FROM (SELECT model_id, layer_id, field_id,
+  CASE WHEN o.ordinal IS NULL THEN 'added' WHEN n.ordinal IS NULL THEN 'deleted' ELSE 'modified' END AS type,
+  coalesce(n.name, o.name) AS item_name, CASE WHEN o.ordinal IS NOT NULL AND n.ordinal IS NOT NULL THEN {_FIELD_CHANGES} ELSE 0 END AS n_changes,
+  CASE WHEN o.ordinal IS NOT NULL AND n.ordinal IS NOT NULL AND o.base_type IS DISTINCT FROM n.base_type THEN o.base_type END AS old_type
+FROM ({K.sql(K.FIELDS, "duckdb")}) o FULL JOIN ({K.sql(K.FIELDS_NEXT, "duckdb")}) n USING (model_id, layer_id, field_id))
+WHERE type <> 'modified' OR n_changes > 0""")
+def q_catalog_field_drift(spark, sf):
+    """Fields added, deleted and modified between two versions of the same layers; the old type where it changed."""
+    layers = _layers_cat(spark, sf)
+    drift = CAT.schema_drift(layers, layers, _fields_cat(spark, sf), K.catalog(spark, sf, K.FIELDS_NEXT))
+    was = F.filter("modified_fields", lambda m: m["field"] == "base_type")
+    return drift.filter("item_type = 'property'").select(
+        "model_id", "layer_id", "field_id", "type", "item_name", F.coalesce(F.size("modified_fields"), F.lit(0)).alias("n_changes"),
+        F.get(was, F.lit(0))["old_value"].alias("old_type"))
+
+
 @register("catalog_next_version", f"""
 WITH {_CAT_WITH}, x AS ({_NEXT_SQL}), d AS (SELECT * FROM ({_DRIFT_SQL}) WHERE type <> 'modified' OR n_changes > 0)
 SELECT model_id, count(*) FILTER (type = 'deleted') AS n_deleted, count(*) FILTER (type = 'added') AS n_added, count(*) AS n_total,
