@@ -3,9 +3,13 @@ crosses between two feature layers.
 
 Plan (no geometry library, no Python per row):
 
-1. Each geometry gets its bbox and the range of grid cells the bbox covers
-   (``cell`` = integer pair ``floor(x/size), floor(y/size)`` packed into one
-   long). Points cover one cell; a polygon covers its bbox's cells.
+Cells come from the data unless the caller names a size: a quad-tree whose
+nodes hold at most ``rows_per_cell`` rows (``cells.py``), or, where one side is
+lines, an even grid of a measured size.
+
+1. Each geometry gets its bbox and the cells the bbox covers: leaves of the
+   tree, or integer pairs ``floor(x/size), floor(y/size)`` packed into one
+   long. Points cover one cell; a polygon covers its bbox's cells.
 2. Both sides are exploded to ``(cell, geometry)`` rows and equi-joined on
    ``cell``: an ordinary shuffle join that AQE can convert to a broadcast
    join when one side turns out small, and split when a cell is hot (skew
@@ -17,8 +21,8 @@ Plan (no geometry library, no Python per row):
 4. The exact predicate runs on the joined pair; edge arrays are built once
    per geometry before the explode, not once per pair.
 
-Cell size: choose it near the typical polygon extent (a few cells per
-polygon). ``max_cells`` bounds the explode of one geometry: levels of cells
+A given cell size should be near the typical polygon extent (a few cells per
+polygon). Of such a grid ``max_cells`` bounds the explode of one geometry: levels of cells
 64 x 64 times coarser each are stacked, every geometry sits on the finest
 level where its bbox covers at most ``max_cells`` cells, the other side is
 also placed on the levels in use, and a pair meets on the coarser of its two
@@ -32,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import cells as CL
 from ._util import broadcast_if_small
 
 PREDICATES = ("intersects", "contains", "within", "touches", "crosses")
@@ -259,13 +264,17 @@ def _tag(lv: int):
     return lambda x: F.struct(F.lit(lv).alias("lvl"), x.alias("cell"))
 
 
-def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: float,
+def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: float | None = None,
                  left_geom: str = "geometry", right_geom: str = "geometry",
                  left_cols: list[str] | None = None, right_cols: list[str] | None = None,
                  kinds: tuple[str, str] | None = None, eps: float = 0.0,
-                 broadcast_rows: int | None = None, max_cells: int = 4096, salt_buckets: int = 0) -> DataFrame:
+                 broadcast_rows: int | None = None, max_cells: int = 4096, salt_buckets: int = 0,
+                 rows_per_cell: int = CL.ROWS_PER_CELL) -> DataFrame:
     """Pairs ``(left, right)`` with ``left <predicate> right``.
 
+    ``cell_size = None`` takes the cells from the data: a tree whose cells hold
+    about ``rows_per_cell`` rows of both sides, hot places salted.
+
     Returns ``left_cols + right_cols`` (names must not clash). ``kinds`` =
     (left kind, right kind) among point/line/polygon, when known, compiles
     only that predicate. ``broadcast_rows`` broadcasts the right side if it is proven to have at
@@ -286,6 +295,16 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
     # of the line's entry point into the other's box (see _entry_point)
     a_line = ka == "line" and kb in ("point", "polygon")
     b_line = kb == "line" and ka in ("point", "polygon")
+    overlap = ((F.col("a_cx1") >= F.col("b_cx0")) & (F.col("b_cx1") >= F.col("a_cx0"))
+               & (F.col("a_cy1") >= F.col("b_cy0")) & (F.col("b_cy1") >= F.col("a_cy0")))
+    if cell_size is None and not (a_line or b_line):
+        a, b, cond, once = CL.meet(a, b, rows_per_cell, max_cells)
+        if broadcast_rows:
+            b = broadcast_if_small(b, broadcast_rows)
+        exact = F.when(overlap & once, relation(predicate, "a_", "b_", eps, kinds)).otherwise(F.lit(False))
+        return a.join(b, cond).filter(exact).select(*left_cols, *right_cols)
+    if cell_size is None:
+        cell_size = CL.measured_size(a, b, rows_per_cell, "a_" if a_line else "b_")
     if a_line:
         a = a.withColumn("a_sc", _use_supercover("a_", cell_size))
     if b_line:
@@ -329,8 +348,6 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
     # corner of the bbox intersection) must fall in this row's cell, so a pair
     # met in several cells is kept once with no distinct. The exact predicate
     # sits behind a CASE so the optimizer cannot move it ahead of them.
-    overlap = ((F.col("a_cx1") >= F.col("b_cx0")) & (F.col("b_cx1") >= F.col("a_cx0"))
-               & (F.col("a_cy1") >= F.col("b_cy0")) & (F.col("b_cy1") >= F.col("a_cy0")))
     rx = F.floor(F.greatest(F.col("a_cx0"), F.col("b_cx0")) / size)
     ry = F.floor(F.greatest(F.col("a_cy0"), F.col("b_cy0")) / size)
     box_rule = _cell_id(rx, ry) == F.col("a_cell")

@@ -453,7 +453,6 @@ def q_key_difference(spark, sf):
 
 from .operators import spatial as SP  # noqa: E402
 
-CELL = 2.0   # degrees; a nation rectangle (5.6 x 3) covers at most 4 x 3 cells
 _PTS_SQL = f"(SELECT event_id, {PX} AS x, {PY} AS y FROM events)"
 _RECTS = L.SQL_NATION_RECTS
 
@@ -471,7 +470,7 @@ SELECT p.event_id, r.n_nationkey FROM {_PTS_SQL} p, {_RECTS} r
 WHERE p.x >= r.x0 AND p.x <= r.x1 AND p.y >= r.y0 AND p.y <= r.y1""")
 def q_spatial_intersects(spark, sf):
     """Points intersecting nation polygons (boundary included)."""
-    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "intersects", CELL, kinds=("point", "polygon"))
+    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "intersects", kinds=("point", "polygon"))
 
 
 @register("spatial_contains", f"""
@@ -479,7 +478,7 @@ SELECT r.n_nationkey, p.event_id FROM {_RECTS} r, {_PTS_SQL} p
 WHERE p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1""")
 def q_spatial_contains(spark, sf):
     """Polygons containing points (interior only)."""
-    return SP.spatial_join(_nations(spark, sf), _points(spark, sf), "contains", CELL, kinds=("polygon", "point"))
+    return SP.spatial_join(_nations(spark, sf), _points(spark, sf), "contains", kinds=("polygon", "point"))
 
 
 @register("spatial_within", f"""
@@ -487,7 +486,7 @@ SELECT p.event_id, r.n_nationkey FROM {_PTS_SQL} p, {_RECTS} r
 WHERE p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1""")
 def q_spatial_within(spark, sf):
     """Points within polygons (J6 reversed)."""
-    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "within", CELL, kinds=("point", "polygon"))
+    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "within", kinds=("point", "polygon"))
 
 
 @register("spatial_touches_points", f"""
@@ -496,7 +495,7 @@ WHERE p.x >= r.x0 AND p.x <= r.x1 AND p.y >= r.y0 AND p.y <= r.y1
   AND NOT (p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1)""")
 def q_spatial_touches_points(spark, sf):
     """Points on a polygon's boundary."""
-    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "touches", CELL, kinds=("point", "polygon"))
+    return SP.spatial_join(_points(spark, sf), _nations(spark, sf), "touches", kinds=("point", "polygon"))
 
 
 @register("spatial_touches_polygons", f"""
@@ -507,7 +506,7 @@ def q_spatial_touches_polygons(spark, sf):
     """Neighbouring polygons (shared edge or corner, interiors disjoint)."""
     n = _nations(spark, sf)
     return SP.spatial_join(n.withColumnRenamed("n_nationkey", "a_key"), n.withColumnRenamed("n_nationkey", "b_key"),
-                           "touches", CELL, kinds=("polygon", "polygon"))
+                           "touches", kinds=("polygon", "polygon"))
 
 
 @register("spatial_intersects_polygons", f"""
@@ -517,7 +516,7 @@ def q_spatial_intersects_polygons(spark, sf):
     """J5 polygon/polygon (a polygon intersects itself)."""
     n = _nations(spark, sf)
     return SP.spatial_join(n.withColumnRenamed("n_nationkey", "a_key"), n.withColumnRenamed("n_nationkey", "b_key"),
-                           "intersects", CELL, kinds=("polygon", "polygon"))
+                           "intersects", kinds=("polygon", "polygon"))
 
 
 _REGION_BOX_SQL = f"""(SELECT n_regionkey AS r_regionkey, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
@@ -530,7 +529,7 @@ WHERE a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1""")
 def q_spatial_within_polygons(spark, sf):
     """J7 polygon/polygon: nation rectangles within region boxes."""
     boxes = L.region_boxes(spark, sf).select("r_regionkey", "geometry")
-    return SP.spatial_join(_nations(spark, sf), boxes, "within", CELL, kinds=("polygon", "polygon"))
+    return SP.spatial_join(_nations(spark, sf), boxes, "within", kinds=("polygon", "polygon"))
 
 
 def _sql_cross(ax, ay, bx, by, px, py):
@@ -572,7 +571,7 @@ WHERE {' OR '.join(_sql_proper(_SEG, e) for e in _RECT_EDGES)}
 def q_spatial_crosses(spark, sf):
     """Movement segments crossing nation polygons (inside and outside)."""
     seg = L.event_segments(spark, sf).select("event_id", "geometry")
-    return SP.spatial_join(seg, _nations(spark, sf), "crosses", CELL, kinds=("line", "polygon"))
+    return SP.spatial_join(seg, _nations(spark, sf), "crosses", kinds=("line", "polygon"))
 
 
 # ---------------------------------------------------------------- A1-A9 profile
