@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ._util import broadcast_if_small
 
 ROWS_PER_CELL = 1000
 SAMPLES_PER_CELL = 32
@@ -121,7 +120,8 @@ def register(df: DataFrame, p: str, frame: Frame, nodes: DataFrame, leaf_depths:
     ``{p}s``, ``{p}node``, ``{p}d``, ``{p}leaf``, ``{p}salt``)."""
     s = F.col(f"{p}s")
     row = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    tried = F.array(*[F.lit(d) for d in range(frame.depth + 1)])
+    # no node is deeper than the deepest leaf
+    tried = F.array(*[F.lit(d) for d in range(max(leaf_depths) + 1)])
     known = F.array(*[F.lit(d) for d in sorted(set(leaf_depths) | set(other_stops))])
     d = F.col(f"{p}d")
     out = df.filter(F.col(f"{p}cx0").isNotNull()).select("*", F.explode(
@@ -134,7 +134,8 @@ def register(df: DataFrame, p: str, frame: Frame, nodes: DataFrame, leaf_depths:
     mine, theirs = ("a_salts", "b_salts") if p == "a_" else ("b_salts", "a_salts")
     at = nodes.select(F.col("id").alias(f"{p}node"), F.col("leaf").alias(f"{p}leaf"),
                       F.col(mine).alias(f"{p}mine"), F.col(theirs).alias(f"{p}theirs"))
-    out = out.join(broadcast_if_small(at, MAX_NODES), f"{p}node")
+    # rows of fixed size, counted; an estimate of a written table's size says little
+    out = out.join(F.broadcast(at) if nodes.count() <= MAX_NODES else at.hint("merge"), f"{p}node")
     stops = F.array(*[F.lit(x) for x in other_stops]) if other_stops else F.array().cast("array<int>")
     out = out.filter(F.col(f"{p}leaf") | (d == s) | F.array_contains(stops, d))
     # the larger side of a salted leaf takes one salt per row, the other side all of them; the salt

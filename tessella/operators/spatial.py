@@ -298,9 +298,12 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell_size: f
     overlap = ((F.col("a_cx1") >= F.col("b_cx0")) & (F.col("b_cx1") >= F.col("a_cx0"))
                & (F.col("a_cy1") >= F.col("b_cy0")) & (F.col("b_cy1") >= F.col("a_cy0")))
     if cell_size is None and not (a_line or b_line):
-        a, b, cond, once = CL.meet(a, b, rows_per_cell, max_cells)
-        if broadcast_rows:
-            b = broadcast_if_small(b, broadcast_rows)
+        # rows are exploded to cells without their edges, which are several times larger
+        a, b, cond, once = CL.meet(a.drop("a_edges"), b.drop("b_edges"), rows_per_cell, max_cells)
+        a = a.withColumn("a_edges", G.edges(F.col("a_geom")))
+        b = b.withColumn("b_edges", G.edges(F.col("b_geom")))
+        # the planner's estimate knows nothing of cells and edges: it may not broadcast by it
+        b = broadcast_if_small(b, broadcast_rows) if broadcast_rows else b.hint("merge")
         exact = F.when(overlap & once, relation(predicate, "a_", "b_", eps, kinds)).otherwise(F.lit(False))
         return a.join(b, cond).filter(exact).select(*left_cols, *right_cols)
     if cell_size is None:

@@ -574,6 +574,47 @@ def q_spatial_crosses(spark, sf):
     return SP.spatial_join(seg, _nations(spark, sf), "crosses", kinds=("line", "polygon"))
 
 
+def _sql_in_parcel(x, y):
+    return (f"({x} > r.x0 AND {x} < r.x0 + 1.5 AND {y} > r.y0 AND {y} < r.y0 + 1.5 AND NOT "
+            f"({x} >= r.x0 + 0.25 AND {x} <= r.x0 + 1.0 AND {y} >= r.y0 + 0.25 AND {y} <= r.y0 + 1.0))")
+
+
+def _sql_off_parcel(x, y):
+    return (f"({x} < r.x0 OR {x} > r.x0 + 1.5 OR {y} < r.y0 OR {y} > r.y0 + 1.5 OR "
+            f"({x} > r.x0 + 0.25 AND {x} < r.x0 + 1.0 AND {y} > r.y0 + 0.25 AND {y} < r.y0 + 1.0))")
+
+
+_TRAIL_XY = [(f"(p.x + {dx})", f"(p.y + {dy})") for dx, dy in L.TRAIL]
+_TRAIL_NEAR = "p.x + 0.5 >= r.x0 AND p.x <= r.x0 + 1.5 AND p.y + 0.75 >= r.y0 AND p.y <= r.y0 + 1.5"
+
+
+@register("spatial_within_parcels", f"""
+SELECT p.event_id, r.o_orderkey FROM {L.SQL_VISITS} p JOIN {L.SQL_PARCELS} r
+ON p.x > r.x0 AND p.x < r.x0 + 1.5 AND p.y > r.y0 AND p.y < r.y0 + 1.5 WHERE {_sql_in_parcel('p.x', 'p.y')}""")
+def q_spatial_within_parcels(spark, sf):
+    """Points, a third of them in one town, within a polygon with a hole per order; cells from the data."""
+    return SP.spatial_join(L.town_visits(spark, sf).select("event_id", "geometry"), L.order_parcels(spark, sf), "within",
+                           kinds=("point", "polygon"))
+
+
+@register("spatial_trails_cross_parcels", f"""
+SELECT p.event_id, r.o_orderkey FROM {L.SQL_VISITS} p JOIN {L.SQL_PARCELS} r ON {_TRAIL_NEAR}
+WHERE ({' OR '.join(_sql_in_parcel(*xy) for xy in _TRAIL_XY)}) AND ({' OR '.join(_sql_off_parcel(*xy) for xy in _TRAIL_XY)})""")
+def q_spatial_trails_cross_parcels(spark, sf):
+    """Multi-points with places inside and outside of a polygon with a hole (inside the hole is outside)."""
+    trails = L.town_visits(spark, sf).select("event_id", F.col("trail").alias("geometry"))
+    return SP.spatial_join(trails, L.order_parcels(spark, sf), "crosses", kinds=("point", "polygon"))
+
+
+@register("spatial_trails_within_parcels", f"""
+SELECT r.o_orderkey, p.event_id FROM {L.SQL_VISITS} p JOIN {L.SQL_PARCELS} r ON {_TRAIL_NEAR}
+WHERE ({' OR '.join(_sql_in_parcel(*xy) for xy in _TRAIL_XY)}) AND NOT ({' OR '.join(_sql_off_parcel(*xy) for xy in _TRAIL_XY)})""")
+def q_spatial_trails_within_parcels(spark, sf):
+    """Polygons with a hole that contain all places of a multi-point."""
+    trails = L.town_visits(spark, sf).select("event_id", F.col("trail").alias("geometry"))
+    return SP.spatial_join(L.order_parcels(spark, sf), trails, "contains", kinds=("polygon", "point"))
+
+
 # ---------------------------------------------------------------- A1-A9 profile
 
 def _point_layer(spark, sf):

@@ -145,3 +145,39 @@ SQL_SHAPES = """(SELECT o_orderkey, k, n, CASE k WHEN 0 THEN n * r * q * sin(pi(
   FROM (SELECT *, r * cos(2 * pi() / n) / cos(pi() / n) AS q FROM (SELECT o_orderkey, o_orderkey % 5 AS k,
     o_custkey % 3 * 2 + 5 AS n, CAST(o_orderkey % 7 + 1 AS DOUBLE) AS r, o_custkey % 7 + 4 AS m,
     o_orderkey % 3 + 1 AS h, o_custkey % 4 + 2 AS a, o_custkey % 3 + 1 AS d FROM orders)))"""
+
+
+def order_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygon layer that grows with the orders: per order a square of 1.5 with a hole of 0.75,
+    200 to a row of the plane, so neighbours overlap and the plane gets higher with the orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    x0, y0 = (F.col("o_orderkey") % 200).cast("double"), F.floor(F.col("o_orderkey") / 200).cast("double")
+
+    def ring(a, b):
+        return F.array(G.xy(x0 + a, y0 + a), G.xy(x0 + b, y0 + a), G.xy(x0 + b, y0 + b), G.xy(x0 + a, y0 + b), G.xy(x0 + a, y0 + a))
+    return o.select("o_orderkey", F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"),
+                                           F.array(F.array(ring(0.0, 1.5), ring(0.25, 1.0))).alias("parts")).alias("geometry"))
+
+
+def town_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point and multi-point layer over the plane of ``order_parcels``: a third of all events lie in one town
+    of one square unit, the others along the rows. ``geometry`` is the event's place, ``trail`` a multi-point
+    of three places."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    k = F.col("event_id")
+    town = k % 3 == 0
+    x = F.when(town, 50.0 + (k * 7919 % 10000) / F.lit(10000.0)).otherwise((k * 7919 % 200000) / F.lit(1000.0))
+    y = F.when(town, 10.0 + (k * 104729 % 10000) / F.lit(10000.0)).otherwise(F.floor(k / 200) + (k * 31 % 1000) / F.lit(1000.0))
+    e = e.withColumns({"x": x, "y": y})
+    places = F.array(*[F.array(F.array(G.xy(F.col("x") + dx, F.col("y") + dy))) for dx, dy in TRAIL])
+    return e.select("event_id", "user_id", G.point(F.col("x"), F.col("y"), 4326).alias("geometry"),
+                    F.struct(F.lit("MultiPoint").alias("type"), F.lit(4326).alias("srid"), places.alias("parts")).alias("trail"))
+
+
+TRAIL = [(0.0, 0.0), (0.25, 0.125), (0.5, 0.75)]
+SQL_PARCELS = """(SELECT o_orderkey, CAST(o_orderkey % 200 AS DOUBLE) AS x0, CAST(o_orderkey // 200 AS DOUBLE) AS y0 FROM orders)"""
+SQL_VISITS = """(SELECT event_id, user_id,
+  CASE WHEN event_id % 3 = 0 THEN CAST(50 AS DOUBLE) + CAST(event_id * 7919 % 10000 AS DOUBLE) / CAST(10000 AS DOUBLE)
+    ELSE CAST(event_id * 7919 % 200000 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS x,
+  CASE WHEN event_id % 3 = 0 THEN CAST(10 AS DOUBLE) + CAST(event_id * 104729 % 10000 AS DOUBLE) / CAST(10000 AS DOUBLE)
+    ELSE CAST(event_id // 200 AS DOUBLE) + CAST(event_id * 31 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS y FROM events)"""
