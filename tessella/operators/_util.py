@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
@@ -52,3 +55,29 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     if counted_rows(df, max_rows) > max_rows or measured_bytes(df) > max_bytes:
         return df
     return F.broadcast(df)
+
+
+def numbered(df: DataFrame, within: list[str], order: list[Column], name: str, first: int = 1,
+             buckets: int | None = None) -> DataFrame:
+    """``row_number() over (partition by within order by order)`` from ``first`` on (``order``:
+    values in ascending order, NULLs first; negate a number to descend), without a task per group: rows are dealt out by range over group and order and written
+    down once, numbered inside each range, and each range adds the rows its group has in the
+    ranges before it. Those counts are one row per group and range that meet, at most
+    groups + ranges rows. Rows equal in group and order get one of their numbers each, any of them.
+    """
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = {f"_o{i}": c for i, c in enumerate(order)}
+    dealt = (df.withColumns(keys).repartitionByRange(n, *[F.col(c) for c in within], *[F.col(k) for k in keys])
+             .withColumn("_range", F.spark_partition_id()).checkpoint(eager=True))
+    here = Window.partitionBy(*within, "_range").orderBy(*keys)
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (dealt.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(within)], F.col("_range").alias("_at"), "_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(within)] + [F.col("_range") == F.col("_at")]
+    return (dealt.withColumn("_row", F.row_number().over(here)).join(starts, reduce(and_, same))
+            .withColumn(name, F.col("_start") + F.col("_row") + (first - 1))
+            .select(*df.columns, name))

@@ -1418,7 +1418,8 @@ SELECT model_id, layer_id, CAST(row_number() OVER (PARTITION BY model_id ORDER B
 FROM l JOIN first USING (model_id, layer_id) JOIN deep USING (model_id, layer_id)""")
 def q_catalog_topo_order(spark, sf):
     """Parents before children."""
-    return CAT.topo_order(_layers_cat(spark, sf)).select("model_id", "layer_id", "topo_position")
+    placed = CAT.topo_order(_layers_cat(spark, sf))
+    return placed.select("model_id", "layer_id", F.col("topo_position").cast("int").alias("topo_position"))
 
 
 _DRIFT_SQL = f"""
@@ -1512,9 +1513,9 @@ FROM l JOIN o ON l.model_id = o.model_id AND list_contains(o.ids, l.layer_id)"""
 def q_catalog_rendering_order(spark, sf):
     """Layers by an explicit order per model."""
     l = _layers_cat(spark, sf)
-    ids = F.array_sort(F.collect_list(F.struct((-F.col("ordinal")).alias("o"), "layer_id")))
-    order = l.where("ordinal % 3 > 0").groupBy("model_id").agg(F.transform(ids, lambda x: x["layer_id"]).alias("layer_ids"))
-    return CAT.rendering_order(l, order).select("model_id", "layer_id", "render_position")
+    order = l.where("ordinal % 3 > 0").select("model_id", "layer_id", "ordinal")
+    placed = CAT.rendering_order(l, order, by=[-F.col("ordinal")])
+    return placed.select("model_id", "layer_id", F.col("render_position").cast("int").alias("render_position"))
 
 
 @register("catalog_auto_map", f"""

@@ -244,3 +244,24 @@ def test_drift_model_meta_and_shared_types(spark, model):
     assert [(m.field, m.old_value, m.new_value) for m in meta] == [("crs", "EPSG:25833", "EPSG:4326")]
     sections = {r.section for r in K.group_changes(ch).collect()}
     assert sections == {"model_meta", "shared_types"}
+
+
+def test_numbered_equals_a_window_in_hot_groups(spark):
+    from pyspark.sql import Window
+
+    from tessella.operators._util import numbered
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"m{i % 5}", (i * 7919) % 1009, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, k int, id int")
+    got = numbered(df, ["g"], [-F.col("k"), F.col("id")], "n", first=0, buckets=13)
+    w = Window.partitionBy("g").orderBy(F.col("k").desc(), "id")
+    want = df.withColumn("n", (F.row_number().over(w) - 1).cast("long"))
+    assert got.columns == ["g", "k", "id", "n"] and got.count() == 1000
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert numbered(df.limit(0), ["g"], [F.col("k")], "n").count() == 0
+
+
+def test_rendering_order_by_rows(spark, model):
+    layers, _, _ = model
+    order = spark.createDataFrame([("m", "road", 3), ("m", "nope", 2), ("m", "town", 1)], "model_id string, layer_id string, z int")
+    got = K.rendering_order(layers, order, by=[F.col("z")]).orderBy("render_position").collect()
+    assert [(r.layer_id, r.render_position) for r in got] == [("town", 0), ("road", 2)]
