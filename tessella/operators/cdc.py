@@ -34,6 +34,11 @@ def row_hash(cols: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols])
 
 
+def content_digest(cols: list[str]) -> Column:
+    """SHA-256 of a row's JSON form, for any column types: orders rows that nothing else tells apart."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])), 256)
+
+
 def state_from_snapshot(df: DataFrame, pk: str, hash_cols: list[str] | None = None) -> DataFrame:
     """Key state of a snapshot: ``pk`` (+ ``row_hash`` for D10)."""
     cols = [F.col(pk).alias("pk")]

@@ -33,11 +33,14 @@ DEFAULT_INTERVAL_SECONDS = 86400   # fixed value: the reference's default sync i
 
 
 def _latest_per_key(batch: DataFrame, pk: str, order_col: str | None) -> DataFrame:
-    if not order_col:
-        return batch.dropDuplicates([pk])
+    """One row per key: of the greatest ``order_col`` (NULLs lowest); of rows that
+    tie, all of them without ``order_col``, the one with the greatest digest of its
+    content. So the rows written, their stored hashes and a replayed batch agree."""
     cols = [c for c in batch.columns if c != pk]
-    agg = batch.groupBy(pk).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r"))
-    return agg.select(pk, "_r.*")
+    tie = D.content_digest(cols) if cols else F.lit(0)
+    place = F.struct(F.col(order_col), tie) if order_col else tie
+    agg = batch.groupBy(pk).agg(F.max_by(F.struct(*cols) if cols else F.struct(F.lit(0).alias("_none")), place).alias("_r"))
+    return agg.select(pk, *[F.col("_r")[c].alias(c) for c in cols])
 
 
 def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pk: str, out_dir: str, layer: str,
@@ -56,7 +59,7 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pk: str,
     rh = D.row_hash(hash_cols) if hash_cols else F.lit(None).cast("long")
     p = prev.select(F.col("pk").alias("_pk"), F.col("row_hash").alias("_old_hash") if "row_hash" in prev.columns
                     else F.lit(None).cast("long").alias("_old_hash"), F.lit(True).alias("_known"))
-    j = rows.withColumns({"_del": deleted, "_hash": rh}).join(p, F.col(pk) == F.col("_pk"), "left")
+    j = rows.withColumns({"_del": deleted, "_hash": rh}).join(p, F.col(pk).eqNullSafe(F.col("_pk")), "left")
     change = (F.when(F.col("_del") & F.col("_known"), F.lit(D.DELETE))
               .when(F.col("_del"), F.lit(None))
               .when(F.col("_known").isNull(), F.lit(D.INSERT))
@@ -69,11 +72,10 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pk: str,
      .write.mode("overwrite").partitionBy(D.CHANGE_COL).parquet(out))
     # next state: previous keys minus deletes, upserted keys with their hash
     up = j.filter(~F.col("_del")).select(F.col(pk).alias("pk"), F.col("_hash").alias("row_hash"))
-    gone = j.filter(F.col("_del")).select(F.col(pk).alias("pk"))
-    touched = rows.select(F.col(pk).alias("pk"))
+    touched = rows.select(F.col(pk).alias("_touched"))
     keep = prev.select("pk", *(["row_hash"] if "row_hash" in prev.columns else [])) \
-        .join(touched, "pk", "left_anti")
-    new_state = keep.unionByName(up, allowMissingColumns=True).join(gone, "pk", "left_anti")
+        .join(touched, F.col("pk").eqNullSafe(F.col("_touched")), "left_anti")
+    new_state = keep.unionByName(up, allowMissingColumns=True)
     store.write(new_state, batch_id, dt.datetime.now(dt.timezone.utc).isoformat())
 
 

@@ -446,3 +446,40 @@ def test_null_and_repeated_keys_through_every_change_function(spark):
     gone = cur.filter("pk IS NOT NULL")
     assert (None, None, "delete") in got(cdc.cdc_deletes(gone, prev, "pk"))
     assert (None, None, "delete") in got(cdc.cdc_diff(gone, prev, "pk", narrow=False))
+
+
+def test_upsert_without_order_takes_the_same_row_of_a_key(spark, scratch):
+    """Rows of one key in any order and partitioning: one written row, and the stored hash is that row's."""
+    rows = [(k, v, f"t{v}") for k in (1, 2, None) for v in range(20)]
+    seen = set()
+    for i, (n, turn) in enumerate([(1, 1), (7, -1), (3, 1)]):
+        store = D.StateStore(spark, os.path.join(scratch, f"st{i}"), "s")
+        out = os.path.join(scratch, f"o{i}")
+        b = spark.createDataFrame(rows[::turn], "k long, v long, t string").repartition(n)
+        ST.upsert_batch(spark, b, 1, "k", out, "s", store, None, ["v", "t"])
+        got = spark.read.parquet(os.path.join(out, "s_delta", "batch=1"))
+        assert got.count() == 3
+        seen.add(tuple(sorted(map(str, got.collect()))))
+        stored = {r.pk: r.row_hash for r in store.keys().collect()}
+        assert stored == {r.k: r.h for r in got.select("k", D.row_hash(["v", "t"]).alias("h")).collect()}
+        # the same batch again is no change, also for the NULL key
+        ST.upsert_batch(spark, b, 2, "k", out, "s", store, None, ["v", "t"])
+        assert spark.read.schema(got.schema).parquet(os.path.join(out, "s_delta", "batch=2")).count() == 0
+    assert len(seen) == 1
+
+
+def test_keyed_stream_takes_the_last_row_of_a_hot_key(spark, scratch):
+    from tessella.streaming import keyed as KS
+    rows = [(1, None if i % 7 == 0 else i % 500, float(i)) for i in range(30000)] + [(2, None, 5.0), (2, None, 6.0)]
+    ev = spark.createDataFrame(rows, "k long, o long, v double")
+    seen = set()
+    for i, n in enumerate((1, 5)):
+        land, out, ck = (os.path.join(scratch, f"{d}{i}") for d in ("hland", "hout", "hck"))
+        ev.repartition(n).write.parquet(land)
+        KS.stream_changes_stateful(spark, land, ev.schema, "k", ["v"], out, ck, order_col="o",
+                                   available_now=True).awaitTermination(300)
+        got = spark.read.parquet(out).collect()
+        assert len(got) == 2 and {r.o for r in got} == {499, None}
+        seen.add(tuple(sorted(map(str, got))))
+    assert len(seen) == 1
+    assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "")
