@@ -114,7 +114,7 @@ def tree(a: DataFrame, b: DataFrame, frame: Frame, rows_per_cell: int) -> DataFr
                         ).checkpoint(eager=True)
 
 
-def register(df: DataFrame, p: str, frame: Frame, nodes: DataFrame, leaf_depths: list[int],
+def register(df: DataFrame, p: str, frame: Frame, nodes: DataFrame, small: bool, leaf_depths: list[int],
              other_stops: list[int]) -> DataFrame:
     """Rows of one side, one for each node they are registered on (columns
     ``{p}s``, ``{p}node``, ``{p}d``, ``{p}leaf``, ``{p}salt``)."""
@@ -134,8 +134,8 @@ def register(df: DataFrame, p: str, frame: Frame, nodes: DataFrame, leaf_depths:
     mine, theirs = ("a_salts", "b_salts") if p == "a_" else ("b_salts", "a_salts")
     at = nodes.select(F.col("id").alias(f"{p}node"), F.col("leaf").alias(f"{p}leaf"),
                       F.col(mine).alias(f"{p}mine"), F.col(theirs).alias(f"{p}theirs"))
-    # rows of fixed size, counted; an estimate of a written table's size says little
-    out = out.join(F.broadcast(at) if nodes.count() <= MAX_NODES else at.hint("merge"), f"{p}node")
+    # small: counted rows of fixed size; an estimate of a written table's size says little
+    out = out.join(F.broadcast(at) if small else at.hint("merge"), f"{p}node")
     stops = F.array(*[F.lit(x) for x in other_stops]) if other_stops else F.array().cast("array<int>")
     out = out.filter(F.col(f"{p}leaf") | (d == s) | F.array_contains(stops, d))
     # the larger side of a salted leaf takes one salt per row, the other side all of them; the salt
@@ -157,9 +157,11 @@ def meet(a: DataFrame, b: DataFrame, rows_per_cell: int, max_cells: int) -> tupl
         if r["s"] is not None and r["s"] < frame.depth:      # at most 2 x 25 rows
             stops[r["side"]].append(r["s"])
     nodes = tree(a, b, frame, rows_per_cell)
-    leaf_depths = sorted(r["d"] for r in nodes.filter("leaf").select("d").distinct().collect())
-    a = register(a, "a_", frame, nodes, leaf_depths, sorted(stops["b"]))
-    b = register(b, "b_", frame, nodes, leaf_depths, sorted(stops["a"]))
+    kinds = nodes.groupBy("leaf", "d").count().collect()      # at most 2 x 25 rows
+    leaf_depths = sorted(r["d"] for r in kinds if r["leaf"])
+    small = sum(r["count"] for r in kinds) <= MAX_NODES
+    a = register(a, "a_", frame, nodes, small, leaf_depths, sorted(stops["b"]))
+    b = register(b, "b_", frame, nodes, small, leaf_depths, sorted(stops["a"]))
     cond = (F.col("a_node") == F.col("b_node")) & (F.col("a_salt") == F.col("b_salt"))
     d = F.col("a_d")
     corner = node_id(d, frame.index(F.greatest("a_cx0", "b_cx0"), "x", d),
