@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import wkt as W
 from .operators import query as Q
 from .session import table
 from .sources import layers as L
@@ -1072,6 +1073,46 @@ def q_conform_geometry(spark, sf):
             .groupBy("geometry_type", "rejected").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _sql_wkt_pair(a, b):
+    number = lambda c, d: f"regexp_replace(CAST({c} + CAST({d} AS DOUBLE) AS VARCHAR), '[.]0$', '')"
+    return f"concat({number('x0', a)}, ' ', {number('y0', b)})"
+
+
+def _sql_wkt_ring(a, b):
+    corners = ((a, a), (b, a), (b, b), (a, b), (a, a))
+    return "concat('(', " + ", ', ', ".join(_sql_wkt_pair(*c) for c in corners) + ", ')')"
+
+
+_SQL_OUTER, _SQL_INNER = _sql_wkt_ring(0.0, 1.5), _sql_wkt_ring(0.25, 1.0)
+_SQL_RINGS = "o_orderkey, 10, x0, y0, x0 + CAST(0.25 AS DOUBLE), y0 + CAST(0.25 AS DOUBLE)"
+
+
+@register("geometry_wkt", f"""
+SELECT 'Point' AS type, event_id AS id, 1 AS n_points, {PX} AS first_x, {PY} AS first_y, {PX} AS last_x, {PY} AS last_y,
+  CAST(NULL AS VARCHAR) AS wkt FROM events
+UNION ALL SELECT 'LineString', event_id, 2, {PX}, {PY}, {L.SQL_NEXT_X}, {L.SQL_NEXT_Y}, NULL FROM events
+UNION ALL SELECT 'MultiPoint', event_id, 3, x, y, x + CAST(0.5 AS DOUBLE), y + CAST(0.75 AS DOUBLE), NULL FROM {L.SQL_VISITS}
+UNION ALL SELECT 'Polygon', {_SQL_RINGS}, concat('POLYGON (', {_SQL_OUTER}, ', ', {_SQL_INNER}, ')') FROM {L.SQL_PARCELS}
+UNION ALL SELECT 'MultiLineString', {_SQL_RINGS}, concat('MULTILINESTRING (', {_SQL_OUTER}, ', ', {_SQL_INNER}, ')') FROM {L.SQL_PARCELS}
+UNION ALL SELECT 'MultiPolygon', {_SQL_RINGS}, concat('MULTIPOLYGON ((', {_SQL_OUTER}, '), (', {_SQL_INNER}, '))') FROM {L.SQL_PARCELS}""")
+def q_geometry_wkt(spark, sf):
+    """Geometries of all types written as text and read again: their points, and the text of those with rings or lines."""
+    parcels = L.order_parcels(spark, sf).select(F.col("o_orderkey").alias("id"), "geometry")
+    apart = F.transform(F.col("geometry.parts")[0], lambda ring: F.array(ring))
+    several = [parcels.select("id", F.struct(F.lit(t).alias("type"), F.col("geometry.srid").alias("srid"), apart.alias("parts")).alias("geometry"))
+               for t in ("MultiLineString", "MultiPolygon")]
+    events = [L.event_points(spark, sf, with_geometry=True).select("event_id", "geometry"), L.event_segments(spark, sf).select("event_id", "geometry"),
+              L.town_visits(spark, sf).select("event_id", F.col("trail").alias("geometry"))]
+    layers = [e.withColumnRenamed("event_id", "id") for e in events] + [parcels, *several]
+    rows = [x.select("id", W.from_wkt(W.to_wkt("geometry")).alias("g")) for x in layers]
+    points = F.flatten(F.flatten("g.parts"))
+    first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
+    return A.union_all([x.select(
+        F.col("g.type").alias("type"), "id", F.size(points).alias("n_points"), first["x"].alias("first_x"), first["y"].alias("first_y"),
+        last["x"].alias("last_x"), last["y"].alias("last_y"),
+        F.when(F.col("g.type").isin("Polygon", "MultiLineString", "MultiPolygon"), W.to_wkt("g")).alias("wkt")) for x in rows])
+
+
 # ---------------------------------------------------------------- J2-J4, J10, J11 key joins
 
 @register("join_reference", """

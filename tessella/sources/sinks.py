@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import SPARK_TYPES
+from ..functions.wkt import to_wkt
 
 
 def _xy_json(p):
@@ -106,10 +107,13 @@ def object_store_path(bucket: str, prefix: str, name: str, scheme: str = "s3a")
 
 def layer_struct_type(fields: list[dict]):
     """StructType of a layer from its field rows; ``1..1``/``1..*`` are
-    NOT NULL, ``*`` multiplicities become arrays."""
+    NOT NULL, ``*`` multiplicities become arrays. A relation that is no foreign
+    key has no column."""
     from pyspark.sql import types as T
     out = []
     for f in fields:
+        if f.get("kind") == "feature-ref" and f.get("relation_type", "foreign_key") != "foreign_key":
+            continue
         dt = SPARK_TYPES.get(f.get("base_type") or "string", T.StringType())
         mult = f.get("multiplicity") or "0..1"
         if mult.endswith("*"):
@@ -118,19 +122,74 @@ def layer_struct_type(fields: list[dict]):
     return T.StructType(out)
 
 
+def conform_rows(df: DataFrame, fields: list[dict], geom_col: str | None = None, geom_required: bool = False,
+                 keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows of a layer as its table stores them, and those it must refuse.
+
+    Rows: a column per field, in its type, the geometry as WKT, then ``keep``.
+    A row is refused where a required field is null or an empty list (or absent from
+    ``df``) or where a value cannot be read as its field's type; refused rows
+    keep their columns as they came, with ``missing`` and ``mistyped``: the names
+    of these fields. A geometry that has no text form is mistyped. Both come from one
+    projection, without a shuffle."""
+    from pyspark.sql import types as T
+    made, missing, mistyped = {}, [], []
+    for f in layer_struct_type(fields).fields:
+        if f.name not in df.columns:
+            made[f.name] = F.lit(None).cast(f.dataType)
+        else:
+            src = F.col(f"`{f.name}`")
+            made[f.name] = src.try_cast(f.dataType)
+            bad = src.isNotNull() & made[f.name].isNull()
+            if isinstance(f.dataType, T.ArrayType):  # a null among the values is no fault, one that the cast makes is
+                nulls = lambda a: F.size(F.filter(a, lambda x: x.isNull()))
+                bad = bad | (nulls(made[f.name]) > nulls(src))
+            mistyped.append(F.when(bad, F.lit(f.name)))
+        if not f.nullable:
+            gone = made[f.name].isNull() if f.name not in df.columns else F.col(f"`{f.name}`").isNull()
+            if isinstance(f.dataType, T.ArrayType):
+                gone = gone | (F.size(made[f.name]) == 0)
+            missing.append(F.when(gone, F.lit(f.name)))
+    if geom_col is not None:
+        made[geom_col] = to_wkt(geom_col)
+        mistyped.append(F.when(F.col(geom_col).isNotNull() & made[geom_col].isNull(), F.lit(geom_col)))
+        if geom_required:
+            missing.append(F.when(F.col(geom_col).isNull(), F.lit(geom_col)))
+    none = F.array().cast("array<string>")
+    faults = {"missing": F.array_compact(F.array(*missing)) if missing else none,
+              "mistyped": F.array_compact(F.array(*mistyped)) if mistyped else none}
+    fine = (F.size(faults["missing"]) == 0) & (F.size(faults["mistyped"]) == 0)
+    rows = df.where(fine).select(*[c.alias(n) for n, c in made.items()], *keep)
+    return rows, df.where(~fine).withColumns(faults)
+
+
 def create_table(df: DataFrame, name: str, fields: list[dict] | None = None, pk: str | None = None,
-                 is_abstract: bool = False, fmt: str = "parquet") -> bool:
+                 is_abstract: bool = False, fmt: str = "parquet", geom_col: str | None = None, rejects: str | None = None) -> bool:
     """Create a lakehouse table from a layer; abstract layers are
     skipped; with no PK an identity ``fid`` is added (``monotonically_increasing_id``
-    is unique without a shuffle, unlike ``row_number`` over a global window)."""
+    is unique without a shuffle, unlike ``row_number`` over a global window).
+
+    With ``fields`` the table has their columns and types, NOT NULL where they are
+    required (the key and ``fid`` too), and the geometry as WKT. Rows that break this
+    (see ``conform_rows``) go to the table ``rejects``; without one the first such row
+    ends the job, and no table is left. Spark's own catalog keeps no NOT NULL for file
+    formats, so the property ``required`` names these columns as well."""
     if is_abstract:
         return False
-    out = df
-    if not pk:
-        out = out.withColumn("fid", F.monotonically_increasing_id())
-    if fields:
-        st = layer_struct_type(fields)
-        out = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in st.fields],
-                         *([F.col("fid")] if not pk else []))
-    out.writeTo(name).using(fmt).create()
+    out = df if pk else df.withColumn("fid", F.monotonically_increasing_id())
+    if not fields:
+        out.writeTo(name).using(fmt).create()
+        return True
+    # the key is required, whatever its field says
+    fields = [f | {"multiplicity": "1..1"} if f["name"] == pk else f for f in fields]
+    rows, refused = conform_rows(out, fields, geom_col, keep=() if pk else ("fid",))
+    if rejects is None and (first := refused.select("missing", "mistyped").first()):
+        raise ValueError(f"{name}: a row lacks {first['missing']}, has no valid {first['mistyped']}")
+    required = {f.name for f in layer_struct_type(fields).fields if not f.nullable} | {"fid"}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{' NOT NULL' if f.name in required else ''}" for f in rows.schema.fields)
+    names = ",".join(f.name for f in rows.schema.fields if f.name in required)
+    df.sparkSession.sql(f"CREATE TABLE {name} ({ddl}) USING {fmt} TBLPROPERTIES ('required' = '{names}')")
+    rows.write.insertInto(name)
+    if rejects is not None:
+        refused.write.format(fmt).saveAsTable(rejects)
     return True

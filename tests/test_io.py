@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import cdc as D
@@ -108,6 +109,48 @@ def test_create_table_and_append(spark, scratch, sf_dir):
     assert spark.read.parquet(out).groupBy("layer").count().count() == 2
 
 
+FIELDS_S11 = [{"name": "k", "base_type": "integer", "multiplicity": "0..1"}, {"name": "n", "base_type": "number", "multiplicity": "1..1"},
+              {"name": "tags", "base_type": "integer", "multiplicity": "1..*"}, {"name": "d", "base_type": "date"},
+              {"name": "near", "kind": "feature-ref", "relation_type": "within"}]
+
+
+def test_table_with_required_fields_and_geometry_text(spark):
+    from tessella.functions.wkt import from_wkt
+    rows = [("1", "2.5", ["1", "2"], "2026-01-02", "POINT (1 2)"), ("2", None, ["1"], None, None), (None, "1", ["1"], None, None),
+            ("3", "1", [], None, "POINT (1 2)"), ("4", "x", ["1"], None, None), ("5", "1", ["1", "y"], "2026-13-45", None),
+            ("6", "3", ["7", None], None, "LINESTRING (0 0, 1 1)")]
+    df = spark.createDataFrame(rows, "k string, n string, tags array<string>, d string, w string").withColumn("geom", from_wkt("w")).drop("w")
+    assert S.create_table(df, "typed", FIELDS_S11, pk="k", geom_col="geom", rejects="typed_rejects")
+    got = {r["k"]: r for r in spark.table("typed").collect()}
+    assert sorted(got) == [1, 6] and got[1]["geom"] == "POINT (1 2)" and got[6]["tags"] == [7, None] and str(got[1]["d"]) == "2026-01-02"
+    assert spark.table("typed").columns == ["k", "n", "tags", "d", "geom"]
+    bad = {r["k"]: (r["missing"], r["mistyped"]) for r in spark.table("typed_rejects").collect()}
+    assert bad == {"2": (["n"], []), None: (["k"], []), "3": (["tags"], []), "4": ([], ["n"]), "5": ([], ["tags", "d"])}
+    assert spark.sql("SHOW TBLPROPERTIES typed ('required')").first()["value"] == "k,n,tags"
+    with pytest.raises(ValueError, match="lacks"):
+        S.create_table(df.where("k = '2'"), "refused", FIELDS_S11, pk="k")
+    assert not spark.catalog.tableExists("refused")
+    # a field that the rows do not have
+    assert S.create_table(df.drop("n"), "lacking", FIELDS_S11, pk="k", rejects="lacking_rejects")
+    assert spark.table("lacking").count() == 0 and spark.table("lacking_rejects").count() == 7
+
+
+def test_wkt_both_ways(spark):
+    from tessella.functions.wkt import from_wkt, to_wkt
+    same = ["POINT (4 57.5)", "POINT EMPTY", "LINESTRING (0 0, 1 1, 2 -3.25)", "MULTIPOINT ((1 2), (3 4))", "MULTIPOINT EMPTY",
+            "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))",
+            "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 0)), ((10 10, 11 10, 11 11, 10 10), (1 1, 2 1, 2 2, 1 1)))"]
+    other = {"point z (1 2 3)": "POINT (1 2)", "POINTZM(1 2 3 4)": "POINT (1 2)", " MultiPoint (1 2, 3 4) ": "MULTIPOINT ((1 2), (3 4))",
+             "POINT(1e5 -.5)": "POINT (100000 -0.5)", "LineString M (0 0 9,1. 1 8)": "LINESTRING (0 0, 1 1)"}
+    wrong = ["POINT (1)", "POINT (a b)", "POLYGON ((0 0, 1 1", "CIRCLE (1 2)", "", "LINESTRING (0 0, x 1)", "POINT (1 2, 3 4)",
+             "MULTIPOLYGON ((0 0, 1 1))", "POLYGON (0 0, 1 1)", "LINESTRING ((0 0, 1 1))", None]
+    want = {x: x for x in same} | other | dict.fromkeys(wrong)
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r["t"]: r["w"] for r in df.select("t", to_wkt(from_wkt("t")).alias("w")).collect()} == want
+    got = df.select(to_wkt(from_wkt(F.concat(F.lit("SRID=25833;"), "t")), srid=True).alias("w")).where("w IS NOT NULL").collect()
+    assert {r["w"] for r in got} == {f"SRID=25833;{x}" for x in want.values() if x}
+
+
 def _orders_pair(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     prev = o.filter(F.col("o_orderkey") % 10 != 0)
