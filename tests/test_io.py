@@ -287,6 +287,35 @@ def test_manifest(spark, sf_dir, scratch):
     assert (ext.west, ext.north, ext.items, ext.interval_start) == (4.5, 72.0, 3, "2026-01-01T00:00:00Z")
 
 
+def test_manifest_with_measured_boxes(spark, sf_dir, scratch):
+    from tessella.functions import geometry as G
+    from tessella.sources import layers as L
+    out = os.path.join(scratch, "measured")
+    points = L.event_points(spark, sf_dir, with_geometry=True).select("event_id", "geometry", "x", "y")
+    points.repartitionByRange(4, "x").write.parquet(out)
+    points.limit(1).select("event_id", F.when(F.col("event_id") < 0, F.col("geometry")).alias("geometry"), "x", "y").coalesce(1).write.mode("append").parquet(out)
+    rows = MF.export_manifest(spark, out, "events", "full", 4326, geom_col="geometry", public_base="https://files.example.com/x/").collect()
+    real = {os.path.basename(r.f): [r.a, r.b, r.c, r.d] for r in spark.read.parquet(out).withColumns(
+        {c: F.when(F.col("geometry").isNotNull(), F.col(c)) for c in "xy"}).groupBy(F.input_file_name().alias("f")).agg(
+        F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d")).collect()}
+    want = {f: box if box[0] is not None else list(MF.WORLD_BBOX) for f, box in real.items()}
+    assert {os.path.basename(r.href): r.bbox for r in rows} == want and len({tuple(r.bbox) for r in rows}) == len(rows) == 5
+    assert sum(r.bbox == list(MF.WORLD_BBOX) for r in rows) == 1
+    again = MF.export_manifest(spark, out, "events", "full", 4326, geom_col="geometry").collect()
+    assert {r.id for r in again} == {r.id for r in rows} and len({r.id for r in rows}) == 5
+    item = json.loads(rows[0].item_json)
+    name = os.path.basename(rows[0].href)
+    assert [x["rel"] for x in item["links"]] == ["self", "root", "parent", "collection"] and item["geometry"] is None
+    assert item["assets"]["data"]["href"] == f"https://files.example.com/x/{name}" and item["assets"]["data"]["file:size"] == rows[0].size
+    assert item["assets"]["data"]["roles"] == ["data"] and item["stac_version"] == "1.0.0" and item["bbox"] == rows[0].bbox
+    # boxes of a projected export come in degrees
+    flat = os.path.join(scratch, "projected")
+    points.select(G.reproject_geometry("geometry", 4326, 25833).alias("geometry")).coalesce(1).write.parquet(flat)
+    box = MF.file_extents(spark, flat, epsg=25833).first().bbox
+    whole = points.agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d")).first()
+    assert box == pytest.approx([whole.a, whole.b, whole.c, whole.d], abs=1e-6)
+
+
 def test_paths_table_scan_and_densified_bbox(spark, sf_dir):
     from tessella.functions import geometry as G
     assert S.full_output_path("s3a://b/x/", "roads") == "s3a://b/x/roads_full"
