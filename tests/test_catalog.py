@@ -156,6 +156,33 @@ def test_drift_changelog_and_version(spark, model):
     assert [r.nv for r in only_mod] == ["1.4.3", "1.0.0", "0.9.10"]
 
 
+def test_drift_of_nested_fields(spark):
+    layers = spark.createDataFrame([("m", "town", "Town", "Point", "geom", "id", None, "d", False, 1)], LAYER_SCHEMA)
+    cols = ["field_id", "parent_field_id", "name", "base_type", "title", "description", "constraints"]
+    old = [("a", None, "address", None, "Address", "", None), ("s", "a", "street", "string", "", "", "max 5"), ("z", "a", "zip", "string", "", "", None),
+           ("n", "z", "number", "integer", "", "", None), ("g", None, "gone", None, "", "", None), ("gi", "g", "inner", "string", "", "", None),
+           ("q", "nowhere", "lost", "string", "", "", None), ("l1", "l2", "loop1", None, "", "", None), ("l2", "l1", "loop2", None, "", "", None),
+           ("same", "a", "same", "string", "", "", None), ("same", "g", "same", "string", "", "", None)]
+    new = [("a", None, "address", None, "Adresse", "", None), ("s", "a", "street", "string", "", "", "max 9"), ("z", "a", "postcode", "string", "", "x", None),
+           ("n", "z", "number", "string", "", "", None), ("e", "z", "extra", "string", "", "", None), ("h", None, "here", None, "", "", None),
+           ("hi", "h", "inner", "string", "", "", None), ("q", "nowhere", "lost", "integer", "", "", None), ("l1", "l2", "loop1", None, "", "", None),
+           ("l2", "l1", "loop2", None, "", "", None)]
+
+    def table_of(rows):
+        df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+        return df.select(F.lit("m").alias("model_id"), F.lit("town").alias("layer_id"), "*", *[
+            F.lit(None).cast("string").alias(c) for c in K.FIELD_ATTRS if c not in cols])
+
+    ch = K.schema_drift(layers, layers, table_of(old), table_of(new))
+    got = {(r.type, r.item_name): sorted(m.field for m in r.modified_fields or []) for r in ch.collect()}
+    assert got == {("modified", "address"): ["title"], ("modified", "address ▸ street"): ["constraints"],
+                   ("modified", "address ▸ postcode"): ["description", "name"], ("modified", "address ▸ postcode ▸ number"): ["base_type"],
+                   ("added", "address ▸ postcode ▸ extra"): [], ("added", "here"): [], ("deleted", "gone"): [], ("deleted", "address ▸ same"): [],
+                   ("modified", "lost"): ["base_type"]}
+    assert K.schema_drift(layers, layers, table_of(old), table_of(old)).count() == 0
+    assert K.field_paths(table_of([])).count() == 0
+
+
 def test_describe_and_import_columns(spark):
     cols = spark.createDataFrame([
         ("public", "roads", "id", 1, "integer", "int4", "NO", "nextval('s')"),
