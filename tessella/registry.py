@@ -1505,6 +1505,55 @@ def q_catalog_field_drift(spark, sf):
         F.get(was, F.lit(0))["old_value"].alias("old_type"))
 
 
+# Items of an order as fields within it; of the next version some are gone, new, renamed or of another type.
+_SQL_NESTED = f"""
+WITH items AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL), o AS ({K.sql(K.FIELDS, "duckdb")}), n AS ({K.sql(K.FIELDS_NEXT, "duckdb")}),
+oc AS (SELECT model_id, layer_id, field_id AS parent, concat(field_id, '.', l_linenumber) AS field_id,
+  concat('item', l_linenumber) AS name, l_returnflag AS base_type, concat(name, ' ▸ item', l_linenumber) AS path
+  FROM o JOIN items ON ordinal = l_orderkey),
+nc AS (SELECT model_id, layer_id, field_id AS parent,
+  concat(field_id, '.', l_linenumber, CASE WHEN (l_orderkey + l_linenumber) % 37 = 0 THEN 'n' ELSE '' END) AS field_id,
+  concat('item', l_linenumber, CASE WHEN l_linenumber = 3 THEN '_v2' ELSE '' END) AS name,
+  CASE WHEN l_linenumber = 5 AND l_orderkey % 7 = 0 THEN 'X' ELSE l_returnflag END AS base_type,
+  concat(name, ' ▸ item', l_linenumber, CASE WHEN l_linenumber = 3 THEN '_v2' ELSE '' END) AS path
+  FROM n JOIN items ON ordinal = l_orderkey WHERE (l_orderkey + l_linenumber) % 29 <> 0)"""
+
+
+@register("catalog_nested_drift", f"""{_SQL_NESTED}
+SELECT * FROM (SELECT model_id, layer_id, field_id,
+  CASE WHEN o.ordinal IS NULL THEN 'added' WHEN n.ordinal IS NULL THEN 'deleted' ELSE 'modified' END AS type,
+  coalesce(n.name, o.name) AS item_name, CASE WHEN o.ordinal IS NOT NULL AND n.ordinal IS NOT NULL THEN {_FIELD_CHANGES} ELSE 0 END AS n_changes
+  FROM o FULL JOIN n USING (model_id, layer_id, field_id)
+UNION ALL SELECT model_id, layer_id, field_id,
+  CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'deleted' ELSE 'modified' END, coalesce(b.path, a.path),
+  CASE WHEN a.name IS NULL OR b.name IS NULL THEN 0
+       ELSE (a.name IS DISTINCT FROM b.name)::INT + (a.base_type IS DISTINCT FROM b.base_type)::INT END
+  FROM oc a FULL JOIN nc b USING (model_id, layer_id, parent, field_id)
+  WHERE parent IN (SELECT field_id FROM o) AND parent IN (SELECT field_id FROM n))
+WHERE type <> 'modified' OR n_changes > 0""")
+def q_catalog_nested_drift(spark, sf):
+    """Fields and the fields within them, added, deleted and modified between two versions, named by their paths."""
+    old, new = _fields_cat(spark, sf), K.catalog(spark, sf, K.FIELDS_NEXT)
+    line, key = F.col("l_linenumber"), F.col("l_orderkey")
+    # line numbers repeat within an order: one item each
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+
+    def nested(fields, rows, field_id, name, base_type):
+        inner = rows.join(fields, F.col("ordinal") == key).select(
+            "model_id", "layer_id", field_id.alias("field_id"), F.col("field_id").alias("parent_field_id"),
+            name.alias("name"), base_type.alias("base_type"))
+        return fields.withColumn("parent_field_id", F.lit(None).cast("string")).unionByName(inner, allowMissingColumns=True)
+
+    before = nested(old, items, F.concat("field_id", F.lit("."), line), F.concat(F.lit("item"), line), F.col("l_returnflag"))
+    after = nested(new, items.where((key + line) % 29 != 0),
+                   F.concat(F.col("field_id"), F.lit("."), line, F.when((key + line) % 37 == 0, "n").otherwise("")),
+                   F.concat(F.lit("item"), line, F.when(line == 3, "_v2").otherwise("")),
+                   F.when((line == 5) & (key % 7 == 0), "X").otherwise(F.col("l_returnflag")))
+    layers = _layers_cat(spark, sf)
+    return CAT.schema_drift(layers, layers, before, after).filter("item_type = 'property'").select(
+        "model_id", "layer_id", "field_id", "type", "item_name", F.coalesce(F.size("modified_fields"), F.lit(0)).alias("n_changes"))
+
+
 @register("catalog_next_version", f"""
 WITH {_CAT_WITH}, x AS ({_NEXT_SQL}), d AS (SELECT * FROM ({_DRIFT_SQL}) WHERE type <> 'modified' OR n_changes > 0)
 SELECT model_id, count(*) FILTER (type = 'deleted') AS n_deleted, count(*) FILTER (type = 'added') AS n_added, count(*) AS n_total,
