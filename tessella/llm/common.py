@@ -57,12 +57,6 @@ def text_key(text: str | Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(c, F.lit("")), 256), 1, 32))
 
 
-def measured_bytes(df: DataFrame, *cols: str) -> int:
-    """Real size of string columns, null as 0."""
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols), F.lit(0))
-    return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
-
-
 # ------------------------------------------------------------ bytes in numpy
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
