@@ -1097,12 +1097,13 @@ UNION ALL SELECT 'MultiLineString', {_SQL_RINGS}, concat('MULTILINESTRING (', {_
 UNION ALL SELECT 'MultiPolygon', {_SQL_RINGS}, concat('MULTIPOLYGON ((', {_SQL_OUTER}, '), (', {_SQL_INNER}, '))') FROM {L.SQL_PARCELS}""")
 def q_geometry_wkt(spark, sf):
     """Geometries of all types written as text and read again: their points, and the text of those with rings or lines."""
-    parcels = L.order_parcels(spark, sf).select(F.col("o_orderkey").alias("id"), "geometry")
+    parcels = L.order_parcels(spark, sf, spread=True).select(F.col("o_orderkey").alias("id"), "geometry")
     apart = F.transform(F.col("geometry.parts")[0], lambda ring: F.array(ring))
     several = [parcels.select("id", F.struct(F.lit(t).alias("type"), F.col("geometry.srid").alias("srid"), apart.alias("parts")).alias("geometry"))
                for t in ("MultiLineString", "MultiPolygon")]
-    events = [L.event_points(spark, sf, with_geometry=True).select("event_id", "geometry"), L.event_segments(spark, sf).select("event_id", "geometry"),
-              L.town_visits(spark, sf).select("event_id", F.col("trail").alias("geometry"))]
+    places = L.narrow(spark, sf, "events", "event_id", spread=True).select("event_id", G.point(L.point_x(), L.point_y(), 4326).alias("geometry"))
+    events = [places, L.event_segments(spark, sf, spread=True).select("event_id", "geometry"),
+              L.town_visits(spark, sf, spread=True).select("event_id", F.col("trail").alias("geometry"))]
     layers = [e.withColumnRenamed("event_id", "id") for e in events] + [parcels, *several]
     rows = [x.select("id", W.from_wkt(W.to_wkt("geometry")).alias("g")) for x in layers]
     points = F.flatten(F.flatten("g.parts"))

@@ -30,6 +30,13 @@ def point_y(id_col="event_id"):
     return F.lit(POINT_Y0) + (F.col(id_col) * POINT_Y_MUL % POINT_Y_MOD) / F.lit(1000.0)
 
 
+def narrow(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread: bool = False) -> DataFrame:
+    """Some columns of a table. ``spread`` deals them over all tasks by the first: a file of few narrow columns
+    is one task's input, and what is made of its rows may be many times larger."""
+    df = table(spark, sf_dir, name).select(*cols)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), cols[0]) if spread else df
+
+
 def event_points(spark: SparkSession, sf_dir: str, with_geometry: bool = False) -> DataFrame:
     """Point layer: every event with ``x``, ``y`` (and bbox = the point)."""
     df = table(spark, sf_dir, "events").withColumns({"x": point_x(), "y": point_y()})
@@ -57,10 +64,10 @@ SQL_RECT_Y0 = "(CAST(57.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * floor(n_nationkey /
 SQL_RECT_W, SQL_RECT_H = "CAST(5.6 AS DOUBLE)", "CAST(3.0 AS DOUBLE)"
 
 
-def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_segments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Line layer: each event's movement segment, from its point to the point
     of ``event_id + 1`` (both computed from ids, so no join is needed)."""
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id")
+    ev = narrow(spark, sf_dir, "events", "event_id", "user_id", spread=spread)
     nxt = F.col("event_id") + 1
     x1 = F.lit(POINT_X0) + (nxt * POINT_X_MUL % POINT_X_MOD) / F.lit(1000.0)
     y1 = F.lit(POINT_Y0) + (nxt * POINT_Y_MUL % POINT_Y_MOD) / F.lit(1000.0)
@@ -108,9 +115,7 @@ def order_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygon layer of larger faults, a kind per ``o_orderkey % 5``: stars of 5, 7 or 9 points, rings that cross
     their base line 3 to 9 times, two overlapping parts, a hole partly outside its shell beside one
     inside, and a valid polygon with a hole. Sizes come from the customer key."""
-    # one file of two narrow columns is one task's input; the shapes made of it are many times larger
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(n_tasks, "o_orderkey")
+    o = narrow(spark, sf_dir, "orders", "o_orderkey", "o_custkey", spread=True)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     x0 = (k % 1000).cast("double") * 32.0
     at = lambda x, y: G.xy(x0 + x, y)
@@ -147,10 +152,10 @@ SQL_SHAPES = """(SELECT o_orderkey, k, n, CASE k WHEN 0 THEN n * r * q * sin(pi(
     o_orderkey % 3 + 1 AS h, o_custkey % 4 + 2 AS a, o_custkey % 3 + 1 AS d FROM orders)))"""
 
 
-def order_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_parcels(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Polygon layer that grows with the orders: per order a square of 1.5 with a hole of 0.75,
     200 to a row of the plane, so neighbours overlap and the plane gets higher with the orders."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    o = narrow(spark, sf_dir, "orders", "o_orderkey", spread=spread)
     x0, y0 = (F.col("o_orderkey") % 200).cast("double"), F.floor(F.col("o_orderkey") / 200).cast("double")
 
     def ring(a, b):
@@ -159,11 +164,11 @@ def order_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            F.array(F.array(ring(0.0, 1.5), ring(0.25, 1.0))).alias("parts")).alias("geometry"))
 
 
-def town_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def town_visits(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Point and multi-point layer over the plane of ``order_parcels``: a third of all events lie in one town
     of one square unit, the others along the rows. ``geometry`` is the event's place, ``trail`` a multi-point
     of three places."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    e = narrow(spark, sf_dir, "events", "event_id", "user_id", spread=spread)
     k = F.col("event_id")
     town = k % 3 == 0
     x = F.when(town, 50.0 + (k * 7919 % 10000) / F.lit(10000.0)).otherwise((k * 7919 % 200000) / F.lit(1000.0))
