@@ -16,9 +16,14 @@ A geometry is registered
 A pair meets on one node only: the one holding the lower-left corner of the
 boxes' intersection at depth ``min(leaf, s of a, s of b)``.
 
+Where many rows have an extent, ``max_cells`` is lowered so that the cells of all boxes
+stay some ``CELLS_PER_ROW`` a row (in a dense place leaves are far smaller than the
+boxes), and no box is registered deeper than any geometry of the other side: no pair
+meets there.
+
 A leaf at the greatest depth that still holds very many rows (points at one
 place) is salted: the rows of its larger side are dealt over several keys and
-those of the other side repeated. Sampling decides only how work is cut; which
+those of the other side repeated. So is an inner node, as far as that repeats fewer rows than it holds. Sampling decides only how work is cut; which
 pairs meet never depends on it.
 """
 
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 ROWS_PER_CELL = 1000
+CELLS_PER_ROW = 8            # on average over both sides' rows, where boxes are larger than cells
 SAMPLES_PER_CELL = 32
 SAMPLE_ALL = 200_000         # inputs up to this many rows are counted whole
 DEEPEST = 24                 # node ids: 5 bits of depth, 25 of column, 25 of row
@@ -50,10 +56,11 @@ class Frame:
 
     def __init__(self, a: DataFrame, b: DataFrame, rows_per_cell: int):
         box = lambda df, p: df.select(*[F.col(f"{p}{c}").alias(c) for c in ("cx0", "cy0", "cx1", "cy1")])
+        wide = (F.col("cx1") > F.col("cx0")) | (F.col("cy1") > F.col("cy0"))
         r = box(a, "a_").unionByName(box(b, "b_")).agg(
             F.min("cx0").alias("x0"), F.min("cy0").alias("y0"), F.max("cx1").alias("x1"), F.max("cy1").alias("y1"),
-            F.count("cx0").alias("n")).first()
-        self.n = r["n"]
+            F.count("cx0").alias("n"), F.count(F.when(wide, 1)).alias("wide")).first()
+        self.n, self.wide = r["n"], r["wide"]
         self.x0, self.y0 = (r["x0"], r["y0"]) if self.n else (0.0, 0.0)
         side = max(r["x1"] - r["x0"], r["y1"] - r["y0"]) if self.n else 0.0
         self.side = side if side > 0 else 1.0
@@ -61,6 +68,10 @@ class Frame:
         self.depth = min(DEEPEST, even + DEPTH_FOR_SKEW) if self.n > rows_per_cell else 0
         self.fraction = min(1.0, max(SAMPLES_PER_CELL / rows_per_cell, SAMPLE_ALL / self.n)) if self.n else 1.0
 
+    def cells_each(self, max_cells: int) -> int:
+        """Cells that one box may touch: fewer than ``max_cells`` where boxes are many."""
+        return max(4, min(max_cells, CELLS_PER_ROW * self.n // max(self.wide, 1)))
+
     def index(self, v: Column, axis: str, d: Column) -> Column:
         """Column or row at depth ``d``. Scaling by a power of two is exact, so the index
         at a depth is the index at a greater depth with its last bits cut off."""
@@ -106,8 +117,9 @@ def tree(a: DataFrame, b: DataFrame, frame: Frame, rows_per_cell: int) -> DataFr
     found = root.unionByName(children).join(heavy.select("id", "na", "n"), "id", "left")
     inner = F.col("n").isNotNull() & (F.col("d") < deep)
     nb = F.col("n") - F.col("na")
-    salts = lambda mine, other: F.when(~inner & F.col("n").isNotNull() & (mine >= other), F.least(
-        F.lit(MAX_SALTS), F.ceil(mine / (SALT_CELLS * rows_per_cell)).cast("int"))).otherwise(F.lit(1))
+    few = lambda mine, other: F.when(inner, F.greatest(F.lit(1), F.floor(mine / F.greatest(other, F.lit(1.0))))).otherwise(F.lit(MAX_SALTS))
+    salts = lambda mine, other: F.when(F.col("n").isNotNull() & (mine >= other), F.least(
+        F.lit(MAX_SALTS), F.ceil(mine / (SALT_CELLS * rows_per_cell)), few(mine, other)).cast("int")).otherwise(F.lit(1))
     a_salts = salts(F.col("na"), nb)
     return found.select("id", "d", (~inner).alias("leaf"), a_salts.alias("a_salts"),
                         F.when(a_salts > 1, F.lit(1)).otherwise(salts(nb, F.col("na"))).alias("b_salts")
@@ -115,17 +127,21 @@ def tree(a: DataFrame, b: DataFrame, frame: Frame, rows_per_cell: int) -> DataFr
 
 
 def register(df: DataFrame, p: str, frame: Frame, nodes: DataFrame, small: bool, leaf_depths: list[int],
-             other_stops: list[int]) -> DataFrame:
+             other_stops: list[int], other_top: int) -> DataFrame:
     """Rows of one side, one for each node they are registered on (columns
-    ``{p}s``, ``{p}node``, ``{p}d``, ``{p}leaf``, ``{p}salt``)."""
+    ``{p}s``, ``{p}node``, ``{p}d``, ``{p}leaf``, ``{p}salt``). The other side's
+    geometries stop at ``other_top`` at the deepest: no pair meets below."""
     s = F.col(f"{p}s")
     row = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
     # no node is deeper than the deepest leaf
     tried = F.array(*[F.lit(d) for d in range(max(leaf_depths) + 1)])
+    wide = (F.col(f"{p}cx1") > F.col(f"{p}cx0")) | (F.col(f"{p}cy1") > F.col(f"{p}cy0"))
+    # a point has one node a depth; the leaves below are spared to boxes, which have many
+    lowest = F.when(wide, F.least(s, F.lit(other_top))).otherwise(s)
     known = F.array(*[F.lit(d) for d in sorted(set(leaf_depths) | set(other_stops))])
     d = F.col(f"{p}d")
     out = df.filter(F.col(f"{p}cx0").isNotNull()).select("*", F.explode(
-        F.filter(tried, lambda t: (t <= s) & ((t == s) | F.array_contains(known, t)))).alias(f"{p}d"))
+        F.filter(tried, lambda t: (t <= lowest) & ((t == s) | F.array_contains(known, t)))).alias(f"{p}d"))
     out = out.select("*", F.explode(F.sequence(frame.index(F.col(f"{p}cx0"), "x", d),
                                                frame.index(F.col(f"{p}cx1"), "x", d))).alias(f"{p}ix"))
     out = out.select("*", F.explode(F.sequence(frame.index(F.col(f"{p}cy0"), "y", d),
@@ -149,19 +165,22 @@ def meet(a: DataFrame, b: DataFrame, rows_per_cell: int, max_cells: int) -> tupl
     """Both sides registered on the tree, the join condition, and the rule that
     keeps a pair on one of the nodes it meets on."""
     frame = Frame(a, b, rows_per_cell)
+    max_cells = frame.cells_each(max_cells)
     a = a.withColumn("a_s", frame.stop_depth("a_", max_cells))
     b = b.withColumn("b_s", frame.stop_depth("b_", max_cells))
-    stops = {"a": [], "b": []}
+    stops, top = {"a": [], "b": []}, {"a": 0, "b": 0}
     for r in (a.select(F.lit("a").alias("side"), F.col("a_s").alias("s"))
               .unionByName(b.select(F.lit("b").alias("side"), F.col("b_s").alias("s"))).distinct().collect()):
-        if r["s"] is not None and r["s"] < frame.depth:      # at most 2 x 25 rows
-            stops[r["side"]].append(r["s"])
+        if r["s"] is not None:      # at most 2 x 25 rows
+            top[r["side"]] = max(top[r["side"]], r["s"])
+            if r["s"] < frame.depth:
+                stops[r["side"]].append(r["s"])
     nodes = tree(a, b, frame, rows_per_cell)
     kinds = nodes.groupBy("leaf", "d").count().collect()      # at most 2 x 25 rows
     leaf_depths = sorted(r["d"] for r in kinds if r["leaf"])
     small = sum(r["count"] for r in kinds) <= MAX_NODES
-    a = register(a, "a_", frame, nodes, small, leaf_depths, sorted(stops["b"]))
-    b = register(b, "b_", frame, nodes, small, leaf_depths, sorted(stops["a"]))
+    a = register(a, "a_", frame, nodes, small, leaf_depths, sorted(stops["b"]), top["b"])
+    b = register(b, "b_", frame, nodes, small, leaf_depths, sorted(stops["a"]), top["a"])
     cond = (F.col("a_node") == F.col("b_node")) & (F.col("a_salt") == F.col("b_salt"))
     d = F.col("a_d")
     corner = node_id(d, frame.index(F.greatest("a_cx0", "b_cx0"), "x", d),

@@ -79,6 +79,19 @@ def test_cells_grow_with_rows_and_split_the_town(spark):
     assert large.n > 3 * small.n and small.most <= 150 and large.most <= 150
 
 
+def test_boxes_larger_than_the_cells_of_a_town_take_few_cells(spark):
+    def cells_per_row(n):
+        boxes = spark.range(n).select(F.col("id").cast("int").alias("k"), (50 + F.rand(1)).alias("x"), (10 + F.rand(2)).alias("y"))
+        far = spark.range(20).select((F.col("id") + n).cast("int").alias("k"), (F.col("id") * 10.0).alias("x"), (F.col("id") * 10.0).alias("y"))
+        g = boxes.unionByName(far).select("k", G.rectangle(F.col("x"), F.col("y"), F.col("x") + 0.5, F.col("y") + 0.75, 4326).alias("g"))
+        a = SP._prepare(g.withColumnRenamed("g", "a_geom"), "a_geom", "a_")
+        b = SP._prepare(_boxes(spark, [(i, 49.0 + i % 3, 9.0 + i // 3, 50.5 + i % 3, 10.5 + i // 3) for i in range(9)])
+                        .withColumnRenamed("geometry", "b_geom"), "b_geom", "b_")
+        return CL.meet(a, b, 50, 4096)[0].count() / n
+    small, large = cells_per_row(1000), cells_per_row(8000)
+    assert small < 12 and large < 12
+
+
 def test_empty_null_and_single_place(spark):
     some = _points(spark, [(1, 5.0, 5.0), (2, None, None)]).unionByName(
         _points(spark, [(3, 5.0, 5.0)]).withColumn("geometry", F.lit(None).cast(_points(spark, [(1, 1.0, 1.0)]).schema[1].dataType)))
