@@ -49,34 +49,47 @@ def _distinct_points(ring: Column) -> Column:
 
 
 def _finite(geom: str) -> Column:
+    return _all_finite(G.coords(geom))
+
+
+def _all_finite(pts: Column) -> Column:
     big = float("inf")
-    return F.forall(G.coords(geom), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"])
+    return F.forall(pts, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"])
                     & (F.abs(p["x"]) < big) & (F.abs(p["y"]) < big))
 
 
 def ring_table(df: DataFrame, key: str, geom: str = "geometry") -> DataFrame:
     """(fid, part, ring, pts, and the feature's grid) of polygons with finite coordinates; points that
     repeat the one before are left out, open rings are closed."""
-    box = G.bbox("g")
-    g = df.select(F.col(key).alias("fid"), F.col(geom).alias("g")).filter(_is_polygon("g") & _finite("g") & (F.size(G.coords("g")) > 0))
+    # bound once each (``let``): a geometry may be a long expression, which every mention of its points would compute anew
+    side = lambda e: F.sqrt(F.pow(e["bx"] - e["ax"], 2) + F.pow(e["by"] - e["ay"], 2))
+
+    def frame(g):
+        length = F.aggregate(F.flatten(F.transform(F.flatten(g["parts"]), G.ring_edges)), F.lit(0.0), lambda acc, e: acc + side(e))
+
+        def of(pts):
+            ends = [f(F.transform(pts, lambda p: p[c])).alias(n) for n, f, c in (  # noqa: B023
+                ("x0", F.array_min, "x"), ("y0", F.array_min, "y"), ("x1", F.array_max, "x"), ("y1", F.array_max, "y"))]
+            row = F.struct(g["parts"].alias("parts"), F.size(pts).alias("n"), *ends, length.alias("length"))
+            return F.when(F.lower(g["type"]).contains("polygon") & _all_finite(pts) & (F.size(pts) > 0), F.array(row))
+        return G.let(G.coords(g), of)
+    g = df.select(F.col(key).alias("fid"), F.inline(G.let(F.col(geom), frame)))
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    g = g.select("fid", F.col("g.parts").alias("parts"), F.size(G.coords("g")).alias("n"), box["min_x"].alias("x0"),
-                 box["min_y"].alias("y0"), box["max_x"].alias("x1"), box["max_y"].alias("y1"))
     g = g.withColumn("extent", F.when(extent > 0, extent).otherwise(1.0))
     # as fine as lets its edges pass through some two cells each: short edges, as of a long coast, make many
     # cells (only those passed through have rows), edges across the whole feature make few
-    side = lambda e: F.sqrt(F.pow(e["bx"] - e["ax"], 2) + F.pow(e["by"] - e["ay"], 2))
-    length = F.aggregate(F.flatten(F.transform(F.flatten("parts"), G.ring_edges)), F.lit(0.0), lambda acc, e: acc + side(e))
-    g = g.withColumn("around", length / F.col("extent"))
+    g = g.withColumn("around", F.col("length") / F.col("extent"))
     fine = F.least(F.floor(F.col("n") / 4), F.floor(F.col("n") * 2 / F.greatest(F.col("around"), F.lit(1.0)))).cast("int")
     g = g.withColumn("grid", F.when(F.col("n") <= ONE_CELL, 1).otherwise(F.greatest(F.lit(1), fine)))
     rings = g.select("fid", "n", "x0", "y0", "extent", "grid", F.posexplode("parts").alias("part", "rings")).select(
         "fid", "n", "x0", "y0", "extent", "grid", "part", F.posexplode("rings").alias("ring", "raw")).filter(F.size("raw") > 0)
-    rings = rings.withColumn("pts", _distinct_points(F.col("raw")))
-    first, last = F.col("pts")[0], F.element_at("pts", -1)
-    closed = (first["x"] == last["x"]) & (first["y"] == last["y"]) & (F.size("pts") > 1)
-    return rings.select("fid", "part", "ring", "n", "x0", "y0", "extent", "grid", closed.alias("closed"),
-                        F.when(closed, F.col("pts")).otherwise(F.concat("pts", F.array(first))).alias("pts"))
+
+    def closing(pts):
+        first, last = pts[0], F.element_at(pts, -1)
+        closed = (first["x"] == last["x"]) & (first["y"] == last["y"]) & (F.size(pts) > 1)
+        return F.array(F.struct(closed.alias("closed"), F.when(closed, pts).otherwise(F.concat(pts, F.array(first))).alias("pts")))
+    return rings.select("fid", "part", "ring", "n", "x0", "y0", "extent", "grid",
+                        F.inline(G.let(_distinct_points(F.col("raw")), closing)).alias("closed", "pts"))
 
 
 def edge_table(rings: DataFrame) -> DataFrame:
@@ -131,9 +144,8 @@ def edge_pairs(edges: DataFrame) -> DataFrame:
     names = [f"{c}{k}" for k in (1, 2) for c in _SIDE]
     few = edges.filter("grid = 1").groupBy("fid").agg(
         *[F.first(c).alias(c) for c in _FRAME], F.collect_list(F.struct("id", *[c for c in _SIDE if c != "id"])).alias("es"))
-    few = few.select("fid", *_FRAME, F.explode("es").alias("one"), "es")
-    later = F.filter("es", lambda o: (o["id"] > F.col("one.id")) & _boxes_meet(F.col("extent"), lambda c: F.col(f"one.{c}"), lambda c: o[c]))
-    few = few.select("fid", *_FRAME, "one", F.explode(later).alias("two"))
+    few = few.select("fid", *_FRAME, F.explode("es").alias("one"), "es").select("fid", *_FRAME, "one", F.explode("es").alias("two"))
+    few = few.filter((F.col("two.id") > F.col("one.id")) & _boxes_meet(F.col("extent"), lambda c: F.col(f"one.{c}"), lambda c: F.col(f"two.{c}")))
     few = few.select("fid", *_FRAME, *[F.col(f"{o}.{c}").alias(f"{c}{k}") for o, k in (("one", 1), ("two", 2)) for c in _SIDE])
     cells = in_cells(edges.filter("grid > 1"))
     a = cells.select("fid", "cell", *_FRAME, *[F.col(c).alias(f"{c}1") for c in _SIDE])

@@ -138,3 +138,12 @@ def test_a_ring_of_many_points_is_spread_and_quick(spark):
 def test_edges_meet_in_cells_of_their_feature(spark):
     plan = P.edge_pairs(P.edge_table(P.ring_table(frame(spark, [geom([BIG])]), "k")))._jdf.queryExecution().toString()
     assert "Join Inner" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_geometry_is_made_once_for_its_rings(spark):
+    ring = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: G.xy(F.cos(i % 5 + F.col("k")), F.sin(i % 5 + F.col("k"))))
+    df = spark.range(2).withColumnRenamed("id", "k").withColumn("geometry", F.struct(
+        F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"), F.array(F.array(ring)).alias("parts")))
+    rings = P.ring_table(df, "k")
+    assert rings._jdf.queryExecution().optimizedPlan().toString().count("COS(") <= 2
+    assert {(r["fid"], r["n"], len(r["pts"]), r["closed"]) for r in rings.collect()} == {(0, 6, 6, True), (1, 6, 6, True)}
