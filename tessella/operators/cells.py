@@ -40,15 +40,15 @@ ROWS_PER_CELL = 1000
 CELLS_PER_ROW = 8            # on average over both sides' rows, where boxes are larger than cells
 SAMPLES_PER_CELL = 32
 SAMPLE_ALL = 200_000         # inputs up to this many rows are counted whole
-DEEPEST = 24                 # node ids: 5 bits of depth, 25 of column, 25 of row
+DEEPEST = 24                 # node ids: 5 bits of depth, 24 of column, 24 of row
 DEPTH_FOR_SKEW = 16          # depths beyond those an even spread would need
 SALT_CELLS = 64              # a deepest leaf of more rows than so many cells is salted
-MAX_SALTS = 1024             # spreads work only: rows are never left out
+MAX_SALTS = 1024             # spreads work only: rows are never left out; 10 bits beside the node in a cell
 MAX_NODES = 4_000_000        # broadcast bound of the node table (32 bytes each); beyond it the planner joins
 
 
 def node_id(d: Column, ix: Column, iy: Column) -> Column:
-    return (F.shiftleft(d.cast("long"), 50).bitwiseOR(F.shiftleft(ix.cast("long"), 25))).bitwiseOR(iy.cast("long"))
+    return (F.shiftleft(d.cast("long"), 48).bitwiseOR(F.shiftleft(ix.cast("long"), 24))).bitwiseOR(iy.cast("long"))
 
 
 class Frame:
@@ -181,7 +181,10 @@ def meet(a: DataFrame, b: DataFrame, rows_per_cell: int, max_cells: int) -> tupl
     small = sum(r["count"] for r in kinds) <= MAX_NODES
     a = register(a, "a_", frame, nodes, small, leaf_depths, sorted(stops["b"]), top["b"])
     b = register(b, "b_", frame, nodes, small, leaf_depths, sorted(stops["a"]), top["a"])
-    cond = (F.col("a_node") == F.col("b_node")) & (F.col("a_salt") == F.col("b_salt"))
+    # node and salt as one key
+    cell = lambda p: F.shiftleft(F.col(f"{p}node"), 10).bitwiseOR(F.col(f"{p}salt").cast("long"))
+    a, b = a.withColumn("a_cell", cell("a_")), b.withColumn("b_cell", cell("b_"))
+    cond = F.col("a_cell") == F.col("b_cell")
     d = F.col("a_d")
     corner = node_id(d, frame.index(F.greatest("a_cx0", "b_cx0"), "x", d),
                      frame.index(F.greatest("a_cy0", "b_cy0"), "y", d))
