@@ -147,3 +147,53 @@ def test_a_geometry_is_made_once_for_its_rings(spark):
     rings = P.ring_table(df, "k")
     assert rings._jdf.queryExecution().optimizedPlan().toString().count("COS(") <= 2
     assert {(r["fid"], r["n"], len(r["pts"]), r["closed"]) for r in rings.collect()} == {(0, 6, 6, True), (1, 6, 6, True)}
+
+
+def _mixed(n):
+    """Polygons of one to three parts, of rings over one another, beside and in one another."""
+    rng = random.Random(11)
+
+    def ring():
+        x, y, w = rng.randrange(8), rng.randrange(8), rng.randrange(1, 4)
+        kind = rng.randrange(4)
+        if kind == 0:
+            return box(x, y, x + w, y + rng.randrange(1, 4))
+        if kind == 1:
+            return [(x - w, y), (x, y - w), (x + w, y), (x, y + w), (x - w, y)]
+        if kind == 2:
+            pts = [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(2, 7))]
+            return pts if rng.random() < 0.2 else [*pts, pts[0]]
+        return star(rng.choice([5, 7]), float(w))
+    shapes = [geom([BIG, *[ring() for _ in range(rng.randrange(3))]], *[[ring() for _ in range(rng.randrange(1, 3))]
+              for _ in range(rng.randrange(3))]) for _ in range(n)]
+    return [*shapes, *[c[0] for c in CASES], geom([circle(P.FEW * 2, 5.0)]), geom([circle(P.FEW * 2, 5.0)], [circle(P.FEW * 2, 2.0)])]
+
+
+def _by_key(df, value):
+    return {r["k"]: r[value] for r in df.collect()}
+
+
+def test_polygons_of_few_points_are_repaired_without_jobs_over_their_edges(spark, monkeypatch):
+    shapes = _mixed(60)
+    df = frame(spark, shapes)
+    broken = P._faults_by_edges(df, "k", "geometry")
+    by_edges = {r["fid"]: r["fixed"] for r in P.rebuild(df.join(broken, "k", "left_semi"), "k").collect()}
+    fixed = P.repair(df, "k")
+    assert fixed.columns == ["k", "geometry", "fault"]
+    got = {r["k"]: r for r in fixed.collect()}
+    assert {k: r["fault"] for k, r in got.items() if r["fault"]} == _by_key(broken, "fault")
+
+    def area(parts):
+        return sum(P.R._area([(p["x"], p["y"]) for p in ring[:-1]]) for part in parts for ring in part)
+    for k, r in got.items():
+        if r["fault"]:
+            assert area(r["geometry"]["parts"]) == pytest.approx(area(by_edges.get(k, [])), abs=1e-9), k
+            assert r["geometry"]["type"] == ("MultiPolygon" if len(r["geometry"]["parts"]) > 1 else shapes[k]["type"])
+
+    def over_edges(*args, **kwargs):
+        raise AssertionError("edges of few points were dealt out")
+    for name in ("edge_table", "edge_pairs", "noded", "directed", "linked"):
+        monkeypatch.setattr(P, name, over_edges)
+    few = frame(spark, [c[0] for c in CASES])
+    assert _by_key(P.repair(few, "k"), "fault") == {i: c[1] for i, c in enumerate(CASES)}
+    assert _by_key(P.with_validity(few, "k"), "valid") == {i: c[1] is None for i, c in enumerate(CASES)}
