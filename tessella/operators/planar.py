@@ -236,7 +236,9 @@ def polygon_faults(df: DataFrame, key: str, geom: str = "geometry") -> DataFrame
     ``spike``, ``self-intersection`` (edges of one ring cross, overlap or touch), ``rings cross`` (or overlap),
     ``hole outside shell``, ``nested holes``, ``parts overlap``, ``interior cut``. Other geometry types have none here.
     """
-    return _faults_by_edges(df, key, geom)
+    few, others = _dealt(df, key, geom)
+    found = few.select(key, _fault(geom).alias("fault")).filter(F.col("fault").isNotNull())
+    return found if others is None else found.unionByName(_faults_by_edges(others, key, geom))
 
 
 def _faults_by_edges(df: DataFrame, key: str, geom: str) -> DataFrame:

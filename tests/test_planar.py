@@ -197,3 +197,30 @@ def test_polygons_of_few_points_are_repaired_without_jobs_over_their_edges(spark
     few = frame(spark, [c[0] for c in CASES])
     assert _by_key(P.repair(few, "k"), "fault") == {i: c[1] for i, c in enumerate(CASES)}
     assert _by_key(P.with_validity(few, "k"), "valid") == {i: c[1] is None for i, c in enumerate(CASES)}
+
+
+def test_rows_of_one_key_are_one_polygon_of_few_points_or_many(spark):
+    rows = [(1, geom([box(0, 0, 2, 2)])), (1, geom([star(7)])), (2, geom([box(0, 0, 2, 2)])), (None, geom([star(5)]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert _by_key(P.polygon_faults(df, "k"), "fault") == _by_key(P._faults_by_edges(df, "k", "geometry"), "fault") == {
+        1: "self-intersection", None: "self-intersection"}
+    assert sorted((r["k"] or 0, r["valid"]) for r in P.with_validity(df, "k").collect()) == [(0, True), (1, False), (1, False), (2, True)]
+    assert sorted((r["k"] or 0, r["fault"]) for r in P.repair(df, "k").collect()) == [
+        (0, None), (1, "self-intersection"), (1, "self-intersection"), (2, None)]
+
+
+def test_null_parts_and_rings_tell_nothing(spark):
+    shapes = [None, [None], [[None]], [[[]]], [[[None, None, None, None]]]]
+    df = spark.createDataFrame([(i, {"type": "Polygon", "srid": 4326, "parts": p}) for i, p in enumerate(shapes)], SCHEMA)
+    assert _by_key(P.polygon_faults(df, "k"), "fault") == {4: "coordinate"}
+    got = {r["k"]: r for r in P.repair(df, "k").collect()}
+    assert [got[i]["geometry"]["parts"] for i in range(5)] == [None, [None], [[None]], [[[]]], []]
+
+
+def test_faults_of_few_points_are_told_in_their_rows_task(spark):
+    df = frame(spark, _mixed(60)[:-2])
+    faults = P.polygon_faults(df, "k")
+    plan = faults._jdf.queryExecution().executedPlan().toString()
+    # the rows' task tells them, once
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert _by_key(faults, "fault") == _by_key(P._faults_by_edges(df, "k", "geometry"), "fault")
